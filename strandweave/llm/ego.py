@@ -8,8 +8,9 @@ epsilon apart in those components, which no distance undercuts.  What is left is
 and pairs near the limit are decided in double precision.
 
 Equal vectors are joined once, with their number; a task gives link counts and a spanning forest
-of its links, never the pairs.  Vectors out of `usable` link with nothing, and repeated vec_ids are
-one node whose count of links is the sum over its rows.  An empty table gives no rows.
+of its links, never the pairs.  Vectors out of `usable` link with nothing.  Rows that repeat a
+vec_id are one node, with the links of all its vectors; a repeated row links with its repeats.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS)
         F.zip_with("low_b", "high_a", lambda x, y: x - y), F.zip_with("low_a", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
     )
     apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    tasks = max(1, min(8192, len(pairs)))
+    # As many tasks as there are full block pairs to multiply, and no fewer than a shuffle has.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(8192, total * total // (2 * BLOCK_ROWS * BLOCK_ROWS)))
     work = (
         plan.join(side("a").withColumnRenamed("interval_a", "a"), "a")
         .join(side("b").withColumnRenamed("interval_b", "b"), "b")
@@ -209,16 +211,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS)
 
     names = ("ids_a", "vectors_a", "copies_a", "ids_b", "vectors_b", "copies_b", "same")
     found = stored(work.select(*names).mapInArrow(joined, "u long, v long, n long"), "ego-links")
-    # Rows of the same id are one node: each of its vectors is tied to the others by that id.
-    members = good.join(distinct, "embedding").select("vec_id", "node", "copies")
+    # Only vectors with copies need their node looked up; any other is its own.
+    repeated = distinct.where("copies > 1")
+    members = stored(good.join(repeated, "embedding").select("vec_id", "node", "copies"), "ego-copies")
     ties = members.where("vec_id != node").select(F.col("vec_id").alias("u"), F.col("node").alias("v")).distinct()
     labels = connected(found.where("u != v").select("u", "v").unionByName(ties), "ego-links")
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    direct = (
-        members.join(counts, "node", "left")
-        .groupBy("vec_id")
-        .agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
+    nodes = members.select("vec_id", "node", "copies").distinct()
+    of_copies = nodes.join(counts, "node", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    of_others = counts.join(nodes, counts["node"] == nodes["vec_id"], "left_anti").select(F.col("node").alias("vec_id"), "n")
+    direct = of_copies.unionByName(of_others).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     return (
         everyone.join(direct, "vec_id", "left")
         .join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
