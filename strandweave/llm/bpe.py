@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from strandweave.llm.common import read_table
 
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 700_000
 
 #: Code point classes, then symbols: a white space is "last" if a non-space follows it.
 LETTER, NUMBER, OTHER, SPACE, WHITE, STOP = range(6)
@@ -251,37 +251,40 @@ ENCODED = "doc_id long, ids binary, ends binary"
 DECODED = "doc_id long, ids binary, text binary"
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """ENCODED for columns doc_id, text: ids as packed unsigned 32-bit, ends as 64-bit byte offsets."""
+#: Rows in one record batch: ids and offsets take many times a text's bytes.
+ROWS_AT_ONCE = 512
 
-    def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
-        for part in parts:
-            ids = bpe.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.ends(x).astype("<i8").tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "ids", "ends"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(coded, ENCODED)
+def encode_batches(path: str, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = codec(path)
+    for part in parts:
+        for at in range(0, part.num_rows, ROWS_AT_ONCE):
+            some = part.slice(at, ROWS_AT_ONCE)
+            ids = bpe.encode(some.column("text").to_pylist())
+            ends = [bpe.ends(x).astype("<i8").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "ids", "ends"])
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """DECODED for columns doc_id, ids, ends; the retained offsets must agree with the bytes."""
+def decode_batches(path: str, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = codec(path)
+    for part in parts:
+        ids = part.column("ids").to_pylist()
+        texts = [bpe.decode(x) for x in ids]
+        for text, places in zip(texts, part.column("ends")):
+            last = places.as_buffer()[-8:] if len(places.as_buffer()) else b""
+            if len(text) != int.from_bytes(bytes(last), "little"):
+                raise ValueError("ids and offsets disagree")
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"])
 
-    def plain(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
-        for part in parts:
-            ids, ends = part.column("ids").to_pylist(), part.column("ends").to_pylist()
-            texts = [bpe.decode(x) for x in ids]
-            for text, places in zip(texts, ends):
-                if len(text) != (int.from_bytes(places[-8:], "little") if places else 0):
-                    raise ValueError("ids and offsets disagree")
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"]
-            )
 
-    return encoded.select("doc_id", "ids", "ends").mapInArrow(plain, DECODED)
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """ENCODED for columns doc_id, text: ids as packed unsigned 32-bit, ends as 64-bit byte offsets."""
+    return docs.select("doc_id", "text").mapInArrow(lambda parts: encode_batches(path, parts), ENCODED)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """DECODED for columns doc_id, ids, ends; the retained offsets must agree with the bytes."""
+    return encoded.select("doc_id", "ids", "ends").mapInArrow(lambda parts: decode_batches(path, parts), DECODED)
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -306,8 +309,9 @@ def _digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: encodes all `documents`, decodes the ids, and digests both."""
+    """op3: encodes all `documents`, decodes the ids, and digests both, as one pass of one worker a task."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return decode(encode(read_table(spark, sf_dir, "documents"), path), path).mapInArrow(_digests, DIGESTS)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(lambda parts: _digests(decode_batches(path, encode_batches(path, parts))), DIGESTS)
