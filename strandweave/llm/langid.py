@@ -16,7 +16,6 @@ predicted alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.bpe import LETTER, code_point_classes
 from strandweave.llm.common import read_table
 
 BUCKETS, DIMS, LONGEST = 1 << 15, 16, 4
@@ -34,24 +34,41 @@ WINDOWS_EACH, WINDOW_WORDS = 2, 12
 #: Share of right answers on left-out windows that rejection may cost, and the highest limit.
 LOSS, HIGHEST = 0.001, 0.5
 CACHE_ENTRIES = 600_000
+TEXTS_AT_ONCE = 128
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def letter_runs(word: str) -> list[str]:
-    """Runs of letters; \\d leaves other numbers in \\w, so these are cut out as well."""
-    return [x for run in _LETTERS.findall(word.lower()) for x in ("".join(c if c.isalpha() else " " for c in run).split() if not run.isalpha() else [run])]
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of all letter runs of a white space part."""
-    out = []
-    for run in letter_runs(word):
-        marked = f"<{run}>"
-        for n in range(1, LONGEST + 1):
-            # An edge mark alone says nothing.
-            out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1]
-    return out
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+OPEN, CLOSE = ord("<"), ord(">")
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, words' numbers) of the n-grams of all letter runs in white space parts, each run in edge marks."""
+    # A white space part holds no newline.
+    points = np.frombuffer(("\n".join(words).lower() + "\n").encode("utf-32-le"), "<u4")
+    letter = code_point_classes()[points] == LETTER
+    at = np.flatnonzero(letter)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = ~letter[at - 1] | (at == 0)
+    last = ~letter[at + 1]
+    run = np.cumsum(first)
+    place = np.arange(len(at)) + 2 * run - 1  # after the marks of the runs before and its own
+    marked = np.empty(len(at) + 2 * int(run[-1]), np.uint64)
+    owner_run, owner = np.empty(len(marked), np.int64), np.empty(len(marked), np.int64)
+    word = np.cumsum(points == ord("\n"))[at]
+    for where, value, of in ((place, points[at], slice(None)), (place[first] - 1, OPEN, first), (place[last] + 1, CLOSE, last)):
+        marked[where], owner_run[where], owner[where] = value, run[of], word[of]
+    inner = np.zeros(len(marked), bool)
+    inner[place] = True  # an edge mark alone says nothing
+    out, of_word = [], []
+    mixed = marked.copy()
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            mixed = mixed[:-1] * _FACTORS[0] + marked[n - 1 :]
+        good = inner if n == 1 else owner_run[: len(mixed)] == owner_run[n - 1 :]
+        h = (mixed[good] + np.uint64(n)) * _FACTORS[1]
+        out.append(((h ^ (h >> np.uint64(31))) * _FACTORS[0] >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        of_word.append(owner[: len(mixed)][good])
+    return np.concatenate(out), np.concatenate(of_word)
 
 
 class LanguageModel:
@@ -71,35 +88,38 @@ class LanguageModel:
         self.__dict__.update(state)
         self._forget()
 
-    def _learn(self, word: str) -> int:
-        row = self.rows[word] = len(self.rows)
-        if row >= len(self.sums):
+    def _learn(self, words: list[str]) -> None:
+        """Adds the words' summed logits and numbers of n-grams."""
+        first, n = len(self.rows), len(words)
+        while first + n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        if grams := subwords(word):
-            self.sums[row, :-1] = self.logits[grams].sum(axis=0)
-            self.sums[row, -1] = len(grams)
-        return row
-
-    def probabilities(self, words: list[str]) -> np.ndarray | None:
-        """None if there is no letter."""
-        if len(self.rows) > CACHE_ENTRIES:
-            self._forget()
-        get, learn = self.rows.get, self._learn
-        at = [learn(w) if (r := get(w)) is None else r for w in words]
-        total = self.sums[at].sum(axis=0)
-        if not total[-1]:
-            return None
-        z = (total[:-1] / total[-1] + self.bias) / self.temperature
-        p = np.exp(z - z.max())
-        return p / p.sum()
+        self.rows.update(zip(words, range(first, first + n)))
+        buckets, of = subwords(words)
+        for k in range(len(self.languages)):
+            self.sums[first : first + n, k] = np.bincount(of, self.logits[buckets, k], n)
+        self.sums[first : first + n, -1] = np.bincount(of, minlength=n)
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, probability, accepted) of each whole text."""
+        out = [(UNDETERMINED, 0.0, False)] * len(texts)
+        for at in range(0, len(texts) if self.languages else 0, TEXTS_AT_ONCE):
+            if len(self.rows) > CACHE_ENTRIES:
+                self._forget()
+            words = [(t or "").split() for t in texts[at : at + TEXTS_AT_ONCE]]
+            if missing := list(set().union(*words).difference(self.rows)):
+                self._learn(missing)
+            for i, some in enumerate(words, at):
+                total = self.sums[list(map(self.rows.__getitem__, some))].sum(axis=0)
+                if total[-1]:
+                    z = (total[:-1] / total[-1] + self.bias) / self.temperature
+                    p = np.exp(z - z.max())
+                    p /= p.sum()
+                    best = int(np.argmax(p))
+                    out[i] = self.languages[best], float(p[best]), bool(p[best] >= self.limit)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, probability, accepted) of the whole text."""
-        p = self.probabilities((text or "").split()) if self.languages else None
-        if p is None:
-            return UNDETERMINED, 0.0, False
-        best = int(np.argmax(p))
-        return self.languages[best], float(p[best]), bool(p[best] >= self.limit)
+        return self.predict_all([text])[0]
 
 
 Sample = tuple[np.ndarray, np.ndarray, str, bool]
@@ -117,7 +137,7 @@ def samples(text: str, lang: str, seed: int) -> list[Sample]:
         taken.append(words[first : first + int(rng.integers(1, WINDOW_WORDS + 1))])
     out: list[Sample] = []
     for part in taken:
-        if grams := [g for w in part for g in subwords(w)]:
+        if len(grams := subwords(part)[0]):
             at, counts = np.unique(grams, return_counts=True)
             out.append((at, counts / len(grams), lang, seed % 5 == 4))
     return out
@@ -209,7 +229,7 @@ def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [model.predict(t) for t in part.column("text").to_pylist()]
+            got = model.predict_all(part.column("text").to_pylist())
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "accepted"])
 
@@ -222,7 +242,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column(part.schema.get_field_index("text")).to_pylist()
-            yield part.filter(pa.array([model.predict(t)[2] for t in texts], pa.bool_()))
+            yield part.filter(pa.array([g[2] for g in model.predict_all(texts)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -400,6 +400,18 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert langid.fit(empty(spark)).predict("word")[0] == "und"
 
 
+def test_subwords_equal_brute_force():
+    words = ["it's", "Über-cool", "123", "a", "½x½", "日本", "don"]
+    buckets, of = langid.subwords(words)
+    for i, w in enumerate(words):
+        runs = "".join(c if c.isalpha() else " " for c in w.lower()).split()
+        grams = [f"<{r}>"[k : k + n] for r in runs for n in range(1, 5) for k in range(len(r) + 3 - n) if n > 1 or 0 < k <= len(r)]
+        assert (of == i).sum() == len(grams)
+    alone = [sorted(langid.subwords([w])[0].tolist()) for w in words]
+    assert [sorted(buckets[of == i].tolist()) for i in range(len(words))] == alone
+    assert alone[3] != alone[6] and len(langid.subwords([])[0]) == 0
+
+
 # 8
 
 
