@@ -131,7 +131,7 @@ def test_passages_cut_with_overlap(spark):
     text = "# One\n\n" + "\n\n".join(f"para{i} " + "word " * 49 for i in range(9)) + "\n\n<!-- page 3 -->\n\n# Two\n\nshort tail"
     books = spark.createDataFrame([(1, text), (2, ""), (3, None)], "book_id long, text string")
     rows = passages.passages(books).orderBy("n").collect()
-    assert [(r.heading, r.words) for r in rows] == [("One", 250), ("One", 300)] or [r.words for r in rows][0] == 250
+    assert [(r.heading, r.words) for r in rows] == [("One", 250), ("One", 250)]
     assert all(text[r.start :].startswith(r.text.split("\n\n")[0]) for r in rows)
     kinds = [r.kind for r in passages.blocks(books).where("book_id = 1").orderBy("pos").collect()]
     assert kinds[0] == "heading" and "page" in kinds
