@@ -7,6 +7,7 @@ streaming query and the importer have none: tests compare them with brute force.
 from __future__ import annotations
 
 from strandweave.functions.text import SIGNALS, STOP_WORDS
+from strandweave.operators.library import PALETTE
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _V = """v AS (SELECT vec_id AS id, 'b' || label AS book_id, embedding::DOUBLE[] AS e, list_reverse(embedding)::DOUBLE[] AS s FROM embeddings)"""
@@ -93,6 +94,9 @@ _HITS = " + ".join(f"contains(low, '{s}')::INT" for s in SIGNALS)
 _PROSE = r"""CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[0-9]'))) / len(w) ELSE 0.0 END"""
 _HELD = """h AS (SELECT item_id AS quote_id, doc_id AS book_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
+_KNOWN = """hashed AS (SELECT doc_id, text, sha256(text) AS h FROM documents), known AS (SELECT DISTINCT h FROM hashed JOIN labels USING (doc_id))"""
+_COLOURS = ", ".join(f"{{'d': (r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}), 'i': {i}, 'name': '{n}'}}" for i, (n, (r, g, b)) in enumerate(PALETTE.items()))
+
 ORACLE_SQL = {
     "plain_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",
     "corpus_rank": f"""WITH {_PLAIN}, r AS (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim)
@@ -192,4 +196,21 @@ ORACLE_SQL = {
       s AS (SELECT quote_id, id, len(q.w) AS n, len(list_intersect(q.w, c.w)) AS hits FROM q, c)
       SELECT quote_id, id, round(hits / n, 6) AS overlap, pos::INT AS pos FROM (
         SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY hits DESC, id) AS pos FROM s WHERE hits > 0) WHERE pos <= 5""",
+    "enrich_pending": f"WITH {_KNOWN} SELECT DISTINCT h AS hash, length(text)::INT AS n_chars FROM hashed WHERE text IS NOT NULL AND h NOT IN (SELECT h FROM known)",
+    "enrich_cached": f"WITH {_KNOWN} SELECT doc_id AS id, CASE WHEN h IN (SELECT h FROM known) THEN 'cached' ELSE length(text)::VARCHAR END AS value FROM hashed",
+    "verdicts_kept": f"""WITH {_PLAIN}, t AS (
+        SELECT seed_id, p.id, pos, length(b.text) AS n, length(a.text) + length(b.text) AS both_n FROM plain p JOIN documents a ON a.doc_id = seed_id JOIN documents b ON b.doc_id = p.id WHERE pos <= 8)
+      SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY n % 7 DESC, pos)::INT AS pos, 'low' AS forced_risk, n % 7 / 8 AS confidence FROM t WHERE n % 4 <> 0 AND both_n % 5 <> 0""",
+    "rag_context": f"""WITH {_PLAIN}, c AS (
+        SELECT seed_id, string_agg('[' || pos || '] ' || source || chr(10) || substr(text, 1, 800), chr(10) || chr(10) ORDER BY pos) AS context FROM plain JOIN documents ON doc_id = id WHERE pos <= 6 GROUP BY seed_id)
+      SELECT seed_id, length(context)::INT AS n_chars, md5(context) AS digest FROM c""",
+    "mark_colours": f"SELECT vec_id, list_min([{_COLOURS}]).name AS colour FROM (SELECT vec_id, embedding[1]::DOUBLE + 0.5 AS r, embedding[2]::DOUBLE + 0.5 AS g, embedding[3]::DOUBLE + 0.5 AS b FROM embeddings)",
+    "pinned_orphans": r"""WITH q AS (SELECT item_id, text AS quote, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark),
+      c AS (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents),
+      s AS (SELECT item_id, quote, doc_id, text, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(q.w, c.w)) DESC, doc_id) AS pos, len(list_intersect(q.w, c.w)) AS hits FROM q, c),
+      p AS (SELECT *, instr(text, quote) AS place FROM s WHERE pos = 1 AND hits > 0)
+      SELECT item_id AS mark_id, doc_id AS id, greatest(place - 1, 0)::BIGINT AS start, (CASE WHEN place > 0 THEN place - 1 + length(quote) ELSE length(text) END)::BIGINT AS "end", place = 0 AS approximate FROM p""",
+    "catalog_titles": "SELECT DISTINCT upper(source[1]) || source[2:] || coalesce(' ' || upper(lang[1]) || lang[2:], '') AS title FROM documents",
+    "edges_digest": """SELECT 'authored' AS origin, count(*) AS n, count(DISTINCT lang) AS n_sources, count(DISTINCT source) AS n_targets
+        FROM labels JOIN documents USING (doc_id) WHERE quality = 1 HAVING count(*) > 0""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as T
-from strandweave.operators import anchors, concepts, engines, lexical, passages, rhythm
+from strandweave.operators import anchors, concepts, engines, lexical, library, passages, rhythm
 from strandweave.sources import tables as S
 from strandweave.sources.files import ImportAnnotations
 from strandweave.streaming import rhythm as stream
@@ -427,3 +427,87 @@ def md_highlights(spark, d):
     spark.udtf.register("import_annotations", ImportAnnotations)
     c.createOrReplaceTempView("strandweave_exports")
     return spark.sql("SELECT conv_id, turn, i.* FROM strandweave_exports, LATERAL import_annotations('x.md', content) i")
+
+
+# Model callables, contexts and reader views.
+
+
+def _cache(spark, d):
+    """A cache that knows the texts of labelled documents."""
+    known = S.table(spark, d, "documents").join(S.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return known.select(library.content_hash(F.col("text")).alias("hash"), F.lit("cached").alias("value")).distinct()
+
+
+@query
+def enrich_pending(spark, d):
+    return library.pending(S.text_chunks(spark, d), _cache(spark, d)).select("hash", F.length("text").alias("n_chars"))
+
+
+@query
+def enrich_cached(spark, d):
+    """A stand-in model says how long a text is."""
+    return library.enrich(S.text_chunks(spark, d), _cache(spark, d), lambda texts: [str(len(t)) for t in texts]).select("id", "value")
+
+
+@query
+def verdicts_kept(spark, d):
+    """Picks that a stand-in judge, which looks at the texts' lengths, holds genuine."""
+    v, t = S.vec_chunks(spark, d), S.text_chunks(spark, d)
+    picks = engines.plain(v, v)
+    pairs = picks.join(t.select("id", "text"), "id").join(t.select(F.col("id").alias("seed_id"), F.col("text").alias("seed_text")), "seed_id")
+    say = lambda a, b: [(len(y) % 4 != 0, "high" if len(x + y) % 5 == 0 else "low", len(y) % 7 / 8) for x, y in zip(a, b)]
+    return library.confirmed(picks, library.judge(pairs, say)).select("seed_id", "id", "pos", "forced_risk", "confidence")
+
+
+@query
+def rag_context(spark, d):
+    v = S.vec_chunks(spark, d)
+    made = library.contexts(engines.plain(v, v, 6), S.text_chunks(spark, d))
+    return made.select("seed_id", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+def _notes(spark, d):
+    c = S.table(spark, d, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.concat(F.lit("<seed>"), "text", F.lit("</seed>\n(q) "), "role").alias("text"))
+
+
+@query
+def note_records(spark, d):
+    return library.note_records(_notes(spark, d))
+
+
+@query
+def note_seeds(spark, d):
+    return library.note_seed(library.note_records(_notes(spark, d)))
+
+
+@query
+def mark_colours(spark, d):
+    share = lambda k: F.element_at("embedding", k).cast("double") + 0.5
+    return S.table(spark, d, "embeddings").select("vec_id", library.nearest_colour(share(1), share(2), share(3)).alias("colour"))
+
+
+@query
+def pinned_orphans(spark, d):
+    """Each benchmark passage pinned to its best candidate document."""
+    docs = S.table(spark, d, "documents")
+    asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("mark_id"), F.col("text").alias("quote"))
+    best = anchors.orphan_candidates(asked.withColumnRenamed("mark_id", "quote_id"), S.text_chunks(spark, d), 1).select(F.col("quote_id").alias("mark_id"), "id")
+    whole = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("book_id"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    return library.pinned(asked.join(best, "mark_id"), whole, _books(spark, d))
+
+
+@query
+def catalog_titles(spark, d):
+    name = F.concat_ws("-", F.col("source"), F.col("lang"))
+    return S.table(spark, d, "documents").select(library.title_of(name).alias("title")).distinct()
+
+
+@query
+def edges_digest(spark, d):
+    return library.digest(S.edges(spark, d))
+
+
+@query
+def map_2d(spark, d):
+    return _six(library.flat_map(S.vec_chunks(spark, d)), "x", "y")
