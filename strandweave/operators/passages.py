@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandweave.functions.text import bag, boilerplate, word_count
 
@@ -26,45 +28,48 @@ def blocks(books: DataFrame, separator: str = r"\n\s*\n") -> DataFrame:
     return parts.select("book_id", "pos", kind.alias("kind"), text.alias("text")).where("text != ''").withColumn("words", word_count(F.col("text")))
 
 
-def accumulate(paras: list[tuple[str, int, str]], target: int, overlap: int, least: int) -> Iterator[tuple[list[str], str | None]]:
-    """(paragraphs, heading) of greedy passages over (kind, words, text); a tail of `overlap` words carries over."""
+def accumulate(paras: list[tuple[str, int, str]], target: int, overlap: int, least: int) -> Iterator[tuple[list[str], str | None, int | None]]:
+    """(paragraphs, heading, page) of greedy passages over (kind, words, text); every cut carries a tail of `overlap` words over.
+
+    The page is the one that holds the buffer's start, or the first one marked after it.
+    """
     held: list[tuple[int, str]] = []
-    heading = None
+    heading = page = first_page = None
+
+    def size() -> int:
+        return sum(w for w, _ in held)
+
+    def made() -> list[tuple[list[str], str | None, int | None]]:
+        return [([t for _, t in held], heading, first_page)] if size() >= least else []
 
-    def full() -> tuple[list[str], str | None] | None:
-        return ([t for _, t in held], heading) if sum(w for w, _ in held) >= least else None
+    def carry() -> None:
+        nonlocal held, first_page
+        keep, words = len(held), 0
+        while keep and overlap and words < overlap:
+            keep -= 1
+            words += held[keep][0]
+        held, first_page = held[keep:], page
 
     for kind, words, text in paras:
         if kind == "page":
-            continue
+            page = int("".join(c for c in text if c.isdigit()))
+        first_page = page if first_page is None else first_page
+        if kind == "para":
+            held.append((words, text))
+        if kind != "page" and size() >= (target if kind == "para" else target // 2):
+            yield from made()
+            carry()
         if kind == "heading":
-            if sum(w for w, _ in held) >= target // 2:
-                if got := full():
-                    yield got
-                held = []
             heading = text.lstrip("#").strip()
-            continue
-        held.append((words, text))
-        if sum(w for w, _ in held) >= target:
-            if got := full():
-                yield got
-            tail, carried = [], 0
-            for w, t in reversed(held):
-                if carried >= overlap:
-                    break
-                tail.insert(0, (w, t))
-                carried += w
-            held = tail
-    if got := full():
-        yield got
+    yield from made()
 
 
 def passages(books: DataFrame, separator: str = r"\n\s*\n", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """book_id, n, heading, words, start, end, text: greedy passages that aren't boilerplate, with offsets in the book.
+    """book_id, n, heading, page, words, start, end, text: greedy passages that aren't boilerplate, with offsets in the book.
 
     A book is one group: the state is sequential, and a book is the bound of its memory.
     """
-    schema = "book_id long, n int, heading string, words int, start long, end long, text string"
+    schema = "book_id long, n int, heading string, page int, words int, start long, end long, text string"
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -83,14 +88,15 @@ def passages(books: DataFrame, separator: str = r"\n\s*\n", target: int = TARGET
                         paras.append(("page" if page else "heading" if head else "para", len(t.split()), t))
                 cursor = 0
                 made = accumulate(paras, target, overlap, least)
-                for n, (texts, heading) in enumerate(m for m in made if not boilerplate("\n\n".join(m[0]))):
+                for n, (texts, heading, page) in enumerate(m for m in made if not boilerplate("\n\n".join(m[0]))):
                     start = text.find(texts[0], cursor)
                     start = text.find(texts[0]) if start < 0 else start
                     last = text.find(texts[-1], start)
                     end = last + len(texts[-1]) if last >= 0 else None
                     cursor = start + 1
-                    rows.append((book, n, heading, sum(len(t.split()) for t in texts), start, end, "\n\n".join(texts)))
-            yield pd.DataFrame(rows, columns=["book_id", "n", "heading", "words", "start", "end", "text"])
+                    rows.append((book, n, heading, page, sum(len(t.split()) for t in texts), start, end, "\n\n".join(texts)))
+            made = pd.DataFrame(rows, columns=["book_id", "n", "heading", "page", "words", "start", "end", "text"])
+            yield made.astype({"page": "Int32"})
 
     return books.select("book_id", "text").mapInPandas(cut, schema)
 
@@ -113,26 +119,62 @@ def link_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "parent_id", "overlap")
 
 
-def sections(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
-    """book_id, section, n_units, first_id, last_id, words: runs of passages of at least `words_each` words.
+def numbered_runs(units: DataFrame, closed: Callable[[int, int, float | None], bool]) -> DataFrame:
+    """Adds `section`, the number in its book of the run each unit (book_id, id, words, cosine) falls in.
 
-    The running sum restarts after each section, so it is folded in order over a book's counts.
+    `closed(held, words, cosine)` says whether the run of `held` words ends before the unit.  The state
+    restarts at each run, so a book's counts are read in order, one by one; no book is held in memory.
     """
-    counted = units.select("book_id", "id", word_count(F.col("text")).alias("words"))
-    folded = counted.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("u"))
-    start = F.struct(F.lit(0).alias("section"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("of"))
-    step = lambda s, u: F.struct(
-        F.when(s["held"] + u["words"] >= words_each, s["section"] + 1).otherwise(s["section"]).alias("section"),
-        F.when(s["held"] + u["words"] >= words_each, 0).otherwise(s["held"] + u["words"]).alias("held"),
-        F.array_append(s["of"], s["section"]).alias("of"),
-    )
-    numbered = folded.select("book_id", "u", F.aggregate("u", start, step)["of"].alias("of"))
-    rows = numbered.select("book_id", F.explode(F.arrays_zip("u", "of")).alias("x")).select("book_id", "x.u.id", "x.u.words", F.col("x.of").alias("section"))
-    return rows.groupBy("book_id", "section").agg(
+    rows = units.select("book_id", "id", "words", "cosine")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, section, held = None, 0, 0
+        for part in parts:
+            numbers = []
+            for b, w, cosine in zip(*(part.column(c).to_pylist() for c in ("book_id", "words", "cosine"))):
+                if b != book:
+                    book, section, held = b, 0, 0
+                elif closed(held, w or 0, cosine):
+                    section, held = section + 1, 0
+                held += w or 0
+                numbers.append(section)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int32())], names=[*part.schema.names, "section"])
+
+    schema = StructType([*rows.schema.fields, StructField("section", IntegerType())])
+    return rows.repartition("book_id").sortWithinPartitions("book_id", "id").mapInArrow(fold, schema)
+
+
+def _runs(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy("book_id", "section").agg(
         F.count("*").alias("n_units"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("words").alias("words")
     )
 
 
+def section_numbers(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
+    """book_id, id, words, section: the section, of at least `words_each` words, that each passage falls in."""
+    counted = units.select("book_id", "id", word_count(F.col("text")).alias("words"), F.lit(None).cast("double").alias("cosine"))
+    return numbered_runs(counted, lambda held, words, cosine: held >= words_each).drop("cosine")
+
+
+def sections(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
+    """book_id, section, n_units, first_id, last_id, words: runs of passages of at least `words_each` words."""
+    return _runs(section_numbers(units, words_each))
+
+
+def section_texts(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
+    """book_id, section, text: a section's passages joined by blank lines.  A section ends with the unit that fills it."""
+    placed = section_numbers(units, words_each).select("book_id", "id", "section").join(units.select("book_id", "id", "text"), ["book_id", "id"])
+    parts = placed.groupBy("book_id", "section").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("parts"))
+    return parts.select("book_id", "section", F.concat_ws("\n\n", F.col("parts.text")).alias("text"))
+
+
+def semantic_passages(units: DataFrame, threshold: float = 0.55, target: int = TARGET, least: int = LEAST) -> DataFrame:
+    """Runs of units (book_id, id, vec, words) cut where neighbours are unlike and enough words are held, or where a run is full."""
+    near = semantic_cuts(units, threshold).select("id", "cosine")
+    rows = units.select("book_id", "id", "words").join(near, "id", "left")
+    return _runs(numbered_runs(rows, lambda held, words, cosine: held >= target or (held >= least and cosine is not None and cosine < threshold)))
+
+
 def neighbours(units: DataFrame, clip: int = 240) -> DataFrame:
     """id, prev_id, next_id and the neighbours' first `clip` characters, within the book."""
     w = Window.partitionBy("book_id").orderBy("id")

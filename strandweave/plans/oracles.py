@@ -97,6 +97,14 @@ _HELD = """h AS (SELECT item_id AS quote_id, doc_id AS book_id, b.text AS quote,
 _KNOWN = """hashed AS (SELECT doc_id, text, sha256(text) AS h FROM documents), known AS (SELECT DISTINCT h FROM hashed JOIN labels USING (doc_id))"""
 _COLOURS = ", ".join(f"{{'d': (r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}), 'i': {i}, 'name': '{n}'}}" for i, (n, (r, g, b)) in enumerate(PALETTE.items()))
 
+_CLIP = lambda x, n: f"CASE WHEN length({x}) > {n} THEN rtrim(substr({x}, 1, {n - 1})) || '…' ELSE {x} END"
+_SECTIONS = r"""u AS (
+        SELECT source AS book_id, doc_id AS id, len(regexp_extract_all(text, '\S+')) AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents
+      ), r AS (
+        SELECT book_id, k, id, words, 0 AS section, words AS held FROM u WHERE k = 1
+        UNION ALL SELECT u.book_id, u.k, u.id, u.words, CASE WHEN r.held >= 1000 THEN r.section + 1 ELSE r.section END, CASE WHEN r.held >= 1000 THEN u.words ELSE r.held + u.words END
+        FROM r JOIN u ON u.book_id = r.book_id AND u.k = r.k + 1)"""
+
 ORACLE_SQL = {
     "plain_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",
     "corpus_rank": f"""WITH {_PLAIN}, r AS (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim)
@@ -175,12 +183,7 @@ ORACLE_SQL = {
       SELECT doc_id FROM x WHERE (contains(low, 'intentionally omitted') AND length(text) < 600) OR hits >= 2 OR (hits >= 1 AND prose < 0.65) OR prose < 0.5""",
     "neighbours": """SELECT doc_id AS id, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id, substr(lag(text) OVER w, 1, 240) AS prev_text,
         substr(lead(text) OVER w, 1, 240) AS next_text FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""",
-    "sections_greedy": r"""WITH RECURSIVE u AS (
-        SELECT source AS book_id, doc_id AS id, len(regexp_extract_all(text, '\S+')) AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents
-      ), r AS (
-        SELECT book_id, k, id, words, 0 AS section, words AS held FROM u WHERE k = 1
-        UNION ALL SELECT u.book_id, u.k, u.id, u.words, CASE WHEN r.held >= 1000 THEN r.section + 1 ELSE r.section END, CASE WHEN r.held >= 1000 THEN u.words ELSE r.held + u.words END
-        FROM r JOIN u ON u.book_id = r.book_id AND u.k = r.k + 1)
+    "sections_greedy": f"""WITH RECURSIVE {_SECTIONS}
       SELECT book_id, section::INT AS section, count(*) AS n_units, min(id) AS first_id, max(id) AS last_id, sum(words)::BIGINT AS words FROM r GROUP BY ALL""",
     "toc": """WITH m AS (
         SELECT source AS book_id, doc_id AS id, lang AS title, row_number() OVER w - 1 AS place, lang IS NOT NULL AND lag(lang) OVER w IS DISTINCT FROM lang AS turn
@@ -213,4 +216,88 @@ ORACLE_SQL = {
     "catalog_titles": "SELECT DISTINCT upper(source[1]) || source[2:] || coalesce(' ' || upper(lang[1]) || lang[2:], '') AS title FROM documents",
     "edges_digest": """SELECT 'authored' AS origin, count(*) AS n, count(DISTINCT lang) AS n_sources, count(DISTINCT source) AS n_targets
         FROM labels JOIN documents USING (doc_id) WHERE quality = 1 HAVING count(*) > 0""",
+    "sample_systematic": """WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, greatest(1, count(*) OVER () // 40) AS step FROM documents)
+        SELECT doc_id, lang FROM n WHERE place % step = 0 AND place < 40 * step""",
+    "readiness_report": f"""WITH {_V}, {_MARKS}, {_CONCEPT}, n AS (
+        SELECT (SELECT count(*) FROM v) > 0 AS v, (SELECT count(*) FROM documents) > 0 AS c, (SELECT count(*) FROM cc) > 0 AS k,
+          (SELECT count(*) FROM m WHERE NOT orphaned AND quote <> '') > 0 AS m)
+      SELECT engine, ready, CASE WHEN NOT ready THEN why END AS reason FROM (
+        SELECT unnest(['band', 'spread', 'plain', 'echo', 'walk']) AS engine, v AS ready, 'no vectors' AS why FROM n
+        UNION ALL SELECT 'lexical', c, 'no passages' FROM n UNION ALL SELECT 'hybrid', v AND c, 'no vectors or no passages' FROM n
+        UNION ALL SELECT 'concept', k, 'concepts missing or out of date' FROM n UNION ALL SELECT 'marks', m, 'no mark on a passage' FROM n
+        UNION ALL SELECT 'structural', v, 'second vectors missing for some passages' FROM n)""",
+    "eval_report": f"""WITH {_PLAIN}, {_STRUCT}, {_MARKS}, e AS (
+        SELECT 'plain' AS engine, seed_id, id, book_id, seed_book FROM plain WHERE pos <= 8 UNION ALL SELECT 'structural', seed_id, id, book_id, seed_book FROM structural
+      ), rk AS (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim
+      ), per AS (SELECT engine, seed_id, count(*) AS k, count(DISTINCT book_id) AS books, sum((book_id <> seed_book)::INT) AS crossing FROM e GROUP BY ALL
+      ), f AS (SELECT engine, avg(coalesce(k, 0)) AS mean_k, avg((k IS NULL)::INT) AS empty_rate, avg(books / k) AS book_spread, sum(crossing) / sum(k) AS cross_book_rate
+        FROM (SELECT v.id AS seed_id, engine FROM v, (SELECT DISTINCT engine FROM e)) LEFT JOIN per USING (engine, seed_id) GROUP BY engine
+      ), g AS (SELECT engine, avg(100 * rank / (SELECT count(*) FROM v)) AS mean_rank_pct, floor(quantile_cont(rank, 0.5))::BIGINT AS median_rank FROM e JOIN rk USING (seed_id, id) GROUP BY engine
+      ), i AS (SELECT engine, avg(ild) AS ild FROM (
+        SELECT a.engine, a.seed_id, 1 - avg(s.x) AS ild FROM e a JOIN e b ON a.engine = b.engine AND a.seed_id = b.seed_id AND a.id <> b.id JOIN sim s ON s.seed_id = a.id AND s.id = b.id GROUP BY ALL) GROUP BY engine
+      ), b AS (SELECT target AS seed_id, target + 1 AS id FROM m WHERE NOT orphaned
+      ), h AS (SELECT n.engine, avg((e.id IS NOT NULL)::INT) AS bridge_recall FROM b CROSS JOIN (SELECT DISTINCT engine FROM e) n LEFT JOIN e ON e.engine = n.engine AND e.seed_id = b.seed_id AND e.id = b.id GROUP BY n.engine
+      ), z AS (SELECT 'plain' AS engine, avg((x >= 0.35)::INT) AS noise_fp_rate FROM plain WHERE pos = 1)
+      SELECT engine, round(mean_k, 6) AS mean_k, round(empty_rate, 6) AS empty_rate, round(book_spread, 6) AS book_spread, round(cross_book_rate, 6) AS cross_book_rate,
+        round(mean_rank_pct, 6) AS mean_rank_pct, median_rank, round(ild, 6) AS ild, round(noise_fp_rate, 6) AS noise_fp_rate, round(bridge_recall, 6) AS bridge_recall
+      FROM f LEFT JOIN g USING (engine) LEFT JOIN i USING (engine) LEFT JOIN h USING (engine) LEFT JOIN z USING (engine)""",
+    "compare_models": f"""WITH {_SIM}, a AS (
+        SELECT seed_id, list(id) AS a FROM (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) AS pos FROM sim WHERE id <> seed_id) WHERE pos <= 8 GROUP BY seed_id
+      ), b AS (SELECT seed_id, list(id) AS b FROM (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY y DESC, id) AS pos FROM sim WHERE id <> seed_id) WHERE pos <= 8 GROUP BY seed_id
+      ), c AS (SELECT seed_id, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS total FROM a JOIN b USING (seed_id))
+      SELECT seed_id, shared::INT AS shared, total::INT AS total, round(shared / total, 4) AS jaccard FROM c""",
+    "embed_leaderboard": rf"""WITH {_TOK}, {_THEME}, {_BM25}, {_HELD}, gold AS (SELECT quote_id AS seed_id, book_id AS id FROM h),
+      qw AS (SELECT item_id AS seed_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS w FROM benchmark),
+      cw AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS w FROM documents),
+      hits AS (SELECT seed_id, id, len(list_intersect(qw.w, cw.w)) AS hits FROM qw, cw),
+      found AS (
+        SELECT 'bm25' AS model, seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, id) AS pos FROM bm
+        UNION ALL SELECT 'shared_words', seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY hits DESC, id) FROM hits WHERE hits > 0),
+      best AS (SELECT model, seed_id, min(pos) AS rank FROM gold CROSS JOIN (SELECT unnest(['bm25', 'shared_words']) AS model)
+        LEFT JOIN (SELECT * FROM found WHERE pos <= 10) USING (model, seed_id, id) GROUP BY ALL),
+      s AS (SELECT model, count(*) AS queries, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS recall_3,
+        avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall_10, avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr,
+        avg(rank) AS mean_rank, floor(quantile_cont(rank, 0.5))::BIGINT AS median_rank FROM best GROUP BY model)
+      SELECT model, queries, round(recall_1, 6) AS recall_1, round(recall_3, 6) AS recall_3, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr,
+        round(mean_rank, 6) AS mean_rank, median_rank, row_number() OVER (ORDER BY recall_5 DESC, mrr DESC, model)::INT AS place FROM s""",
+    "usage_budget": """WITH l AS (SELECT ts::DATE AS day, count(*) AS requests, round(sum(value), 3) AS tokens FROM events GROUP BY 1),
+      b AS (SELECT *, greatest(0, least(10, floor(tokens / 25000.0::DOUBLE * 10 + 0.5)))::INT AS filled FROM l)
+      SELECT day, requests, tokens, round(100 * (tokens / 25000.0::DOUBLE), 1) AS percent, repeat('#', filled) || repeat('.', 10 - filled) AS bar FROM b""",
+    "log_summary": """WITH e AS (SELECT user_id AS book, ts::DATE AS session,
+        CASE event_type WHEN 'view' THEN 'enter' WHEN 'purchase' THEN 'exit' WHEN 'click' THEN 'select' WHEN 'error' THEN 'idle' WHEN 'signup' THEN 'active' END AS type FROM events),
+      t AS (SELECT book, type, count(*) AS n FROM e WHERE type IS NOT NULL GROUP BY ALL), l AS (SELECT book, string_agg(type || '=' || n, ',' ORDER BY type) AS by_type FROM t GROUP BY book)
+      SELECT book, total, sessions, by_type FROM (SELECT book, count(*) AS total, count(DISTINCT session) AS sessions FROM e GROUP BY book) LEFT JOIN l USING (book)""",
+    "dwell_portrait": f"""WITH {_EV}, {_SC}, p AS (SELECT lang AS character, count(*) AS n, avg(z) AS z FROM sc JOIN documents ON doc_id = passage WHERE attentive_ms >= 1500 GROUP BY lang)
+      SELECT character, n, round(z, 6) AS z, CASE WHEN z > 0.3 THEN 'slow' WHEN z < -0.3 THEN 'skim' ELSE 'even' END AS pace FROM p WHERE n >= 2""",
+    "concept_counts": f"WITH {_CONCEPT} SELECT label, count(*) AS n, count(DISTINCT source) AS n_books FROM cc JOIN documents ON doc_id = id GROUP BY label",
+    "concept_sites": f"""WITH {_CONCEPT}, s AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS place FROM cc)
+      SELECT label, place::INT AS pos, id, substr(text, 1, 240) AS preview FROM s JOIN documents ON doc_id = id WHERE place <= 40""",
+    "section_texts": f"""WITH RECURSIVE {_SECTIONS}, j AS (
+        SELECT r.book_id, section, string_agg(text, chr(10) || chr(10) ORDER BY id) AS t FROM r JOIN documents ON doc_id = id GROUP BY ALL)
+      SELECT book_id, section::INT AS section, length(t)::INT AS n_chars, md5(t) AS digest FROM j""",
+    "semantic_passages": rf"""WITH RECURSIVE {_V}, u AS (
+        SELECT id, v.book_id, len(regexp_extract_all(text, '\S+')) AS words, list_dot_product(e, lag(e) OVER w) AS cosine, row_number() OVER w AS k
+        FROM v JOIN documents ON doc_id = id WINDOW w AS (PARTITION BY v.book_id ORDER BY id)
+      ), r AS (
+        SELECT book_id, k, id, words, 0 AS section, words AS held FROM u WHERE k = 1
+        UNION ALL SELECT u.book_id, u.k, u.id, u.words, r.section + (r.held >= 240 OR (r.held >= 60 AND u.cosine < 0.55))::INT,
+          CASE WHEN r.held >= 240 OR (r.held >= 60 AND u.cosine < 0.55) THEN u.words ELSE r.held + u.words END
+        FROM r JOIN u ON u.book_id = r.book_id AND u.k = r.k + 1)
+      SELECT book_id, section::INT AS section, count(*) AS n_units, min(id) AS first_id, max(id) AS last_id, sum(words)::BIGINT AS words FROM r GROUP BY ALL""",
+    "highlight_runs": f"""WITH {_HELD}, ln AS (
+        SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+      ), rn AS (SELECT book_id, s AS f, s + length(x) AS t FROM (
+        SELECT book_id, x, coalesce(sum(length(x) + 1) OVER (PARTITION BY book_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM ln) WHERE length(x) > 0
+      ), sp AS (SELECT quote_id AS span_id, book_id, instr(text, quote) - 1 AS a, instr(text, quote) - 1 + length(quote) AS b FROM h
+      ), c AS (
+        SELECT book_id, f, t, f AS place FROM rn UNION SELECT book_id, f, t, t FROM rn
+        UNION SELECT rn.book_id, f, t, greatest(a, f) FROM rn JOIN sp ON rn.book_id = sp.book_id AND a < t AND b > f
+        UNION SELECT rn.book_id, f, t, least(b, t) FROM rn JOIN sp ON rn.book_id = sp.book_id AND a < t AND b > f
+      ), p AS (SELECT book_id, place AS x, lead(place) OVER (PARTITION BY book_id, f, t ORDER BY place) AS y FROM c)
+      SELECT p.book_id, x::BIGINT AS start, y::BIGINT AS "end", min(span_id) AS span_id FROM p LEFT JOIN sp ON sp.book_id = p.book_id AND a <= x AND b >= y WHERE y IS NOT NULL GROUP BY ALL""",
+    "session_list": f"""WITH s AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS x, count(*) AS n, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id)
+      SELECT conv_id AS target, {_CLIP("x", 80)} AS title, n, last_role FROM s""",
+    "doc_summaries": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 30)[1] AS x FROM documents)
+      SELECT doc_id, {_CLIP("x", 280)} AS summary FROM s""",
+    "labels_merged": "SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END AS quality, toxic FROM labels",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as T
-from strandweave.operators import anchors, concepts, engines, lexical, library, passages, rhythm
+from strandweave.operators import anchors, concepts, engines, lexical, library, passages, reader, reports, rhythm
 from strandweave.sources import tables as S
 from strandweave.sources.files import ImportAnnotations
 from strandweave.streaming import rhythm as stream
@@ -511,3 +511,121 @@ def edges_digest(spark, d):
 @query
 def map_2d(spark, d):
     return _six(library.flat_map(S.vec_chunks(spark, d)), "x", "y")
+
+
+# Samples, reports and reader views.
+
+DAY_BUDGET = 25_000.0
+
+
+@query
+def sample_systematic(spark, d):
+    """Forty evenly spaced documents; the limit is the sampler's feature."""
+    return reports.systematic_sample(S.table(spark, d, "documents"), "doc_id", 40).select("doc_id", "lang")
+
+
+@query
+def readiness_report(spark, d):
+    chunks = S.text_chunks(spark, d)
+    return reports.readiness(S.vec_chunks(spark, d), chunks, S.marks(spark, d), S.structural_chunks(spark, d), concepts.chunk_concepts(chunks))
+
+
+@query
+def eval_report(spark, d):
+    v, two = S.vec_chunks(spark, d), _two_spaces(spark, d)
+    marks = S.marks(spark, d)
+    usable = marks.where(~F.col("orphaned")).select(F.col("target").alias("seed_id"), (F.col("target") + 1).alias("id"))
+    structural = engines.structural(two, two).select("seed_id", "id", "pos", "similarity")
+    noise = {"plain": engines.best_match(v, v).select("seed_id", (F.col("best") >= FLOOR).alias("gave"))}
+    made = reports.engine_report({"plain": engines.plain(v, v), "structural": structural}, v, v, noise, usable)
+    return _six(made, "mean_k", "empty_rate", "book_spread", "cross_book_rate", "mean_rank_pct", "ild", "noise_fp_rate", "bridge_recall")
+
+
+@query
+def compare_models(spark, d):
+    return reports.compare_spaces(S.vec_chunks(spark, d), S.structural_chunks(spark, d))
+
+
+@query
+def embed_leaderboard(spark, d):
+    """Two retrieval models, BM25 and shared words, against the documents that hold each benchmark passage."""
+    chunks = S.text_chunks(spark, d)
+    quotes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    gold = anchors.contained(quotes, _books(spark, d)).select(F.col("quote_id").alias("seed_id"), F.col("book_id").alias("id"))
+    themes = quotes.select(F.col("quote_id").alias("id"), F.col("quote").alias("text"))
+    found = {
+        "bm25": lexical.lexical(lexical.LexicalIndex(chunks), lexical.theme_terms(themes), 10),
+        "shared_words": anchors.orphan_candidates(quotes, chunks, 10).withColumnRenamed("quote_id", "seed_id"),
+    }
+    return _six(reports.retrieval_report(found, gold), "recall_1", "recall_3", "recall_5", "recall_10", "mrr", "mean_rank")
+
+
+@query
+def usage_budget(spark, d):
+    return reports.usage_report(usage_ledger(spark, d), DAY_BUDGET)
+
+
+@query
+def log_summary(spark, d):
+    made = reports.logged_summary(S.reading_events(S.table(spark, d, "events")))
+    listed = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return made.select("book", "total", "sessions", listed.alias("by_type"))
+
+
+@query
+def dwell_portrait(spark, d):
+    characters = S.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), F.col("lang").alias("character"))
+    return reports.portrait(rhythm.scores(_features(spark, d)), characters)
+
+
+@query
+def concept_counts(spark, d):
+    chunks = S.text_chunks(spark, d)
+    return reader.concept_counts(concepts.chunk_concepts(chunks), chunks)
+
+
+@query
+def concept_sites(spark, d):
+    chunks = S.text_chunks(spark, d)
+    return reader.concept_sites(concepts.chunk_concepts(chunks), chunks)
+
+
+@query
+def section_texts(spark, d):
+    made = passages.section_texts(S.text_chunks(spark, d))
+    return made.select("book_id", "section", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def semantic_passages(spark, d):
+    words = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.word_count(F.col("text")).alias("words"))
+    return passages.semantic_passages(S.vec_chunks(spark, d).join(words, "id"))
+
+
+@query
+def highlight_runs(spark, d):
+    """Lines of documents, cut where benchmark passages in them begin and end."""
+    lines = S.table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("pos", "x"))
+    before = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("x") + 1).over(before), F.lit(0))
+    runs = lines.select("book_id", start.alias("start"), "x").select("book_id", "start", (F.col("start") + F.length("x")).alias("end"))
+    spans = anchor_exact(spark, d).select("book_id", F.col("quote_id").alias("span_id"), "start", (F.col("start") + F.col("n_chars")).alias("end"))
+    return reader.highlighted_runs(runs, spans)
+
+
+@query
+def session_list(spark, d):
+    c = S.table(spark, d, "conversations")
+    return reader.sessions(c.select(F.col("conv_id").alias("target"), F.col("turn").alias("n"), "role", F.col("text").alias("content")))
+
+
+@query
+def doc_summaries(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", reader.summary(F.col("text")).alias("summary"))
+
+
+@query
+def labels_merged(spark, d):
+    """Labels after an update that takes quality from toxic documents."""
+    labels = S.table(spark, d, "labels")
+    return reader.merged(labels, labels.where("toxic = 1").select("doc_id", F.lit(0).alias("quality")), "doc_id")
