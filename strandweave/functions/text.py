@@ -22,18 +22,20 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+_W = r"[\p{L}\p{N}_]"
+#: A word of two characters or more between edge underscores, unless it is a number.
+LEXICAL = rf"(?<!{_W})_*(?![0-9]+_*(?!{_W}))([\p{{L}}\p{{N}}]{_W}*[\p{{L}}\p{{N}}])_*(?!{_W})"
+
+
 def lexical_tokens(text: Column) -> Column:
     """Lower-cased word tokens without underscores at the edges, stop words, single characters and numbers."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    bare = F.transform(raw, lambda w: F.regexp_replace(w, r"^_+|_+$", ""))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(bare, lambda w: (F.length(w) > 1) & ~w.rlike(r"^[0-9]+$") & ~F.array_contains(stop, w))
+    raw = F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(1))
+    return F.filter(raw, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def concept_tokens(text: Column) -> Column:
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"([a-zà-ÿ][a-zà-ÿ'\-]{2,})"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(raw, lambda w: ~F.contains(w, F.lit("'")) & ~F.array_contains(stop, w))
+    return F.filter(raw, lambda w: ~F.contains(w, F.lit("'")) & ~w.isin(*STOP_WORDS))
 
 
 def bag(text: Column) -> Column:

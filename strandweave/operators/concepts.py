@@ -14,32 +14,33 @@ BRIDGE_WEIGHTS = {"note": 1.5, "authored": 1.5, "judged": 1.0}
 ALPHA, STEPS, MIN_ACTIVATION = 0.15, 30, 1e-6
 
 
-def gram_weights(chunks: DataFrame) -> DataFrame:
-    """id, gram, weight: tf times ln(n / df) of words and of adjacent pairs after stop words go."""
-    t = chunks.select("id", concept_tokens(F.col("text")).alias("t"))
+def gram_counts(chunks: DataFrame) -> DataFrame:
+    """id, gram, tf of words and of adjacent pairs after stop words go."""
+    # Texts are dealt by id, as they are smaller than their grams; counting a passage's grams then needs no shuffle.
+    t = chunks.select("id", "text").repartition("id").select("id", concept_tokens(F.col("text")).alias("t"))
     pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b)))
     grams = t.select("id", F.explode(F.concat("t", F.coalesce(pairs, F.array().cast("array<string>")))).alias("gram"))
-    tf = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    n = chunks.agg(F.count("*").alias("n"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    df = df.where((F.col("df") >= MIN_DF) & (F.col("df") <= F.greatest(F.lit(4), F.floor(MAX_SHARE * F.col("n")))))
-    return tf.join(df, "gram").select("id", "gram", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("weight"))
+    return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
+
 
+def vocabulary(chunks: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """gram, idf, mass of the `size` heaviest grams (six places; ties alphabetical): a bounded list.
 
-def vocabulary(weights: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """gram, mass of the `size` heaviest grams (six places; ties alphabetical): a bounded list."""
-    return weights.groupBy("gram").agg(F.round(F.sum("weight"), 6).alias("mass")).orderBy(F.desc("mass"), "gram").limit(size)
+    A gram's mass, the sum of its tf times ln(n / df), needs its total and df only, which combine before the shuffle.
+    """
+    n = chunks.agg(F.count("*").alias("n"))
+    totals = gram_counts(chunks).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= MIN_DF)
+    usual = totals.join(F.broadcast(n), F.col("df") <= F.greatest(F.lit(4), F.floor(MAX_SHARE * F.col("n"))))
+    weighed = usual.withColumn("idf", F.ln(F.col("n") / F.col("df"))).select("gram", "idf", F.round(F.col("total") * F.col("idf"), 6).alias("mass"))
+    return weighed.orderBy(F.desc("mass"), "gram").limit(size)
 
 
 def chunk_concepts(chunks: DataFrame) -> DataFrame:
     """id, pos, label: each passage's concepts by weight (ties to the later gram)."""
-    weights = gram_weights(chunks)
-    words = vocabulary(weights)
     w = Window.partitionBy("id").orderBy(F.desc("w"), F.desc("gram"))
-    return (
-        weights.join(F.broadcast(words.select("gram")), "gram").withColumn("w", F.round("weight", 6))
-        .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= PER_CHUNK).select("id", "pos", F.col("gram").alias("label"))
-    )
+    # At most VOCABULARY rows.
+    known = gram_counts(chunks).join(F.broadcast(vocabulary(chunks)), "gram").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
+    return known.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= PER_CHUNK).select("id", "pos", F.col("gram").alias("label"))
 
 
 def graph_weights(links: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def graph_weights(links: DataFrame, edges: DataFrame) -> DataFrame:
     bridges = edges.select(F.col("provenance").alias("id"), F.concat(F.lit("edge:"), "target").alias("node"), kind[F.col("origin")].alias("w"))
     one = own.unionByName(bridges).groupBy("id", "node").agg(F.max("w").alias("w"))
     counts = one.groupBy("node").agg(F.count("*").alias("n"))
-    return one.join(F.broadcast(counts), "node").select("id", "node", (F.col("w") / F.ln(2 + F.col("n"))).alias("w"))
+    return one.join(counts, "node").select("id", "node", (F.col("w") / F.ln(2 + F.col("n"))).alias("w"))
 
 
 def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:

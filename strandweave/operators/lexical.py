@@ -18,9 +18,11 @@ class LexicalIndex:
     """postings (id, term, tf, dl) and df (term, df, idf) of passages (id, text)."""
 
     def __init__(self, chunks: DataFrame):
-        tokens = chunks.select("id", lexical_tokens(F.col("text")).alias("tokens"))
+        # Texts are dealt by id, as they are smaller than their terms; counting a passage's terms then needs no shuffle.
+        tokens = chunks.select("id", "text").repartition("id").select("id", lexical_tokens(F.col("text")).alias("tokens"))
         self.postings = (
-            tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+            # The outer form keeps the optimizer from tokenizing twice, once to drop passages without terms.
+            tokens.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
             .groupBy("id", "term")
             .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         )
@@ -32,7 +34,7 @@ class LexicalIndex:
     def distinctive_terms(self, k: int = QUERY_TERMS) -> DataFrame:
         """id, term, weight, pos: each passage's terms of highest tf times idf (six places; ties alphabetical)."""
         w = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-        weighed = self.postings.join(self.df, "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
+        weighed = self.postings.hint("merge").join(self.df, "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
         return weighed.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
     def scores(self, queries: DataFrame) -> DataFrame:
@@ -40,8 +42,9 @@ class LexicalIndex:
         tf = F.col("tf")
         part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         asked = queries.select("seed_id", "term").distinct().join(self.df, "term")
+        # Postings outgrow what their files' size tells the planner: they are never broadcast.
         return (
-            asked.join(self.postings, "term")
+            asked.join(self.postings.hint("merge"), "term")
             .groupBy("seed_id", "id")
             .agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms"), F.array_sort(F.collect_list("term")).alias("terms"))
             .where("score > 0")

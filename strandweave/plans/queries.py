@@ -190,7 +190,7 @@ def hybrid_rrf(spark, d):
 
 @query
 def concept_vocab(spark, d):
-    return concepts.vocabulary(concepts.gram_weights(S.text_chunks(spark, d)))
+    return concepts.vocabulary(S.text_chunks(spark, d)).select("gram", "mass")
 
 
 @query

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables between these sizes are dealt to all cores after the scan, as a file of few row groups is read by as few tasks.
+SPREAD_BYTES = (1 << 20, 256 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Larger tables have row groups enough, and would pay for a shuffle.
+    return df.repartition(spark.sparkContext.defaultParallelism) if SPREAD_BYTES[0] <= size < SPREAD_BYTES[1] else df
 
 
 def vec_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
