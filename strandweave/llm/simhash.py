@@ -168,17 +168,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: the smallest doc_id's; all columns stay.
 
     Of rows that repeat the kept doc_id the one with the least text stays; rows with a null doc_id
-    stay, as nothing names them.
+    stay, as nothing names them.  Columns of any names pass through.
     """
     columns = docs.columns
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    taken = {c.lower() for c in columns}
+    row = next(name for name in map("__row{}".format, range(len(columns) + 1)) if name not in taken)
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    chosen = (
-        docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-        .withColumn("__row", F.row_number().over(one))
-        .where("__row = 1")
-        .select(*columns)
-    )
+    named = docs.join(kept, "doc_id", "left_semi")
+    chosen = named.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*columns)
     return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

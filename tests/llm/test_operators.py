@@ -335,6 +335,13 @@ def test_simhash_equals_brute_force(spark, monkeypatch, bucket_rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_passes_clashing_names(spark):
+    rows = [(1, "same words here", 7, "k", 3), (2, "same words here", 8, "l", 4), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row0 int, __kept string, component_id int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
+
+
 def test_pigeonring_loses_no_pair():
     rng = np.random.default_rng(10)
     a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
