@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from strandweave import registry
-from strandweave.operators import passages, reader, reports
+from strandweave.operators import anchors, passages, reader, reports
 
 SF = "/root/testdata/sf0.001"
 NAMES = (
@@ -88,3 +88,18 @@ def test_merging_sessions_and_labels(spark):
     assert got == {1: ("q" * 79 + "…", 3, "assistant"), 2: (None, 1, "assistant")}
     text = spark.createDataFrame([("One here. Two.",), ("no end",), ("",), (None,)], "t string")
     assert [r.x for r in text.select(reader.short_label(text.t).alias("x")).collect()] == ["One here.", "no end", "", None]
+
+
+def test_sentences_parents_and_touched_passages(spark):
+    units = spark.createDataFrame(
+        [(1, "a", "One two three four five. Short one. Six seven eight nine ten!", 0, 10), (1, "b", "zzz yyy", 10, 20), (2, "c", None, 0, 5)],
+        "book_id long, id string, text string, start long, end long",
+    )
+    got = [(r.id, r.n, r.text) for r in passages.sentences(units).orderBy("n").collect()]
+    assert got == [("a", 0, "One two three four five."), ("a", 1, "Six seven eight nine ten!")]
+    parents = spark.createDataFrame([(1, "P0", "one two three"), (1, "P1", "one two three four five six seven"), (1, "P2", "yyy"), (2, "P9", "zzz")], "book_id long, id string, text string")
+    got = {r.id: (r.parent_id, round(r.overlap, 3)) for r in passages.link_parents(units, parents).collect()}
+    assert got == {"a": ("P1", round(7 / 11, 3)), "b": ("P2", 0.5)}  # "one" repeats: 11 different words
+    spans = spark.createDataFrame([("s", 1, 4, 13), ("t", 1, 20, 30), ("u", 2, 4, 9)], "span_id string, book_id long, start long, end long")
+    got = sorted((r.span_id, r.pos, r.id, r.overlap) for r in anchors.chunks_for(spans, units).collect())
+    assert got == [("s", 1, "a", 6), ("s", 2, "b", 3), ("u", 1, "c", 1)]
