@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import langid, packing, quality, simhash
+from strandweave.llm import langid, packing, quality, shingles, simhash
 from strandweave.llm.common import read_table, stored
 
 
@@ -25,8 +25,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more link."""
+    return simhash.keep_one(docs, shingles.near_duplicates(docs))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

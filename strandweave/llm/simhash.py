@@ -164,16 +164,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: the smallest doc_id's; all columns stay.
 
+    The groups are this module's or the given ones (columns doc_id, component_id).
+
     Of rows that repeat the kept doc_id the one with the least text stays; rows with a null doc_id
     stay, as nothing names them.  Columns of any names pass through.
     """
     columns = docs.columns
     taken = {c.lower() for c in columns}
     row = next(name for name in map("__row{}".format, range(len(columns) + 1)) if name not in taken)
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = (near_duplicates(docs) if groups is None else groups).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     named = docs.join(kept, "doc_id", "left_semi")
     chosen = named.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*columns)

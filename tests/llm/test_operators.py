@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from strandweave.llm import ann, bpe, common, components, ego, htmltext, langid, packing, quality, simhash, simple8b, vectors, warc  # noqa: E402
+from strandweave.llm import ann, bpe, common, components, ego, htmltext, langid, packing, quality, shingles, simhash, simple8b, vectors, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
 TEXTS = [
@@ -342,6 +342,46 @@ def test_keep_one_passes_clashing_names(spark):
     assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
 
 
+def edited(seed=21):
+    """Texts and copies with 1 to 30 words replaced, among them a chain and a group of copies edited apart."""
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([40, 240, 600]))) for _ in range(40)]
+    for base in texts[:40] + [texts[1]] * 20:
+        copy = base.split()
+        for _ in range(rng.randrange(1, max(2, len(copy) // 20))):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+        texts.append(" ".join(copy[: -len(copy) // 9]))
+    return texts
+
+
+def test_pipeline_copies_equal_brute_force_jaccard(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = TEXTS + edited() + ["\t\n ", "Two words", "TWO   WORDS"]
+    cut = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    linked = np.array([[i != j and (a == b or 5 * len(a & b) >= 4 * len(a | b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in zip(*np.nonzero(linked))) > 50
+    want = brute_components(linked)
+    rows = {r.doc_id: r.component_id for r in shingles.near_duplicates(documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want and rows[None] is None
+    ids = [r.doc_id for r in corpus_pipeline.keep_one_of_copies(spark, documents(spark, texts), "").collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(set(want)) and ids.count(None) == 1
+    assert corpus_pipeline.keep_one_of_copies(spark, empty(spark), "").count() == 0
+
+
+def test_shingle_pairs_of_one_bucket_are_all_tried():
+    import pyarrow as pa
+
+    # Sizes 10 and 12 can't be alike with 20; the component of nodes 1 and 4 is linked already.
+    rows = {"bucket": [1, 1, 1, 1, 1, 2, 2], "component": [1, 1, 2, 3, 5, 6, 6], "node": [1, 4, 2, 3, 5, 6, 7], "n": [10, 10, 12, 20, 18, 9, 9]}
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+    got = pa.Table.from_batches(shingles._open_pairs(iter(table.to_batches(max_chunksize=2))))
+    assert set(zip(got["u"].to_pylist(), got["v"].to_pylist())) == {(1, 2), (2, 4), (3, 5)}
+
+
 def test_pigeonring_loses_no_pair():
     rng = np.random.default_rng(10)
     a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
