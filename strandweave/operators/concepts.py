@@ -63,6 +63,8 @@ def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
     by_chunk, by_node = Window.partitionBy("id"), Window.partitionBy("node")
     both = graph.withColumn("out", F.col("w") / F.sum("w").over(by_chunk)).withColumn("back", F.col("w") / F.sum("w").over(by_node))
     nodes = [r["node"] for r in graph.select("node").distinct().orderBy("node").collect()]
+    if not nodes:
+        return graph.sparkSession.createDataFrame([], "seed_id long, id long, similarity double, pos int")
     place = F.create_map(*(F.lit(x) for pair in zip(nodes, range(len(nodes))) for x in pair))
     both = both.withColumn("j", place[F.col("node")])
     left = both.select("id", F.col("j").alias("a"), "back")

@@ -101,11 +101,26 @@ def marks_best(spark, d):
     return _six(engines.marks_recall(S.vec_chunks(spark, d), S.marks(spark, d)), "similarity")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again, so that what uses it several times computes it once."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    path = f"{base}/strandweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query
 def fused(spark, d):
     v, two = S.vec_chunks(spark, d), _two_spaces(spark, d)
+    # The concept graph is of the passages that also have a vector, in the vectors' books.
+    books = v.select("id", "book_id")
+    chunks = S.text_chunks(spark, d).drop("book_id").join(books, "id")
+    bridges = S.edges(spark, d).join(books.select(F.col("id").alias("provenance")), "provenance", "left_semi")
+    graph = _written(concepts.graph_weights(_written(concepts.chunk_concepts(chunks), "concepts"), bridges), "concept-graph")
     paths = {
-        "band": engines.band(v, v, k=12), "marks": engines.marks_recall(v, S.marks(spark, d), k=12), "structural": engines.structural(two, two, k=12)
+        "band": engines.band(v, v, k=12), "concept": _written(concepts.page_rank(graph, books, k=12), "concept-picks"),
+        "marks": engines.marks_recall(v, S.marks(spark, d), k=12), "structural": engines.structural(two, two, k=12),
     }
     return _six(engines.fuse(paths, v, v), "similarity", "score")
 

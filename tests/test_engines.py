@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from strandweave import registry
+from pyspark.sql import functions as F
+
 from strandweave.operators import anchors, concepts, engines, passages, rhythm
 from strandweave.sources import files
 from strandweave.sources import tables as S
@@ -127,6 +129,38 @@ def test_page_rank_equals_power_iteration(spark):
         assert len(mine) == min(8, len(able)) and min(mine.values()) >= sorted((c[i] for i in able), reverse=True)[len(mine) - 1] - 1e-8
 
 
+def test_page_rank_of_an_empty_graph(spark):
+    graph = spark.createDataFrame([], "id long, node string, w double")
+    assert concepts.page_rank(graph, spark.createDataFrame([(1, "b")], "id long, book_id string")).count() == 0
+
+
+def test_fused_has_all_four_paths(spark):
+    v = S.vec_chunks(spark, SF)
+    vec = {r.id: (r.book_id, np.array(r.vec)) for r in v.collect()}
+    books = v.select("id", "book_id")
+    chunks = S.text_chunks(spark, SF).select("id", "text").join(books, "id")
+    bridges = [r for r in S.edges(spark, SF).collect() if r.provenance in vec]
+    graph = concepts.graph_weights(concepts.chunk_concepts(chunks), spark.createDataFrame(bridges))
+    two = v.join(S.structural_chunks(spark, SF).select("id", F.col("vec").alias("svec")), "id")
+    paths = {
+        "band": engines.band(v, v, k=12), "concept": concepts.page_rank(graph, books, k=12),
+        "marks": engines.marks_recall(v, S.marks(spark, SF), k=12), "structural": engines.structural(two, two, k=12),
+    }
+    weight = {"marks": 1.5, "structural": 1.2, "concept": 1.1, "band": 1.0}
+    parts = {}
+    for name, found in paths.items():
+        for r in found.collect():
+            parts.setdefault((r.seed_id, r.id), {})[name] = weight[name] / (10 + r.pos - 1)
+    rows = registry.QUERIES["fused"](spark, SF).collect()
+    seen = set()
+    for r in rows:
+        part, (book, x), (other, y) = parts[r.seed_id, r.id], vec[r.seed_id], vec[r.id]
+        assert r.paths.split("+") == sorted(part, key=lambda p: (-part[p], p))
+        assert abs(r.score - sum(part.values()) * (1 + 0.25 * (book != other) + 0.5 * (1 - x @ y))) < 2e-6
+        seen.add(r.paths)
+    assert "concept" in seen and any("concept" in p and "+" in p for p in seen)
+
+
 def test_passages_cut_with_overlap(spark):
     text = "# One\n\n" + "\n\n".join(f"para{i} " + "word " * 49 for i in range(9)) + "\n\n<!-- page 3 -->\n\n# Two\n\nshort tail"
     books = spark.createDataFrame([(1, text), (2, ""), (3, None)], "book_id long, text string")
