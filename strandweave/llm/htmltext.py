@@ -26,10 +26,15 @@ from strandweave.llm.common import read_table
 
 #: HTML's own kinds of tags.  Fixed values.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input "
+    # Formulas stand inside their sentence.
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select noframes xmp".split())
+#: Elements whose content isn't read.  Only scripts and styles without an end tag reach to the page's end.
+RAW = ("script", "style", "textarea", "title", "template", "iframe", "svg", "select", "noframes", "xmp")
+TO_END = frozenset(("script", "style"))
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -38,12 +43,14 @@ FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|object|select|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
     r"|<[!?][^>]*>"
     r"|([^<]+|<)",
     re.S | re.I,
 )
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+SELF_CLOSED = re.compile(r"""<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>""", re.I)
 HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: What an ancestor's tag or hint says: one bit each.
@@ -85,11 +92,34 @@ def _form(text: str, linked: int) -> int:
     share = linked / n
     bits = 1 << (0 if words <= 2 else 1 if words <= 5 else 2 if words <= 12 else 3 if words <= 30 else 4)
     bits |= 1 << (5 if not linked else 6 if share < 0.3 else 7 if share < 0.8 else 8)
-    bits |= (text[-1] in ".!?…”\"»") << 9 | ("©" in text[:200]) << 10 | text[0].isupper() << 11 | ("|" in text or "·" in text) << 12
+    bits |= (text[-1] in ".!?…”\"»") << 9 | ("©" in text) << 10 | text[0].isupper() << 11 | ("|" in text or "·" in text) << 12
     bits |= (n > 200) << 13 | (text.count(",") > 1) << 14 | (sum(map(text.count, "0123456789")) > 0.2 * n) << 15 | (text[0] in "#@") << 16
     return bits
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """TOKEN's matches, without the elements of RAW and what they hold."""
+    at, unended = 0, set()
+    while at is not None:
+        start, at = at, None
+        for found in TOKEN.finditer(page, start):
+            if found[1] is None:
+                yield found
+                continue
+            tag = found[1].lower()
+            if tag == "svg" and (closed := SELF_CLOSED.match(page, found.start())):
+                at = closed.end()
+                break
+            end = None if tag in unended else RAW_END[tag].search(page, found.end())
+            if end:
+                at = end.end()
+                break
+            if tag in TO_END:
+                return
+            # No later one of this tag has an end either.
+            unended.add(tag)
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
     """(text, ancestors' mask, own tag's number, form) of the leaf blocks in page order."""
     out: list[tuple[str, int, int, int]] = []
@@ -107,7 +137,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             parts.clear()
         linked = 0
 
-    for found in TOKEN.finditer(page or ""):
+    for found in _tokens(page or ""):
         text = found[5]
         if text is not None:
             if "&" in text:

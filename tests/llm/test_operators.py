@@ -503,6 +503,27 @@ def test_html_extraction_and_edges(spark):
     assert got[2].text == "" and got[3].n_chars == 0 and len(got) == 5
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>One.</p><svg-icon name=x></svg-icon><p>Two.</p>", ["One.", "Two."]),
+        ('<p>One <svg title="a>b"/> more.</p><p>Two.</p>', ["One more.", "Two."]),
+        ("<p>One.</p><svg><p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.</p><select-menu><object-view></object-view><p>Two.</p>", ["One.", "Two."]),
+        ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then.</p>", ["If x=1 then."]),
+        ("<noscript><p>One.</p></noscript><object data=a>Two.</object><p>Three.", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><svg><text>drawn</text></svg><template>t</template><style>p{}</style><script>'<p>'</script ><p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.</p><script>var a = '<p>code</p>';", ["One."]),
+    ],
+)
+def test_html_raw_elements_hide_no_text(page, want):
+    assert [b[0] for b in htmltext.blocks(page)] == want
+
+
+def test_html_copyright_sign_is_seen_anywhere():
+    assert htmltext._form("word " * 60 + "© x.", 0) != htmltext._form("word " * 60 + "c x.", 0)
+
+
 # The pipeline
 
 
