@@ -43,7 +43,7 @@ _CAPITALS, _DIGITS, _SMALL, _RUNS = (
 
 def form(word: str) -> str:
     """The word's form: `THE!!` is `A!`, `foo12,` is `a0,`."""
-    return _RUNS.sub(r"\1", _SMALL.sub("a", _DIGITS.sub("0", _CAPITALS.sub("A", word[:200]))))
+    return _RUNS.sub(r"\1", _SMALL.sub("a", _DIGITS.sub("0", _CAPITALS.sub("A", word))))
 
 
 class _Words(dict):

@@ -428,6 +428,12 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert quality.scored(empty(spark), model).count() == 0
 
 
+def test_forms_are_of_whole_words():
+    assert quality.form("a1" * 150 + "。!!") == "a0" * 150 + "。!"
+    one, other = (quality.features("中、" * 150 + end) for end in ("好。", "!!?12"))
+    assert one[1] != other[1]
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     rng = random.Random(13)
     parts = {"xa": ["kor", "ta", "mu"], "xb": ["schl", "ig", "en"], "xc": ["oui", "eau", "é"]}
