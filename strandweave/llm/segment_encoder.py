@@ -6,7 +6,8 @@ elsewhere.  So a text whose white space is only such characters falls into
 segments that encode independently of each other.  Each distinct segment is
 merged once by the library's model and kept as packed little-endian ids; a
 document is then a join of cached bytes.  Any other text goes to the library
-whole.
+whole, and so does one that holds an added token's content (`<|endoftext|>`),
+which the library codes as that token.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import os
 import numpy as np
 
 CACHE_ENTRIES = 900_000
+#: Longer segments are coded each time and never kept, so that the cache is bounded in bytes.
+KEPT_CHARACTERS = 256
 NEWLINE = "\n"
 CLOSERS = frozenset(".,;:!?")
 
@@ -33,7 +36,9 @@ class _Segments(dict):
     __slots__ = ("learn",)
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.learn(key)
+        found = self.learn(key)
+        if len(key) <= KEPT_CHARACTERS:
+            self[key] = found
         return found
 
 
@@ -47,8 +52,7 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A special token's string inside a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = {b: ord(c) for b, c in byte_characters().items()}
@@ -89,7 +93,7 @@ class SegmentEncoder:
                 segments.clear()
             if not text:
                 out.append(b"")
-            elif self.plain(text):
+            elif self.plain(text) and not any(a in text for a in self.added):
                 first, *rest = text.replace(NEWLINE, " \n").split(" ")
                 # No space comes first at the start of a text, as after a newline.
                 out.append(get(NEWLINE + first)[skip:] + b"".join(map(get, rest)))
