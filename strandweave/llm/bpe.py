@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from strandweave.llm.common import read_table
 
 CACHE_ENTRIES = 700_000
+#: Longer pieces are merged each time and never kept, so that the cache is bounded in bytes.
+KEPT_CHARACTERS = 256
 
 #: Code point classes, then symbols: a white space is "last" if a non-space follows it.
 LETTER, NUMBER, OTHER, SPACE, WHITE, STOP = range(6)
@@ -145,7 +147,9 @@ class _Cached(dict):
     __slots__ = ("code",)
 
     def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.code(piece)
+        found = self.code(piece)
+        if len(piece) <= KEPT_CHARACTERS:
+            self[piece] = found
         return found
 
 

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL_SHARED: list[str] = []
 
@@ -28,7 +29,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not _LOCAL_SHARED:
             _LOCAL_SHARED.append(tempfile.mkdtemp(prefix="strandweave-"))
         base = f"file://{_LOCAL_SHARED[0]}"
-    return f"{base.rstrip('/')}/strandweave/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes all that this application has stored; call it once the results are written elsewhere."""
+    folder = shared_folder(spark, "").rpartition("/")[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +58,18 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def column(part: pa.RecordBatch, name: str) -> pa.Array:
+    """A batch's column by a name that may differ in case, as Spark takes names."""
+    return part.column(next(i for i, c in enumerate(part.schema.names) if c.lower() == name.lower()))
+
+
+def within_bytes(rows: DataFrame, order: list, size, most: int) -> DataFrame:
+    """The first of a bounded number of `rows`, in `order`, that together hold at most `most` bytes; one at least."""
+    before = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    after = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"__before": before, "__after": after}).where((F.col("__after") <= most) | F.col("__before").isNull()).drop("__before", "__after")
+
+
 def batches(columns: dict[str, tuple[list, pa.DataType]], rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `rows` rows from whole columns."""
     arrays = [pa.array(v, type=t) for v, t in columns.values()]

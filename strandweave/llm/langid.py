@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import LETTER, code_point_classes
-from strandweave.llm.common import read_table
+from strandweave.llm.common import column, read_table, within_bytes
 
 BUCKETS, DIMS, LONGEST = 1 << 15, 16, 4
 TRAIN_ROWS = 1500
@@ -33,7 +33,11 @@ EPOCHS, RATE = 4, 0.5
 WINDOWS_EACH, WINDOW_WORDS = 2, 12
 #: Share of right answers on left-out windows that rejection may cost, and the highest limit.
 LOSS, HIGHEST = 0.001, 0.5
+#: What the training rows' counts may hold together, in bytes; further rows are left out of training.
+TRAIN_BYTES = 256 << 20
 CACHE_ENTRIES = 600_000
+#: Longer words are dropped from the cache after each run of texts, so that it is bounded in bytes.
+KEPT_CHARACTERS = 256
 TEXTS_AT_ONCE = 128
 UNDETERMINED = "und"
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -80,9 +84,10 @@ class LanguageModel:
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.sums = np.zeros((1024, len(self.languages) + 1))
+        self.used = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "sums")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "sums", "used")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -90,7 +95,8 @@ class LanguageModel:
 
     def _learn(self, words: list[str]) -> None:
         """Adds the words' summed logits and numbers of n-grams."""
-        first, n = len(self.rows), len(words)
+        first, n = self.used, len(words)
+        self.used += n
         while first + n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         self.rows.update(zip(words, range(first, first + n)))
@@ -103,7 +109,7 @@ class LanguageModel:
         """(language, probability, accepted) of each whole text."""
         out = [(UNDETERMINED, 0.0, False)] * len(texts)
         for at in range(0, len(texts) if self.languages else 0, TEXTS_AT_ONCE):
-            if len(self.rows) > CACHE_ENTRIES:
+            if self.used > CACHE_ENTRIES:
                 self._forget()
             words = [(t or "").split() for t in texts[at : at + TEXTS_AT_ONCE]]
             if missing := list(set().union(*words).difference(self.rows)):
@@ -116,6 +122,9 @@ class LanguageModel:
                     p /= p.sum()
                     best = int(np.argmax(p))
                     out[i] = self.languages[best], float(p[best]), bool(p[best] >= self.limit)
+            for word in missing:
+                if len(word) > KEPT_CHARACTERS:
+                    del self.rows[word]
         return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -199,7 +208,10 @@ def _held_out():
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Trains on at most `train_rows` documents with a language that aren't held out, chosen by their ids' hash."""
+    """Trains on at most `train_rows` documents with a language that aren't held out, chosen by their ids' hash.
+
+    The sample is bounded in rows and, by TRAIN_BYTES, in bytes whatever the input.
+    """
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     ids = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
@@ -212,12 +224,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], names=["doc_id", "k", "lang", "at", "weight", "check"])
 
-    # A bounded broadcast, of at most train_rows ids; whole texts become counts on the executors.
-    rows = (
-        named.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-        .mapInArrow(counted, "doc_id long, k long, lang string, at binary, weight binary, check boolean")
-        .toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending"), ("at", "ascending")]).to_pylist()
-    )
+    # A bounded broadcast, of at most train_rows ids; a repeated id trains once, with its least text.
+    one = named.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"))
+    counts = one.select("doc_id", "r.lang", "r.text").mapInArrow(counted, "doc_id long, k long, lang string, at binary, weight binary, check boolean")
+    bounded = within_bytes(counts, [F.xxhash64("doc_id"), "doc_id", "k"], F.octet_length("at") + F.octet_length("weight"), TRAIN_BYTES)
+    rows = bounded.toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")]).to_pylist()
     return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64), r["lang"], r["check"]) for r in rows])
 
 
@@ -241,7 +252,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            texts = column(part, "text").to_pylist()
             yield part.filter(pa.array([g[2] for g in model.predict_all(texts)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

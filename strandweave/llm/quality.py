@@ -2,7 +2,7 @@
 
 A text's words (white space parts) stand as they are, lower-cased, and by their form: runs of
 capitals, small letters, digits and other letters become one sign each, other characters stay, and
-a word like the one before becomes a mark of its own.  Word unigrams and form n-grams up to three
+a word like the one before becomes a mark of its own.  N-grams up to three, of words and of forms,
 are hashed to `1 << BITS` weights; a text's features are their shares of all its n-grams, and its
 score is the logistic function of a sparse dot product.
 
@@ -24,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import read_table
+from strandweave.llm.common import column, read_table, within_bytes
 
 BITS = 18
 TRAIN_ROWS = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.7
 SCALE = 8.0
+#: What the training rows' counts may hold together, in bytes; further rows are left out of training.
+TRAIN_BYTES = 256 << 20
 CACHE_ENTRIES = 600_000
+#: Longer words are hashed each time and never kept, so that the cache is bounded in bytes.
+KEPT_CHARACTERS = 256
 SAME = np.uint64(zlib.crc32(b"\0same"))
 _SIZE = np.uint64((1 << BITS) - 1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -52,9 +56,13 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.hashes = np.zeros((1024, 2), np.uint64)
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
+        row = self.used
+        self.used += 1
+        if len(word) <= KEPT_CHARACTERS:
+            self[word] = row
         if row >= len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         self.hashes[row] = zlib.crc32(word.lower().encode()), zlib.crc32(form(word).encode()) + (1 << 32)
@@ -70,17 +78,19 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(_WORDS) > CACHE_ENTRIES:
+    if _WORDS.used > CACHE_ENTRIES:
         _WORDS = _Words()
     rows = np.array(list(map(_WORDS.__getitem__, words)))
     own, forms = _WORDS.hashes[rows].T.copy()
-    forms[1:][rows[1:] == rows[:-1]] = SAME
-    grams = [own * _MIX[0], forms * _MIX[1]]
-    if len(words) > 1:
-        pairs = forms[:-1] * _MIX[2] + forms[1:] * _MIX[0]
-        grams.append(pairs)
-        if len(words) > 2:
-            grams.append(pairs[:-1] * _MIX[1] + forms[2:])
+    forms[1:][own[1:] == own[:-1]] = SAME
+    grams = []
+    for kind, salt in ((own, np.uint64(0)), (forms, np.uint64(1) << np.uint64(33))):
+        grams.append((kind + salt) * _MIX[1])
+        if len(words) > 1:
+            pairs = kind[:-1] * _MIX[2] + (kind[1:] + salt) * _MIX[0]
+            grams.append(pairs)
+            if len(words) > 2:
+                grams.append(pairs[:-1] * _MIX[1] + kind[2:])
     mixed = np.concatenate(grams)
     mixed ^= mixed >> np.uint64(29)
     return ((mixed * _MIX[0]) >> np.uint64(64 - BITS) & _SIZE).astype(np.int64)
@@ -132,7 +142,8 @@ def _held_out():
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Trains on at most `train_rows` labelled documents that aren't held out, chosen by their ids' hash.
 
-    The sample is bounded whatever the input; texts become feature counts on the executors.
+    The sample is bounded in rows and, by TRAIN_BYTES, in bytes whatever the input; texts become
+    feature counts on the executors.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     marked = marked.where(~_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -150,16 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
                 names=["doc_id", "quality", "at", "shares"],
             )
 
-    # At most train_rows rows of two numbers: a bounded broadcast.
-    got = (
+    # At most train_rows rows of two numbers: a bounded broadcast.  A repeated id trains once, with its least text.
+    rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", "text")
+        .groupBy("doc_id")
+        .agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
         .mapInArrow(counted, "doc_id long, quality int, at binary, shares binary")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("at", "ascending")])
-        .to_pylist()
     )
+    rows = within_bytes(rows, [F.xxhash64("doc_id"), "doc_id"], F.octet_length("at") + F.octet_length("shares"), TRAIN_BYTES)
+    got = rows.toArrow().sort_by([("doc_id", "ascending")]).to_pylist()
     return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(np.float64), r["quality"]) for r in got])
 
 
@@ -182,7 +193,7 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            texts = column(part, "text").to_pylist()
             yield part.filter(pa.array([model.score(t) >= threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
