@@ -7,7 +7,8 @@ whole page.  The model is trained by gradient ascent on labelled pages: given on
 pages that this module writes from varied templates, whose blocks it knows to be main text or not.
 
 A null page is an empty one; a page without blocks, or without main text, gives the empty text.
-Nothing is capped; a null page_id or url passes through; repeated rows give equal rows; an empty
+Markup is never text, however malformed: see `_tokens`.  Text in `noscript`, `object` and `math`
+stands where it is and is judged as any other.  Nothing is capped; a null page_id or url passes through; repeated rows give equal rows; an empty
 table gives no rows.
 """
 
@@ -41,16 +42,10 @@ CLOSES_P = frozenset(
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
-    r"|<[!?][^>]*>"
-    r"|([^<]+|<)",
-    re.S | re.I,
-)
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-SELF_CLOSED = re.compile(r"""<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>""", re.I)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value in it: a quote counts only after an equals sign.
+STOP = re.compile(r">|=\s*[\"']")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: What an ancestor's tag or hint says: one bit each.
@@ -97,33 +92,98 @@ def _form(text: str, linked: int) -> int:
     return bits
 
 
-def _tokens(page: str) -> Iterator[re.Match]:
-    """TOKEN's matches, without the elements of RAW and what they hold."""
-    at, unended = 0, set()
-    while at is not None:
-        start, at = at, None
-        for found in TOKEN.finditer(page, start):
-            if found[1] is None:
-                yield found
-                continue
-            tag = found[1].lower()
-            if tag == "svg" and (closed := SELF_CLOSED.match(page, found.start())):
-                at = closed.end()
-                break
-            end = None if tag in unended else RAW_END[tag].search(page, found.end())
-            if end:
-                at = end.end()
-                break
-            if tag in TO_END:
+Tag = tuple[bool, str, str]
+
+
+def _tokens(page: str) -> Iterator[str | Tag]:
+    """The page's text runs, and its tags as (closes, name, attributes), without the elements of RAW and what they hold.
+
+    A tag ends at its first `>` outside quoted values; one whose quotes never close ends at its
+    first `>`; what stands after a `<` of a tag without any `>` is dropped.  Time is linear in the page.
+    """
+    at, size = 0, len(page)
+    last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    unended: set[str] = set()
+    hopeless: set[int] = set()  # places behind a closed quote from which no tag's end is reached
+    while at < size:
+        open_ = page.find("<", at)
+        if open_ < 0:
+            yield page[at:]
+            return
+        if open_ > at:
+            yield page[at:open_]
+        after = page[open_ + 1 : open_ + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", open_):
+                end = page.find("-->", open_ + 2)  # `<!-->` is a whole comment
+                at = size if end < 0 else end + 3
+            else:
+                end = page.find(">", open_)
+                at = size if end < 0 else end + 1
+            continue
+        name = NAME.match(page, open_ + 1)
+        if name is None:
+            yield "<"
+            at = open_ + 1
+            continue
+        if name.end() > last_end:
+            return
+        place, passed = name.end(), []
+        while True:
+            stop = STOP.search(page, place) if place <= last_end else None
+            if stop is None:
+                end = 0
+            elif stop[0] == ">":
+                end = stop.end()
+            else:
+                quote = page[stop.end() - 1]
+                place = page.find(quote, stop.end()) + 1 if stop.end() <= last_quote[quote] else 0
+                if place and place not in hopeless:
+                    passed.append(place)
+                    continue
+                end = 0
+            break
+        if not end:
+            hopeless.update(passed)
+            end = page.find(">", name.end()) + 1
+        at, attributes = end, page[name.end() : end - 1]
+        closes = name[0][0] == "/"
+        tag = name[0][closes:].lower()
+        if closes or tag not in RAW:
+            yield closes, tag, attributes
+        elif not (tag == "svg" and attributes.endswith("/")):
+            found = None if tag in unended else RAW_END[tag].search(page, end)
+            if found:
+                at = (page.find(">", found.end()) + 1) or size
+            elif tag in TO_END:
                 return
-            # No later one of this tag has an end either.
-            unended.add(tag)
+            else:
+                unended.add(tag)  # no later one of this tag has an end either
+
+
+class _Stack:
+    """Open elements (tag, ancestors' mask), and where each tag is open."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, mask: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, self.open[-1][1] | mask))
+
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.places[self.open.pop()[0]].pop()
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
     """(text, ancestors' mask, own tag's number, form) of the leaf blocks in page order."""
     out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack = _Stack()
     parts: list[str] = []
     linked = in_link = 0
 
@@ -132,52 +192,40 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, mask = stack[-1]
+                tag, mask = stack.open[-1]
                 out.append((text, mask, OWN.index(tag) if tag in OWN else len(OWN) - 1, _form(text, min(linked, len(text)))))
             parts.clear()
         linked = 0
 
-    for found in _tokens(page or ""):
-        text = found[5]
-        if text is not None:
-            if "&" in text:
-                text = entities.unescape(text)
-            parts.append(text)
+    for token in _tokens(page or ""):
+        if isinstance(token, str):
+            if "&" in token:
+                token = entities.unescape(token)
+            parts.append(token)
             if in_link:
-                linked += len(text)
-            continue
-        tag = found[3]
-        if tag is None:
+                linked += len(token)
             continue
-        tag = tag.lower()
+        closes, tag, attributes = token
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if found[2] else 1
+                in_link = 0 if closes else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if found[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+        if closes:
+            if depth := stack.deepest((tag,)):
+                stack.cut(depth)
             in_link = 0
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
-        if tag in CLOSED_BY_SAME:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in CLOSED_BY_SAME[tag]:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in FENCES[tag]:
-                    break
-        attributes = found[4]
+        if tag in CLOSES_P and stack.open[-1][0] == "p":
+            stack.cut(len(stack.open) - 1)
+        if tag in CLOSED_BY_SAME and (depth := stack.deepest(CLOSED_BY_SAME[tag])) and depth >= stack.deepest(FENCES[tag]):
+            stack.cut(depth)
         if not attributes.endswith("/") or tag in TAGS or tag in OWN:
-            stack.append((tag, stack[-1][1] | _mask(tag, attributes.strip())))
+            stack.push(tag, _mask(tag, attributes.strip()))
     flush()
     return out
 
