@@ -1,19 +1,25 @@
 """WARC records in ZIP-packaged archives: a writer, and a reader that never unpacks.
 
-An archive is a ZIP file with stored members: `archive/data.warc.gz` (one gzip member a record)
-and `indexes/index.cdxj` (one line a record, with its offset and length in that member).  The
-reader parses the end record, the ZIP64 records and the central directory, finds where each
-stored member's bytes lie, reads the index, and fetches runs of records by range.
+An archive is a ZIP file with stored members: WARC files under `archive/` (one gzip member a
+record) and indexes under `indexes/` (lines of URL key, time and JSON, which has each record's file,
+offset and length).  The writer makes one of each, its index sorted by key and time.  The reader
+takes any such archive: it parses the end record, the ZIP64 records and the central directory, finds
+where each stored member's bytes lie, reads the indexes, plain or gzipped, and fetches runs of
+records by range; WARC members that no index names are walked record by record.  `page_id` and
+`refers_to` are read from this module's record ids and are null for any other.
 
 Nulls: a null payload is empty, a null url is an empty URI, and a null id is written as `null`
 and read back as null; such a record is always a response.  Rows that repeat an id and its
-payload are all responses, or all revisits of the same response.
+payload are all responses, or all revisits of the same response; of an id that repeats with several
+payloads each row is judged by its own payload.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -104,10 +110,10 @@ class ZipDirectory:
             pos += 4 + n
         return values
 
-    def place(self, name: str) -> tuple[int, int]:
+    def place(self, name: str, stored: bool = True) -> tuple[int, int]:
         """(offset, length) of a stored member's bytes in the file."""
         method, packed, _, header = self.members[name]
-        if method != 0:
+        if method != 0 and stored:
             raise ValueError(f"{name} is compressed: only stored members can be read by range")
         local = self._read(header, LOCAL_LENGTH)
         if local[:4] != LOCAL_MARK:
@@ -116,7 +122,9 @@ class ZipDirectory:
         return header + LOCAL_LENGTH + n_name + n_extra, packed
 
     def read(self, name: str) -> bytes:
-        return self._read(*self.place(name))
+        """A whole member, which may be deflated."""
+        raw = self._read(*self.place(name, stored=False))
+        return zlib.decompress(raw, -15) if self.members[name][0] == 8 else raw
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -140,16 +148,41 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_t
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def url_key(url: str | None) -> str:
+    """The index's key of a URL: the host's parts reversed, then port, path and query; no spaces, one case."""
+    scheme, mark, rest = (url or "").partition("://")
+    if not mark:
+        scheme, rest = "", url or ""
+    host, slash, path = rest.partition("/")
+    host, colon, port = host.rpartition("@")[2].partition(":")
+    key = f"{','.join(reversed(host.split('.')))}{colon}{port}){slash or '/'}{path.partition('#')[0]}"
+    return re.sub(r"\s", lambda m: f"%{ord(m[0]):02x}", key.lower())
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], int, bytes]:
-    """(headers, the HTTP header's content length, payload) of a WARC record."""
+    """(headers with lower-case names, payload's length, payload) of a WARC record.
+
+    The length is the HTTP header's, which a revisit still has; without one it is the payload's own.
+    Records of other content than HTTP messages have their block as payload.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-    block = rest[: int(headers["Content-Length"])]
+    headers: dict[str, str] = {}
+    for line in lines:
+        if line[:1] in (" ", "\t") and headers:  # a folded line goes on with the header before
+            headers[name] += " " + line.strip(" \t")
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        headers[name] = value.strip(" \t")
+    block = rest[: int(headers.get("content-length", len(rest)))]
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return headers, len(block), block
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    told = (x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    size = next((int(x) for x in told if x.isdigit()), len(payload))
     return headers, size, payload
 
 
@@ -164,20 +197,21 @@ class ArchiveWriter:
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data = self.zip.open(DATA_MEMBER, "w", force_zip64=True)
         self.at, self.lines = 0, []
+        self.time = re.sub(r"\D", "", date)[:14]
 
     def add(self, page_id, url, payload: bytes, digest: str, refers_to) -> None:
         coder = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         raw = record_bytes(page_id, url, payload, digest, refers_to, self.date)
         packed = coder.compress(raw) + coder.flush()
         self.data.write(packed)
-        about = {"offset": self.at, "length": len(packed), "digest": f"sha256:{digest}", "filename": DATA_MEMBER}
-        self.lines.append(f"{URN}{'null' if page_id is None else page_id} {json.dumps(about)}\n")
+        about = {"url": url or "", "offset": self.at, "length": len(packed), "digest": f"sha256:{digest}", "filename": DATA_MEMBER.rpartition("/")[2]}
+        self.lines.append(f"{url_key(url)} {self.time} {json.dumps(about)}\n")
         self.at += len(packed)
 
     def close(self) -> int:
         self.data.close()
         with self.zip.open(INDEX_MEMBER, "w", force_zip64=True) as index:
-            index.write("".join(self.lines).encode())
+            index.write("".join(sorted(self.lines)).encode())
         self.zip.close()
         self.out.close()
         return len(self.lines)
@@ -232,6 +266,41 @@ def write_archives(
     return records.sparkSession.read.schema(made.schema).parquet(manifest)
 
 
+def indexed(zipped: ZipDirectory) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records in each WARC member, by the archive's indexes; each record once."""
+    members = [m for m in zipped.members if m.startswith("archive/") and m.endswith(".warc.gz")]
+    known = {m.rpartition("/")[2]: m for m in members} | {m: m for m in members}
+    found: dict[str, set[tuple[int, int]]] = {m: set() for m in members}
+    for index in zipped.members:
+        if not index.startswith("indexes/") or not index.endswith((".cdxj", ".cdx", ".cdx.gz", ".cdxj.gz")):
+            continue
+        raw = zipped.read(index)
+        for line in (gzip.decompress(raw) if index.endswith(".gz") else raw).decode("utf-8", "replace").splitlines():
+            if (at := line.find("{")) >= 0 and not line.startswith("!"):
+                about = json.loads(line[at:])
+                if (member := known.get(about.get("filename", ""))) and "length" in about:
+                    found[member].add((int(about["offset"]), int(about["length"])))
+    return {m: sorted(places) for m, places in found.items()}
+
+
+def walked(zipped: ZipDirectory, member: str) -> list[tuple[int, int]]:
+    """(offset, length) of the gzip members of a WARC member without an index, found by reading it in pieces."""
+    base, size = zipped.place(member)
+    places, at, pos = [], 0, 0
+    coder = zlib.decompressobj(31)
+    while pos < size:
+        piece = zipped._read(base + pos, min(RANGE_BYTES, size - pos))
+        pos += len(piece)
+        while piece:
+            coder.decompress(piece)
+            piece = coder.unused_data
+            if coder.eof:
+                end = pos - len(piece)
+                places.append((at, end - at))
+                at, coder = end, zlib.decompressobj(31)
+    return places
+
+
 RANGES = "path string, at long, lengths array<long>"
 
 
@@ -242,16 +311,16 @@ def _ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple[str, int, list[int]]] = []
             with fs.open_input_file(path) as file:
                 zipped = ZipDirectory(file, file.size())
-                base, _ = zipped.place(DATA_MEMBER)
-                end, full = None, 0
-                for line in zipped.read(INDEX_MEMBER).decode().splitlines():
-                    about = json.loads(line.split(" ", 1)[1])
-                    if about["offset"] != end or full >= RANGE_BYTES:
-                        rows.append((uri, base + about["offset"], []))
-                        full = 0
-                    rows[-1][2].append(about["length"])
-                    full += about["length"]
-                    end = about["offset"] + about["length"]
+                for member, places in indexed(zipped).items():
+                    base, _ = zipped.place(member)
+                    end, full = None, 0
+                    for offset, length in places or walked(zipped, member):
+                        if offset != end or full >= RANGE_BYTES:
+                            rows.append((uri, base + offset, []))
+                            full = 0
+                        rows[-1][2].append(length)
+                        full += length
+                        end = offset + length
             yield from batches(
                 {
                     "path": ([r[0] for r in rows], pa.string()),
@@ -266,7 +335,11 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 def _records(keep_payload: bool):
     def number(urn: str | None) -> int | None:
-        return None if urn is None or urn.endswith(":null>") else int(urn[len(URN) + 1 : -1])
+        own = re.fullmatch(rf"<{URN}(-?\d+)>", urn or "")
+        return int(own[1]) if own else None
+
+    def bare(told: str) -> str:
+        return told[1:-1] if told.startswith("<") and told.endswith(">") else told
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -278,16 +351,21 @@ def _records(keep_payload: bool):
                 out: list[list] = [[] for _ in range(7)]
                 pos = 0
                 for n in lengths:
-                    headers, size, payload = parse_record(zlib.decompress(run[pos : pos + n], 31))
+                    raw = run[pos : pos + n]
                     pos += n
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if headers["WARC-Type"] == "response" and (
-                        len(payload) != size or hashlib.sha256(payload).hexdigest() != digest
-                    ):
-                        raise ValueError(f"{headers['WARC-Record-ID']}: the payload isn't what its header says")
+                    headers, size, payload = parse_record(zlib.decompress(raw, 31))
+                    told = headers.get("warc-payload-digest", "")
+                    revisit = headers.get("warc-type") == "revisit"
+                    # Digests of other kinds are passed on as they stand, and so is a revisit's, which has no payload to try.
+                    digest = told.removeprefix("sha256:")
+                    if not revisit and (not told or told != digest):
+                        own = hashlib.sha256(payload).hexdigest()
+                        if told and len(digest) == 64 and (len(payload) != size or own != digest.lower()):
+                            raise ValueError(f"{headers.get('warc-record-id')}: the payload isn't what its header says")
+                        digest = digest if told and len(digest) != 64 else own
                     values = (
-                        number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], size, digest,
-                        headers["WARC-Type"], number(headers.get("WARC-Refers-To")),
+                        number(headers.get("warc-record-id")), bare(headers.get("warc-target-uri", "")), size, digest,
+                        headers.get("warc-type"), number(headers.get("warc-refers-to")),
                         payload if keep_payload else None,
                     )
                     for column, value in zip(out, values):
@@ -302,12 +380,13 @@ def _records(keep_payload: bool):
 def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Every record of the archives in column `path`: READ's columns; a revisit's payload is empty.
 
+    record_type is the record's own type, whatever it is; records without a digest get their payload's.
     Large archives are read by many tasks, each a run of records of a few MB.
     """
     # Fixed counts: names and offsets are too few bytes for AQE to see the work behind them.
     files = max(1, archives.count())
     tasks = max(files, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = archives.select("path").repartition(files, "path").mapInArrow(_ranges, RANGES).repartition(tasks, "path", "at")
+    ranges = archives.select("path").repartitionByRange(files, "path").mapInArrow(_ranges, RANGES).repartition(tasks, "path", "at")
     return ranges.mapInArrow(_records(keep_payload), READ)
 
 
