@@ -8,7 +8,9 @@ which gives the bucket, and the longer chains prune before the full check.
 
 Buckets hold distinct fingerprints, so copies cost nothing.  A bucket beyond `bucket_rows` is
 dealt again by the chain of two segments (exact, then within one bit), which every link of it
-still meets.  A task gives a spanning forest of its links, never all pairs.
+still meets, and what is still beyond it by the chain of three (then within two bits), after which
+only one segment is open and a bucket has a fixed bound.  A task gives a spanning forest of its
+links, never all pairs.
 
 A text without words has fingerprint zero and links like any other; a null text is an empty one.
 A null doc_id links with nothing and has a null component.  Rows that repeat a doc_id are one
@@ -119,6 +121,21 @@ def _forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(pa.Table.from_batches(held))
 
 
+def _bits(value):
+    """The numbers of a segment's set bits."""
+    one = lambda b: F.lit(1).cast("long").bitwiseAND(F.call_function("shiftrightunsigned", value, b)) == 1
+    return F.filter(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), one)
+
+
+def _without(value, bit):
+    return value - F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def _cleared(name: str, own: bool):
+    """Structs (`name`, own) of the segment with one set bit cleared, for each."""
+    return F.transform(_bits(F.col(name)), lambda b: F.struct(_without(F.col(name), b).alias(name), F.lit(own).alias("own")))
+
+
 def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """u, v of distinct fingerprints (columns fp, node): enough links to connect all that are linked."""
     n = BITS // SEGMENT
@@ -130,21 +147,27 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     # At most 4 * 65,536 buckets, whatever the input: the list of the large ones has a fixed bound.
     large = rows.groupBy("first", "key").count().where(F.col("count") > bucket_rows).select("first", "key", F.lit(True).alias("large"))
     dealt = rows.join(F.broadcast(large), ["first", "key"], "left")
+    two = F.col("first").cast("long") * (1 << SEGMENT) + F.col("key")
+    small = dealt.where("large is null").select("first", "fp", "node", F.lit(True).alias("own"), (two * (1 << (SEGMENT + 1))).alias("bucket"))
+    if large.isEmpty():
+        return small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest, "u long, v long")
     # Of two second segments one bit apart, one has that bit and the other is the first's with it cleared.
-    cleared = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda b: F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.col("second"), b)) == 1),
-        lambda b: F.struct(
-            (F.col("second") - F.call_function("shiftleft", F.lit(1).cast("long"), b)).alias("second"), F.lit(False).alias("own")
-        ),
-    )
-    alone = F.array(F.struct(F.lit(-1).cast("long").alias("second"), F.lit(True).alias("own")))
-    exact = F.array(F.struct(F.col("second").alias("second"), F.lit(True).alias("own")))
-    keyed = dealt.select(
-        "first", "key", "fp", "node", F.explode(F.when(F.col("large"), F.concat(exact, cleared)).otherwise(alone)).alias("s")
-    ).select(
-        "first", "fp", "node", "s.own",
-        ((F.col("first").cast("long") * (1 << SEGMENT) + F.col("key")) * (1 << (SEGMENT + 1)) + F.col("s.second") + 1).alias("bucket"),
-    )
+    exact = lambda c: F.array(F.struct(F.col(c).alias(c), F.lit(True).alias("own")))
+    again = dealt.where("large").select("first", "key", "fp", "node", F.explode(F.concat(exact("second"), _cleared("second", False))).alias("s"))
+    again = stored(again.select("first", "fp", "node", "s.own", (two * (1 << (SEGMENT + 1)) + F.col("s.second") + 1).alias("bucket")), "simhash-buckets")
+    crowded = again.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket")
+    calm = again.join(crowded, "bucket", "left_anti").select("first", "fp", "node", "own", "bucket")
+    # Three segments: of values within two bits, both have a common one, each with at most two bits cleared.
+    third = F.element_at(F.array(*(segment((k + 2) % n) for k in range(n))), F.col("first") + 1)
+    held = again.join(crowded, "bucket", "left_semi").withColumn("third", third)
+    one = _cleared("third", False)
+    both = F.flatten(F.transform(one, lambda x: F.transform(_bits(x["third"]), lambda b: F.struct(_without(x["third"], b).alias("third"), F.lit(False).alias("own")))))
+    last = held.select("first", "fp", "node", "own", "bucket", F.explode(F.array_distinct(F.concat(exact("third"), one, both))).alias("t"))
+    # Places of second and third, 50 bits in all, and the ring's start stay apart from the shorter keys by sign.
+    last = last.select("first", "fp", "node", "own", (-1 - (F.col("bucket") * (1 << SEGMENT) + F.col("t.third"))).alias("bucket"))
+    # Rows of one bucket that stand for the same fingerprint: one is enough, its own if there is one.
+    last = last.groupBy("bucket", "first", "fp", "node").agg(F.max("own").alias("own")).select("first", "fp", "node", F.lit(True).alias("own"), "bucket")
+    keyed = small.unionByName(calm).unionByName(last)
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest, "u long, v long")
 
 
