@@ -7,7 +7,8 @@ start on a new word, and the offsets of the blocks' words let a reader decode ma
 
 A shard file is: the words; the escapes; where each block's words start; each document's id, null
 mark and id count; then a footer with the counts and a mark.  Shards in their order, and documents
-in a shard, ascend by doc_id (null first; repeated ids by text).  A null text is an empty one.
+in a shard, ascend by doc_id (null first; repeated ids by their texts' hash, then by text), so that
+the rows of one much repeated id, or of null ids, are cut over shards too.  A null text is an empty one.
 """
 
 from __future__ import annotations
@@ -241,7 +242,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             names = ("path", "part", "ids", "documents")
             yield from batches({k: ([v], t) for k, v, t in zip(names, row, kinds)})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    by_text = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", by_text).sortWithinPartitions("doc_id", by_text, "text")
     made = ordered.mapInArrow(write, MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(made.schema).parquet(f"{folder}/manifest")
@@ -268,9 +270,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     # One row a shard: the window's single task sees file names and counts only.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    # A fixed count: file names are too few bytes for AQE to see the work behind them.
-    return based.repartition(max(1, manifest.count()), "path").mapInArrow(read, READ)
+    based = manifest.select("path", "part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    # A fixed count, dealt by number, one file a task: file names are too few bytes for AQE to see the work behind them.
+    return based.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(read, READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
