@@ -2,13 +2,15 @@
 
 Cosine at least `least` is a distance of at most epsilon between unit vectors.  Vectors are
 sorted by the grid cells, of side epsilon, of their leading principal components (fitted on a
-bounded sample; the order needs no more), and cut into intervals and blocks.  The join goes down
+bounded sample; the order needs no more), and cut into intervals and blocks, which are written to
+files.  Tables hold only the blocks' places and boxes.  The join goes down
 pairs of intervals, of blocks, and of parts of blocks, and skips pairs whose boxes are over
 epsilon apart in those components, which no distance undercuts.  What is left is multiplied out,
 and pairs near the limit are decided in double precision.
 
 Equal vectors are joined once, with their number; a task gives link counts and a spanning forest
-of its links, never the pairs.  Vectors out of `usable` link with nothing.  Rows that repeat a
+of its links, never the pairs.  Vectors out of `usable` link with nothing; vectors of different
+dimensions are joined apart and never link.  Rows that repeat a
 vec_id are one node, with the links of all its vectors; a repeated row links with its repeats.  An
 empty table gives no rows.
 """
@@ -16,7 +18,9 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import batches, read_table, stored
+from strandweave.llm.common import batches, read_table, shared_folder, stored
 from strandweave.llm.components import connected, unite
-from strandweave.llm.vectors import cosines, matrix, sample_matrix, unit, usable
+from strandweave.llm.vectors import BlockWriter, cosines, matrix, of_dimension, read_block, rows_of, sample_matrix, unit, usable
 
 LEAST, DIMS = 0.95, 6
 BLOCK_ROWS, PART_ROWS, MAX_INTERVALS = 4096, 256, 512
-DOUBT = 1e-5
+#: Blocks on a side of a tile, whose pairs one task joins, and the most tasks.
+TILE, MAX_TASKS = 4, 32_768
 
 
 def principal_axes(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -69,6 +74,8 @@ def join_blocks(a, b, same: bool, axes: np.ndarray, least: float):
     at_a, at_b = unit_a @ axes, unit_b @ axes
     unit_a, unit_b = unit_a.astype(np.float32), unit_b.astype(np.float32)
     n_a, n_b = len(ids_a), len(ids_b)
+    # What a product in single precision may be off by: a rounding for each term, and those of the vectors themselves.
+    doubt = (vec_a.shape[1] + 8) * 2.0**-23
     links_a, links_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
     parent = np.arange(n_a + n_b)
     if same:
@@ -86,8 +93,8 @@ def join_blocks(a, b, same: bool, axes: np.ndarray, least: float):
             continue
         columns = np.concatenate(parts)
         products = unit_a[rows] @ unit_b[columns].T
-        i, j = np.nonzero(products >= least - DOUBT)
-        doubtful = products[i, j] < least + DOUBT
+        i, j = np.nonzero(products >= least - doubt)
+        doubtful = products[i, j] < least + doubt
         i, j = i + first, columns[j]
         if same:
             later = j > i
@@ -105,49 +112,76 @@ def join_blocks(a, b, same: bool, axes: np.ndarray, least: float):
     return links_a, links_b, ids[parent[rows]], ids[rows]
 
 
-BLOCKS = "interval long, block long, ids binary, vectors binary, copies binary, low array<double>, high array<double>"
+BLOCKS = "interval long, block long, path string, at long, rows long, low array<double>, high array<double>"
 
 
-def _blocks(dim: int, axes: np.ndarray):
+def _blocks(dim: int, axes: np.ndarray, folder: str):
+    """Sorted rows to blocks, written to files; a row tells where a block stands, and its box."""
+    most = rows_of(BLOCK_ROWS, dim)
+
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = block = 0
+        n = 0
+        made: list[tuple] = []
+        writer = BlockWriter(folder)
 
-        def out(table: pa.Table) -> pa.RecordBatch:
+        def out() -> None:
+            table = pa.Table.from_batches(held)
             vectors = matrix(table.column("embedding").combine_chunks(), dim)
             at = unit(vectors) @ axes
-            values = (
-                (TaskContext.get().partitionId(), pa.int64()), (block, pa.int64()),
-                (table.column("vec_id").to_numpy().astype("<i8").tobytes(), pa.binary()),
-                (vectors.astype("<f8").tobytes(), pa.binary()),
-                (table.column("copies").to_numpy().astype("<i8").tobytes(), pa.binary()),
-                (at.min(0).tolist(), pa.list_(pa.float64())), (at.max(0).tolist(), pa.list_(pa.float64())),
-            )
-            names = ("interval", "block", "ids", "vectors", "copies", "low", "high")
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=list(names))
+            ids, copies = (table.column(c).to_numpy().astype("<i8") for c in ("vec_id", "copies"))
+            place = writer.add(ids, vectors.astype("<f8"), copies)
+            made.append((TaskContext.get().partitionId(), len(made), *place, len(ids), at.min(0).tolist(), at.max(0).tolist()))
 
         for part in parts:
             at = 0
             while at < part.num_rows:
-                take = min(part.num_rows - at, BLOCK_ROWS - n)
+                take = min(part.num_rows - at, most - n)
                 held.append(part.slice(at, take))
                 at, n = at + take, n + take
-                if n == BLOCK_ROWS:
-                    yield out(pa.Table.from_batches(held))
-                    held, n, block = [], 0, block + 1
+                if n == most:
+                    out()
+                    held, n = [], 0
         if held:
-            yield out(pa.Table.from_batches(held))
+            out()
+        writer.close()
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        names = ("interval", "block", "path", "at", "rows", "low", "high")
+        yield from batches({k: ([m[i] for m in made], t) for i, (k, t) in enumerate(zip(names, kinds))})
 
     return cut
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of `vectors` (columns vec_id, embedding)."""
-    good, dim = usable(vectors)
-    everyone = vectors.select("vec_id")
-    if not dim:
-        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    spark = vectors.sparkSession
+def _joined(dim: int, axes: np.ndarray, least: float):
+    """Rows that name two blocks to link counts (u = v, n) and forests (u, v) of the blocks' links."""
+
+    def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: OrderedDict[tuple[str, int], list[np.ndarray]] = OrderedDict()
+
+        def block(path: str, at: int, n: int) -> list[np.ndarray]:
+            if (path, at) in read:
+                read.move_to_end((path, at))
+            else:
+                while len(read) >= 2 * TILE:
+                    read.popitem(last=False)
+                read[path, at] = read_block(path, at, ("<i8", (n,)), ("<f8", (n, dim)), ("<i8", (n,)))
+            return read[path, at]
+
+        for part in parts:
+            for row in part.to_pylist():
+                a, b = (block(row[f"path_{s}"], row[f"at_{s}"], row[f"rows_{s}"]) for s in "ab")
+                n_a, n_b, u, v = join_blocks(a, b, row["same"], axes, least)
+                for ids, n in ((a[0], n_a), (b[0], n_b)):
+                    some = np.flatnonzero(n)
+                    yield from batches({"u": (ids[some], pa.int64()), "v": (ids[some], pa.int64()), "n": (n[some], pa.int64())})
+                yield from batches({"u": (u, pa.int64()), "v": (v, pa.int64()), "n": (np.zeros(len(u), np.int64), pa.int64())})
+
+    return join
+
+
+def _links(good: DataFrame, dim: int, least: float, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, n: links found among distinct vectors; embedding, node, copies of repeated ones), all of one dimension."""
+    spark = good.sparkSession
     axes = principal_axes(sample_matrix(good, dim), min(dims, dim))
     width = axes.shape[1]
     epsilon = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
@@ -165,11 +199,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS)
     cells = stored(
         distinct.mapInArrow(gridded, "vec_id long, embedding array<double>, copies long, " + ", ".join(f"{g} long" for g in grid)), "ego-grid"
     )
-    total = cells.count()
-    intervals = max(1, min(MAX_INTERVALS, -(-total // BLOCK_ROWS)))
+    intervals = max(1, min(MAX_INTERVALS, -(-cells.count() // rows_of(BLOCK_ROWS, dim))))
     blocks = stored(
         cells.repartitionByRange(intervals, *grid, "vec_id").sortWithinPartitions(*grid, "vec_id")
-        .select("vec_id", "embedding", "copies").mapInArrow(_blocks(dim, axes), BLOCKS),
+        .select("vec_id", "embedding", "copies").mapInArrow(_blocks(dim, axes, shared_folder(spark, "ego-vectors")), BLOCKS),
         "ego-blocks",
     )
     # One row an interval, and at most about MAX_INTERVALS of them.
@@ -185,34 +218,35 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS)
         F.zip_with("low_b", "high_a", lambda x, y: x - y), F.zip_with("low_a", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
     )
     apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    # As many tasks as there are full block pairs to multiply, and no fewer than a shuffle has.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(8192, total * total // (2 * BLOCK_ROWS * BLOCK_ROWS)))
-    work = (
+    # Only places and boxes of blocks are joined and dealt; tasks read the blocks' files.
+    work = stored(
         plan.join(side("a").withColumnRenamed("interval_a", "a"), "a")
         .join(side("b").withColumnRenamed("interval_b", "b"), "b")
         .where((F.col("a") < F.col("b")) | (F.col("block_a") <= F.col("block_b")))
         .where(apart <= epsilon * epsilon)
-        .withColumn("same", (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b")))
-        .repartition(tasks, "a", "b", "block_a", "block_b")
-    )
+        .select(
+            "a", "b", "block_a", "block_b", "path_a", "at_a", "rows_a", "path_b", "at_b", "rows_b",
+            ((F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))).alias("same"),
+        ),
+        "ego-pairs",
+    )
+    # Pairs of a tile of blocks go to one task, which reads each of them once.
+    tile = ["a", "b", F.floor(F.col("block_a") / TILE), F.floor(F.col("block_b") / TILE)]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, work.count() // TILE))
+    dealt = work.repartition(tasks, *tile).sortWithinPartitions(*tile, "block_a", "block_b").drop("a", "b", "block_a", "block_b")
+    found = stored(dealt.mapInArrow(_joined(dim, axes, least), "u long, v long, n long"), "ego-links")
+    return found, cells.where("copies > 1").select("embedding", F.col("vec_id").alias("node"), "copies")
 
-    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in range(part.num_rows):
-                get = lambda c, t: np.frombuffer(part.column(c)[row].as_py(), t)  # noqa: E731, B023
-                a, b = (
-                    (get(f"ids_{s}", "<i8"), get(f"vectors_{s}", "<f8").reshape(-1, dim), get(f"copies_{s}", "<i8")) for s in "ab"
-                )
-                n_a, n_b, u, v = join_blocks(a, b, part.column("same")[row].as_py(), axes, least)
-                for ids, n in ((a[0], n_a), (b[0], n_b)):
-                    some = np.flatnonzero(n)
-                    yield from batches({"u": (ids[some], pa.int64()), "v": (ids[some], pa.int64()), "n": (n[some], pa.int64())})
-                yield from batches({"u": (u, pa.int64()), "v": (v, pa.int64()), "n": (np.zeros(len(u), np.int64), pa.int64())})
 
-    names = ("ids_a", "vectors_a", "copies_a", "ids_b", "vectors_b", "copies_b", "same")
-    found = stored(work.select(*names).mapInArrow(joined, "u long, v long, n long"), "ego-links")
+def near_duplicates(vectors: DataFrame, least: float = LEAST, dims: int = DIMS) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of `vectors` (columns vec_id, embedding)."""
+    good, sizes = usable(vectors)
+    everyone = vectors.select("vec_id")
+    if not sizes:
+        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    each = [_links(of_dimension(good, dim), dim, least, dims) for dim in sizes]
+    found, repeated = (reduce(DataFrame.unionByName, part) for part in zip(*each))
     # Only vectors with copies need their node looked up; any other is its own.
-    repeated = distinct.where("copies > 1")
     members = stored(good.join(repeated, "embedding").select("vec_id", "node", "copies"), "ego-copies")
     ties = members.where("vec_id != node").select(F.col("vec_id").alias("u"), F.col("node").alias("v")).distinct()
     labels = connected(found.where("u != v").select("u", "v").unionByName(ties), "ego-links")
