@@ -19,7 +19,7 @@ document: they get the same component.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -36,6 +36,14 @@ BUCKET_ROWS = 4096
 SHINGLES_AT_ONCE = 200_000
 
 
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of `n` unsigned 64-bit hashes, given in parts, have."""
+    ones = np.zeros(BITS, np.int64)
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit fingerprint of the whole text."""
     import xxhash
@@ -50,12 +58,10 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
     starts = [0, *ends[:-1]]
     lasts = ends[words_each - 1 :] or ends[-1:]
     n = len(lasts)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        upto = min(n, at + SHINGLES_AT_ONCE)
-        hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:upto], lasts[at:upto])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    cuts = range(0, n, SHINGLES_AT_ONCE)
+    return majority(
+        (np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + SHINGLES_AT_ONCE], lasts[at : at + SHINGLES_AT_ONCE])], "<u8") for at in cuts), n
+    )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -355,7 +355,9 @@ def edited(seed=21):
     return texts
 
 
-def test_pipeline_copies_equal_brute_force_jaccard(spark):
+@pytest.mark.parametrize("block_nodes", [shingles.BLOCK_NODES, 3])
+def test_pipeline_copies_equal_brute_force_jaccard(spark, monkeypatch, block_nodes):
+    monkeypatch.setattr(shingles, "BLOCK_NODES", block_nodes)
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts = TEXTS + edited() + ["\t\n ", "Two words", "TWO   WORDS"]
     cut = [(t or "").lower().split() for t in texts]
@@ -371,14 +373,31 @@ def test_pipeline_copies_equal_brute_force_jaccard(spark):
     assert corpus_pipeline.keep_one_of_copies(spark, empty(spark), "").count() == 0
 
 
-def test_shingle_pairs_of_one_bucket_are_all_tried():
-    import pyarrow as pa
-
-    # Sizes 10 and 12 can't be alike with 20; the component of nodes 1 and 4 is linked already.
-    rows = {"bucket": [1, 1, 1, 1, 1, 2, 2], "component": [1, 1, 2, 3, 5, 6, 6], "node": [1, 4, 2, 3, 5, 6, 7], "n": [10, 10, 12, 20, 18, 9, 9]}
-    table = pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
-    got = pa.Table.from_batches(shingles._open_pairs(iter(table.to_batches(max_chunksize=2))))
-    assert set(zip(got["u"].to_pylist(), got["v"].to_pylist())) == {(1, 2), (2, 4), (3, 5)}
+def test_shingle_blocks_find_all_links_of_their_hubs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(100) < rng.choice([0.05, 0.15]), rng.integers(0, 2**63, 100).astype(np.uint64), base)) for _ in range(60)]
+
+    def block(rows):
+        hub = np.array([7 if i < 40 else 9 for i in rows])
+        return shingles.Nodes(hub, np.array(rows), np.array([i // 2 for i in rows]), np.cumsum([0, *(len(sets[i]) for i in rows)]), np.concatenate([sets[i] for i in rows]))
+
+    def brute(a, b):
+        pairs = ((i, j) for i in a for j in b if (i < 40) == (j < 40) and i // 2 != j // 2)
+        return [(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+
+    for a, b in ((list(range(60)), None), (list(range(0, 25)), list(range(25, 60)))):
+        one = block(a)
+        two = one if b is None else block(b)
+        for i, found in zip(a, shingles.overlaps(one, two)):
+            assert all(n == len(np.intersect1d(sets[i], sets[j])) for j, n in zip(b or a, found) if i != j)
+        got = np.eye(60, dtype=bool)
+        for u, v in shingles.links_between(one, two):
+            got[u, v] = got[v, u] = True
+        want = np.eye(60, dtype=bool)
+        for i, j in brute(a, b or a):
+            want[i, j] = want[j, i] = True
+        assert brute_components(got) == brute_components(want) and want.sum() > 100
 
 
 def test_pigeonring_loses_no_pair():
