@@ -31,9 +31,9 @@ from strandweave.llm.common import batches, read_table, shared_folder, stored
 from strandweave.llm.vectors import BlockWriter, cosines, matrix, of_dimension, read_block, rows_of, unit, usable
 
 DIMS, CONFIDENCE, SEED = 8, 0.98, 7
-CELL_ROWS, SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 16_384, 16_384, 64, 4096
+CELL_ROWS, SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 16_384, 16_384, 64, 512
 #: Cells grow with the rows up to this many; each gets so many rows of the sample (projections of `dims` doubles).
-MAX_CELLS, SAMPLE_CELL = 16_384, 32
+MAX_CELLS, SAMPLE_CELL, MAX_TASKS = 16_384, 32, 32_768
 SLACK = 1e-9
 
 
@@ -289,13 +289,15 @@ def _nearest(good: DataFrame, asked: DataFrame, dim: int, k: int, dims: int, con
         "ann-index",
     )
     salts = 1 + asked.count() // QUERY_ROWS
+    # A fixed count: queries are too few bytes for AQE to see the work behind them.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, shards * salts))
 
     def rounds(rows: DataFrame) -> DataFrame:
         """Searches shard, vec_id, embedding, bound rows: only queries and places travel, and a tree's many queries go to several tasks."""
         salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
         return (
             rows.join(index, "shard")
-            .repartition("path", "at", salt)
+            .repartition(tasks, "path", "at", salt)
             .sortWithinPartitions("path", "at", "vec_id")
             .select("vec_id", "embedding", "bound", "path", "at", "rows", "leaves")
             .mapInArrow(_searcher(dim, projection, k, quantile), FOUND)

@@ -34,7 +34,7 @@ WINDOWS_EACH, WINDOW_WORDS = 2, 12
 #: Share of right answers on left-out windows that rejection may cost, and the highest limit.
 LOSS, HIGHEST = 0.001, 0.5
 #: What the training rows' counts may hold together, in bytes; further rows are left out of training.
-TRAIN_BYTES = 256 << 20
+TRAIN_BYTES = 64 << 20
 CACHE_ENTRIES = 600_000
 #: Longer words are dropped from the cache after each run of texts, so that it is bounded in bytes.
 KEPT_CHARACTERS = 256

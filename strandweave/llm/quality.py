@@ -32,7 +32,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.7
 SCALE = 8.0
 #: What the training rows' counts may hold together, in bytes; further rows are left out of training.
-TRAIN_BYTES = 256 << 20
+TRAIN_BYTES = 64 << 20
 CACHE_ENTRIES = 600_000
 #: Longer words are hashed each time and never kept, so that the cache is bounded in bytes.
 KEPT_CHARACTERS = 256
@@ -123,7 +123,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> QualityModel:
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)).tolist():
             at, share, label = rows[k]
-            at, x = np.append(at, size - 1), np.append(SCALE * share, 1.0)
+            at, x = np.append(at.astype(np.int64), size - 1), np.append(SCALE * share.astype(np.float64), 1.0)
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, float(wi @ x)))))
@@ -170,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
         .mapInArrow(counted, "doc_id long, quality int, at binary, shares binary")
     )
     rows = within_bytes(rows, [F.xxhash64("doc_id"), "doc_id"], F.octet_length("at") + F.octet_length("shares"), TRAIN_BYTES)
-    got = rows.toArrow().sort_by([("doc_id", "ascending")]).to_pylist()
-    return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(np.float64), r["quality"]) for r in got])
+    got = rows.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
+    return train(list(zip(view("at", "<i4"), view("shares", "<f4"), got.column("quality").to_pylist())))
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:

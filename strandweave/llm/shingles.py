@@ -8,7 +8,7 @@ of the 40 bands of 5 values with a chance of 1.3e-7, and a nearer pair with less
 
 Texts of equal sets are one node.  In each bucket every node is first compared with the bucket's
 hub, the node that shares most buckets with others, so that a large group of near copies costs a link
-each.  Then the nodes of a hub are compared with each other where their components differ: they are
+each.  Then the nodes of a hub are compared with each other, but for those that are both linked to it: they are
 sorted by their distance to the hub and written to files in blocks; tasks join pairs of blocks, but
 for blocks over 0.2 apart in that distance (Jaccard distance is a metric), and give links, never pairs
 that aren't.  A hub with very many nodes is many blocks, and no single task.
@@ -103,12 +103,12 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, linked, away (their Jaccard distance) of the pairs u, v, by their whole sets."""
+    """The pairs u, v, spoke with linked and away (their Jaccard distance), by their whole sets."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
     both, total = F.size(F.array_intersect("u_set", "v_set")).alias("both"), (F.size("u_set") + F.size("v_set")).alias("total")
     return (
-        pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", both, total)
-        .select("u", "v", (F.col("both") * (PART + WHOLE) >= F.col("total") * PART).alias("linked"), (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("away"))
+        pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "spoke", both, total)
+        .select("u", "v", "spoke", (F.col("both") * (PART + WHOLE) >= F.col("total") * PART).alias("linked"), (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("away"))
     )
 
 
@@ -157,7 +157,10 @@ def overlaps(a: Nodes, b: Nodes) -> np.ndarray:
 
 
 def links_between(a: Nodes, b: Nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(u, v): a spanning forest, for each hub, of the links between nodes of different components; `b` may be `a`."""
+    """(u, v): a spanning forest, for each hub, of the links between nodes of different components; `b` may be `a`.
+
+    Nodes linked to the hub have it as component, any other itself.
+    """
     for hub in np.intersect1d(a.hub, b.hub).tolist():
         one = a.run(hub)
         two = one if b is a else b.run(hub)
@@ -272,14 +275,14 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi")), "shingle-sets")
-    compared = stored(pairs.join(_compared(pairs.select("u", "v").distinct(), sets), ["u", "v"]), "shingle-stars")
+    compared = stored(_compared(pairs, sets), "shingle-stars")
     first = compared.where("linked").select("u", "v")
-    component = connected(first, "shingle-stars")
-    star = compared.where("spoke").select(F.col("u").alias("hub"), F.col("v").alias("node"), "away")
-    star = star.unionByName(star.select("hub", F.col("hub").alias("node"), F.lit(0.0).alias("away")).distinct())
-    placed = stored(star.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingle-members")
-    several = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
-    members = placed.join(several, "hub", "left_semi").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    # Nodes linked to their hub are connected: only the others are left to compare, with each other and with those.
+    star = compared.where("spoke").select(F.col("u").alias("hub"), F.col("v").alias("node"), F.when(F.col("linked"), F.col("u")).otherwise(F.col("v")).alias("component"), "away")
+    left = star.where("component != hub").groupBy("hub").agg(F.count("*").alias("open"))
+    star = star.join(left.select("hub"), "hub", "left_semi")
+    members = star.unionByName(left.select("hub", F.col("hub").alias("node"), F.col("hub").alias("component"), F.lit(0.0).alias("away")))
+    members = members.join(sets.withColumnRenamed("doc_id", "node"), "node")
     return first.unionByName(_within_hubs(members.select("hub", "node", "component", "away", "shingles")))
 
 
