@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,6 +71,17 @@ def within_bytes(rows: DataFrame, order: list, size, most: int) -> DataFrame:
     return rows.withColumns({"__before": before, "__after": after}).where((F.col("__after") <= most) | F.col("__before").isNull()).drop("__before", "__after")
 
 
+def trained(rows: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """`train` of a bounded number of rows, run by one task, so that only the model comes to the driver."""
+
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [p for p in parts if p.num_rows]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+
+    got = rows.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train(rows.limit(0).toArrow())
+
+
 def batches(columns: dict[str, tuple[list, pa.DataType]], rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `rows` rows from whole columns."""
     arrays = [pa.array(v, type=t) for v, t in columns.values()]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import LETTER, code_point_classes
-from strandweave.llm.common import column, read_table, within_bytes
+from strandweave.llm.common import column, read_table, trained, within_bytes
 
 BUCKETS, DIMS, LONGEST = 1 << 15, 16, 4
 TRAIN_ROWS = 1500
@@ -210,7 +210,7 @@ def _held_out():
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Trains on at most `train_rows` documents with a language that aren't held out, chosen by their ids' hash.
 
-    The sample is bounded in rows and, by TRAIN_BYTES, in bytes whatever the input.
+    The sample is bounded in rows and, by TRAIN_BYTES, in bytes whatever the input; one task trains on it.
     """
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     ids = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -228,8 +228,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     one = named.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"))
     counts = one.select("doc_id", "r.lang", "r.text").mapInArrow(counted, "doc_id long, k long, lang string, at binary, weight binary, check boolean")
     bounded = within_bytes(counts, [F.xxhash64("doc_id"), "doc_id", "k"], F.octet_length("at") + F.octet_length("weight"), TRAIN_BYTES)
-    rows = bounded.toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")]).to_pylist()
-    return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64), r["lang"], r["check"]) for r in rows])
+
+    def of_table(table: pa.Table) -> LanguageModel:
+        rows = table.sort_by([("doc_id", "ascending"), ("k", "ascending")]).to_pylist()
+        return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64), r["lang"], r["check"]) for r in rows])
+
+    return trained(bounded, of_table)
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, accepted boolean"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import column, read_table, within_bytes
+from strandweave.llm.common import column, read_table, trained, within_bytes
 
 BITS = 18
 TRAIN_ROWS = 4000
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
     """Trains on at most `train_rows` labelled documents that aren't held out, chosen by their ids' hash.
 
     The sample is bounded in rows and, by TRAIN_BYTES, in bytes whatever the input; texts become
-    feature counts on the executors.
+    feature counts on the executors, and one task trains on them.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     marked = marked.where(~_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -170,9 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
         .mapInArrow(counted, "doc_id long, quality int, at binary, shares binary")
     )
     rows = within_bytes(rows, [F.xxhash64("doc_id"), "doc_id"], F.octet_length("at") + F.octet_length("shares"), TRAIN_BYTES)
-    got = rows.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
-    view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
-    return train(list(zip(view("at", "<i4"), view("shares", "<f4"), got.column("quality").to_pylist())))
+
+    def of_table(table: pa.Table) -> QualityModel:
+        got = table.sort_by([("doc_id", "ascending")])
+        view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
+        return train(list(zip(view("at", "<i4"), view("shares", "<f4"), got.column("quality").to_pylist())))
+
+    return trained(rows, of_table)
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:

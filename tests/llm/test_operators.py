@@ -68,6 +68,34 @@ def test_warc_empty_table(spark):
     assert warc.read_archives(warc.write_archives(warc.with_revisits(pages), common.shared_folder(spark, "t"))).count() == 0
 
 
+def test_warc_reads_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def record(kind, lines, block):
+        head = [f"warc-type:{kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", *lines, f"Content-Length: {len(block)}"]
+        return gzip.compress(("WARC/1.0\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    named = ["WARC-Target-URI: <http://a.b/c>", "Content-Type: application/http; msgtype=response"]
+    info = record("warcinfo", ["Content-Type: application/warc-fields"], b"software: x\r\n")
+    one = record("response", [*named, "WARC-Payload-Digest: sha1:ABC"], http + b"<p>one")
+    two, three = record("response", named, http + b"<p>two"), record("revisit", [*named, "WARC-Refers-To: <urn:uuid:response>"], http)
+    path = tmp_path / "f.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc.gz", info + one)
+        z.writestr("archive/b.warc.gz", two + three)
+        lines = "!meta {}\n" + "".join(f'b,a)/c 2024 {{"offset": "{at}", "length": "{n}", "filename": "a.warc.gz"}}\n' for at, n in ((len(info), len(one)), (0, len(info))))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(lines.encode()))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    found = sorted((r.record_type, r.url, bytes(r.payload), r.payload_digest) for r in rows)
+    sha = hashlib.sha256(b"<p>two").hexdigest()
+    assert found == [
+        ("response", "http://a.b/c", b"<p>one", "sha1:ABC"), ("response", "http://a.b/c", b"<p>two", sha),
+        ("revisit", "http://a.b/c", b"", ""), ("warcinfo", "", b"software: x\r\n", hashlib.sha256(b"software: x\r\n").hexdigest()),
+    ]
+    assert all(r.page_id is None and r.refers_to is None for r in rows)
+
+
 def test_zip64_directory(tmp_path):
     path = tmp_path / "z.zip"
     with zipfile.ZipFile(path, "w") as z:
@@ -125,6 +153,16 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(empty(spark), PATH).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    rng = random.Random(2)
+    docs = documents(spark, [" ".join("w" * rng.randint(1, 9) for _ in range(rng.choice([5, 60, 300, 2000]))) for _ in range(600)])
+    rows = packing.pack(docs.coalesce(1), PATH).collect()
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(used.values()) >= 0.98 * 1024 * len(used)
+
+
 def test_best_fit_decreasing_matches_brute_force():
     rng = random.Random(5)
     for _ in range(50):
@@ -318,7 +356,7 @@ def varied(n=160, seed=9):
     return texts
 
 
-@pytest.mark.parametrize("bucket_rows", [simhash.BUCKET_ROWS, 1])
+@pytest.mark.parametrize("bucket_rows", [simhash.BUCKET_ROWS, 4, 1])
 def test_simhash_equals_brute_force(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(simhash.links, "__defaults__", (bucket_rows,))
     texts = TEXTS + varied() + ["\t\n ", "Two words", "TWO   WORDS"]
@@ -446,6 +484,65 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert quality.scored(empty(spark), model).count() == 0
 
 
+def test_quality_training_equals_a_plain_version():
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        grams, counts = np.unique(quality.features(prose(rng, ["ab", "Cd!", "12", "ef"] if i % 3 else ["xy", "zz"], 9)), return_counts=True)
+        rows.append((grams, (counts / counts.sum()).astype(np.float32), int(i % 3 > 0)))
+    model = quality.train(rows)
+    z, n, size = {}, {}, 1 << quality.BITS
+    ones = sum(r[2] for r in rows)
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - np.sign(zi) * quality.L1) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(1)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(rows)).tolist():
+            x = dict(zip(rows[k][0].tolist(), (quality.SCALE * rows[k][1].astype(float)).tolist())) | {size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            share = len(rows) / (2 * (ones if rows[k][2] else len(rows) - ones))
+            for i, v in x.items():
+                g = share * (p - rows[k][2]) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert model.bias == pytest.approx(weight(size), abs=1e-9)
+    assert all(model.weights[i] == pytest.approx(weight(i), abs=1e-5) for i in z if i < size)
+
+
+def test_quality_features_have_word_pairs_and_triples():
+    one, other = (set(quality.features(t).tolist()) for t in ("big red dog", "red big dog"))
+    assert one != other and len(quality.features("big red dog")) == 12
+
+
+def test_language_training_equals_a_plain_version():
+    rows = [s for i, (t, lang) in enumerate([("der hund", "de"), ("the dog", "en"), ("ein haus", "de"), ("a house", "en")] * 2) for s in langid.samples(t, lang, i)]
+    model = langid.train(rows, seed=3)
+    rng = np.random.default_rng(3)
+    fitting = [r for r in rows if not r[3]]
+    table = rng.uniform(-1, 1, (langid.BUCKETS, langid.DIMS)) / langid.DIMS
+    out, bias, names = np.zeros((langid.DIMS, 2)), np.zeros(2), ["de", "en"]
+    share = [sum(r[2] == n for r in fitting) / len(fitting) for n in names]
+    done, steps = 0, langid.EPOCHS * len(fitting)
+    for _ in range(langid.EPOCHS):
+        for k in rng.permutation(len(fitting)):
+            at, weight, lang, _ = fitting[k]
+            rate, done = langid.RATE * (1 - done / steps), done + 1
+            mean = sum(w * table[i] for i, w in zip(at, weight))
+            e = np.exp(mean @ out + bias)
+            step = (e / e.sum() - np.array([n == lang for n in names])) * min(4.0, 1 / (2 * share[names.index(lang)]))
+            back = [sum(out[d, c] * step[c] for c in range(2)) for d in range(langid.DIMS)]
+            for c in range(2):
+                out[:, c] -= rate * step[c] * mean
+                bias[c] -= 0.01 * rate * step[c]
+            for i, w in zip(at, weight):
+                table[i] -= rate * len(at) ** 0.5 * w * np.array(back)
+    assert np.allclose(model.logits, table @ out, atol=1e-9) and np.allclose(model.bias, bias)
+
+
 def test_forms_are_of_whole_words():
     assert quality.form("a1" * 150 + "。!!") == "a0" * 150 + "。!"
     one, other = (quality.features("中、" * 150 + end) for end in ("好。", "!!?12"))
@@ -544,6 +641,29 @@ def test_html_raw_elements_hide_no_text(page, want):
     assert [b[0] for b in htmltext.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p class=a'b>Stray</p>", ["Stray"]), ('<p title="a>b">Quoted</p>', ["Quoted"]), ('<p title="a>One</p><p>Two</p>', ["One", "Two"]),
+        ("a < b and <3", ["a < b and <3"]), ("<p>One<p", ["One"]), ("<!--><p>One<!-- x", ["One"]),
+    ],
+)
+def test_html_malformed_markup_is_never_text(page, want):
+    assert [b[0] for b in htmltext.blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit", ['<a title="x ', '<a title="x>', "<a x='\">", "<script ", "<li>", '<a b="\'" c=\'"\'>', "</x><div>"])
+def test_html_of_a_megabyte_takes_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        htmltext.blocks(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert took(1_000_000) < 20 * max(0.05, took(100_000))
+
+
 def test_html_copyright_sign_is_seen_anywhere():
     assert htmltext._form("word " * 60 + "© x.", 0) != htmltext._form("word " * 60 + "c x.", 0)
 
