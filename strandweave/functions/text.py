@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that the lexical index and the concepts leave out.
-STOP_WORDS = (
-    "the and of to in is that it for with was as on are by be this from or an at which not but have had has his her they you "
-    "que les des une dans pour est qui sur par pas plus avec el los las una por con del como para der die das und ist von den mit ein eine auf"
-).split()
+#: Function words that the lexical index leaves out.  Concepts leave them out too, unless told other words.
+STOP_WORDS = """
+a an the and or but nor so yet if then than as of in on at to from by for with
+without into onto upon over under between through about above below after before
+is are was were be been being am do does did have has had having not no it its this
+that these those there here which who whom whose what when where why how i we you
+he she they them us our your his her their my me him can could may might must shall
+should will would also too very more most such each any all both either
+""".split()
 
-SIGNALS = ("table of contents", "all rights reserved", "isbn", "copyright", "permission", "license", "index", "published by", "printed in", "cookie", "subscribe", "click here")
+#: Phrases of front and back matter.
+SIGNALS = (
+    "no part of this book", "all rights reserved", "library of congress", "cataloging-in-publication",
+    "manufactured in the united states", "printed in the united states", "university press", "isbn", "p. cm",
+    "intentionally omitted", "this book is a publication", "permission in writing from the publisher",
+)
 
 
 def words(text: Column) -> Column:
@@ -33,9 +44,9 @@ def lexical_tokens(text: Column) -> Column:
     return F.filter(raw, lambda w: ~w.isin(*STOP_WORDS))
 
 
-def concept_tokens(text: Column) -> Column:
+def concept_tokens(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"([a-zà-ÿ][a-zà-ÿ'\-]{2,})"), F.lit(1))
-    return F.filter(raw, lambda w: ~F.contains(w, F.lit("'")) & ~w.isin(*STOP_WORDS))
+    return F.filter(raw, lambda w: ~F.contains(w, F.lit("'")) & ~w.isin(*stop_words))
 
 
 def bag(text: Column) -> Column:

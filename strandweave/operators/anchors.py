@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 LEAST_RATIO, RUNNER_UP_GAP, SLACK_WORDS, CONTEXT = 0.86, 0.02, 2, 40
 
 
+_BREAK = re.compile(r"-[ \t]*\n\s*")
+
+
 def normalise(text: str) -> tuple[str, list[int]]:
     """(text without accents, soft hyphens and line-end hyphens, white space as one space; source offset of each character)."""
     out, at = [], []
@@ -22,8 +25,8 @@ def normalise(text: str) -> tuple[str, list[int]]:
         c = text[i]
         if c == "­":
             i += 1
-        elif c == "-" and (m := re.match(r"-[ \t]*\n\s*", text[i:])):
-            i += m.end()
+        elif c == "-" and (m := _BREAK.match(text, i)):
+            i = m.end()
         elif c.isspace():
             if out and out[-1] != " ":
                 out.append(" ")
@@ -81,13 +84,14 @@ def resolve(text: str, quote: str, prefix: str | None = None, suffix: str | None
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", flat)]
     n = len(wanted.split())
     best: list[tuple[float, int, int]] = []
+    m = difflib.SequenceMatcher(None, "", wanted, autojunk=False)  # what it knows of the quote serves all windows
     for first in range(len(words)):
         top = (0.0, 0, 0)
         for size in range(max(1, n - SLACK_WORDS), n + SLACK_WORDS + 1):
             if first + size > len(words):
                 break
             a, b = words[first][0], words[first + size - 1][1]
-            m = difflib.SequenceMatcher(None, flat[a:b], wanted, autojunk=False)
+            m.set_seq1(flat[a:b])
             if m.real_quick_ratio() >= LEAST_RATIO and m.quick_ratio() >= LEAST_RATIO:
                 top = max(top, (m.ratio(), a, b))
         if top[0] >= LEAST_RATIO:
@@ -150,34 +154,43 @@ def orphan_candidates(quotes: DataFrame, chunks: DataFrame, k: int = 5) -> DataF
     return shared.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("quote_id", "id", (F.col("hits") / F.col("n")).alias("overlap"), "pos")
 
 
-#: Note tags and the roles they give.
+#: Note tags with their other names, and the role each has in a search.
 TAGS = {
-    "seed": "seed", "edge": "edge", "link": "edge", "question": "question", "q": "question", "claim": "claim", "quote": "quote",
-    "todo": "todo", "idea": "idea", "note": "note", "ref": "reference", "def": "definition",
+    "anchor": (("anch",), "seed"), "sutra": (("sutrra",), "seed"), "reveal": (("rev",), "pattern"), "assert": ((), "claim"),
+    "correlate": (("corr",), "edge"), "chamatkara": (("chamat",), "intensity"), "mythought": (("mythoughts",), "voice"),
+    "suggest": ((), "direction"), "action": ((), "task"), "describe": (("des",), "context"),
 }
+_TYPES = {name: tag for tag, (others, _) in TAGS.items() for name in (tag, *others)}
+_MARKER = re.compile(rf"[<(]\s*(/?)\s*({'|'.join(sorted(_TYPES, key=len, reverse=True))})\s*[>)]", re.I)
 
 
-def parse_note(text: str) -> Iterator[tuple[int, str, str, bool, int | None]]:
-    """(n, role, text, inline, parent) of tagged spans: <tag>…</tag> nests and closes by itself; (tag) marks its line."""
-    spans: list[list] = []
-    stack: list[int] = []
-    for m in re.finditer(r"<(/?)(\w+)>|\((\w+)\)([^\n]*)|([^<(]+|[<(])", text):
-        closing, tag, inline, line, plain = m[1], (m[2] or "").lower(), (m[3] or "").lower(), m[4], m[5]
-        if tag in TAGS and not closing:
-            spans.append([TAGS[tag], "", False, stack[-1] if stack else None])
-            stack.append(len(spans) - 1)
-        elif tag in TAGS:
-            role = TAGS[tag]
-            if any(spans[i][0] == role for i in stack):
-                while spans[stack.pop()][0] != role:
-                    pass
-        elif inline in TAGS:
-            spans.append([TAGS[inline], line.strip(), True, stack[-1] if stack else None])
-        else:
-            for i in stack:
-                spans[i][1] += plain if plain is not None else m[0]
-    for n, (role, body, inline, parent) in enumerate(spans):
-        yield n, role, body.strip(), inline, parent
+def parse_note(text: str) -> Iterator[tuple[int, str, str, str, bool, int | None]]:
+    """(n, type, role, text, inline, parent) of a note's tagged spans, numbered as they open.
+
+    `<tag>` or `(tag)` opens a span that its closing marker ends, or the note's end; spans inside that
+    are still open then are dropped.  An opening marker right after a character other than white space
+    is inline and tags its line up to there.  Markers inside a span's text are left out.
+    """
+    spans: list[dict] = []
+    open_: list[int] = []
+    for m in _MARKER.finditer(text):
+        tag = _TYPES[m[2].lower()]
+        if m[1]:
+            at = next((k for k in range(len(open_) - 1, -1, -1) if spans[open_[k]]["tag"] == tag), None)
+            if at is not None:
+                spans[open_[at]]["end"] = m.start()
+                del open_[at:]
+            continue
+        inline = m.start() > 0 and text[m.start() - 1] not in " \t\r\n"
+        start, end = (text.rfind("\n", 0, m.start()) + 1, m.start()) if inline else (m.end(), None)
+        spans.append({"tag": tag, "start": start, "end": end, "inline": inline, "parent": open_[-1] if open_ else None})
+        if not inline:
+            open_.append(len(spans) - 1)
+    for k in open_:
+        spans[k]["end"] = len(text)
+    for n, s in enumerate(spans):
+        if s["end"] is not None:
+            yield n, s["tag"], TAGS[s["tag"]][1], _MARKER.sub("", text[s["start"] : s["end"]]).strip(), s["inline"], s["parent"]
 
 
 def contained(quotes: DataFrame, spines: DataFrame, words: int = 6) -> DataFrame:

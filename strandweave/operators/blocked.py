@@ -7,48 +7,146 @@ best few of each seed, or counts), so no pair of rows is ever a row of a DataFra
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from strandweave.shared import open_folder, shared_folder, stored
 
 BLOCK_ROWS = 2048
+#: Pairs of blocks that may travel with their rows; blocks on a side of a tile, whose pairs one task multiplies; the most tasks.
+FEW_PAIRS, TILE, MAX_TASKS = 16, 4, 32_768
 Block = dict[str, np.ndarray]
 Work = Callable[[Block, Block], dict[str, np.ndarray]]
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """`df` without rows that lack a vector: they take no part."""
+    for field in df.schema.fields:
+        if isinstance(field.dataType, ArrayType):
+            df = df.where(F.col(field.name).isNotNull() & ~F.exists(field.name, lambda x: x.isNull()))
+    return df
+
+
 def in_blocks(df: DataFrame, block: str, rows: str) -> tuple[DataFrame, int]:
+    """A row for each block, with its rows, and the number of blocks."""
     n = max(1, -(-df.count() // BLOCK_ROWS))
     packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(block)).agg(F.collect_list(F.struct(*df.columns)).alias(rows))
     return packed, n
 
 
-def unpack(cell: pa.Scalar) -> Block:
-    rows = cell.values
+def unpack(rows: pa.StructArray) -> Block:
+    """A block's columns as arrays, vectors as matrices; vectors of several lengths are refused."""
     out: Block = {}
     for i, field in enumerate(rows.type):
         column = rows.field(i)
         if pa.types.is_list(field.type):
-            out[field.name] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            if len(rows) and len(flat) % len(rows) or len(set(column.value_lengths().to_pylist())) > 1:
+                raise ValueError(f"{field.name}: vectors differ in length")
+            out[field.name] = flat.reshape(len(rows), -1)
         else:
             out[field.name] = column.to_numpy(zero_copy_only=False)
     return out
 
 
+def _in_files(df: DataFrame, side: str) -> tuple[DataFrame, int]:
+    """(block, path, at, size: where each block's rows stand as Arrow data, number of blocks)."""
+    spark = df.sparkSession
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    folder, names = shared_folder(spark, "blocks"), df.columns
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, made, at = f"{folder}/{uuid.uuid4().hex}.blocks", [], 0
+        fs, path = open_folder(uri)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            held, block = [], None
+
+            def put() -> None:
+                nonlocal at
+                sink = pa.BufferOutputStream()
+                table = pa.Table.from_batches(held).combine_chunks()
+                with pa.ipc.new_stream(sink, table.schema) as stream:
+                    stream.write_table(table)
+                raw = sink.getvalue()
+                out.write(raw)
+                made.append((block, uri, at, len(raw)))
+                at += len(raw)
+
+            for part in parts:
+                keys = part.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+                for low, high in zip(cuts, cuts[1:]):
+                    if low < high:
+                        if held and keys[low] != block:
+                            put()
+                            held = []
+                        block = int(keys[low])
+                        held.append(part.slice(low, high - low).select(names))
+            if held:
+                put()
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[f"{side}b", f"{side}_path", f"{side}_at", f"{side}_size"])
+
+    dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("__block"), *names).repartition(n, "__block").sortWithinPartitions("__block", "id")
+    return stored(dealt.mapInArrow(write, f"{side}b long, {side}_path string, {side}_at long, {side}_size long"), "block-places"), n
+
+
+def _read(path: str, at: int, size: int) -> Block:
+    fs, name = open_folder(path)
+    with fs.open_input_file(name) as file:
+        file.seek(at)
+        table = pa.ipc.open_stream(file.read_buffer(size)).read_all().combine_chunks()
+    return unpack(pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.schema.names))
+
+
 def block_pairs(seeds: DataFrame, chunks: DataFrame, work: Work, schema: str) -> DataFrame:
-    """`work(seed block, chunk block)` of every pair of blocks; both sides have a column id."""
-    left, _ = in_blocks(seeds, "sb", "seeds")
-    right, n = in_blocks(chunks, "cb", "chunks")
+    """`work(seed block, chunk block)` of every pair of blocks; both sides have a column id.
+
+    A few blocks travel to their pairs; more are written to files once, and only their places travel:
+    a task takes the pairs of a tile of blocks and reads each of them once.
+    """
+    seeds, chunks = _whole(seeds), _whole(chunks)
+    if -(-seeds.count() // BLOCK_ROWS) * -(-chunks.count() // BLOCK_ROWS) <= FEW_PAIRS:
+        left, _ = in_blocks(seeds, "sb", "seeds")
+        right, n = in_blocks(chunks, "cb", "chunks")
+        pairs = left.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(right, "cb")
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for s, c in zip(part.column("seeds"), part.column("chunks")):
+                    yield pa.RecordBatch.from_pydict(work(unpack(s.values), unpack(c.values)))
+
+        return pairs.select("seeds", "chunks").mapInArrow(run, schema)
+    left, m = _in_files(seeds, "s")
+    right, n = _in_files(chunks, "c")
     pairs = left.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(right, "cb")
+    tile = [F.floor(F.col("sb") / TILE), F.floor(F.col("cb") / TILE)]
+    tasks = max(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, m * n // (TILE * TILE)))
+
+    def run_files(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: OrderedDict[tuple, Block] = OrderedDict()
+
+        def block(*place) -> Block:
+            if place not in read:
+                while len(read) >= 2 * TILE:
+                    read.popitem(last=False)
+                read[place] = _read(*place)
+            read.move_to_end(place)
+            return read[place]
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for s, c in zip(part.column("seeds"), part.column("chunks")):
-                yield pa.RecordBatch.from_pydict(work(unpack(s), unpack(c)))
+            for r in part.to_pylist():
+                yield pa.RecordBatch.from_pydict(work(block(r["s_path"], r["s_at"], r["s_size"]), block(r["c_path"], r["c_at"], r["c_size"])))
 
-    return pairs.select("seeds", "chunks").mapInArrow(run, schema)
+    dealt = pairs.repartition(tasks, *tile).sortWithinPartitions(*tile, "sb", "cb")
+    return dealt.select("s_path", "s_at", "s_size", "c_path", "c_at", "c_size").mapInArrow(run_files, schema)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

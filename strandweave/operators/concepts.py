@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.text import concept_tokens
+from strandweave.functions.text import STOP_WORDS, concept_tokens
 from strandweave.operators.blocked import Block, block_pairs, kept
 
 VOCABULARY, PER_CHUNK, MIN_DF, MAX_SHARE = 160, 6, 3, 0.40
 BRIDGE_WEIGHTS = {"note": 1.5, "authored": 1.5, "judged": 1.0}
 ALPHA, STEPS, MIN_ACTIVATION = 0.15, 30, 1e-6
+MAX_NODES = 4096
 
 
-def gram_counts(chunks: DataFrame) -> DataFrame:
-    """id, gram, tf of words and of adjacent pairs after stop words go."""
+def gram_counts(chunks: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """id, gram, tf of words and of adjacent pairs after stop words go; a corpus's own furniture may be among those."""
     # Texts are dealt by id, as they are smaller than their grams; counting a passage's grams then needs no shuffle.
-    t = chunks.select("id", "text").repartition("id").select("id", concept_tokens(F.col("text")).alias("t"))
+    t = chunks.select("id", "text").repartition("id").select("id", concept_tokens(F.col("text"), stop_words).alias("t"))
     pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b)))
     grams = t.select("id", F.explode(F.concat("t", F.coalesce(pairs, F.array().cast("array<string>")))).alias("gram"))
     return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(chunks: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def vocabulary(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """gram, idf, mass of the `size` heaviest grams (six places; ties alphabetical): a bounded list.
 
     A gram's mass, the sum of its tf times ln(n / df), needs its total and df only, which combine before the shuffle.
     """
     n = chunks.agg(F.count("*").alias("n"))
-    totals = gram_counts(chunks).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= MIN_DF)
+    totals = gram_counts(chunks, stop_words).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= MIN_DF)
     usual = totals.join(F.broadcast(n), F.col("df") <= F.greatest(F.lit(4), F.floor(MAX_SHARE * F.col("n"))))
     weighed = usual.withColumn("idf", F.ln(F.col("n") / F.col("df"))).select("gram", "idf", F.round(F.col("total") * F.col("idf"), 6).alias("mass"))
     return weighed.orderBy(F.desc("mass"), "gram").limit(size)
 
 
-def chunk_concepts(chunks: DataFrame) -> DataFrame:
+def chunk_concepts(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """id, pos, label: each passage's concepts by weight (ties to the later gram)."""
     w = Window.partitionBy("id").orderBy(F.desc("w"), F.desc("gram"))
-    # At most VOCABULARY rows.
-    known = gram_counts(chunks).join(F.broadcast(vocabulary(chunks)), "gram").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
+    # At most `size` rows.
+    known = gram_counts(chunks, stop_words).join(F.broadcast(vocabulary(chunks, size, stop_words)), "gram").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
     return known.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= PER_CHUNK).select("id", "pos", F.col("gram").alias("label"))
 
 
@@ -58,11 +62,14 @@ def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
 
     The walk alternates between passages and nodes.  Two steps among nodes are one small matrix,
     whose size is the vocabulary's and the bridges', not the corpus's; it is summed on the cluster.
+    Over MAX_NODES of them are refused, so that the matrix has a fixed bound.
     Each seed's walk is then a vector over nodes, and activations are block products.
     """
     by_chunk, by_node = Window.partitionBy("id"), Window.partitionBy("node")
     both = graph.withColumn("out", F.col("w") / F.sum("w").over(by_chunk)).withColumn("back", F.col("w") / F.sum("w").over(by_node))
-    nodes = [r["node"] for r in graph.select("node").distinct().orderBy("node").collect()]
+    nodes = [r["node"] for r in graph.select("node").distinct().orderBy("node").limit(MAX_NODES + 1).collect()]
+    if len(nodes) > MAX_NODES:
+        raise ValueError(f"over {MAX_NODES} concepts and bridge targets: pass a smaller vocabulary or fewer targets")
     if not nodes:
         return graph.sparkSession.createDataFrame([], "seed_id long, id long, similarity double, pos int")
     place = F.create_map(*(F.lit(x) for pair in zip(nodes, range(len(nodes))) for x in pair))
@@ -105,6 +112,43 @@ def co_occurrence(links: DataFrame, partners: int = 4, least: int = 2) -> DataFr
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct()
 
 
+def shared_labels(picks: DataFrame, graph: DataFrame) -> DataFrame:
+    """`picks` with concepts: the nodes a pick shares with its seed, the rarest first.  A passage has few nodes."""
+    counts = graph.groupBy("node").agg(F.count("*").alias("n"))
+    mine = lambda key: graph.select(F.col("id").alias(key), "node")
+    both = picks.select("seed_id", "id").join(mine("seed_id"), "seed_id").join(mine("id"), ["id", "node"]).join(counts, "node")
+    lists = both.groupBy("seed_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]).alias("concepts"))
+    return picks.join(lists, ["seed_id", "id"])
+
+
+def shared_concepts(links: DataFrame, k: int = 4, least: int = 2) -> DataFrame:
+    """seed_id, id, shared, pos: each passage's `k` partners that share most concepts, `least` or more; the limit bounds the graph.
+
+    Concepts are a bounded vocabulary, so a passage is a row of noughts and ones and numbers shared are block products.
+    """
+    names = [r["label"] for r in links.select("label").distinct().orderBy("label").limit(MAX_NODES).collect()]
+    place = {n: i for i, n in enumerate(names)}
+
+    def marked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            vecs = np.zeros((part.num_rows, max(1, len(place))))
+            for row, labels in zip(vecs, part.column("labels").to_pylist()):
+                row[[place[x] for x in labels]] = 1
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(vecs), pa.list_(pa.float64()))], names=["id", "vec"])
+
+    rows = links.groupBy("id").agg(F.collect_set("label").alias("labels")).mapInArrow(marked, "id long, vec array<double>")
+
+    def work(s: Block, c: Block):
+        shared = s["vec"] @ c["vec"].T
+        shared[(shared < least) | (s["id"][:, None] == c["id"][None, :])] = -np.inf
+        return kept(s, c, shared, k)
+
+    found = block_pairs(rows, rows, work, "seed_id long, id long, similarity double")
+    w = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "id")
+    top = found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return top.select("seed_id", "id", F.col("similarity").cast("long").alias("shared"), "pos")
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, provenance, origin)."""
     return edges.select("source", "target", "provenance", "origin").distinct()

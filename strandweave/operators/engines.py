@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.blocked import Block, best_of, block_pairs, kept
+from strandweave.shared import stored
 
 K, SKIP_TOP, POOL = 8, 8, 120
 MMR_LAMBDA, MIN_SIM, DEDUP_SIM = 0.4, 0.15, 0.97
@@ -180,13 +181,18 @@ def echo(seeds: DataFrame, chunks: DataFrame, k: int = K, gap: int = 12, min_sim
         return kept(s, c, sims, pool)
 
     found = ranked(block_pairs(asked, placed, work, FOUND), pool)
-    return _select(found, chunks, lambda p: _picked(p, mmr(p["similarity"].to_numpy(), np.stack(p["vec"]), k, weight)))
+    picked = _select(found, chunks, lambda p: _picked(p, mmr(p["similarity"].to_numpy(), np.stack(p["vec"]), k, weight)))
+    place = lambda key, name: placed.select(F.col("id").alias(key), F.col("place").alias(name))
+    away = F.abs(F.col("there") - F.col("here")).alias("distance")
+    return picked.join(place("seed_id", "here"), "seed_id").join(place("id", "there"), "id").select("seed_id", "id", "pos", "similarity", "score", away)
 
 
-def walk(seeds: DataFrame, chunks: DataFrame, hops: int = 4, skip_top: int = SKIP_TOP, min_sim: float = MIN_SIM) -> DataFrame:
+def walk(seeds: DataFrame, chunks: DataFrame, hops: int = 4, skip_top: int = SKIP_TOP, min_sim: float = MIN_SIM, revisit_books: bool = False) -> DataFrame:
     """Hop by hop to new books: at each, past the `skip_top` best eligible passages, the next one.
 
-    One pass over the corpus a hop, for all seeds at once; similarity is to the original seed.
+    One pass over the corpus a hop, for all seeds at once, whose state is written after each;
+    similarity is to the original seed.  With `revisit_books` a hop without a new book goes to the best
+    passage of another book seen before, not picked yet, that comes after `skip_top` new ones.
     """
     state = seeds.select("id", "vec", F.array("book_id").alias("books"), F.array().cast("array<long>").alias("picked"), F.col("vec").alias("origin"))
     out = None
@@ -194,29 +200,51 @@ def walk(seeds: DataFrame, chunks: DataFrame, hops: int = 4, skip_top: int = SKI
 
         def work(s: Block, c: Block):
             sims = s["vec"] @ c["vec"].T
-            keep = (sims >= min_sim) & (sims < DEDUP_SIM)
+            near = (sims >= min_sim) & (sims < DEDUP_SIM)
+            keep, back = near.copy(), near.copy()
             for r in range(len(sims)):
-                visited = [b for b in s["books"][r] if b is not None]
-                keep[r] &= ~np.isin(c["book_id"].astype(str), visited)
-            sims[~keep] = -np.inf
-            return kept(s, c, sims, skip_top + 1)
+                books = c["book_id"].astype(str)
+                seen = np.isin(books, s["books"][r])
+                keep[r] &= ~seen
+                back[r] &= seen & (books != s["books"][r][-1] if s["books"][r] else True) & ~np.isin(c["id"], s["picked"][r])
+            fresh = kept(s, c, np.where(keep, sims, -np.inf), skip_top + 1)
+            fresh["again"] = np.zeros(len(fresh["id"]), bool)
+            if not revisit_books:
+                return fresh
+            # All that come after the skip_top-th new one may be the best of those left: their number is the chunk block's.
+            old = kept(s, c, np.where(back, sims, -np.inf), sims.shape[1])
+            old["again"] = np.ones(len(old["id"]), bool)
+            return {n: np.concatenate([fresh[n], old[n]]) for n in fresh}
 
         # Books have no fixed number, so they travel as one string.
-        asked = state.select("id", "vec", F.array_join("books", "\u0001").alias("books"))
+        asked = state.select("id", "vec", F.array_join("books", "\u0001").alias("books"), F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
 
         def split(s: Block, c: Block, inner=work):
-            return inner(s | {"books": [b.split("\u0001") if b else [] for b in s["books"]]}, c)
-
-        step = ranked(block_pairs(asked, chunks.select("id", "book_id", "vec"), split, FOUND), skip_top + 1)
+            books = [b.split("\u0001") if b else [] for b in s["books"]]
+            return inner(s | {"books": books, "picked": [[int(x) for x in p.split(",") if x] for p in s["picked"]]}, c)
+
+        found = block_pairs(asked, chunks.select("id", "book_id", "vec"), split, f"{FOUND}, again boolean")
+        step = ranked(found.where("not again"), skip_top + 1).drop("again")
+        if revisit_books:
+            found = stored(found, f"walk-found-{hop}")
+            step = stored(ranked(found.where("not again"), skip_top + 1).drop("again"), f"walk-step-{hop}")
+            last = step.where(F.col("pos") == skip_top).select("seed_id", F.col("similarity").alias("s"), F.col("id").alias("i")) if skip_top else None
+            old = found.where("again").join(step.where(F.col("pos") == skip_top + 1).select("seed_id"), "seed_id", "left_anti")
+            if last is not None:
+                after = (F.col("similarity") < F.col("s")) | ((F.col("similarity") == F.col("s")) & (F.col("id") > F.col("i")))
+                old = old.join(last, "seed_id").where(after).drop("s", "i")
+            step = step.where(F.col("pos") == skip_top + 1).unionByName(ranked(old, 1).drop("again").withColumn("pos", F.lit(skip_top + 1)))
         step = step.where(F.col("pos") == skip_top + 1).select(F.col("seed_id"), F.col("id").alias("to"), F.col("similarity").alias("hop_similarity"))
         state = (
-            state.join(step, state["id"] == step["seed_id"])
+            state.join(step.withColumnRenamed("seed_id", "own"), F.col("id") == F.col("own"))
             .join(chunks.select(F.col("id").alias("to"), F.col("book_id").alias("to_book"), F.col("vec").alias("to_vec")), "to")
             .select(
-                state["id"], F.col("to_vec").alias("vec"), F.array_append("books", F.col("to_book")).alias("books"),
+                "id", F.col("to_vec").alias("vec"), F.array_append("books", F.col("to_book")).alias("books"),
                 F.array_append("picked", F.col("to")).alias("picked"), "origin", "hop_similarity", "to",
             )
         )
+        # Written, as it is used by the hop's rows and by the next hop.
+        state = stored(state, f"walk-{hop}")
         similarity = F.aggregate(F.zip_with("origin", "vec", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         row = state.select(
             F.col("id").alias("seed_id"), F.col("to").alias("id"), F.lit(hop).alias("hop"), similarity.alias("similarity"), "hop_similarity",
@@ -235,8 +263,15 @@ def marks_recall(seeds: DataFrame, marks: DataFrame, k: int = K, min_sim: float
     def work(s: Block, c: Block):
         sims = s["vec"] @ c["vec"].T
         sims[(sims < min_sim) | (s["id"][:, None] == c["target"][None, :])] = -np.inf
-        i, j = best_of(sims, c["id"], sims.shape[1])
-        return {"seed_id": s["id"][i], "mark_id": c["id"][j], "id": c["target"][j], "similarity": sims[i, j]}
+        # Marks of a target stand together, the earlier first: its best one counts, and of targets the best k.
+        order = np.lexsort((c["id"], c["target"]))
+        targets, starts = np.unique(c["target"][order], return_index=True)
+        sorted_ = sims[:, order]
+        i, j = best_of(np.maximum.reduceat(sorted_, starts, axis=1), targets, k)
+        stops = np.append(starts[1:], len(order))
+        at = [order[starts[t] + int(np.argmax(sorted_[r, starts[t] : stops[t]]))] for r, t in zip(i, j)]
+        at = np.array(at, np.int64)
+        return {"seed_id": s["id"][i], "mark_id": c["id"][at], "id": targets[j], "similarity": sims[i, at]}
 
     found = block_pairs(seeds, by_target, work, "seed_id long, mark_id long, id long, similarity double")
     best = Window.partitionBy("seed_id", "id").orderBy(F.desc("similarity"), "mark_id")

@@ -56,14 +56,19 @@ def theme_terms(themes: DataFrame) -> DataFrame:
     return themes.select(F.col("id").alias("seed_id"), F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
 
 
-def lexical(index: LexicalIndex, queries: DataFrame, k: int = 8, books: DataFrame | None = None) -> DataFrame:
-    """The best `k` passages of each query; with `books` (id, book_id) a passage seed's own book is left out."""
-    found = index.scores(queries).where("seed_id != id") if books is not None else index.scores(queries)
+def lexical(index: LexicalIndex, queries: DataFrame, k: int = 8, books: DataFrame | None = None, passage_seeds: bool = False) -> DataFrame:
+    """The best `k` passages of each query, with the terms they share.
+
+    With `passage_seeds` a seed is the passage of its id, and left out; with `books` (id, book_id) so is its whole book.
+    """
+    found = index.scores(queries)
+    if passage_seeds or books is not None:
+        found = found.where("seed_id != id")
     if books is not None:
         of = lambda key: books.select(F.col("id").alias(key), F.col("book_id").alias(f"{key}_book"))
         found = found.join(of("seed_id"), "seed_id").join(of("id"), "id").where("seed_id_book != id_book")
     w = Window.partitionBy("seed_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("seed_id", "id", "pos", "score", "n_terms")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("seed_id", "id", "pos", "score", "n_terms", "terms")
 
 
 def reciprocal_fusion(dense: DataFrame, words: DataFrame, k: int = 8, rrf_k: int = 60) -> DataFrame:

@@ -27,6 +27,14 @@ PALETTE = {
 NO_COLOUR = "amber"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it, such that `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -50,10 +58,15 @@ def answered(rows: DataFrame, call: Callable[[list[str]], list[str]]) -> DataFra
 
 
 def enrich(units: DataFrame, cache: DataFrame, call: Callable[[list[str]], list[str]]) -> DataFrame:
-    """`units` with the model's value of their text: one call for each different text that isn't cached."""
+    """`units` with the model's value of their text: one call for each different text that isn't cached.
+
+    A column `value` of the caller's gives way; any other name passes through.
+    """
+    units = units.drop("value")
     known = cache.select("hash", "value").unionByName(answered(pending(units, cache), call))
-    keyed = units.withColumn("hash", content_hash(F.col("text")))
-    return keyed.join(known, "hash", "left").drop("hash")
+    key = free_name(units, "hash")
+    keyed = units.withColumn(key, content_hash(F.col("text")))
+    return keyed.join(known.withColumnRenamed("hash", key), key, "left").drop(key)
 
 
 def contextual(blurb: Column, text: Column) -> Column:
@@ -89,7 +102,7 @@ def contexts(picks: DataFrame, chunks: DataFrame, chars: int = 800) -> DataFrame
     return each.select("seed_id", F.concat_ws("\n\n", F.col("parts.part")).alias("context"))
 
 
-NOTE = "note_id long, n int, role string, text string, inline boolean, parent int"
+NOTE = "note_id long, n int, type string, role string, text string, inline boolean, parent int"
 
 
 def note_records(notes: DataFrame) -> DataFrame:
@@ -102,7 +115,7 @@ def note_records(notes: DataFrame) -> DataFrame:
                 for note, text in zip(part.column("note_id").to_pylist(), part.column("text").to_pylist())
                 for span in parse_note(text or "")
             ]
-            kinds = {"note_id": pa.int64(), "n": pa.int32(), "role": pa.string(), "text": pa.string(), "inline": pa.bool_(), "parent": pa.int32()}
+            kinds = {"note_id": pa.int64(), "n": pa.int32(), "type": pa.string(), "role": pa.string(), "text": pa.string(), "inline": pa.bool_(), "parent": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     return notes.select("note_id", "text").mapInArrow(parse, NOTE)

@@ -102,23 +102,41 @@ def passages(books: DataFrame, separator: str = r"\n\s*\n", target: int = TARGET
 
 
 def sentences(units: DataFrame, least_words: int = 5) -> DataFrame:
-    """book_id, id, n, text: sentences of at least `least_words` words, numbered in each book."""
-    parts = units.select("book_id", "id", F.posexplode(F.split("text", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("pos", "text"))
+    """book_id, id, n, text: sentences of at least `least_words` words, numbered in each book, in the order of the units' `n` if they have one."""
+    number = [F.col("n").alias("unit_n")] if "n" in units.columns else []
+    parts = units.select("book_id", "id", *number, F.posexplode(F.split("text", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("pos", "text"))
     good = parts.where(word_count(F.col("text")) >= least_words)
-    w = Window.partitionBy("book_id").orderBy("id", "pos")
+    order = [c for c in ("unit_n", "id", "pos") if c in good.columns]
+    w = Window.partitionBy("book_id").orderBy(*order)
     return good.select("book_id", "id", (F.row_number().over(w) - 1).alias("n"), "text")
 
 
 def link_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """id, parent_id, overlap: the parent of the same book that holds most of the child's words (ties to the first)."""
+    """id, parent_id, overlap: the parent of the same book that holds most of the child's words (ties to the first, by `n` if it has one)."""
     c = children.select("book_id", "id", bag(F.col("text")).alias("words")).where(F.size("words") > 0)
-    p = parents.select("book_id", F.col("id").alias("parent_id"), bag(F.col("text")).alias("parent_words"))
+    p = parents.select("book_id", F.col("id").alias("parent_id"), bag(F.col("text")).alias("parent_words"), (F.col("n") if "n" in parents.columns else F.lit(0)).alias("parent_n"))
     share = F.size(F.array_intersect("words", "parent_words")) / F.size("words")
-    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "parent_id")
+    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "parent_n", "parent_id")
     pairs = c.join(p, "book_id").withColumn("overlap", share).where("overlap > 0")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "parent_id", "overlap")
 
 
+def parents_of(units: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """seed_id, pos, id, level: for each seed's units (seed_id, pos, id), the parents they belong to, each once, in order.
+
+    `children` has id, parent_id of propositions and passages; `parents` has the parents' ids.  A proposition
+    leads to its passage and that to its parent; a unit without one stands for itself.
+    """
+    up = lambda key, to: children.select(F.col("id").alias(key), F.col("parent_id").alias(to))
+    one = units.select("seed_id", "pos", "id").join(up("id", "first"), "id", "left")
+    two = one.join(up("first", "second"), "first", "left")
+    top = F.coalesce("second", "first", "id")
+    found = two.groupBy("seed_id", top.alias("id")).agg(F.min("pos").alias("first_pos"))
+    known = parents.select("id", F.lit("parent").alias("level"))
+    w = Window.partitionBy("seed_id").orderBy("first_pos", "id")
+    return found.join(known, "id", "left").select("seed_id", F.row_number().over(w).alias("pos"), "id", F.coalesce("level", F.lit("unit")).alias("level"))
+
+
 def numbered_runs(units: DataFrame, closed: Callable[[int, int, float | None], bool]) -> DataFrame:
     """Adds `section`, the number in its book of the run each unit (book_id, id, words, cosine) falls in.
 
@@ -161,6 +179,13 @@ def sections(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
     return _runs(section_numbers(units, words_each))
 
 
+def section_heads(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
+    """book_id, section, heading (the first that isn't empty), page_start, page_end of units (book_id, id, text, heading, page)."""
+    placed = section_numbers(units, words_each).select("book_id", "id", "section").join(units.select("book_id", "id", "heading", "page"), ["book_id", "id"])
+    first = F.min(F.when(F.trim("heading") != "", F.struct("id", "heading")))["heading"]
+    return placed.groupBy("book_id", "section").agg(F.coalesce(first, F.lit("")).alias("heading"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+
+
 def section_texts(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
     """book_id, section, text: a section's passages joined by blank lines.  A section ends with the unit that fills it."""
     placed = section_numbers(units, words_each).select("book_id", "id", "section").join(units.select("book_id", "id", "text"), ["book_id", "id"])
@@ -185,17 +210,45 @@ def neighbours(units: DataFrame, clip: int = 240) -> DataFrame:
     )
 
 
-def contents(units: DataFrame, heading: str = "heading", stride: int = 25) -> DataFrame:
-    """book_id, id, title: rows where the heading changes, if a book has three; else every `stride`-th passage."""
-    w = Window.partitionBy("book_id").orderBy("id")
-    h = F.col(heading)
-    marked = units.select(
-        "book_id", "id", h.alias("title"), (F.row_number().over(w) - 1).alias("place"),
-        (h.isNotNull() & ~F.lag(h).over(w).eqNullSafe(h)).alias("turn"),
+def contents(units: DataFrame, heading: str = "heading", page: str | None = None, stride: int = 25) -> DataFrame:
+    """book_id, id, title: a book's table of contents.
+
+    Where three passages or more have a heading, those whose heading is another than the last one's, every
+    n-th of them if they are over 300; else, where three have a page, those at least five pages on; else
+    every `stride`-th passage.  Empty headings count as none.
+    """
+    w, whole = Window.partitionBy("book_id").orderBy("id"), Window.partitionBy("book_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    title = F.when(F.trim(heading) != "", F.trim(heading))
+    number = F.col(page).cast("int") if page else F.lit(None).cast("int")
+    marked = units.select("book_id", "id", title.alias("title"), number.alias("page"), (F.row_number().over(w) - 1).alias("place"))
+    turned = marked.select(
+        "*", F.coalesce(F.col("title") != F.last("title", True).over(before), F.col("title").isNotNull()).alias("turn"),
+        F.count("title").over(whole).alias("titled"), F.count("page").over(whole).alias("paged"),
     )
-    counted = marked.withColumn("turns", F.sum(F.col("turn").cast("int")).over(Window.partitionBy("book_id")))
-    chosen = counted.where(F.when(F.col("turns") >= 3, F.col("turn")).otherwise(F.col("place") % stride == 0))
-    return chosen.select("book_id", "id", F.when(F.col("turns") >= 3, F.col("title")).alias("title"))
+    turned = turned.select("*", F.sum(F.col("turn").cast("int")).over(whole).alias("turns"), F.sum(F.col("turn").cast("int")).over(w).alias("turn_no"))
+    step = F.when(F.col("turns") > 300, F.greatest(F.lit(1), F.floor(F.col("turns") / 120))).otherwise(F.lit(1))
+    by_title = turned.where("titled >= 3").where(F.col("turn") & ((F.col("turn_no") - 1) % step == 0)).select("book_id", "id", "title")
+    by_place = turned.where((F.col("titled") < 3) & (F.col("paged") < 3) & (F.col("place") % stride == 0))
+    by_place = by_place.select("book_id", "id", F.concat(F.lit("Passage "), (F.col("place") + 1).cast("string")).alias("title"))
+    every = by_title.unionByName(by_place)
+    if page is None:
+        return every
+
+    def strides(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, last = None, None
+        for part in parts:
+            keep = []
+            for b, p in zip(part.column("book_id").to_pylist(), part.column("page").to_pylist()):
+                if b != book:
+                    book, last = b, None
+                keep.append(last is None or p - last >= 5)
+                last = p if keep[-1] else last
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    paged = turned.where((F.col("titled") < 3) & (F.col("paged") >= 3) & F.col("page").isNotNull()).select("book_id", "id", "page")
+    by_page = paged.repartition("book_id").sortWithinPartitions("book_id", "id").mapInArrow(strides, paged.schema)
+    return every.unionByName(by_page.select("book_id", "id", F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title")))
 
 
 def semantic_cuts(vectors: DataFrame, threshold: float = 0.55) -> DataFrame:

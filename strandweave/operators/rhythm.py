@@ -18,7 +18,8 @@ def visits(events: DataFrame) -> DataFrame:
 def dead_spans(events: DataFrame, opens: str = "idle", closes: str = "active") -> DataFrame:
     """book, from, to: first open to first close; an unclosed span is ignored."""
     w = Window.partitionBy("book").orderBy("t", "event_id")
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # What follows, read backwards: a frame that grows, where one that shrinks would be summed anew for each row.
+    ahead = Window.partitionBy("book").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     kinds = events.where(F.col("type").isin(opens, closes))
     spans = kinds.select(
         "book", "type", F.col("t").alias("from"), F.lag("type").over(w).alias("before"),
@@ -35,8 +36,16 @@ def features(events: DataFrame, words: DataFrame) -> DataFrame:
     """
     v = visits(events)
     dead = dead_spans(events).unionByName(dead_spans(events, "hidden", "visible"))
-    overlap = F.greatest(F.lit(0).cast("long"), F.least("end", "to") - F.greatest("start", "from"))
-    lost = v.join(dead, "book").where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))).groupBy("event_id").agg(F.sum(overlap).alias("lost"))
+    # Dead time up to a moment is moment * (spans open) - (their starts) + (lengths of those closed): one pass over
+    # all bounds of a book gives it at each visit's ends, and what a visit loses is the difference.
+    none = F.lit(0).cast("long")
+    bounds = dead.select("book", F.explode(F.array(F.struct(F.col("from").alias("t"), F.lit(1).cast("long").alias("a"), (-F.col("from")).alias("b")), F.struct(F.col("to").alias("t"), F.lit(-1).cast("long").alias("a"), F.col("to").alias("b")))).alias("x"))
+    bounds = bounds.select("book", "x.*", F.lit(None).cast("long").alias("event_id"), none.alias("sign"))
+    ends = v.select("book", "event_id", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(-1).cast("long").alias("sign")), F.struct(F.col("end").alias("t"), F.lit(1).cast("long").alias("sign")))).alias("x"))
+    ends = ends.select("book", "x.t", none.alias("a"), none.alias("b"), "event_id", "x.sign")
+    so_far = Window.partitionBy("book").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = bounds.unionByName(ends).withColumn("dead", F.col("t") * F.sum("a").over(so_far) + F.sum("b").over(so_far))
+    lost = passed.where("event_id is not null").groupBy("event_id").agg(F.sum(F.col("sign") * F.col("dead")).alias("lost"))
     held = v.join(lost, "event_id", "left").withColumn(
         "ms", F.greatest(F.lit(0.0), (F.col("end") - F.col("start") - F.coalesce("lost", F.lit(0))) / 1000.0)
     )

@@ -1,15 +1,36 @@
 """DuckDB SQL with the same results as the registered queries, where SQL over whole tables is feasible.
 
-The greedy selectors, the walk, PageRank, the passage accumulator and what builds on it, the
-streaming query and the importer have none: tests compare them with brute force.
+PageRank and what fuses it, the passage accumulator and what builds on it, the flat map and the
+streaming query have none: tests compare them with brute force.  Recursion stands for greedy choices:
+each step's rows are a group's members with what the choices so far leave of them.
 """
 
 from __future__ import annotations
 
-from strandweave.functions.text import SIGNALS, STOP_WORDS
-from strandweave.operators.library import PALETTE
-
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: Fixed values, written out here so that the SQL stands for itself: function words, phrases of front matter, colours.
+_STOP = ", ".join(
+    f"'{w}'"
+    for w in """
+a an the and or but nor so yet if then than as of in on at to from by for with
+without into onto upon over under between through about above below after before
+is are was were be been being am do does did have has had having not no it its this
+that these those there here which who whom whose what when where why how i we you
+he she they them us our your his her their my me him can could may might must shall
+should will would also too very more most such each any all both either
+""".split()
+)
+SIGNALS = (
+    "no part of this book", "all rights reserved", "library of congress", "cataloging-in-publication",
+    "manufactured in the united states", "printed in the united states", "university press", "isbn", "p. cm",
+    "intentionally omitted", "this book is a publication", "permission in writing from the publisher",
+)
+PALETTE = {
+    "amber": (0.957, 0.851, 0.545),
+    "rose": (0.949, 0.722, 0.690),
+    "sage": (0.737, 0.839, 0.675),
+    "sky": (0.663, 0.796, 0.878),
+    "violet": (0.792, 0.737, 0.878),
+}
 _V = """v AS (SELECT vec_id AS id, 'b' || label AS book_id, embedding::DOUBLE[] AS e, list_reverse(embedding)::DOUBLE[] AS s FROM embeddings)"""
 _SIM = f"""{_V}, sim AS (
   SELECT a.id AS seed_id, b.id, a.book_id AS seed_book, b.book_id, list_dot_product(a.e, b.e) AS x, list_dot_product(a.s, b.s) AS y FROM v a JOIN v b ON TRUE
@@ -47,6 +68,8 @@ _BM25 = """bm AS (
 _THEME = rf"""q AS (SELECT DISTINCT item_id AS seed_id, unnest(list_filter(
     list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_replace(w, '^_+|_+$', '', 'g')),
     lambda w: length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains([{_STOP}], w))) AS term FROM benchmark)"""
+_ANY_TOP = """lx AS (SELECT * FROM (
+  SELECT bm.*, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, bm.id) AS pos FROM bm WHERE seed_id <> bm.id) WHERE pos <= 50)"""
 _CHUNK_TOP = """lx AS (SELECT * FROM (
   SELECT bm.*, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, bm.id) AS pos
   FROM bm JOIN documents d ON d.doc_id = seed_id WHERE seed_id <> bm.id AND d.source <> bm.book_id) WHERE pos <= 50)"""
@@ -105,7 +128,69 @@ _SECTIONS = r"""u AS (
         UNION ALL SELECT u.book_id, u.k, u.id, u.words, CASE WHEN r.held >= 1000 THEN r.section + 1 ELSE r.section END, CASE WHEN r.held >= 1000 THEN u.words ELSE r.held + u.words END
         FROM r JOIN u ON u.book_id = r.book_id AND u.k = r.k + 1)"""
 
+def _mmr(pool: str, weight: float, k: int = 8) -> str:
+    """`mmr` (seed_id, id, step, x, score): the greedy choice out of `pool` (seed_id, id, pos, x)."""
+    return f"""mr AS (
+      SELECT 0 AS step, seed_id, p.id, pos, x, e, NULL::DOUBLE AS near, false AS picked, NULL::DOUBLE AS score FROM {pool} p JOIN v USING (id)
+      UNION ALL SELECT step + 1, seed_id, id, pos, x, e, greatest(near, list_dot_product(e, be)), id = bid, s FROM (
+        SELECT *, first_value(id) OVER w AS bid, first_value(e) OVER w AS be FROM (
+          SELECT *, {weight} * x - coalesce((1 - {weight}) * near, 0) AS s FROM mr WHERE NOT picked AND step < {k})
+        WINDOW w AS (PARTITION BY seed_id ORDER BY s DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    ), mmr AS (SELECT seed_id, id, step, x, score FROM mr WHERE picked)"""
+
+
+_BAND_V = f"{_SIM}, {_BAND}, bd AS MATERIALIZED (SELECT seed_id, id, pos, x FROM band)"
+_COVERS = """cv AS (
+  SELECT seed_id, id, count(other) AS covers, any_value(size) AS band_size FROM (
+    SELECT pk.seed_id, pk.id, o.id AS other, (SELECT count(*) FROM bd WHERE bd.seed_id = pk.seed_id) AS size,
+      row_number() OVER (PARTITION BY pk.seed_id, o.id ORDER BY list_dot_product(a.e, b.e) DESC, pk.step) AS r
+    FROM pk JOIN v a ON a.id = pk.id LEFT JOIN (SELECT * FROM bd ANTI JOIN pk USING (seed_id, id)) o ON o.seed_id = pk.seed_id LEFT JOIN v b ON b.id = o.id)
+  WHERE r = 1 OR other IS NULL GROUP BY ALL)"""
+_SPREAD_OUT = """SELECT pk.seed_id, pk.id, pk.step::INT AS pos, round(pk.x, 6) AS similarity, round(pk.score, 6) AS score, coalesce(covers, 0)::BIGINT AS covers,
+  (SELECT count(*) FROM bd WHERE bd.seed_id = pk.seed_id)::INT AS band_size FROM pk LEFT JOIN cv USING (seed_id, id)"""
+_DPP = """dp AS (
+  SELECT 0 AS step, seed_id, b.id, pos, x, list_transform(e, lambda t: t * exp(3 * round(x, 4))) AS rest, false AS picked, NULL::DOUBLE AS score FROM bd b JOIN v USING (id)
+  UNION ALL SELECT step + 1, seed_id, id, pos, x,
+    list_transform(list_zip(rest, br), lambda t: t[1] - t[2] * d), id = bid, ln(bl) FROM (
+    SELECT *, list_dot_product(rest, br) / bl AS d FROM (
+      SELECT *, first_value(id) OVER w AS bid, first_value(rest) OVER w AS br, first_value(l) OVER w AS bl FROM (
+        SELECT *, list_dot_product(rest, rest) AS l FROM dp WHERE NOT picked AND step < 8)
+      WINDOW w AS (PARTITION BY seed_id ORDER BY l DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE bl > 1e-10)
+), pk AS (SELECT seed_id, id, step, x, score FROM dp WHERE picked)"""
+_FACILITY = """gr AS MATERIALIZED (
+  SELECT a.seed_id, a.id AS i, b.id AS j, list_dot_product(va.e, vb.e) AS c FROM bd a JOIN bd b ON a.seed_id = b.seed_id JOIN v va ON va.id = a.id JOIN v vb ON vb.id = b.id
+), fl AS (
+  SELECT 0 AS step, seed_id, id, pos, x, 0.0::DOUBLE AS held, false AS picked, NULL::DOUBLE AS score, false AS fresh FROM bd
+  UNION ALL SELECT step + 1, seed_id, id, pos, x, greatest(held, c), picked OR id = bid, CASE WHEN id = bid THEN gain END, id = bid FROM (
+    SELECT f.*, w.bid, w.gain, gr.c FROM (SELECT * FROM fl WHERE step < 8) f JOIN (
+      SELECT seed_id, arg_min(i, (-g, pos)) AS bid, max(g) AS gain FROM (
+        SELECT o.seed_id, o.id AS i, o.pos, round(sum(greatest(gr.c - m.held, 0)), 12) AS g FROM (SELECT * FROM fl WHERE NOT picked) o
+        JOIN gr ON gr.seed_id = o.seed_id AND gr.j = o.id JOIN fl m ON m.seed_id = o.seed_id AND m.id = gr.i GROUP BY ALL) GROUP BY seed_id) w USING (seed_id)
+    JOIN gr ON gr.seed_id = f.seed_id AND gr.i = f.id AND gr.j = w.bid)
+), pk AS (SELECT seed_id, id, step, x, score FROM fl WHERE fresh)"""
+_ECHO = """pl AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY id) AS place FROM v), ec AS MATERIALIZED (SELECT * FROM (
+  SELECT a.id AS seed_id, b.id, abs(a.place - b.place) AS distance, list_dot_product(a.e, b.e) AS x,
+    row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e, b.e) DESC, b.id) AS pos
+  FROM pl a JOIN pl b ON a.book_id = b.book_id AND abs(a.place - b.place) >= 12 WHERE list_dot_product(a.e, b.e) >= 0 AND list_dot_product(a.e, b.e) < 0.97) WHERE pos <= 120)"""
+_WALK = """wk AS (
+  SELECT 0 AS hop, id AS seed_id, id, e, [book_id] AS books, NULL::BIGINT AS from_id, NULL::DOUBLE AS h FROM v
+  UNION ALL SELECT hop + 1, seed_id, id, e, list_append(books, book_id), was, d FROM (
+    SELECT wk.hop, wk.seed_id, v.id, v.e, wk.books, v.book_id, wk.id AS was, list_dot_product(wk.e, v.e) AS d,
+      row_number() OVER (PARTITION BY wk.seed_id ORDER BY list_dot_product(wk.e, v.e) DESC, v.id) AS k
+    FROM wk JOIN v ON NOT list_contains(wk.books, v.book_id) WHERE wk.hop < 4 AND list_dot_product(wk.e, v.e) >= 0.15 AND list_dot_product(wk.e, v.e) < 0.97) WHERE k = 9)"""
+
 ORACLE_SQL = {
+    "band_mmr": f"WITH RECURSIVE {_BAND_V}, {_mmr('bd', 0.4)} SELECT seed_id, id, step::INT AS pos, round(x, 6) AS similarity, round(score, 6) AS score FROM mmr",
+    "spread_dpp": f"WITH RECURSIVE {_BAND_V}, {_DPP}, {_COVERS} {_SPREAD_OUT}",
+    "spread_facility": f"WITH RECURSIVE {_BAND_V}, {_FACILITY}, {_COVERS} {_SPREAD_OUT}",
+    "echo": f"WITH RECURSIVE {_V}, {_ECHO}, {_mmr('ec', 0.6)} SELECT seed_id, id, step::INT AS pos, round(x, 6) AS similarity, round(score, 6) AS score FROM mmr",
+    "walk": f"""WITH RECURSIVE {_V}, {_WALK} SELECT seed_id, wk.id, hop::INT AS hop, round(list_dot_product(wk.e, s.e), 6) AS similarity, round(h, 6) AS hop_similarity, from_id
+        FROM wk JOIN v s ON s.id = seed_id WHERE hop > 0""",
+    "note_records": r"""WITH c AS (SELECT conv_id * 1000 + turn AS note_id, text, role FROM conversations)
+        SELECT note_id, 0::INT AS n, 'sutra' AS type, 'seed' AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, false AS inline, NULL::INT AS parent FROM c
+        UNION ALL SELECT note_id, 1, 'correlate', 'edge', role, true, NULL FROM c""",
+    "note_seeds": r"SELECT conv_id * 1000 + turn AS note_id, 'seed' AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations",
+    "md_highlights": r"""SELECT conv_id, turn, 'md' AS fmt, 0::INT AS pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS quote, '' AS note FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""",
     "plain_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",
     "corpus_rank": f"""WITH {_PLAIN}, r AS (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim)
         SELECT seed_id, id, pos::INT AS pos, rank, (SELECT count(*) FROM v) AS corpus_size FROM plain JOIN r USING (seed_id, id) WHERE pos <= 3""",
@@ -134,7 +219,7 @@ ORACLE_SQL = {
         SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, id) AS pos FROM bm) WHERE pos <= 8""",
     "lexical_chunk": f"""WITH {_TOK}, q AS (SELECT id AS seed_id, term FROM dt), {_BM25}, {_CHUNK_TOP}
         SELECT seed_id, id, pos::INT AS pos, score, n_terms FROM lx WHERE pos <= 8""",
-    "hybrid_rrf": f"""WITH {_PLAIN}, {_TOK}, q AS (SELECT id AS seed_id, term FROM dt WHERE id IN (SELECT id FROM v)), {_BM25}, {_CHUNK_TOP}, f AS (
+    "hybrid_rrf": f"""WITH {_PLAIN}, {_TOK}, q AS (SELECT id AS seed_id, term FROM dt WHERE id IN (SELECT id FROM v)), {_BM25}, {_ANY_TOP}, f AS (
         SELECT coalesce(a.seed_id, b.seed_id) AS seed_id, coalesce(a.id, b.id) AS id, a.pos AS dr, b.pos AS lr,
           coalesce(1.0::DOUBLE / (60 + a.pos), 0) + coalesce(1.0::DOUBLE / (60 + b.pos), 0) AS score
         FROM (SELECT seed_id, id, pos FROM plain) a FULL JOIN (SELECT seed_id, id, pos FROM lx) b ON a.seed_id = b.seed_id AND a.id = b.id)
@@ -186,10 +271,13 @@ ORACLE_SQL = {
     "sections_greedy": f"""WITH RECURSIVE {_SECTIONS}
       SELECT book_id, section::INT AS section, count(*) AS n_units, min(id) AS first_id, max(id) AS last_id, sum(words)::BIGINT AS words FROM r GROUP BY ALL""",
     "toc": """WITH m AS (
-        SELECT source AS book_id, doc_id AS id, lang AS title, row_number() OVER w - 1 AS place, lang IS NOT NULL AND lag(lang) OVER w IS DISTINCT FROM lang AS turn
-        FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)
-      ), c AS (SELECT *, sum(turn::INT) OVER (PARTITION BY book_id) AS turns FROM m)
-      SELECT book_id, id, CASE WHEN turns >= 3 THEN title END AS title FROM c WHERE CASE WHEN turns >= 3 THEN turn ELSE place % 25 = 0 END""",
+        SELECT source AS book_id, doc_id AS id, CASE WHEN trim(lang) <> '' THEN trim(lang) END AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents
+      ), t AS (
+        SELECT *, title IS NOT NULL AND title IS DISTINCT FROM last_value(title IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn,
+          count(title) OVER (PARTITION BY book_id) AS titled FROM m
+      ), c AS (SELECT *, sum(turn::INT) OVER (PARTITION BY book_id) AS turns, sum(turn::INT) OVER (PARTITION BY book_id ORDER BY id) AS k FROM t)
+      SELECT book_id, id, title FROM c WHERE titled >= 3 AND turn AND (k - 1) % (CASE WHEN turns > 300 THEN greatest(1, turns // 120) ELSE 1 END) = 0
+      UNION ALL SELECT book_id, id, 'Passage ' || (place + 1) FROM c WHERE titled < 3 AND place % 25 = 0""",
     "semantic_cuts": f"""WITH {_V}, l AS (SELECT id, e, lag(e) OVER (PARTITION BY book_id ORDER BY id) AS f FROM v)
         SELECT id, round(list_dot_product(e, f), 6) AS cosine, list_dot_product(e, f) < 0.55 AS cut FROM l WHERE f IS NOT NULL""",
     "detect_book": f"WITH {_HELD} SELECT quote_id, book_id, ((length(text) - length(replace(text, quote, ''))) // length(quote))::BIGINT AS hits FROM h",
@@ -301,3 +389,76 @@ ORACLE_SQL = {
       SELECT doc_id, {_CLIP("x", 280)} AS summary FROM s""",
     "labels_merged": "SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END AS quality, toxic FROM labels",
 }
+
+_RANK = "rk AS (SELECT seed_id, id, x, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim)"
+
+
+def _contract(key: str, rows: str, why: str, score: str, places: int = 4) -> str:
+    """The contract's columns over `rows` (seed_id, id, pos and more)."""
+    return f"""SELECT t.seed_id, t.id, t.pos::INT AS pos, round(rk.x, 4) AS similarity, rk.rank, (SELECT count(*) FROM v) AS corpus_size, round({score}, {places}) AS score,
+        '{key}' AS path, {why} AS why FROM {rows} t LEFT JOIN rk ON rk.seed_id = t.seed_id AND rk.id = t.id"""
+
+
+_HASHED = """w AS (SELECT id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM src),
+  h AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS s FROM w),
+  x AS (SELECT id, k, sum(s)::DOUBLE AS x FROM h GROUP BY ALL), l AS (SELECT id, sqrt(sum(x * x)) AS l FROM x GROUP BY id)
+  SELECT src.id, round(coalesce(sum(k * x / CASE WHEN l = 0 THEN 1 ELSE l END), 0), 6) AS moment, coalesce(sum((x <> 0)::INT), 0)::BIGINT AS n FROM src LEFT JOIN x USING (id) LEFT JOIN l USING (id) GROUP BY src.id"""
+_IMPORTED = f"""{_HELD}, bk AS (SELECT doc_id AS book_id, text FROM documents), im AS (
+  SELECT quote_id AS item, book_id, quote FROM h UNION SELECT item_id, item_id, text FROM benchmark
+), an AS (
+  SELECT item * 1000000 + book_id AS quote_id, item, book_id, quote, text, coalesce((length(text) - length(replace(text, quote, ''))) / length(quote), 0) AS times FROM im LEFT JOIN bk USING (book_id))"""
+
+ORACLE_SQL |= {
+    "connect_plain": f"WITH {_PLAIN}, {_RANK} " + _contract("plain", "(SELECT * FROM plain WHERE pos <= 8)", "'#' || (rank + 1) || ' nearest by surface similarity'", "rk.x"),
+    "connect_band": f"WITH RECURSIVE {_BAND_V}, {_mmr('bd', 0.4)}, {_RANK} "
+    + _contract("band", "(SELECT *, step AS pos FROM mmr)", "'in the resonance band — #' || (rank + 1) || ' of ' || (SELECT count(*) FROM v) || ' by similarity, past the obvious top matches, from another book'", "rk.x"),
+    "connect_spread": f"WITH RECURSIVE {_BAND_V}, {_DPP}, {_COVERS}, {_RANK}, sp AS (SELECT pk.*, step AS pos, coalesce(covers, 0) AS covers, (SELECT count(*) FROM bd WHERE bd.seed_id = pk.seed_id) AS n FROM pk LEFT JOIN cv USING (seed_id, id)) "
+    + _contract("spread", "sp", "'set-spread pick ' || t.pos || ' — covers ' || covers || ' of ' || n || ' band passages, sim ' || printf('%.2f', rk.x) || ', #' || (rank + 1) || ' of ' || (SELECT count(*) FROM v) || ' by similarity'", "t.score"),
+    "connect_echo": f"WITH RECURSIVE {_SIM}, {_ECHO}, {_mmr('ec', 0.6)}, {_RANK} "
+    + _contract("echo", "(SELECT mmr.*, step AS pos, distance FROM mmr JOIN ec USING (seed_id, id))", "'same book, ' || distance || ' passages away — sim ' || printf('%.2f', rk.x)", "rk.x"),
+    "connect_walk": f"WITH RECURSIVE {_SIM}, {_WALK}, {_RANK} "
+    + _contract("walk", "(SELECT *, hop AS pos FROM wk WHERE hop > 0)", "'hop ' || hop || ' from ' || from_id || ' — sim ' || printf('%.2f', h) || ' to the previous step'", "h"),
+    "connect_structural": f"WITH {_SIM}, {_STRUCT}, {_RANK} " + _contract("structural", "structural", "'same move (' || printf('%.2f', y) || ' structural vs ' || printf('%.2f', rk.x) || ' surface)'", "y"),
+    "connect_marks": f"WITH {_SIM}, {_MARKS}, {_RANK} "
+    + _contract("marks", "(SELECT marked.*, trim(quote) AS q FROM marked JOIN m ON m.target = marked.id)", f"'your highlight — “' || {_CLIP('q', 80)} || '”'", "t.x"),
+    "connect_lexical": f"""WITH {_SIM}, {_TOK}, q AS (SELECT id AS seed_id, term FROM dt WHERE id IN (SELECT id FROM v)), bm AS (
+        SELECT q.seed_id, p.id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list(term)) AS terms
+        FROM q JOIN idf USING (term) JOIN p USING (term) GROUP BY ALL HAVING score > 0), {_RANK}, lx AS (
+        SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, id) AS pos FROM bm WHERE seed_id <> id) """
+    + _contract("lexical", "(SELECT * FROM lx WHERE pos <= 8)", "'keyword match: ' || array_to_string(terms[1:6], ', ') || CASE WHEN len(terms) > 6 THEN ' (+' || (len(terms) - 6) || ' more)' ELSE '' END", "t.score", 6),
+    "connect_hybrid": f"""WITH {_PLAIN}, {_TOK}, q AS (SELECT id AS seed_id, term FROM dt WHERE id IN (SELECT id FROM v)), {_BM25}, {_ANY_TOP}, f AS (
+        SELECT coalesce(a.seed_id, b.seed_id) AS seed_id, coalesce(a.id, b.id) AS id, a.pos AS dr, b.pos AS lr, coalesce(1.0::DOUBLE / (60 + a.pos), 0) + coalesce(1.0::DOUBLE / (60 + b.pos), 0) AS score
+        FROM (SELECT seed_id, id, pos FROM plain) a FULL JOIN (SELECT seed_id, id, pos FROM lx) b ON a.seed_id = b.seed_id AND a.id = b.id
+      ), g AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, coalesce(dr, 1000000000), coalesce(lr, 1000000000), id) AS pos FROM f), {_RANK} """
+    + _contract("hybrid", "(SELECT * FROM g WHERE pos <= 8)", "CASE WHEN dr IS NULL THEN 'keyword only #' || lr WHEN lr IS NULL THEN 'dense only #' || dr ELSE 'dense #' || dr || ' + keyword #' || lr END", "t.score", 6),
+    "wander": f"""WITH RECURSIVE {_SIM}, {_BAND}, nx AS (SELECT seed_id AS a, id AS b FROM band WHERE pos = 9), wn AS (
+        SELECT v.id AS seed_id, 1 AS step, a AS from_id, b AS id FROM v JOIN nx ON a = v.id
+        UNION ALL SELECT seed_id, step + 1, a, b FROM wn JOIN nx ON a = wn.id WHERE step < 3) SELECT seed_id, step::INT AS step, from_id, id FROM wn""",
+    "engine_list": """SELECT * FROM (VALUES ('band', 0, 'vectors', true), ('spread', 1, 'vectors', true), ('plain', 2, 'vectors', false), ('lexical', 3, 'texts', false),
+        ('hybrid', 4, 'vectors,texts', true), ('echo', 5, 'vectors', true), ('concept', 6, 'links,edges', true), ('walk', 7, 'vectors', true), ('marks', 8, 'vectors,marks', true),
+        ('structural', 9, 'vectors,second', true), ('fused', 10, 'vectors', true)) t(engine, place, needs, gated)""",
+    "theme_embedding": f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {_HASHED}",
+    "corpus_embedding": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_HASHED}",
+    "annotations_created": f"""WITH {_IMPORTED} SELECT quote_id, CASE WHEN times = 1 THEN book_id::VARCHAR ELSE 'book:' || book_id END AS target,
+        CASE WHEN times = 1 THEN instr(text, quote) - 1 END::BIGINT AS start, CASE WHEN times = 1 THEN instr(text, quote) - 1 + length(quote) END::BIGINT AS "end",
+        times <> 1 AS orphaned, CASE WHEN times = 1 THEN 1 END::INT AS n_chunks FROM an""",
+    "import_counts": f"""WITH {_IMPORTED} SELECT book_id, sum((times = 1 AND book_id % 3 <> 0)::INT)::BIGINT AS imported, sum((times <> 1 AND book_id % 3 <> 0)::INT)::BIGINT AS orphaned,
+        sum(1 + (book_id % 3 = 0)::INT)::BIGINT AS duplicate, 2 * count(*) AS total FROM an GROUP BY book_id""",
+    "annotations_listed": "SELECT doc_id AS annotation_id, source || '#' || doc_id AS target FROM labels JOIN documents USING (doc_id) WHERE toxic IS DISTINCT FROM 1 AND doc_id % 5 <> 0",
+    "book_annotations": """SELECT doc_id AS annotation_id, source AS book_id, row_number() OVER (PARTITION BY source ORDER BY source || '#' || doc_id, n_chars, doc_id)::INT AS pos
+        FROM labels JOIN documents USING (doc_id)""",
+    "mark_passages": """WITH m AS (SELECT doc_id AS n FROM labels), d AS (SELECT doc_id AS id FROM documents), c AS (
+        SELECT n, CASE WHEN n % 3 = 0 THEN CASE WHEN n + 1 IN (SELECT id FROM d) THEN n + 1 WHEN n + 2 IN (SELECT id FROM d) THEN n + 2 END
+          WHEN n % 3 = 1 AND n + 3 IN (SELECT id FROM d) THEN n + 3 END AS a, CASE WHEN n % 7 IN (SELECT id FROM d) THEN n % 7 END AS b FROM m)
+      SELECT n AS mark_id, coalesce(a, b) AS id FROM c WHERE coalesce(a, b) IS NOT NULL""",
+    "sparks_labelled": """SELECT doc_id AS passage_id, (quality = 1)::INT AS label, CASE WHEN quality = 1 THEN 'Reading rhythm drew you here — slow' END AS note FROM labels""",
+    "selection_anchors": f"""WITH {_HELD}, s AS (SELECT quote_id || ':' || book_id AS span_id, quote, text, instr(text, quote) - 1 AS a FROM h)
+      SELECT span_id, quote, substr(text, greatest(0, a - 32) + 1, a - greatest(0, a - 32)) AS prefix, substr(text, a + length(quote) + 1, 32) AS suffix FROM s""",
+    "book_payload": """SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS pos, doc_id AS id, count(*) OVER (PARTITION BY source) AS n_chunks FROM documents""",
+    "log_cleared": "SELECT user_id AS book, count(*) AS n FROM events WHERE user_id <> 7 GROUP BY user_id",
+    "compare_basis": f"""WITH {_PLAIN}, {_STRUCT} SELECT s.seed_id, s.id, s.pos::INT AS pos, p.id IS NOT NULL AS shared FROM structural s LEFT JOIN plain p ON p.seed_id = s.seed_id AND p.id = s.id AND p.pos <= 8""",
+    "doc_graph": f"""WITH {_CONCEPT}, pr AS (SELECT a.id AS seed_id, b.id, count(*) AS shared FROM cc a JOIN cc b ON a.label = b.label AND a.id <> b.id GROUP BY ALL HAVING count(*) >= 2)
+      SELECT seed_id, id, shared, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY shared DESC, id) AS pos FROM pr) WHERE pos <= 4""",
+    "section_heads": f"""WITH RECURSIVE {_SECTIONS} SELECT book_id, section::INT AS section, coalesce(arg_min(lang, id) FILTER (trim(lang) <> ''), '') AS heading,
+        min(id % 97)::INT AS page_start, max(id % 97)::INT AS page_end FROM r JOIN documents ON doc_id = id GROUP BY ALL""",
+}

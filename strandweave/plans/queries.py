@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as T
-from strandweave.operators import anchors, concepts, engines, lexical, library, passages, reader, reports, rhythm
+from strandweave.operators import anchors, annotations, concepts, embedding, engines, lexical, library, passages, reader, reports, rhythm
+from strandweave.session import Corpus, Session
+from strandweave.shared import shared_folder, stored
 from strandweave.sources import tables as S
-from strandweave.sources.files import ImportAnnotations
+from strandweave.sources.files import ImportAnnotations, without_book
 from strandweave.streaming import rhythm as stream
 
 FLOOR = 0.35
@@ -76,7 +75,7 @@ def spread_facility(spark, d):
 @query
 def echo(spark, d):
     v = S.vec_chunks(spark, d)
-    return _six(engines.echo(v, v, min_sim=0.0), "similarity", "score")
+    return _six(engines.echo(v, v, min_sim=0.0), "similarity", "score").drop("distance")
 
 
 @query
@@ -101,15 +100,6 @@ def marks_best(spark, d):
     return _six(engines.marks_recall(S.vec_chunks(spark, d), S.marks(spark, d)), "similarity")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, so that what uses it several times computes it once."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    path = f"{base}/strandweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query
 def fused(spark, d):
     v, two = S.vec_chunks(spark, d), _two_spaces(spark, d)
@@ -117,9 +107,9 @@ def fused(spark, d):
     books = v.select("id", "book_id")
     chunks = S.text_chunks(spark, d).drop("book_id").join(books, "id")
     bridges = S.edges(spark, d).join(books.select(F.col("id").alias("provenance")), "provenance", "left_semi")
-    graph = _written(concepts.graph_weights(_written(concepts.chunk_concepts(chunks), "concepts"), bridges), "concept-graph")
+    graph = stored(concepts.graph_weights(stored(concepts.chunk_concepts(chunks), "concepts"), bridges), "concept-graph")
     paths = {
-        "band": engines.band(v, v, k=12), "concept": _written(concepts.page_rank(graph, books, k=12), "concept-picks"),
+        "band": engines.band(v, v, k=12), "concept": stored(concepts.page_rank(graph, books, k=12), "concept-picks"),
         "marks": engines.marks_recall(v, S.marks(spark, d), k=12), "structural": engines.structural(two, two, k=12),
     }
     return _six(engines.fuse(paths, v, v), "similarity", "score")
@@ -180,7 +170,7 @@ def distinctive_terms(spark, d):
 def lexical_theme(spark, d):
     index = lexical.LexicalIndex(S.text_chunks(spark, d))
     themes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return lexical.lexical(index, lexical.theme_terms(themes))
+    return lexical.lexical(index, lexical.theme_terms(themes)).drop("terms")
 
 
 @query
@@ -188,7 +178,7 @@ def lexical_chunk(spark, d):
     chunks = S.text_chunks(spark, d)
     index = lexical.LexicalIndex(chunks)
     asked = index.distinctive_terms().select(F.col("id").alias("seed_id"), "term")
-    return lexical.lexical(index, asked, books=chunks)
+    return lexical.lexical(index, asked, books=chunks).drop("terms")
 
 
 @query
@@ -196,7 +186,7 @@ def hybrid_rrf(spark, d):
     v, chunks = S.vec_chunks(spark, d), S.text_chunks(spark, d)
     index = lexical.LexicalIndex(chunks)
     asked = index.distinctive_terms().select(F.col("id").alias("seed_id"), "term").join(v.select(F.col("id").alias("seed_id")), "seed_id", "left_semi")
-    fused_ = lexical.reciprocal_fusion(engines.plain(v, v, 50), lexical.lexical(index, asked, 50, books=chunks))
+    fused_ = lexical.reciprocal_fusion(engines.plain(v, v, 50), lexical.lexical(index, asked, 50, passage_seeds=True))
     return fused_.select("seed_id", "id", "pos", "why", F.round("score", 9).alias("score"))
 
 
@@ -327,8 +317,7 @@ def heat_portrait(spark, d):
 def rhythm_stream(spark, d):
     """Closed visits of the event log read as a stream, in one run to its end."""
     schema = S.table(spark, d, "events").schema
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    out = f"{base}/strandweave/stream-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "stream")
     source = spark.readStream.schema(schema).parquet(d, pathGlobFilter="events.parquet", recursiveFileLookup=False)
     flow = stream.intervals(S.reading_events(source))
     flow.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
@@ -483,7 +472,7 @@ def rag_context(spark, d):
 
 def _notes(spark, d):
     c = S.table(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.concat(F.lit("<seed>"), "text", F.lit("</seed>\n(q) "), "role").alias("text"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.concat(F.lit("<sutra>"), "text", F.lit("</sutra>\n"), "role", F.lit("(corr)")).alias("text"))
 
 
 @query
@@ -644,3 +633,177 @@ def labels_merged(spark, d):
     """Labels after an update that takes quality from toxic documents."""
     labels = S.table(spark, d, "labels")
     return reader.merged(labels, labels.where("toxic = 1").select("doc_id", F.lit(0).alias("quality")), "doc_id")
+
+
+# Sessions: every engine behind the contract.
+
+_PICK = ("seed_id", "id", "pos", "similarity", "rank", "corpus_size", "score", "path", "why")
+
+
+def _session(spark, d, *needs) -> Session:
+    v = S.vec_chunks(spark, d)
+    corpus = Corpus(v)
+    if "texts" in needs:
+        corpus.texts = S.text_chunks(spark, d)
+    if "second" in needs:
+        corpus.second = S.structural_chunks(spark, d).select("id", F.col("vec").alias("svec"))
+    if "marks" in needs:
+        corpus.marks = S.marks(spark, d)
+    if "links" in needs:
+        books = v.select("id", "book_id")
+        corpus.links = stored(concepts.chunk_concepts(S.text_chunks(spark, d).drop("book_id").join(books, "id")), "concepts")
+        corpus.edges = S.edges(spark, d).join(books.select(F.col("id").alias("provenance")), "provenance", "left_semi")
+    return Session(corpus)
+
+
+def _connected(engine: str, *needs, **params):
+    def run(spark, d):
+        session = _session(spark, d, *needs)
+        return session.connect(engine, session.passages(), **params).select(*_PICK)
+
+    run.__name__ = f"connect_{engine}"
+    return query(run)
+
+
+_connected("plain")
+_connected("band")
+_connected("spread")
+_connected("echo", min_sim=0.0)
+_connected("walk", k=4)
+_connected("structural", "second")
+_connected("marks", "marks")
+_connected("lexical", "texts")
+_connected("hybrid", "texts")
+_connected("concept", "links")
+_connected("fused", "links", "marks", "second")
+
+
+@query
+def wander(spark, d):
+    session = _session(spark, d)
+    return session.wander(session.passages(), 3)
+
+
+@query
+def engine_list(spark, d):
+    rows = [(e["key"], i, ",".join(e["needs"]), e["gated"]) for i, e in enumerate(_session(spark, d).engines())]
+    return spark.createDataFrame(rows, "engine string, place int, needs string, gated boolean")
+
+
+@query
+def theme_embedding(spark, d):
+    themes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    got = embedding.theme_seeds(themes).select("id", F.posexplode("vec").alias("k", "x"))
+    return got.groupBy("id").agg(F.round(F.sum(F.col("k") * F.col("x")), 6).alias("moment"), F.sum((F.col("x") != 0).cast("int")).alias("n"))
+
+
+@query
+def corpus_embedding(spark, d):
+    docs = S.text_chunks(spark, d)
+    got = embedding.embed(docs).select("id", F.posexplode("vec").alias("k", "x"))
+    return got.groupBy("id").agg(F.round(F.sum(F.col("k") * F.col("x")), 6).alias("moment"), F.sum((F.col("x") != 0).cast("int")).alias("n"))
+
+
+# Annotations.
+
+
+def _whole(spark, d):
+    docs = S.table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("book_id"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
+
+
+def _imported(spark, d):
+    """Each benchmark passage as a quote of every document that holds it, and of one that may not."""
+    quotes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("quote"))
+    held = anchors.contained(quotes.withColumnRenamed("item", "quote_id"), _books(spark, d)).select(F.col("quote_id").alias("item"), "book_id")
+    every = held.unionByName(quotes.select("item", F.col("item").alias("book_id"))).distinct().join(quotes, "item")
+    return every.select((F.col("item") * 1000000 + F.col("book_id")).alias("quote_id"), "book_id", "quote", F.lit("").alias("note"))
+
+
+@query
+def annotations_created(spark, d):
+    asked = _imported(spark, d).withColumns({"prefix": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
+    return annotations.anchored(asked, _books(spark, d), _whole(spark, d)).select("quote_id", "target", "start", "end", "orphaned", F.size("chunk_ids").alias("n_chunks"))
+
+
+@query
+def import_counts(spark, d):
+    pairs = _imported(spark, d)
+    again = pairs.withColumn("quote_id", F.col("quote_id") + 500000)
+    known = annotations.with_hash(pairs.where("book_id % 3 = 0"), annotations.PAGE_OF_MARKDOWN)
+    return annotations.import_report(pairs.unionByName(again), known, _books(spark, d), _whole(spark, d))
+
+
+def _annotations(spark, d):
+    docs = S.table(spark, d, "labels").join(S.table(spark, d, "documents"), "doc_id")
+    return docs.select(
+        F.col("doc_id").alias("annotation_id"), F.when(F.col("quality") == 1, F.col("source")).alias("book_id"), F.concat_ws("#", "source", F.col("doc_id").cast("string")).alias("target"),
+        F.when(F.col("toxic") == 1, "ai").alias("source"), F.col("n_chars").alias("created"), (F.col("doc_id") % 5 == 0).alias("orphaned"),
+    )
+
+
+@query
+def annotations_listed(spark, d):
+    return annotations.listed(_annotations(spark, d), source="reader", orphaned=False).select("annotation_id", "target")
+
+
+@query
+def book_annotations(spark, d):
+    return annotations.of_books(_annotations(spark, d))
+
+
+@query
+def mark_passages(spark, d):
+    """Marks that name passages in several ways, some of which there aren't."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    n = F.col("doc_id")
+    made = S.table(spark, d, "labels").select(
+        n.alias("mark_id"), F.when(n % 3 == 0, F.array(n + 10**9, n + 1, n + 2)).alias("chunk_ids"), F.when(n % 3 == 1, n + 3).alias("target"), (n % 7).alias("passage_id")
+    )
+    return annotations.mark_targets(made, docs)
+
+
+@query
+def sparks_labelled(spark, d):
+    n = F.col("doc_id")
+    acts = S.table(spark, d, "labels").select(F.lit("b").alias("book_id"), n.alias("passage_id"), F.when(F.col("quality") == 1, "keep").otherwise("dismiss").alias("action"), F.lit("slow").alias("evidence"))
+    kept, labels = annotations.sparks(acts)
+    return labels.join(kept.select("passage_id", "note"), "passage_id", "left").select("passage_id", "label", "note")
+
+
+@query
+def selection_anchors(spark, d):
+    spans = anchor_exact(spark, d).select(
+        F.concat_ws(":", F.col("quote_id").cast("string"), F.col("book_id").cast("string")).alias("span_id"), "book_id", "start", (F.col("start") + F.col("n_chars")).alias("end")
+    )
+    return annotations.selection_anchor(spans, _books(spark, d))
+
+
+@query
+def book_payload(spark, d):
+    return annotations.book_rows(S.text_chunks(spark, d))
+
+
+@query
+def log_cleared(spark, d):
+    left = without_book(S.reading_events(S.table(spark, d, "events")), 7)
+    return left.groupBy("book").agg(F.count("*").alias("n"))
+
+
+@query
+def compare_basis(spark, d):
+    """Structural picks, with whether the nearest by surface have them too."""
+    v, two = S.vec_chunks(spark, d), _two_spaces(spark, d)
+    basis = engines.plain(v, v).select("seed_id", "id", F.lit(True).alias("both"))
+    return engines.structural(two, two).select("seed_id", "id", "pos").join(basis, ["seed_id", "id"], "left").select("seed_id", "id", "pos", F.coalesce("both", F.lit(False)).alias("shared"))
+
+
+@query
+def doc_graph(spark, d):
+    return concepts.shared_concepts(stored(concepts.chunk_concepts(S.text_chunks(spark, d)), "concepts"))
+
+
+@query
+def section_heads(spark, d):
+    docs = S.table(spark, d, "documents")
+    return passages.section_heads(docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("id"), "text", F.col("lang").alias("heading"), (F.col("doc_id") % 97).cast("int").alias("page")))

@@ -46,74 +46,122 @@ def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return hashed.join(manifest, ["path", "sha256"], "left_anti")
 
 
-def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Inserts `new`; a row of `current` with the same key gives way."""
-    return current.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(current: DataFrame, new: DataFrame, key: str, refreshed: str = "note") -> DataFrame:
+    """Inserts the rows of `new` whose key is unknown; of a known one only `refreshed` is taken.  Of repeats in `new` the least row counts."""
+    one = new.groupBy(key).agg(F.min(F.struct(*(c for c in new.columns if c != key))).alias("__r")).select(key, "__r.*")
+    notes = one.select(F.col(key).alias("__key"), F.col(refreshed).alias("__new"))
+    kept = current.join(notes, F.col(key) == F.col("__key"), "left")
+    kept = kept.withColumn(refreshed, F.when(F.col("__key").isNotNull(), F.col("__new")).otherwise(F.col(refreshed))).select(*current.columns)
+    return kept.unionByName(one.join(current.select(key), key, "left_anti").select(*current.columns))
 
 
-_QUOTE_KEYS = ("quote", "text", "highlight", "highlighted_text", "content")
-_NOTE_KEYS = ("note", "comment", "annotation", "memo")
+def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
+    """One JSON object a line: overwrites the folder, or adds files to it."""
+    df.write.mode("append" if append else "overwrite").json(path)
 
 
-def _first(row: dict, keys: tuple[str, ...]) -> str:
-    low = {str(k).strip().lower(): v for k, v in row.items() if k is not None}
-    return next((str(low[k]).strip() for k in keys if low.get(k)), "")
-
-
-def markdown_annotations(text: str) -> Iterator[tuple[str, str]]:
-    """(quote, note) of ==highlights== and of block quotes with the lines after them as the note."""
-    for found in re.finditer(r"==(.+?)==", text, re.S):
-        yield found[1].strip(), ""
-    for part in re.split(r"\n\s*\n", text):
-        lines = part.strip().splitlines()
-        quoted = [x.lstrip()[1:].strip() for x in lines if x.lstrip().startswith(">")]
-        if quoted and (quote := " ".join(filter(None, quoted))):
-            yield quote, " ".join(x.strip() for x in lines if not x.lstrip().startswith(">")).strip()
+def without_book(events: DataFrame, book: object) -> DataFrame:
+    """A log without one book's rows; rows without a book stay."""
+    return events.where(~F.col("book").eqNullSafe(F.lit(book)) | F.col("book").isNull())
 
 
-def json_annotations(text: str) -> Iterator[tuple[str, str]]:
-    def walk(node) -> Iterator[tuple[str, str]]:
-        if isinstance(node, dict):
-            if quote := _first({k: v for k, v in node.items() if isinstance(v, str)}, _QUOTE_KEYS):
-                yield quote, _first({k: v for k, v in node.items() if isinstance(v, str)}, _NOTE_KEYS)
-            else:
-                for v in node.values():
-                    yield from walk(v)
-        elif isinstance(node, list):
-            for v in node:
-                yield from walk(v)
+#: Names that exports give the quote, the note and the list of records.
+QUOTE_KEYS = ("quote", "text", "highlight", "highlighted_text", "highlightedText", "selected_text", "selectedText", "content", "body")
+NOTE_KEYS = ("note", "notes", "comment", "annotation", "remark")
+LIST_KEYS = ("highlights", "annotations", "bookmarks", "items", "entries", "notes")
 
-    try:
-        yield from walk(json.loads(text))
-    except ValueError:
-        return
+Pairs = Iterator[tuple[str, str]]
 
 
-def csv_annotations(text: str) -> Iterator[tuple[str, str]]:
-    for row in csv.DictReader(io.StringIO(text)):
-        if quote := _first(row, _QUOTE_KEYS):
-            yield quote, _first(row, _NOTE_KEYS)
+def _flat(value) -> str:
+    return " ".join(str(value).split())
 
 
-def lua_annotations(text: str) -> Iterator[tuple[str, str]]:
-    """(text, notes) of an e-reader's Lua sidecar, entry by entry."""
-    for entry in re.findall(r"\{([^{}]*)\}", text):
-        fields = dict(re.findall(r'\["(\w+)"\]\s*=\s*"((?:[^"\\]|\\.)*)"', entry))
-        if fields.get("text") or fields.get("notes"):
-            clean = lambda s: s.replace('\\"', '"').replace("\\n", " ").replace("\\\n", " ").strip()
-            yield clean(fields.get("text") or fields["notes"]), clean(fields.get("note", ""))
-
-
-FORMATS = {"md": markdown_annotations, "json": json_annotations, "csv": csv_annotations, "lua": lua_annotations}
+def _first(row: dict, keys: tuple[str, ...]) -> str:
+    return next((_flat(row[k]) for k in keys if isinstance(row.get(k), str) and row[k].strip()), "")
 
 
-def sniff(filename: str, text: str) -> str:
-    """Format by extension, else by how the text begins."""
-    ext = filename.rpartition(".")[2].lower()
-    if ext in FORMATS:
-        return ext
-    start = text.lstrip()[:1]
-    return "json" if start in ("{", "[") else "lua" if "return {" in text[:200] else "csv" if "," in text.partition("\n")[0] else "md"
+def markdown_annotations(text: str) -> Pairs:
+    """(quote, note) of ==highlights==, then of block quotes; one plain line right after a quote is its note."""
+    for found in re.finditer(r"==(.+?)==", text, re.S):
+        if quote := _flat(found[1]):
+            yield quote, ""
+    held: list[str] = []
+    for line in [*text.splitlines(), None]:
+        bare = (line or "").lstrip()
+        if bare.startswith(">"):
+            held.append(bare[1:])
+        elif held:
+            quote, held = _flat(" ".join(held)), []
+            if quote:
+                yield quote, "" if not bare.strip() or bare.startswith("#") else bare.strip().lstrip("—-").strip()
+
+
+def json_annotations(text: str) -> Pairs:
+    """(quote, note) of a list of records or strings, bare, under a known name, or of an object whose values are all records."""
+    data = json.loads(text)
+    if isinstance(data, dict):
+        named = next((data[k] for k in LIST_KEYS if isinstance(data.get(k), list)), None)
+        values = list(data.values())
+        data = named if named is not None else values if values and all(isinstance(v, dict) for v in values) else []
+    for entry in data if isinstance(data, list) else ():
+        quote, note = (_flat(entry), "") if isinstance(entry, str) else (_first(entry, QUOTE_KEYS), _first(entry, NOTE_KEYS)) if isinstance(entry, dict) else ("", "")
+        if quote:
+            yield quote, note
+
+
+def csv_annotations(text: str) -> Pairs:
+    """(quote, note) by the names in the first row, else of the first two columns of all rows."""
+    rows = list(csv.reader(io.StringIO(text)))
+    names = [c.strip().lower() for c in rows[0]] if rows else []
+    at = lambda keys: next((i for i, c in enumerate(names) if c in keys), None)
+    quote_at, note_at = at(QUOTE_KEYS), at(NOTE_KEYS)
+    if quote_at is None:
+        quote_at, note_at = 0, 1 if len(names) > 1 else None
+    else:
+        rows = rows[1:]
+    for row in rows:
+        if quote_at < len(row) and (quote := _flat(row[quote_at])):
+            yield quote, _flat(row[note_at]) if note_at is not None and note_at < len(row) else ""
+
+
+_LUA_TABLE = re.compile(r'\["(?:annotations|highlights|bookmarks)"\]\s*=\s*\{')
+_LUA_FIELD = re.compile(r'\["(text|note)"\]\s*=\s*"((?:[^"\\]|\\.)*)"', re.S)
+_LUA_ESCAPES = {"n": "\n", "t": "\t"}
+
+
+def lua_annotations(text: str) -> Pairs:
+    """(text, note) of an e-reader's Lua sidecar: in its table of highlights each text begins a record."""
+    table = _LUA_TABLE.search(text)
+    clean = lambda s: _flat(re.sub(r"\\(.)", lambda m: _LUA_ESCAPES.get(m[1], m[1]), s, flags=re.S))
+    quote = note = ""
+    for field in _LUA_FIELD.finditer(text, table.end() if table else 0):
+        if field[1] == "note":
+            note = clean(field[2])
+            continue
+        if quote:
+            yield quote, note
+        quote, note = clean(field[2]), ""
+    if quote:
+        yield quote, note
+
+
+FORMATS = {"md": markdown_annotations, "json": json_annotations, "csv": csv_annotations, "koreader": lua_annotations}
+
+
+def parsed(filename: str, text: str) -> tuple[str, list[tuple[str, str]]]:
+    """(format, pairs): by the name, else by how the text looks; what isn't JSON after all is read as CSV."""
+    name = filename.lower()
+    if name.endswith((".md", ".markdown")):
+        return "md", list(markdown_annotations(text))
+    if name.endswith(".lua") or _LUA_TABLE.search(text):
+        return "koreader", list(lua_annotations(text))
+    if name.endswith(".json") or text.lstrip()[:1] in ("[", "{") or not (name.endswith(".csv") or "," in text):
+        try:
+            return "json", list(json_annotations(text))
+        except ValueError:
+            pass
+    return "csv", list(csv_annotations(text))
 
 
 @udtf(returnType="fmt string, pos int, quote string, note string")
@@ -121,6 +169,6 @@ class ImportAnnotations:
     """(filename, content) to one row per annotation, for any format known."""
 
     def eval(self, filename: str, content: str):
-        fmt = sniff(filename or "", content or "")
-        for i, (quote, note) in enumerate(FORMATS[fmt](content or "")):
+        fmt, pairs = parsed(filename or "", content or "")
+        for i, (quote, note) in enumerate(pairs):
             yield fmt, i, quote, note

@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vec_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, book_id, author, vec: the passages that vector engines search."""
+    """id, book_id, author, vec: the passages that vector engines search; rows without a whole vector take no part."""
     e = table(spark, sf_dir, "embeddings")
+    e = e.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
     return e.select(
         F.col("vec_id").alias("id"),
         F.concat(F.lit("b"), "label").alias("book_id"),

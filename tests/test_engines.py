@@ -186,13 +186,20 @@ def test_anchors_resolve_in_tiers(spark):
 
 
 def test_notes_and_imports():
-    notes = list(anchors.parse_note("<seed>whole <q>why?</q> end</seed> (idea) a line\n<claim>open"))
-    assert [(n[1], n[2], n[4]) for n in notes] == [("seed", "whole why? end", None), ("question", "why?", 0), ("idea", "a line", None), ("claim", "open", None)]
-    assert list(files.markdown_annotations("a ==hit== b\n\n> quoted\nmy note")) == [("hit", ""), ("quoted", "my note")]
-    assert list(files.json_annotations('{"x": [{"highlight": "h", "memo": "m"}]}')) == [("h", "m")]
-    assert list(files.csv_annotations("Text,Note\nq,n\n")) == [("q", "n")] and list(files.json_annotations("{")) == []
-    assert list(files.lua_annotations('return { { ["text"] = "q \\"x\\"", ["note"] = "n" } }')) == [('q "x"', "n")]
-    assert files.sniff("a.lua", "") == "lua" and files.sniff("a", "[1]") == "json"
+    notes = list(anchors.parse_note("<sutra>whole <des>why?</des> <rev>lost end</sutra> x\nA line.(corr)\n(ASSERT) open"))
+    assert [(n[0], n[1], n[2], n[3], n[4], n[5]) for n in notes] == [
+        (0, "sutra", "seed", "whole why? lost end", False, None), (1, "describe", "context", "why?", False, 0),
+        (3, "correlate", "edge", "A line.", True, None), (4, "assert", "claim", "open", False, None),
+    ]
+    assert list(anchors.parse_note("no marks (seed)")) == [] and list(anchors.parse_note("</sutra>")) == []
+    md = "a ==hit\nover== b\n\n> quoted\n> on\n— my note\n> bare\n# head"
+    assert list(files.markdown_annotations(md)) == [("hit over", ""), ("quoted on", "my note"), ("bare", "")]
+    assert list(files.json_annotations('{"highlights": [{"highlightedText": "h", "remark": "m"}, "plain", 3]}')) == [("h", "m"), ("plain", "")]
+    assert list(files.json_annotations('{"a": {"body": "q"}, "b": {"note": "n"}}')) == [("q", "")] and list(files.json_annotations('{"x": 1}')) == []
+    assert list(files.csv_annotations("Text,Note\nq,n\n")) == [("q", "n")] and list(files.csv_annotations("q,n\nr")) == [("q", "n"), ("r", "")]
+    lua = 'return { ["title"] = "T", ["text"] = "no", ["annotations"] = { { ["text"] = "q \\"x\\"", ["note"] = "n" }, { ["text"] = "r" } } }'
+    assert files.parsed("a.lua", lua) == ("koreader", [('q "x"', "n"), ("r", "")])
+    assert files.parsed("a", '["q"]') == ("json", [("q", "")]) and files.parsed("a.json", "q,n") == ("csv", [("q", "n")])
 
 
 def test_rhythm_by_hand_and_as_a_stream(spark):

@@ -49,7 +49,7 @@ def test_verdicts_and_contexts(spark):
 
 
 def test_notes_colours_titles_and_formats(spark):
-    notes = spark.createDataFrame([(1, "<seed>a</seed><seed>longer</seed>"), (2, "(todo) x\n(edge) y"), (3, None), (4, "(todo) z")], "note_id long, text string")
+    notes = spark.createDataFrame([(1, "<sutra>a</sutra> <anch>longer</anch>"), (2, "<action>x</action>\ny(corr)"), (3, None), (4, "(action) z")], "note_id long, text string")
     records = library.note_records(notes)
     assert {(r.note_id, r.text) for r in library.note_seed(records).collect()} == {(1, "longer"), (2, "y"), (4, "z")}
     rgb = spark.createDataFrame([(0.74, 0.84, 0.67), (None, 0.1, 0.1), (0.67, 0.8, 0.9)], "r double, g double, b double")
