@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 SCALE = 8.0
 #: What the training rows' counts may hold together, in bytes; further rows are left out of training.
 TRAIN_BYTES = 64 << 20
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Longer words are hashed each time and never kept, so that the cache is bounded in bytes.
 KEPT_CHARACTERS = 256
 SAME = np.uint64(zlib.crc32(b"\0same"))
