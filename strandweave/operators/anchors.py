@@ -130,6 +130,8 @@ def resolve_all(quotes: DataFrame, spines: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["quote_id", "start", "end", "confidence", "tier"])
 
     rest = marked.where(~F.coalesce(single, F.lit(False))).select("quote_id", "quote", "prefix", "suffix", "text")
+    # A fixed count: quotes are too few bytes for AQE to see the work behind them.
+    rest = rest.repartition(max(1, int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "quote_id")
     return easy.unionByName(rest.mapInPandas(hard, "quote_id long, start long, end long, confidence double, tier string"))
 
 
