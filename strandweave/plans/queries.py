@@ -211,7 +211,8 @@ def concept_graph_weights(spark, d):
 @query
 def concept_ppr(spark, d):
     chunks = S.text_chunks(spark, d)
-    return concepts.page_rank(concepts.graph_weights(concepts.chunk_concepts(chunks), S.edges(spark, d)), chunks.select("id", "book_id"))
+    graph = stored(concepts.graph_weights(stored(concepts.chunk_concepts(chunks), "concepts"), S.edges(spark, d)), "concept-graph")
+    return concepts.page_rank(graph, chunks.select("id", "book_id"))
 
 
 @query
