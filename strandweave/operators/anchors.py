@@ -195,21 +195,46 @@ def parse_note(text: str) -> Iterator[tuple[int, str, str, str, bool, int | None
             yield n, s["tag"], TAGS[s["tag"]][1], _MARKER.sub("", text[s["start"] : s["end"]]).strip(), s["inline"], s["parent"]
 
 
+def _holding(short: DataFrame, spines: DataFrame, parts) -> DataFrame:
+    """quote_id, quote, book_id of books with a word (or white space) that holds the longest word of a quote.
+
+    Words are looked up in the books' vocabulary, which grows slower than the books, by a part's first three characters.
+    """
+    longest = F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("less"), x.alias("word"))))
+    part = F.when(F.size("w") > 0, F.try_element_at(longest, F.lit(1))["word"]).otherwise(F.col("quote"))
+    asked = short.select("quote_id", "quote", part.alias("part")).withColumn("gram", F.substring("part", 1, 3))
+    gaps = F.regexp_extract_all("text", F.lit(r"(\s+)"), F.lit(1))
+    held = spines.select("book_id", F.explode(F.array_distinct(F.concat(parts("text"), gaps))).alias("word")).distinct()
+
+    def grams(n: int):
+        # `substr` past the end gives fewer characters, which the filter takes out.
+        cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(F.col("word"), i, F.lit(n)))
+        return F.filter(cut, lambda g: F.length(g) == n)
+
+    vocabulary = held.where("word <> ''").select("word").distinct()
+    vocabulary = vocabulary.select("word", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    words = asked.join(vocabulary, "gram").where(F.contains("word", "part")).select("quote_id", "quote", "word")
+    return words.join(held, "word").select("quote_id", "quote", "book_id")
+
+
 def contained(quotes: DataFrame, spines: DataFrame, words: int = 6) -> DataFrame:
     """quote_id, book_id, hits of every spine that holds a quote verbatim.
 
     All but a quote's outer words are whole words of the spine, so runs of `words` of them are an
-    equi-join key; the text is compared only where a run agrees.  Shorter quotes are compared with all.
+    equi-join key; shorter quotes are looked up by the words that hold their longest one.  The text is
+    compared only where a key agrees.  Repeated rows of a quote count once; null and empty quotes or texts give none.
     """
     parts = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    q = quotes.withColumn("w", parts("quote"))
+    q = quotes.where(F.length("quote") > 0).withColumn("w", parts("quote"))
     long = q.where(F.size("w") >= words + 2).select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("key"))
     s = spines.withColumn("w", parts("text"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     keyed = s.where(F.size("w") >= words + 2).select("book_id", F.explode(F.array_distinct(runs)).alias("key"))
-    pairs = keyed.join(long, "key").select("quote_id", "quote", "book_id").join(spines, "book_id")
-    found = pairs.where(F.contains("text", "quote"))
-    short = q.where((F.size("w") < words + 2) & (F.length("quote") > 0)).select("quote_id", "quote")
-    others = spines.join(short, F.contains(spines["text"], short["quote"])).select("book_id", "quote_id", "quote", "text")
+    pairs = keyed.join(long, "key").select("quote_id", "quote", "book_id")
+    short = q.where(F.size("w") < words + 2).select("quote_id", "quote", "w")
+    # The vocabulary is only built for quotes that need it.
+    if not short.isEmpty():
+        pairs = pairs.unionByName(_holding(short, spines.select("book_id", "text"), parts))
+    found = pairs.distinct().join(spines.select("book_id", "text"), "book_id").where(F.contains("text", "quote"))
     hits = (F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")
-    return found.select("book_id", "quote_id", "quote", "text").unionByName(others).select("quote_id", "book_id", hits.cast("long").alias("hits"))
+    return found.select("quote_id", "book_id", hits.cast("long").alias("hits"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.text import STOP_WORDS, concept_tokens
@@ -57,21 +58,29 @@ def graph_weights(links: DataFrame, edges: DataFrame) -> DataFrame:
     return one.join(counts, "node").select("id", "node", (F.col("w") / F.ln(2 + F.col("n"))).alias("w"))
 
 
-def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
-    """seed_id, id, similarity (activation), pos: every passage's personalised PageRank neighbours.
+class Walk(NamedTuple):
+    """What walks over a concept graph share: the nodes in order, two steps among them as a matrix, each passage's shares."""
 
-    The walk alternates between passages and nodes.  Two steps among nodes are one small matrix,
-    whose size is the vocabulary's and the bridges', not the corpus's; it is summed on the cluster.
-    Over MAX_NODES of them are refused, so that the matrix has a fixed bound.
-    Each seed's walk is then a vector over nodes, and activations are block products.
-    """
+    nodes: list[str]
+    move: np.ndarray
+    rows: DataFrame
+
+
+def _dense(entries: Column, n: int) -> Column:
+    """An array of `n` places from (place, value) entries; noughts elsewhere."""
+    held = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(held, i), F.lit(0.0)))
+
+
+def _walk(graph: DataFrame) -> Walk | None:
+    """The walk over `graph`, none for a graph without links.  Over MAX_NODES nodes are refused, so that the matrix has a fixed bound."""
     by_chunk, by_node = Window.partitionBy("id"), Window.partitionBy("node")
     both = graph.withColumn("out", F.col("w") / F.sum("w").over(by_chunk)).withColumn("back", F.col("w") / F.sum("w").over(by_node))
     nodes = [r["node"] for r in graph.select("node").distinct().orderBy("node").limit(MAX_NODES + 1).collect()]
     if len(nodes) > MAX_NODES:
         raise ValueError(f"over {MAX_NODES} concepts and bridge targets: pass a smaller vocabulary or fewer targets")
     if not nodes:
-        return graph.sparkSession.createDataFrame([], "seed_id long, id long, similarity double, pos int")
+        return None
     place = F.create_map(*(F.lit(x) for pair in zip(nodes, range(len(nodes))) for x in pair))
     both = both.withColumn("j", place[F.col("node")])
     left = both.select("id", F.col("j").alias("a"), "back")
@@ -79,16 +88,36 @@ def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
     # Pairs of one passage's few nodes, summed to one row a node pair.
     for r in left.join(both.select("id", F.col("j").alias("b"), "out"), "id").groupBy("a", "b").agg(F.sum(F.col("back") * F.col("out")).alias("m")).collect():
         move[r["a"], r["b"]] = r["m"]
+    share = lambda c: _dense(F.collect_list(F.struct("j", c)), len(nodes)).alias(c)
+    return Walk(nodes, move, both.groupBy("id").agg(share("out"), share("back")))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+_PICKS = "seed_id long, id long, similarity double"
+
+
+def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
+    """seed_id, id, similarity (activation), pos: every passage's personalised PageRank neighbours.
+
+    The walk alternates between passages and nodes.  Two steps among nodes are one small matrix,
+    whose size is the vocabulary's and the bridges', not the corpus's; it is summed on the cluster.
+    Over MAX_NODES of them are refused, so that the matrix has a fixed bound.
+    Each seed's walk is then a vector over nodes, and activations are block products.
+    """
+    walk = _walk(graph)
+    if walk is None:
+        return graph.sparkSession.createDataFrame([], f"{_PICKS}, pos int")
     # After STEPS synchronous steps activations come from the nodes of the step before.
-    total, step = np.zeros_like(move), np.eye(len(nodes))
+    total, step = np.zeros_like(walk.move), np.eye(len(walk.nodes))
     rounds = (STEPS - 2) // 2
     for i in range(rounds + 1):
         total += ((1 - ALPHA) if i == rounds else (1 - ALPHA) * ALPHA) * step
-        step = (1 - ALPHA) ** 2 * step @ move
-    dense = lambda c: F.transform(F.sequence(F.lit(0), F.lit(len(nodes) - 1)), lambda i: F.coalesce(F.element_at(c, i), F.lit(0.0)))
-    rows = both.groupBy("id").agg(
-        dense(F.map_from_entries(F.collect_list(F.struct("j", "out")))).alias("out"), dense(F.map_from_entries(F.collect_list(F.struct("j", "back")))).alias("back")
-    ).join(books, "id")
+        step = (1 - ALPHA) ** 2 * step @ walk.move
+    rows = walk.rows.join(books, "id")
 
     def work(s: Block, c: Block):
         mass = s["out"] @ total
@@ -98,9 +127,45 @@ def page_rank(graph: DataFrame, books: DataFrame, k: int = 8) -> DataFrame:
         act[(shared == 0) | same | (s["id"][:, None] == c["id"][None, :]) | (act < MIN_ACTIVATION)] = -np.inf
         return kept(s, c, np.round(act, 9), k)
 
-    found = block_pairs(rows, rows, work, "seed_id long, id long, similarity double")
-    w = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return _best(block_pairs(rows, rows, work, _PICKS), k)
+
+
+def _named(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z'\-]{2,})"), F.lit(1)))
+
+
+def matched_nodes(graph: DataFrame, themes: DataFrame) -> DataFrame:
+    """seed_id, node: nodes of the graph whose names share a word with a theme (id, text).  Nodes are a bounded vocabulary."""
+    bare = F.regexp_replace("node", "^edge:", "")
+    words = graph.select("node").distinct().select("node", F.explode(_named(bare)).alias("word"))
+    asked = themes.select(F.col("id").alias("seed_id"), F.explode(_named(F.col("text"))).alias("word"))
+    return asked.join(words, "word").select("seed_id", "node").distinct()
+
+
+def theme_rank(graph: DataFrame, themes: DataFrame, k: int = 8) -> DataFrame:
+    """seed_id, id, similarity (activation), pos: passages that a walk from the nodes of each theme (id, text) activates.
+
+    The walk sets out from all nodes that share a word with the theme alike, and only passages with one of
+    them are picks.  A theme that names no node, is empty or null has none.  Themes of one id are one theme.
+    """
+    walk = _walk(graph)
+    if walk is None:
+        return graph.sparkSession.createDataFrame([], f"{_PICKS}, pos int")
+    # The walk starts at nodes, which are active at odd steps only, so that STEPS / 2 of their states count.
+    total, step = np.zeros_like(walk.move), np.eye(len(walk.nodes))
+    for _ in range(STEPS // 2):
+        total += ALPHA * step
+        step = (1 - ALPHA) ** 2 * step @ walk.move
+    place = F.create_map(*(F.lit(x) for pair in zip(walk.nodes, range(len(walk.nodes))) for x in pair))
+    starts = matched_nodes(graph, themes).withColumn("j", place[F.col("node")])
+    starts = starts.groupBy(F.col("seed_id").alias("id")).agg(_dense(F.collect_list(F.struct("j", F.lit(1.0))), len(walk.nodes)).alias("vec"))
+
+    def work(s: Block, c: Block):
+        act = (1 - ALPHA) * (s["vec"] / s["vec"].sum(axis=1, keepdims=True)) @ total @ c["back"].T
+        act[(s["vec"] @ (c["back"] > 0).T.astype(float) == 0) | (act < MIN_ACTIVATION)] = -np.inf
+        return kept(s, c, np.round(act, 9), k)
+
+    return _best(block_pairs(starts, walk.rows.select("id", "back"), work, _PICKS), k)
 
 
 def co_occurrence(links: DataFrame, partners: int = 4, least: int = 2) -> DataFrame:
@@ -112,11 +177,14 @@ def co_occurrence(links: DataFrame, partners: int = 4, least: int = 2) -> DataFr
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct()
 
 
-def shared_labels(picks: DataFrame, graph: DataFrame) -> DataFrame:
-    """`picks` with concepts: the nodes a pick shares with its seed, the rarest first.  A passage has few nodes."""
+def shared_labels(picks: DataFrame, graph: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """`picks` with concepts: the nodes a pick shares with its seed, the rarest first.  A passage has few nodes.
+
+    `asked` (seed_id, node) has the nodes of seeds that are no passages.
+    """
     counts = graph.groupBy("node").agg(F.count("*").alias("n"))
     mine = lambda key: graph.select(F.col("id").alias(key), "node")
-    both = picks.select("seed_id", "id").join(mine("seed_id"), "seed_id").join(mine("id"), ["id", "node"]).join(counts, "node")
+    both = picks.select("seed_id", "id").join(mine("seed_id") if asked is None else asked, "seed_id").join(mine("id"), ["id", "node"]).join(counts, "node")
     lists = both.groupBy("seed_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]).alias("concepts"))
     return picks.join(lists, ["seed_id", "id"])
 
@@ -152,3 +220,45 @@ def shared_concepts(links: DataFrame, k: int = 4, least: int = 2) -> DataFrame:
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, provenance, origin)."""
     return edges.select("source", "target", "provenance", "origin").distinct()
+
+
+#: A passage's own graph: frequent grams looked at, nodes and edges kept.
+LOOKED_AT, NODES, EDGES = 40, 8, 12
+
+
+def passage_graphs(chunks: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """id, concepts (labels), edges (a, b, n: places of two labels and the sentences with both): each passage's own graph.
+
+    Of the most frequent grams (ties to the earlier), pairs of words come before words; a gram that holds a
+    chosen one or is held by it is left out.  Edges are by number of sentences, ties to the earlier one.
+    Null and empty texts have no concepts.  Rows of one id are taken as one passage's, so ids must be distinct.
+    """
+    t = chunks.select("id", "text").repartition("id").select("id", "text", concept_tokens(F.col("text"), stop_words).alias("t"))
+    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    grams = t.select("id", F.posexplode(F.concat("t", F.coalesce(pairs, F.array().cast("array<string>")))).alias("at", "gram"))
+    counted = grams.groupBy("id", "gram").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    w = Window.partitionBy("id").orderBy(F.desc("n"), "at")
+    top = counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= LOOKED_AT)
+    order = F.struct((~F.contains("gram", F.lit(" "))).alias("single"), F.col("r"), F.col("gram"))
+    listed = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["gram"]).alias("ranked"))
+
+    def choose(kept_: Column, gram: Column) -> Column:
+        clash = F.exists(kept_, lambda x: F.contains(x, gram) | F.contains(gram, x))
+        return F.when((F.size(kept_) < NODES) & ~clash, F.concat(kept_, F.array(gram))).otherwise(kept_)
+
+    none = F.array().cast("array<string>")
+    chosen = chunks.select("id", F.lower("text").alias("text")).join(listed, "id", "left").select(
+        "id", "text", F.aggregate(F.coalesce("ranked", none), none, choose).alias("concepts")
+    )
+    sentences = F.split("text", r"(?<=[.!?])\s+")
+    marked = chosen.withColumn("s", sentences).select("id", "concepts", F.transform("concepts", lambda g: F.transform("s", lambda x: F.contains(x, g))).alias("in"))
+
+    def edge(a: Column, b: Column) -> Column:
+        both = F.zip_with(F.element_at("in", a + 1), F.element_at("in", b + 1), lambda x, y: x & y)
+        return F.struct((-F.size(F.filter(both, lambda x: x))).alias("less"), F.array_position(both, True).alias("first"), a.alias("a"), b.alias("b"))
+
+    after = lambda a: F.when(a + 1 < F.size("concepts"), F.transform(F.sequence(a + 1, F.size("concepts") - 1), lambda b: edge(a, b)))
+    every = F.when(F.size("concepts") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("concepts") - 2), after)))
+    real = F.filter(F.coalesce(every, F.array().cast("array<struct<less:int,first:bigint,a:int,b:int>>")), lambda e: e["less"] < 0)
+    ranked = F.slice(F.array_sort(real), 1, EDGES)
+    return marked.select("id", "concepts", F.transform(ranked, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), (-e["less"]).alias("n"))).alias("edges"))

@@ -462,3 +462,67 @@ ORACLE_SQL |= {
     "section_heads": f"""WITH RECURSIVE {_SECTIONS} SELECT book_id, section::INT AS section, coalesce(arg_min(lang, id) FILTER (trim(lang) <> ''), '') AS heading,
         min(id % 97)::INT AS page_start, max(id % 97)::INT AS page_end FROM r JOIN documents ON doc_id = id GROUP BY ALL""",
 }
+
+# The concept walk.  `st` has each power of the matrix of two steps among nodes.
+_BRIDGES = "SELECT doc_id AS id, source FROM labels JOIN documents USING (doc_id) WHERE quality = 1"
+
+
+def _walks(concept: str, bridges: str) -> str:
+    return f"""{concept}, l AS (
+        SELECT id, label AS node, 1.0::DOUBLE AS w FROM cc UNION ALL SELECT id, 'edge:' || source, 1.5 FROM ({bridges})
+      ), o AS (SELECT id, node, max(w) AS w FROM l GROUP BY ALL), c AS (SELECT node, count(*) AS n FROM o GROUP BY node
+      ), gr AS (SELECT id, node, n, w / ln(2 + n) AS w FROM o JOIN c USING (node)
+      ), sh AS (SELECT id, node, n, w / sum(w) OVER (PARTITION BY id) AS o, w / sum(w) OVER (PARTITION BY node) AS b FROM gr
+      ), mv AS (SELECT x.node AS a, y.node AS b, sum(x.b * y.o) AS m FROM sh x JOIN sh y USING (id) GROUP BY ALL
+      ), st AS (
+        SELECT node AS a, node AS b, 1.0::DOUBLE AS m, 0 AS i FROM c
+        UNION ALL SELECT st.a, mv.b, 0.85 * 0.85 * sum(st.m * mv.m), any_value(i) + 1 FROM st JOIN mv ON mv.a = st.b WHERE i < 14 GROUP BY st.a, mv.b)"""
+
+
+def _activated(books: str) -> str:
+    """Picks of every passage outside its own book."""
+    return f"""tt AS (SELECT a, b, sum(m * CASE WHEN i = 14 THEN 0.85 ELSE 0.85 * 0.15 END) AS m FROM st GROUP BY ALL
+      ), ms AS (SELECT id AS seed_id, tt.b AS node, sum(o * m) AS m FROM sh JOIN tt ON tt.a = node GROUP BY ALL
+      ), ac AS (SELECT seed_id, id, 0.85 * sum(m * b) AS x FROM ms JOIN sh USING (node) GROUP BY ALL HAVING 0.85 * sum(m * b) >= 1e-6
+      ), co AS (SELECT x.id AS seed_id, y.id, list(node ORDER BY y.n, node) AS concepts FROM sh x JOIN sh y USING (node) WHERE x.id <> y.id GROUP BY ALL
+      ), pp AS (
+        SELECT ac.seed_id, ac.id, round(x, 9) AS act, concepts, row_number() OVER (PARTITION BY ac.seed_id ORDER BY round(x, 9) DESC, ac.id) AS pos
+        FROM ac JOIN co ON co.seed_id = ac.seed_id AND co.id = ac.id JOIN {books} p ON p.id = ac.seed_id JOIN {books} q ON q.id = ac.id WHERE p.book_id <> q.book_id)"""
+
+
+_SOURCES = "(SELECT doc_id AS id, source AS book_id FROM documents)"
+_IN_V = "FROM (SELECT d.* FROM documents d JOIN v ON v.id = d.doc_id)"
+_WORDS = "regexp_extract_all(lower({}), '[a-z][a-z''\\-]{{2,}}')"
+
+ORACLE_SQL |= {
+    "concept_ppr": f"WITH RECURSIVE {_walks(_CONCEPT, _BRIDGES)}, {_activated(_SOURCES)} SELECT seed_id, id, act AS similarity, pos::INT AS pos FROM pp WHERE pos <= 8",
+    "connect_concept": f"WITH RECURSIVE {_SIM}, {_walks(_CONCEPT.replace('FROM documents', _IN_V), _BRIDGES + ' AND doc_id IN (SELECT id FROM v)')}, {_activated('v')}, {_RANK} "
+    + _contract("concept", "(SELECT * FROM pp WHERE pos <= 8)", "'via concepts: ' || array_to_string(list_transform(concepts[1:3], lambda x: CASE WHEN starts_with(x, 'edge:') THEN substr(x, 6) || ' (bridge)' ELSE x END), ', ')", "act", 6),
+    "concept_theme": f"""WITH RECURSIVE {_walks(_CONCEPT, _BRIDGES)}, tw AS (SELECT DISTINCT item_id AS seed_id, unnest({_WORDS.format("text")}) AS word FROM benchmark
+      ), nw AS (SELECT DISTINCT node, unnest({_WORDS.format("regexp_replace(node, '^edge:', '')")}) AS word FROM c
+      ), ma AS (SELECT DISTINCT seed_id, node FROM tw JOIN nw USING (word)), me AS (SELECT seed_id, node, 1.0 / count(*) OVER (PARTITION BY seed_id) AS e FROM ma
+      ), tt AS (SELECT a, b, 0.15 * sum(m) AS m FROM st GROUP BY ALL), ms AS (SELECT seed_id, tt.b AS node, sum(e * m) AS m FROM me JOIN tt ON tt.a = node GROUP BY ALL
+      ), ac AS (SELECT seed_id, id, round(0.85 * sum(m * b), 9) AS x FROM ms JOIN sh USING (node) GROUP BY ALL HAVING 0.85 * sum(m * b) >= 1e-6
+      ), co AS (SELECT seed_id, id, array_to_string(list(node ORDER BY n, node), ', ') AS concepts FROM ma JOIN sh USING (node) GROUP BY ALL
+      ), pp AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) AS pos FROM ac JOIN co USING (seed_id, id))
+      SELECT seed_id, id, x AS similarity, pos::INT AS pos, concepts FROM pp WHERE pos <= 8""",
+    "passage_graph": f"""WITH RECURSIVE {_CONCEPT.split("), g AS (")[0]}), gs AS (
+        SELECT id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS spot FROM (
+          SELECT id, list_concat(t, list_transform(range(1, greatest(len(t), 1)::BIGINT), lambda i: t[i] || ' ' || t[i + 1])) AS grams FROM ct)
+      ), gc AS (SELECT id, gram, count(*) AS n, min(spot) AS spot FROM gs GROUP BY ALL
+      ), gk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, spot) AS r FROM gc QUALIFY r <= 40
+      ), go AS MATERIALIZED (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY NOT contains(gram, ' '), r) AS r FROM gk
+      ), pk AS (
+        SELECT doc_id AS id, 0::BIGINT AS r, []::VARCHAR[] AS kept FROM documents
+        UNION ALL SELECT pk.id, go.r, CASE WHEN len(kept) < 8 AND len(list_filter(kept, lambda x: contains(x, gram) OR contains(gram, x))) = 0 THEN list_append(kept, gram) ELSE kept END
+        FROM pk JOIN go ON go.id = pk.id AND go.r = pk.r + 1
+      ), ch AS (SELECT id, arg_max(kept, r) AS kept FROM pk GROUP BY id
+      ), nd AS (SELECT id, unnest(kept) AS label, generate_subscripts(kept, 1) - 1 AS j FROM ch
+      ), sp AS (SELECT doc_id AS id, string_split(regexp_replace(lower(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents
+      ), se AS (SELECT id, unnest(ss) AS s, generate_subscripts(ss, 1) AS spot FROM sp
+      ), oc AS (SELECT id, j, spot FROM nd JOIN se USING (id) WHERE contains(s, label)
+      ), ed AS (SELECT x.id, x.j AS a, y.j AS b, count(*) AS n, min(x.spot) AS first FROM oc x JOIN oc y ON x.id = y.id AND x.spot = y.spot AND x.j < y.j GROUP BY ALL
+      ), ek AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, first, a, b) AS r FROM ed QUALIFY r <= 12
+      ), es AS (SELECT id, string_agg(a || '-' || b || ':' || n, ', ' ORDER BY r) AS edges FROM ek GROUP BY id)
+      SELECT id, array_to_string(kept, ', ') AS concepts, coalesce(edges, '') AS edges FROM ch LEFT JOIN es USING (id)""",
+}

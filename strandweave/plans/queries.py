@@ -215,6 +215,22 @@ def concept_ppr(spark, d):
     return concepts.page_rank(graph, chunks.select("id", "book_id"))
 
 
+@query
+def concept_theme(spark, d):
+    """Passages by the walk from themes, with the concepts that each theme names."""
+    graph = stored(concepts.graph_weights(stored(concepts.chunk_concepts(S.text_chunks(spark, d)), "concepts"), S.edges(spark, d)), "concept-graph")
+    themes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    picks = concepts.shared_labels(concepts.theme_rank(graph, themes), graph, concepts.matched_nodes(graph, themes))
+    return picks.select("seed_id", "id", "similarity", "pos", F.array_join("concepts", ", ").alias("concepts"))
+
+
+@query
+def passage_graph(spark, d):
+    found = concepts.passage_graphs(S.text_chunks(spark, d))
+    edges = F.transform("edges", lambda e: F.format_string("%d-%d:%d", e["a"], e["b"], e["n"]))
+    return found.select("id", F.array_join("concepts", ", ").alias("concepts"), F.array_join(edges, ", ").alias("edges"))
+
+
 @query
 def cooccurrence_edges(spark, d):
     return concepts.co_occurrence(concepts.chunk_concepts(S.text_chunks(spark, d)))

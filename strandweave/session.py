@@ -18,7 +18,7 @@ from strandweave.operators.reader import clip
 from strandweave.shared import stored
 
 DEFAULT, K = "band", engines.K
-WHY_TERMS, WHY_CLIP = 6, 80
+WHY_TERMS, WHY_CLIP, WHY_CONCEPTS = 6, 80, 3
 
 
 @dataclass
@@ -67,6 +67,12 @@ def _terms() -> Column:
     return F.concat(F.lit("keyword match: "), listed, F.when(more > 0, F.format_string(" (+%d more)", more)).otherwise(F.lit("")))
 
 
+def _via() -> Column:
+    """The rarest shared concepts, bridges said to be such."""
+    plain = F.transform(F.slice("concepts", 1, WHY_CONCEPTS), lambda x: F.when(F.startswith(x, F.lit("edge:")), F.concat(F.substr(x, F.lit(6)), F.lit(" (bridge)"))).otherwise(x))
+    return F.array_join(plain, ", ")
+
+
 def _asked(corpus: Corpus, index: lexical.LexicalIndex, seeds: DataFrame, n_terms: int) -> DataFrame:
     own = seeds.select(F.col("id").alias("seed_id"))
     return index.distinctive_terms(n_terms).select(F.col("id").alias("seed_id"), "term").join(own, "seed_id", "left_semi")
@@ -139,7 +145,7 @@ ENGINES: dict[str, Engine] = {
         lambda: F.concat(F.lit("same book, "), F.col("distance").cast("string"), F.lit(" passages away — sim "), _two("similarity")), _similar,
     ),
     "concept": Engine(
-        "Concept walk", ("links", "edges"), _concept, {}, lambda: F.concat(F.lit("via concepts: "), F.array_join(F.slice("concepts", 1, 3), ", ")), lambda: F.col("activation")
+        "Concept walk", ("links", "edges"), _concept, {}, lambda: F.concat(F.lit("via concepts: "), _via()), lambda: F.col("activation")
     ),
     "walk": Engine(
         "Walk", ("vectors",), lambda c, s, k, **p: engines.walk(s, c.vectors, k, **p).withColumn("pos", F.col("hop")), {"skip_top": engines.SKIP_TOP, "min_sim": engines.MIN_SIM, "revisit_books": False},
@@ -217,6 +223,15 @@ class Session:
             seeds = engines.noise_gate(seeds, self.corpus.vectors, self.corpus.floor)
         return contract(ENGINES[key].run(self.corpus, seeds, **params), seeds, self.corpus.vectors, key)
 
+    def concept_theme(self, themes: DataFrame, k: int = K) -> DataFrame:
+        """seed_id, id, pos, score, path, why, concepts: the concept walk from free text (`themes`: id, text), which needs no vector."""
+        if self.corpus.links is None or self.corpus.edges is None:
+            raise ValueError("concept needs links, edges")
+        graph = stored(concepts.graph_weights(self.corpus.links, self.corpus.edges), "concept-graph")
+        found = concepts.shared_labels(concepts.theme_rank(graph, themes, max(0, k)), graph, concepts.matched_nodes(graph, themes))
+        why = F.concat(F.lit("theme matches concepts: "), _via())
+        return found.select("seed_id", "id", F.col("pos").cast("int").alias("pos"), F.round("similarity", 6).alias("score"), F.lit("concept").alias("path"), why.alias("why"), "concepts")
+
     def ready(self) -> DataFrame:
         """engine, ready, reason."""
         c, none = self.corpus, self.corpus.vectors.limit(0)

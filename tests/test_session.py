@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave import registry
-from strandweave.operators import annotations, blocked, concepts, embedding, engines, passages, rhythm
+from strandweave.operators import anchors, annotations, blocked, concepts, embedding, engines, passages, rhythm
 from strandweave.session import ENGINES, Corpus, Session
 from strandweave.sources import files
 
@@ -15,6 +15,7 @@ NAMES = (
     "band_mmr", "spread_dpp", "spread_facility", "echo", "walk", "note_records", "note_seeds", "md_highlights", "hybrid_rrf", "toc", "connect_plain", "connect_band",
     "connect_marks", "connect_lexical", "connect_hybrid", "wander", "engine_list", "theme_embedding", "annotations_listed", "book_annotations", "mark_passages",
     "sparks_labelled", "selection_anchors", "book_payload", "log_cleared", "compare_basis", "doc_graph", "section_heads", "rhythm_features", "marks_best",
+    "concept_ppr", "connect_concept", "concept_theme", "passage_graph",
 )
 
 
@@ -193,3 +194,54 @@ def test_files_upserts_and_manifests(spark, tmp_path):
 
 def test_shared_concepts_of_nothing(spark):
     assert concepts.shared_concepts(spark.createDataFrame([], "id long, pos int, label string")).count() == 0
+
+
+def test_theme_walk_equals_power_iteration(spark):
+    links = [(0, "poetic thinking", 1.0), (0, "memory", 2.0), (1, "memory", 1.0), (1, "edge:night river", 1.5), (2, "edge:night river", 1.0), (2, "stone", 1.0), (3, "stone", 2.0)]
+    graph = spark.createDataFrame(links, "id long, node string, w double")
+    themes = spark.createDataFrame([(7, "On MEMORY, and a river"), (8, "nothing known"), (9, None), (10, "")], "id long, text string")
+    nodes = sorted({n for _, n, _ in links})
+    w = np.zeros((4, len(nodes)))
+    for i, n, x in links:
+        w[i, nodes.index(n)] = x
+    out, back = w / w.sum(1, keepdims=True), w / w.sum(0)
+    e = np.array([n in ("memory", "edge:night river") for n in nodes]) / 2
+    c, n = np.zeros(4), e
+    for _ in range(concepts.STEPS):
+        c, n = 0.85 * back @ n, 0.15 * e + 0.85 * c @ out
+    got = concepts.theme_rank(graph, themes).orderBy("pos").collect()
+    # Passage 3 is reached, but has none of the theme's nodes.
+    assert {r.seed_id for r in got} == {7} and [r.id for r in got] == sorted((0, 1, 2), key=lambda i: -c[i])
+    assert all(abs(r.similarity - c[r.id]) < 1e-8 for r in got)
+    assert concepts.theme_rank(graph.limit(0), themes).count() == 0 and concepts.theme_rank(graph, themes.limit(0)).count() == 0
+    split = graph.where("node NOT LIKE 'edge:%'").select("id", F.col("node").alias("label"))
+    bridge = spark.createDataFrame([("x", "night river", 2, "judged")], "source string, target string, provenance long, origin string")
+    session = Session(Corpus(vectors(spark), links=split, edges=bridge))
+    rows = {r.id: r for r in session.concept_theme(themes).collect()}
+    assert set(rows) == {0, 1, 2} and rows[2].why == "theme matches concepts: night river (bridge)" and rows[0].concepts == ["memory"]
+    assert session.concept_theme(themes, 0).count() == 0
+
+
+def test_passage_graphs_by_hand(spark):
+    text = "River stone sings. River stone waits! The stone glows? River stone"
+    rows = [(1, text, "x"), (2, None, "y"), (3, "", "z"), (4, "alpha", "t")]
+    got = {r.id: r for r in concepts.passage_graphs(spark.createDataFrame(rows, "id long, text string, concepts string")).collect()}
+    # Pairs of words come first, and "river", "stone" and "sings" are held by those chosen.
+    assert got[1].concepts[0] == "river stone" and not any(a != b and a in b for a in got[1].concepts for b in got[1].concepts)
+    labels, said = got[1].concepts, ["river stone sings.", "river stone waits!", "the stone glows?", "river stone"]
+    both = {(a, b): sum(labels[a] in s and labels[b] in s for s in said) for a in range(len(labels)) for b in range(a + 1, len(labels))}
+    assert {(e.a, e.b): e.n for e in got[1].edges} == {k: n for k, n in both.items() if n}
+    assert [(got[i].concepts, got[i].edges) for i in (2, 3, 4)] == [([], []), ([], []), (["alpha"], [])]
+    assert concepts.passage_graphs(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_contained_equals_brute_force(spark):
+    texts = {1: "The quick brown fox jumps over the lazy dog, again and again.", 2: "foxes  jump\n\nover fences", 3: "", 4: None, 5: "a b c d e f g h i j a b c d e f g h i j", 6: "x"}
+    quotes = ["ox jumps ov", "fox", "ump", "x", "  ", "\n\n", "quick brown fox jumps over the lazy do", "b c d e f g h i", "a", "gain", "never there", "ver fe", "", None, " ", "fox\n", "c d e"]
+    spines = spark.createDataFrame([*texts.items()], "book_id long, text string").withColumn("w", F.lit(1))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(quotes)] + [(1, "fox")], "quote_id long, quote string").withColumn("gram", F.lit(0))
+    got = sorted((r.quote_id, r.book_id, r.hits) for r in anchors.contained(rows, spines.select("book_id", "text")).collect())
+    assert got == sorted((i, b, t.count(x)) for i, x in enumerate(quotes) if x for b, t in texts.items() if t and x in t)
+    plan = anchors.contained(rows, spines)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert anchors.contained(rows.limit(0), spines).count() == 0 and anchors.contained(rows, spines.limit(0)).count() == 0
