@@ -497,7 +497,7 @@ _WORDS = "regexp_extract_all(lower({}), '[a-z][a-z''\\-]{{2,}}')"
 ORACLE_SQL |= {
     "concept_ppr": f"WITH RECURSIVE {_walks(_CONCEPT, _BRIDGES)}, {_activated(_SOURCES)} SELECT seed_id, id, act AS similarity, pos::INT AS pos FROM pp WHERE pos <= 8",
     "connect_concept": f"WITH RECURSIVE {_SIM}, {_walks(_CONCEPT.replace('FROM documents', _IN_V), _BRIDGES + ' AND doc_id IN (SELECT id FROM v)')}, {_activated('v')}, {_RANK} "
-    + _contract("concept", "(SELECT * FROM pp WHERE pos <= 8)", "'via concepts: ' || array_to_string(list_transform(concepts[1:3], lambda x: CASE WHEN starts_with(x, 'edge:') THEN substr(x, 6) || ' (bridge)' ELSE x END), ', ')", "act", 6),
+    + _contract("concept", "(SELECT * FROM pp WHERE pos <= 8)", "'via concepts: ' || array_to_string(list_transform(concepts[1:3], lambda x: CASE WHEN starts_with(x, 'edge:') THEN substr(x, 6) || ' (bridge)' ELSE x END), ', ')", "round(act::DECIMAL(18, 9), 6)::DOUBLE", 6),
     "concept_theme": f"""WITH RECURSIVE {_walks(_CONCEPT, _BRIDGES)}, tw AS (SELECT DISTINCT item_id AS seed_id, unnest({_WORDS.format("text")}) AS word FROM benchmark
       ), nw AS (SELECT DISTINCT node, unnest({_WORDS.format("regexp_replace(node, '^edge:', '')")}) AS word FROM c
       ), ma AS (SELECT DISTINCT seed_id, node FROM tw JOIN nw USING (word)), me AS (SELECT seed_id, node, 1.0 / count(*) OVER (PARTITION BY seed_id) AS e FROM ma
