@@ -67,8 +67,11 @@ class SegmentEncoder:
 
     @staticmethod
     def plain(text: str) -> bool:
-        """True if all white space is single spaces and newlines between non-spaces."""
-        return len(text.split()) == text.count(" ") + text.count(NEWLINE) + 1
+        """True if all white space is single spaces and newlines between non-spaces.
+
+        The cut at any white space then gives the very parts of the cut at spaces and newlines.
+        """
+        return text.split() == text.replace(NEWLINE, " ").split(" ")
 
     def _merge(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isprintable() and piece[0] != " "):

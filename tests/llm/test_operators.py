@@ -17,6 +17,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 TEXTS = [
     "The cat sat on the mat.", "", None, "it's  a\n\n x\t'll we've DON'T", " leading", "trailing ", "\n", "  ", "a\nb c\nd",
     "é’s naïve coöp 日本語 テスト 🙂🙂 x", "1½² ٣ abc_def's 'tis", "<|endoftext|> x", "word " * 4000, "x" * 5000, "a\x00b \x7f c", "a b c d",
+    "a\tb  c", "word\tword2  end of it", "x\xa0y  z", "a\tb \nc",
 ]
 
 
