@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import ann, ballkmeans, bpe, ego, htmltext, langid, packing, quality, simhash, simple8b, warc
+from strandweave.llm import ann, ballkmeans, bpe, ego, htmltext, langid, packing, prefixtrie, quality, simhash, simple8b, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_htmltext": htmltext.query,
     "op9_ego": ego.query,
     "op10_simple8b": simple8b.query,
+    "op11_prefixtrie": prefixtrie.query,
     "op13_ballkmeans": ballkmeans.query,
 }
 
-ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op9_ego": ego.ORACLE_SQL, "op13_ballkmeans": ballkmeans.ORACLE_SQL}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op9_ego": ego.ORACLE_SQL, "op11_prefixtrie": prefixtrie.ORACLE_SQL, "op13_ballkmeans": ballkmeans.ORACLE_SQL}
