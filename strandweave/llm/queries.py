@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import ann, ballkmeans, bpe, ego, htmltext, langid, packing, prefixtrie, quality, simhash, simple8b, warc
+from strandweave.llm import ann, ballkmeans, bpe, ego, htmltext, langid, packing, prefixtrie, quality, rules, simhash, simple8b, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ego": ego.query,
     "op10_simple8b": simple8b.query,
     "op11_prefixtrie": prefixtrie.query,
+    "op12_rules": rules.query,
     "op13_ballkmeans": ballkmeans.query,
 }
 
