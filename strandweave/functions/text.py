@@ -7,16 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that the lexical index leaves out.  Concepts leave them out too, unless told other words.
+#: Function words that the lexical index leaves out.
 STOP_WORDS = """
 a an the and or but nor so yet if then than as of in on at to from by for with
 without into onto upon over under between through about above below after before
-is are was were be been being am do does did have has had having not no it its this
+is are was were be been am do does did have has had having not no it its this
 that these those there here which who whom whose what when where why how i we you
 he she they them us our your his her their my me him can could may might must shall
 should will would also too very more most such each any all both either
 """.split()
 
+#: Words that name no concept, unless a caller gives other ones.
+CONCEPT_STOP_WORDS = """
+a an the this that these those it its is are was were be been being am do does did
+of in on at to from by for with without into onto upon over under between
+and or but nor so yet as if then than which who whom whose what when where why how
+not no only just also too very more most much many few less least own same other
+i we you he she they them us our your his her their my me him there here thus
+can could may might must shall should will would have has had having
+one two three first second new way thing things make made makes making see seen
+such about above below after before again further once each any all both either
+say said says according e.g i.e cf ed eds vol pp p chapter section page note notes
+text passage author work however therefore moreover indeed rather merely simply
+some now because even still since like cannot whether another always never every kind
+already precisely case fact find know mean means course order terms press university
+die der later together through possible everything view beyond remains ourselves
+himself themselves people basis different lecture lectures york cambridge well longer
+taken instead concerning away great today translation oxford london
+""".split()
+
 #: Phrases of front and back matter.
 SIGNALS = (
     "no part of this book", "all rights reserved", "library of congress", "cataloging-in-publication",
@@ -44,7 +63,7 @@ def lexical_tokens(text: Column) -> Column:
     return F.filter(raw, lambda w: ~w.isin(*STOP_WORDS))
 
 
-def concept_tokens(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
+def concept_tokens(text: Column, stop_words: Sequence[str] = tuple(CONCEPT_STOP_WORDS)) -> Column:
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"([a-zà-ÿ][a-zà-ÿ'\-]{2,})"), F.lit(1))
     return F.filter(raw, lambda w: ~F.contains(w, F.lit("'")) & ~w.isin(*stop_words))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.text import STOP_WORDS, concept_tokens
+from strandweave.functions.text import CONCEPT_STOP_WORDS, concept_tokens
 from strandweave.operators.blocked import Block, block_pairs, kept
 
 VOCABULARY, PER_CHUNK, MIN_DF, MAX_SHARE = 160, 6, 3, 0.40
@@ -19,7 +19,7 @@ ALPHA, STEPS, MIN_ACTIVATION = 0.15, 30, 1e-6
 MAX_NODES = 4096
 
 
-def gram_counts(chunks: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def gram_counts(chunks: DataFrame, stop_words: Sequence[str] = tuple(CONCEPT_STOP_WORDS)) -> DataFrame:
     """id, gram, tf of words and of adjacent pairs after stop words go; a corpus's own furniture may be among those."""
     # Texts are dealt by id, as they are smaller than their grams; counting a passage's grams then needs no shuffle.
     t = chunks.select("id", "text").repartition("id").select("id", concept_tokens(F.col("text"), stop_words).alias("t"))
@@ -28,7 +28,7 @@ def gram_counts(chunks: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)
     return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def vocabulary(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(CONCEPT_STOP_WORDS)) -> DataFrame:
     """gram, idf, mass of the `size` heaviest grams (six places; ties alphabetical): a bounded list.
 
     A gram's mass, the sum of its tf times ln(n / df), needs its total and df only, which combine before the shuffle.
@@ -40,7 +40,7 @@ def vocabulary(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[s
     return weighed.orderBy(F.desc("mass"), "gram").limit(size)
 
 
-def chunk_concepts(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def chunk_concepts(chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = tuple(CONCEPT_STOP_WORDS)) -> DataFrame:
     """id, pos, label: each passage's concepts by weight (ties to the later gram)."""
     w = Window.partitionBy("id").orderBy(F.desc("w"), F.desc("gram"))
     # At most `size` rows.
@@ -226,7 +226,7 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 LOOKED_AT, NODES, EDGES = 40, 8, 12
 
 
-def passage_graphs(chunks: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def passage_graphs(chunks: DataFrame, stop_words: Sequence[str] = tuple(CONCEPT_STOP_WORDS)) -> DataFrame:
     """id, concepts (labels), edges (a, b, n: places of two labels and the sentences with both): each passage's own graph.
 
     Of the most frequent grams (ties to the earlier), pairs of words come before words; a gram that holds a

@@ -13,12 +13,32 @@ _STOP = ", ".join(
     for w in """
 a an the and or but nor so yet if then than as of in on at to from by for with
 without into onto upon over under between through about above below after before
-is are was were be been being am do does did have has had having not no it its this
+is are was were be been am do does did have has had having not no it its this
 that these those there here which who whom whose what when where why how i we you
 he she they them us our your his her their my me him can could may might must shall
 should will would also too very more most such each any all both either
 """.split()
 )
+_CONCEPT_STOP = ", ".join(
+    f"'{w}'"
+    for w in """
+a an the this that these those it its is are was were be been being am do does did
+of in on at to from by for with without into onto upon over under between
+and or but nor so yet as if then than which who whom whose what when where why how
+not no only just also too very more most much many few less least own same other
+i we you he she they them us our your his her their my me him there here thus
+can could may might must shall should will would have has had having
+one two three first second new way thing things make made makes making see seen
+such about above below after before again further once each any all both either
+say said says according e.g i.e cf ed eds vol pp p chapter section page note notes
+text passage author work however therefore moreover indeed rather merely simply
+some now because even still since like cannot whether another always never every kind
+already precisely case fact find know mean means course order terms press university
+die der later together through possible everything view beyond remains ourselves
+himself themselves people basis different lecture lectures york cambridge well longer
+taken instead concerning away great today translation oxford london
+""".split()
+)
 SIGNALS = (
     "no part of this book", "all rights reserved", "library of congress", "cataloging-in-publication",
     "manufactured in the united states", "printed in the united states", "university press", "isbn", "p. cm",
@@ -75,7 +95,7 @@ _CHUNK_TOP = """lx AS (SELECT * FROM (
   FROM bm JOIN documents d ON d.doc_id = seed_id WHERE seed_id <> bm.id AND d.source <> bm.book_id) WHERE pos <= 50)"""
 _CONCEPT = rf"""ct AS (
   SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ][a-zà-ÿ''\-]{{2,}}'),
-    lambda w: NOT contains(w, '''') AND NOT list_contains([{_STOP}], w)) AS t FROM documents
+    lambda w: NOT contains(w, '''') AND NOT list_contains([{_CONCEPT_STOP}], w)) AS t FROM documents
 ), g AS (
   SELECT id, gram, count(*) AS tf FROM (
     SELECT id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)::BIGINT), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM ct) GROUP BY ALL
@@ -86,33 +106,48 @@ _CONCEPT = rf"""ct AS (
 ), voc AS (SELECT gram, round(sum(w), 6) AS mass FROM gw GROUP BY gram ORDER BY mass DESC, gram LIMIT 160
 ), cc AS (SELECT id, pos, gram AS label FROM (
   SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY round(w, 6) DESC, gram DESC) AS pos FROM gw JOIN voc USING (gram)) WHERE pos <= 6)"""
-_EV = """ev AS (
-  SELECT user_id AS book, epoch_us(ts) AS t, event_id, (props::JSON ->> '$.k')::BIGINT AS passage,
-    CASE event_type WHEN 'view' THEN 'enter' WHEN 'purchase' THEN 'exit' WHEN 'click' THEN 'select' WHEN 'error' THEN 'idle' WHEN 'signup' THEN 'active' END AS type
+_LOG = """ev AS (
+  SELECT user_id AS book, (ts::DATE - (date_diff('day', DATE '1970-01-01', ts::DATE) % 10)::INT)::DATE AS session, epoch_us(ts) AS t, event_id, (props::JSON ->> '$.k')::BIGINT AS passage,
+    CASE event_type WHEN 'view' THEN 'enter' WHEN 'purchase' THEN 'exit' WHEN 'click' THEN 'select' WHEN 'error' THEN 'idle' WHEN 'signup' THEN 'active' END AS type, value >= 100 AS highlighted
   FROM events
-), vis AS (
-  SELECT * FROM (SELECT book, passage, type, event_id, t AS a, coalesce(lead(t) OVER (PARTITION BY book ORDER BY t, event_id), t) AS b
-    FROM ev WHERE type IN ('enter', 'exit')) WHERE type = 'enter'
-), sp AS (
-  SELECT book, t AS f, u FROM (
-    SELECT book, type, t, lag(type) OVER w AS before,
-      min(CASE WHEN type = 'active' THEN t END) OVER (PARTITION BY book ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u
-    FROM ev WHERE type IN ('idle', 'active') WINDOW w AS (PARTITION BY book ORDER BY t, event_id))
+), wd AS (SELECT doc_id AS passage, len(regexp_extract_all(text, '\\S+')) AS words FROM documents)"""
+
+
+def _rhythm(by: str, source: str, x: str) -> str:
+    """Features of `source`, a log, for each of `by`; names end in `x`."""
+    return f"""vis{x} AS (
+  SELECT * FROM (SELECT {by}, passage, type, event_id, t AS a, coalesce(lead(t) OVER (PARTITION BY {by} ORDER BY t, event_id), t) AS b
+    FROM {source} WHERE type IN ('enter', 'exit')) WHERE type = 'enter'
+), sp{x} AS (
+  SELECT {by}, t AS f, u FROM (
+    SELECT {by}, type, t, lag(type) OVER w AS before,
+      min(CASE WHEN type = 'active' THEN t END) OVER (PARTITION BY {by} ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u
+    FROM {source} WHERE type IN ('idle', 'active') WINDOW w AS (PARTITION BY {by} ORDER BY t, event_id))
   WHERE type = 'idle' AND before IS DISTINCT FROM 'idle' AND u IS NOT NULL
-), lost AS (SELECT event_id, sum(least(b, u) - greatest(a, f)) AS lost FROM vis JOIN sp USING (book) WHERE f < b AND u > a GROUP BY event_id
-), held AS (SELECT book, passage, greatest(0.0, (b - a - coalesce(lost, 0)) / 1000.0) AS ms FROM vis LEFT JOIN lost USING (event_id)
-), wd AS (SELECT doc_id AS passage, len(regexp_extract_all(text, '\\S+')) AS words FROM documents
-), ft AS (
-  SELECT h.book, h.passage, h.attentive_ms, h.attentive_ms / greatest(1, coalesce(words, 1)) AS ms_per_word, h.revisits, h.max_dwell_ms, coalesce(selections, 0) AS selections
-  FROM (SELECT book, passage, sum(ms) AS attentive_ms, count(*) - 1 AS revisits, max(ms) AS max_dwell_ms FROM held GROUP BY ALL) h
-  LEFT JOIN (SELECT book, passage, count(*) AS selections FROM ev WHERE type = 'select' GROUP BY ALL) s USING (book, passage) LEFT JOIN wd USING (passage))"""
-_SC = """seen AS (SELECT * FROM ft WHERE attentive_ms >= 1500
+), lost{x} AS (SELECT event_id, sum(least(b, u) - greatest(a, f)) AS lost FROM vis{x} JOIN sp{x} USING ({by}) WHERE f < b AND u > a GROUP BY event_id
+), held{x} AS (SELECT {by}, passage, a, event_id, greatest(0.0, (b - a - coalesce(lost, 0)) / 1000.0) AS ms FROM vis{x} LEFT JOIN lost{x} USING (event_id)
+), ft{x} AS (
+  SELECT h.*, h.attentive_ms / greatest(1, coalesce(words, 1)) AS ms_per_word, h.first_ms / greatest(1, coalesce(words, 1)) AS first_pass_ms_per_word,
+    coalesce(selections, 0) AS selections, coalesce(plain, false) AS selected_not_highlighted
+  FROM (SELECT {by}, passage, sum(ms) AS attentive_ms, count(*) - 1 AS revisits, max(ms) AS max_dwell_ms, arg_min(ms, (a, event_id)) AS first_ms FROM held{x} GROUP BY ALL) h
+  LEFT JOIN (SELECT {by}, passage, count(*) AS selections, bool_or(NOT highlighted) AS plain FROM {source} WHERE type = 'select' GROUP BY ALL) s USING ({by}, passage) LEFT JOIN wd USING (passage))"""
+
+
+_EV = f"{_LOG}, {_rhythm('book', 'ev', '')}"
+_BASE = """seen AS (SELECT * FROM ft WHERE attentive_ms >= 1500
 ), md AS (SELECT book, quantile_cont(ms_per_word, 0.5) AS med, count(*) AS n, stddev_pop(ms_per_word) AS std FROM seen GROUP BY book
 ), ma AS (SELECT book, quantile_cont(abs(ms_per_word - med), 0.5) AS mad FROM seen JOIN md USING (book) GROUP BY book
-), base AS (SELECT book, med, CASE WHEN mad > 0 THEN mad WHEN std > 0 THEN std ELSE 1.0 END AS spread FROM md JOIN ma USING (book) WHERE n >= 3
-), sc AS (
-  SELECT *, round(0.6745 * (attentive_ms / (attentive_ms + 9000) * ms_per_word + (1 - attentive_ms / (attentive_ms + 9000)) * med - med) / spread, 6) AS z
-  FROM ft JOIN base USING (book))"""
+), base AS (SELECT book, med, CASE WHEN mad > 0 THEN mad WHEN std > 0 THEN std ELSE 1.0 END AS spread, n, n >= 8 AS have_baseline FROM md JOIN ma USING (book) WHERE n >= 3)"""
+
+
+def _scored(source: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT *, (z >= 1.0 AND attentive_ms >= 1500)::INT + (revisits > 0)::INT + selected_not_highlighted::INT >= 2 AS hotspot FROM (
+    SELECT *, round(0.6745 * (attentive_ms / (attentive_ms + 9000) * ms_per_word + (1 - attentive_ms / (attentive_ms + 9000)) * med - med) / spread, 6) AS z
+    FROM {source} JOIN base USING (book)))"""
+
+
+_SC = f"{_BASE}, {_scored('ft', 'sc')}"
 _HITS = " + ".join(f"contains(low, '{s}')::INT" for s in SIGNALS)
 _PROSE = r"""CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[0-9]'))) / len(w) ELSE 0.0 END"""
 _HELD = """h AS (SELECT item_id AS quote_id, doc_id AS book_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
@@ -250,11 +285,20 @@ ORACLE_SQL = {
       SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5,
         round(avg(CASE WHEN rank <= 8 THEN 1.0 ELSE 0.0 END), 6) AS recall_8, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r""",
     "rhythm_features": f"""WITH {_EV} SELECT book, passage, round(attentive_ms, 6) AS attentive_ms, round(ms_per_word, 6) AS ms_per_word, revisits,
-        round(max_dwell_ms, 6) AS max_dwell_ms, selections FROM ft""",
-    "rhythm_scores": f"""WITH {_EV}, {_SC} SELECT book, passage, round(attentive_ms, 6) AS attentive_ms, revisits, selections, z,
-        (z >= 1.0 AND attentive_ms >= 1500)::INT + (revisits > 0)::INT + (selections > 0)::INT >= 2 AS hotspot FROM sc""",
-    "rhythm_candidates": f"""WITH {_EV}, {_SC} SELECT book, passage, pos::INT AS pos, z FROM (
-        SELECT *, row_number() OVER (PARTITION BY book ORDER BY z DESC, passage) AS pos FROM sc WHERE passage NOT IN (SELECT doc_id FROM labels)) WHERE pos <= 5""",
+        round(first_pass_ms_per_word, 6) AS first_pass_ms_per_word, round(max_dwell_ms, 6) AS max_dwell_ms, selections, selected_not_highlighted FROM ft""",
+    "rhythm_scores": f"""WITH {_EV}, {_SC} SELECT book, passage, round(attentive_ms, 6) AS attentive_ms, revisits, selections, z, hotspot FROM sc""",
+    "rhythm_baseline": f"""WITH {_EV}, {_BASE} SELECT book, round(med, 6) AS med, round(spread, 6) AS spread, n, have_baseline FROM base""",
+    "rhythm_candidates": f"""WITH {_LOG}, dz AS (SELECT * REPLACE (passage % 12 AS passage) FROM ev), {_rhythm('book', 'dz', '')}, {_BASE},
+      last AS (SELECT book, max(session) AS session FROM dz GROUP BY book), own AS (SELECT dz.* FROM dz JOIN last USING (book, session)),
+      {_rhythm('book, session', 'own', '_own')}, {_scored('ft_own', 'so')}
+      SELECT book, session, passage, row_number() OVER (PARTITION BY book ORDER BY z DESC, passage)::INT AS pos, z,
+        concat_ws(',', CASE WHEN z >= 1.0 AND attentive_ms >= 1500 THEN 'slow' END, CASE WHEN revisits > 0 THEN 'revisited' END, CASE WHEN selected_not_highlighted THEN 'selected' END) AS signals,
+        revisits, round(attentive_ms, 6) AS attentive_ms, have_baseline FROM so WHERE hotspot AND passage NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "rhythm_stream": f"""WITH {_LOG}, mk AS (SELECT *, lead(t) OVER (PARTITION BY book, session ORDER BY t, event_id) AS u FROM ev WHERE type IN ('enter', 'exit')),
+      sp AS (SELECT *, lag(type) OVER (PARTITION BY book, session ORDER BY t, event_id) AS before, min(CASE WHEN type = 'active' THEN {{'t': t, 'e': event_id}} END)
+        OVER (PARTITION BY book, session ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM ev WHERE type IN ('idle', 'active'))
+      SELECT 'visit' AS kind, book, session::VARCHAR AS session, passage, t AS start, coalesce(u, t) AS "end", event_id, u IS NULL AS open FROM mk WHERE type = 'enter'
+      UNION ALL SELECT 'idle', book, session::VARCHAR, NULL, t, u.t, u.e, false FROM sp WHERE type = 'idle' AND before IS DISTINCT FROM 'idle' AND u IS NOT NULL""",
     "heat_portrait": f"""WITH {_EV} SELECT book, passage, round(least(1.0, attentive_ms / greatest(1.0, max(attentive_ms) OVER (PARTITION BY book))), 6) AS heat FROM ft""",
     "chunk_blocks": r"""WITH b AS (SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
       t AS (SELECT book_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS x FROM b)

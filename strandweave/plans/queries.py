@@ -304,14 +304,17 @@ def eval_recall_mrr(spark, d):
 # Reading rhythm.
 
 
+def _words(spark, d):
+    return S.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), T.word_count(F.col("text")).alias("words"))
+
+
 def _features(spark, d):
-    words = S.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), T.word_count(F.col("text")).alias("words"))
-    return rhythm.features(S.reading_events(S.table(spark, d, "events")), words)
+    return rhythm.features(S.reading_events(S.table(spark, d, "events")), _words(spark, d))
 
 
 @query
 def rhythm_features(spark, d):
-    return _six(_features(spark, d), "attentive_ms", "ms_per_word", "max_dwell_ms")
+    return _six(_features(spark, d), "attentive_ms", "ms_per_word", "first_pass_ms_per_word", "max_dwell_ms")
 
 
 @query
@@ -321,8 +324,16 @@ def rhythm_scores(spark, d):
 
 @query
 def rhythm_candidates(spark, d):
-    labels = S.table(spark, d, "labels").select(F.col("doc_id").alias("passage"))
-    return rhythm.candidates(rhythm.scores(_features(spark, d)), labels)
+    labels = S.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("passage"))
+    # A dozen passages a book, so that a session comes back to some.
+    events = S.reading_events(S.table(spark, d, "events"), SESSION_DAYS).withColumn("passage", F.col("passage") % 12)
+    found = rhythm.candidates(events, _words(spark, d), labels)
+    return _six(found.withColumn("signals", F.array_join("signals", ",")), "attentive_ms")
+
+
+@query
+def rhythm_baseline(spark, d):
+    return _six(rhythm.baseline(_features(spark, d)), "med", "spread")
 
 
 @query
@@ -330,15 +341,40 @@ def heat_portrait(spark, d):
     return rhythm.heat(_features(spark, d))
 
 
+#: Days of a session where sessions are compared; runs of the stream that the log comes in, and how late an event may be.
+SESSION_DAYS, WAVES, LATE_DAYS = 10, 3, 2
+
+
 @query
 def rhythm_stream(spark, d):
-    """Closed visits of the event log read as a stream, in one run to its end."""
-    schema = S.table(spark, d, "events").schema
-    out = shared_folder(spark, "stream")
-    source = spark.readStream.schema(schema).parquet(d, pathGlobFilter="events.parquet", recursiveFileLookup=False)
-    flow = stream.intervals(S.reading_events(source))
-    flow.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.INTERVALS).parquet(f"{out}/rows")
+    """Visits and dead spans of each session from the log as a stream.
+
+    The log comes in waves, shuffled by up to LATE_DAYS; each wave is a run that goes on from the state the run before left.
+    A last tick moves the watermark past all sessions, so that visits still open are given out.
+    """
+    events = S.reading_events(S.table(spark, d, "events"), SESSION_DAYS)
+    late = LATE_DAYS * 86_400_000_000
+    came = F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(late))
+    log = stored(events.withColumn("came", came), "stream-log")
+    ends = log.agg(F.min("came").alias("low"), F.max("came").alias("high"), F.max("t").alias("last")).first()
+    low, high, last = (ends[c] or 0 for c in ("low", "high", "last"))
+    folder, shape = shared_folder(spark, "stream"), log.drop("came").schema
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for wave in range(WAVES + 1):
+            first, end = (low + (high - low + 1) * k // WAVES for k in (wave, wave + 1))
+            part = log.where((F.col("came") >= first) & (F.col("came") < end)).drop("came")
+            if wave == WAVES:
+                after = last + late + stream.GAP_MS * 1000 + 1_000_000
+                part = spark.createDataFrame([(-1, None, after, "tick", None, -1, False)], shape).withColumn("session", F.current_date())
+            part.write.mode("append").parquet(f"{folder}/in")
+            flow = stream.intervals(spark.readStream.schema(shape).parquet(f"{folder}/in"), f"{LATE_DAYS} days")
+            flow.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(stream.INTERVALS).parquet(f"{folder}/rows")
 
 
 # Text to units.

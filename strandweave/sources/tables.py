@@ -66,14 +66,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_TYPES = {"view": "enter", "purchase": "exit", "click": "select", "error": "idle", "signup": "active"}
 
 
-def reading_events(events: DataFrame) -> DataFrame:
-    """book, session, t (microseconds), type, passage, event_id of an event log; batch or stream."""
+def reading_events(events: DataFrame, days: int = 1) -> DataFrame:
+    """book, session, t (microseconds), type, passage, event_id, highlighted of an event log; batch or stream.
+
+    A session, in this stand-in for a reader's log, is a period of `days` days, named by its first; a selection of value
+    100 or more became a highlight.
+    """
     kind = F.create_map(*(F.lit(x) for pair in EVENT_TYPES.items() for x in pair))
+    day = F.to_date("ts")
     return events.select(
         F.col("user_id").alias("book"),
-        F.to_date("ts").alias("session"),
+        (day if days == 1 else F.date_sub(day, F.pmod(F.unix_date(day), F.lit(days)).cast("int"))).alias("session"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
         kind[F.col("event_type")].alias("type"),
         F.get_json_object("props", "$.k").cast("long").alias("passage"),
         "event_id",
+        (F.col("value") >= 100).alias("highlighted"),
     )

@@ -212,12 +212,6 @@ def test_rhythm_by_hand_and_as_a_stream(spark):
     assert (got[2].attentive_ms, got[2].selections) == (3000.0, 1)
 
 
-def test_stream_gives_the_batch_visits(spark):
-    flow = {(r.book, r.event_id, r.start, r.end) for r in registry.QUERIES["rhythm_stream"](spark, SF).where("kind = 'visit'").collect()}
-    batch = {(r.book, r.event_id, r.start, r.end) for r in rhythm.visits(S.reading_events(S.table(spark, SF, "events"))).where("end > start").collect()}
-    assert batch <= flow and all(end == start for *_, start, end in flow - batch)
-
-
 def _norm(rows, names):
     at = sorted(range(len(names)), key=lambda i: names[i])
     show = lambda v: f"{v + 0.0:.5f}".replace("-0.00000", "0.00000") if isinstance(v, float) else str(v)
