@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import touching
+
 LEAST_RATIO, RUNNER_UP_GAP, SLACK_WORDS, CONTEXT = 0.86, 0.02, 2, 40
 
 
@@ -137,10 +139,10 @@ def resolve_all(quotes: DataFrame, spines: DataFrame) -> DataFrame:
 
 def chunks_for(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """span_id, id, overlap, pos: passages of the book that a span (book_id, start, end) touches, most overlap first."""
-    overlap = F.least("end", "c_end") - F.greatest("start", "c_start")
-    c = chunks.select("book_id", "id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    pairs = touching(spans.select("book_id", "span_id", "start", "end"), chunks.select("book_id", "id", "start", "end"), "book_id")
+    overlap = F.least("l.end", "r.end") - F.greatest("l.start", "r.start")
     w = Window.partitionBy("span_id").orderBy(F.desc("overlap"), "id")
-    return spans.join(c, "book_id").withColumn("overlap", overlap).where("overlap > 0").select("span_id", "id", "overlap", F.row_number().over(w).alias("pos"))
+    return pairs.select(F.col("l.span_id").alias("span_id"), F.col("r.id").alias("id"), overlap.alias("overlap")).withColumn("pos", F.row_number().over(w))
 
 
 def quote_words(text):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import touching
+
 SITES, PREVIEW, LABEL, SUMMARY, SUMMARY_LEAST = 40, 240, 80, 280, 30
 
 
@@ -30,16 +32,16 @@ def highlighted_runs(runs: DataFrame, spans: DataFrame) -> DataFrame:
 
     span_id is the least of the spans that cover a piece, null if none does.  Empty runs and spans give nothing.
     """
-    r = runs.where(F.col("start") < F.col("end")).select("book_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")).distinct()
-    s = spans.where(F.col("start") < F.col("end")).select("book_id", "span_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    touching = r.join(s, "book_id").where((F.col("s_start") < F.col("r_end")) & (F.col("s_end") > F.col("r_start")))
-    inner = touching.select("book_id", "r_start", "r_end", F.explode(F.array(F.greatest("s_start", "r_start"), F.least("s_end", "r_end"))).alias("at"))
-    ends = r.select("book_id", "r_start", "r_end", F.explode(F.array("r_start", "r_end")).alias("at"))
+    r = runs.where(F.col("start") < F.col("end")).select("book_id", "start", "end").distinct()
+    s = spans.select("book_id", "span_id", "start", "end")
+    own = lambda x: (F.col(f"{x}.start").alias("r_start"), F.col(f"{x}.end").alias("r_end"))
+    inner = touching(r, s, "book_id").select("book_id", *own("l"), F.explode(F.array(F.greatest("l.start", "r.start"), F.least("l.end", "r.end"))).alias("at"))
+    ends = r.select("book_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.explode(F.array("start", "end")).alias("at"))
     cuts = inner.unionByName(ends).distinct()
     after = F.lead("at").over(Window.partitionBy("book_id", "r_start", "r_end").orderBy("at"))
     pieces = cuts.withColumn("end", after).where("end is not null").select("book_id", F.col("at").alias("start"), "end").distinct()
-    covers = (F.col("s_start") <= F.col("start")) & (F.col("s_end") >= F.col("end"))
-    covered = pieces.join(s, "book_id").where(covers).groupBy("book_id", "start", "end").agg(F.min("span_id").alias("span_id"))
+    # A span that touches a piece covers it: pieces end where spans do.
+    covered = touching(pieces, s, "book_id").groupBy("book_id", F.col("l.start").alias("start"), F.col("l.end").alias("end")).agg(F.min("r.span_id").alias("span_id"))
     return pieces.join(covered, ["book_id", "start", "end"], "left")
 
 

@@ -152,6 +152,46 @@ _HITS = " + ".join(f"contains(low, '{s}')::INT" for s in SIGNALS)
 _PROSE = r"""CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[0-9]'))) / len(w) ELSE 0.0 END"""
 _HELD = """h AS (SELECT item_id AS quote_id, doc_id AS book_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
+def _accumulated(x: str, target: int, overlap: int) -> str:
+    """Greedy passages `pa{x}` (book_id, n, words, body, start, end) over the lines `li` of documents.
+
+    Words up to a line stand for places: a run is the lines between two counts.  Each step reads one line; a cut moves the
+    run's start to the last line from which `overlap` words are held.  Then places are found from where the last one was.
+    """
+    return rf"""ca{x} AS (
+  SELECT a.book_id, a.i, max(b.upto - b.words) AS tail FROM li a JOIN li b ON a.book_id = b.book_id AND b.kind = 'para' AND b.i <= a.i AND b.upto - b.words <= a.upto - {overlap} GROUP BY ALL
+), st{x} AS (SELECT li.book_id, li.i, li.kind, li.upto, li.total, coalesce(tail, 0) AS tail, CASE WHEN li.kind = 'para' THEN {target} ELSE {target // 2} END AS most FROM li LEFT JOIN ca{x} USING (book_id, i)
+), ru{x} AS (
+  SELECT book_id, 0::BIGINT AS i, 0::BIGINT AS base, NULL::BIGINT AS low, NULL::BIGINT AS high FROM st{x} WHERE i = 1
+  UNION ALL SELECT s.book_id, s.i, CASE WHEN s.upto - r.base >= most THEN greatest(r.base, s.tail) ELSE r.base END,
+    CASE WHEN s.upto - r.base >= most THEN r.base END, CASE WHEN s.upto - r.base >= most THEN s.upto END
+  FROM ru{x} r JOIN st{x} s ON s.book_id = r.book_id AND s.i = r.i + 1
+), cu{x} AS (
+  SELECT book_id, i, low, high FROM ru{x} WHERE high - low >= 60
+  UNION ALL SELECT book_id, i + 1, base, total FROM (SELECT r.*, s.total FROM ru{x} r JOIN st{x} s USING (book_id, i) QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY i DESC) = 1) WHERE total - base >= 60
+), bo{x} AS (
+  SELECT c.book_id, c.i, c.high - c.low AS words, string_agg(l.x, chr(10) || chr(10) ORDER BY l.i) AS body, arg_min(l.x, l.i) AS head, arg_max(l.x, l.i) AS foot
+  FROM cu{x} c JOIN li l ON l.book_id = c.book_id AND l.kind = 'para' AND l.upto > c.low AND l.upto <= c.high GROUP BY ALL
+), ke{x} AS (
+  SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY i) - 1 AS n FROM (
+    SELECT *, {_HITS} AS hits, {_PROSE} AS prose FROM (SELECT *, lower(body) AS low, regexp_extract_all(body, '\S+') AS w FROM bo{x}))
+  WHERE NOT ((contains(low, 'intentionally omitted') AND length(body) < 600) OR hits >= 2 OR (hits >= 1 AND prose < 0.65) OR prose < 0.5)
+), pl{x} AS (
+  SELECT k.book_id, 0::BIGINT AS n, (instr(text, head) - 1)::BIGINT AS start FROM ke{x} k JOIN documents ON doc_id = book_id WHERE k.n = 0
+  UNION ALL SELECT k.book_id, k.n, (CASE WHEN instr(substr(text, p.start + 2), head) > 0 THEN p.start + instr(substr(text, p.start + 2), head) ELSE instr(text, head) - 1 END)::BIGINT
+  FROM pl{x} p JOIN ke{x} k ON k.book_id = p.book_id AND k.n = p.n + 1 JOIN documents ON doc_id = k.book_id
+), pa{x} AS (
+  SELECT k.book_id, k.n, k.words, k.body, p.start, CASE WHEN instr(substr(text, p.start + 1), foot) > 0 THEN p.start + instr(substr(text, p.start + 1), foot) - 1 + length(foot) END AS stop
+  FROM ke{x} k JOIN pl{x} p USING (book_id, n) JOIN documents ON doc_id = k.book_id)"""
+
+
+_LINES = r"""li AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS i, sum(words) OVER (PARTITION BY book_id ORDER BY pos)::BIGINT AS upto, sum(words) OVER (PARTITION BY book_id)::BIGINT AS total FROM (
+  SELECT book_id, pos, x, kind, CASE WHEN kind = 'para' THEN len(regexp_extract_all(x, '\S+')) ELSE 0 END AS words FROM (
+    SELECT *, CASE WHEN regexp_full_match(x, '#{1,6} .*') THEN 'heading' ELSE 'para' END AS kind FROM (
+      SELECT doc_id AS book_id, trim(unnest(string_split(text, chr(10)))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE x <> '')
+  WHERE NOT regexp_full_match(x, '<!--\s*page\s+\d+\s*-->')))"""
+_SMALL = f"{_LINES}, {_accumulated('', 240, 40)}"
+
 _KNOWN = """hashed AS (SELECT doc_id, text, sha256(text) AS h FROM documents), known AS (SELECT DISTINCT h FROM hashed JOIN labels USING (doc_id))"""
 _COLOURS = ", ".join(f"{{'d': (r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}), 'i': {i}, 'name': '{n}'}}" for i, (n, (r, g, b)) in enumerate(PALETTE.items()))
 
@@ -322,6 +362,20 @@ ORACLE_SQL = {
       ), c AS (SELECT *, sum(turn::INT) OVER (PARTITION BY book_id) AS turns, sum(turn::INT) OVER (PARTITION BY book_id ORDER BY id) AS k FROM t)
       SELECT book_id, id, title FROM c WHERE titled >= 3 AND turn AND (k - 1) % (CASE WHEN turns > 300 THEN greatest(1, turns // 120) ELSE 1 END) = 0
       UNION ALL SELECT book_id, id, 'Passage ' || (place + 1) FROM c WHERE titled < 3 AND place % 25 = 0""",
+    "chunk_accumulate": f"""WITH RECURSIVE {_SMALL} SELECT book_id, n::INT AS n, words::INT AS words, start, stop AS "end" FROM pa""",
+    "parents_link": f"""WITH RECURSIVE {_SMALL}, {_accumulated('_p', 500, 60)},
+      c AS (SELECT book_id, printf('%d#%04d', book_id, n) AS id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{3,}}')) AS w FROM pa),
+      p AS (SELECT book_id, n, printf('%d#P%04d', book_id, n) AS parent_id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{3,}}')) AS pw FROM pa_p)
+      SELECT id, parent_id, round(overlap, 6) AS overlap FROM (
+        SELECT id, parent_id, len(list_intersect(w, pw)) / len(w) AS overlap, row_number() OVER (PARTITION BY id ORDER BY len(list_intersect(w, pw)) / len(w) DESC, n) AS r FROM c JOIN p USING (book_id) WHERE len(w) > 0
+      ) WHERE r = 1 AND overlap > 0""",
+    "propositions": rf"""WITH RECURSIVE {_SMALL}, s AS (
+        SELECT book_id, n AS unit, printf('%d#%04d', book_id, n) AS id, unnest(string_split(regexp_replace(body, '([.!?])\s+([A-Z"''(])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x,
+          generate_subscripts(string_split(regexp_replace(body, '([.!?])\s+([A-Z"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS pos FROM pa)
+      SELECT book_id, id, (row_number() OVER (PARTITION BY book_id ORDER BY unit, id, pos) - 1)::INT AS n, length(x)::INT AS n_chars FROM s WHERE len(regexp_extract_all(x, '\S+')) >= 5""",
+    "anchor_chunks_for": f"""WITH RECURSIVE {_SMALL}, {_HELD}, sp AS (SELECT concat_ws(':', quote_id, book_id) AS span_id, book_id, instr(text, quote) - 1 AS a, instr(text, quote) - 1 + length(quote) AS b FROM h),
+      o AS (SELECT span_id, printf('%d#%04d', book_id, n) AS id, (least(b, stop) - greatest(a, start))::BIGINT AS overlap FROM sp JOIN pa USING (book_id) WHERE a < stop AND start < b)
+      SELECT span_id, id, overlap, (row_number() OVER (PARTITION BY span_id ORDER BY overlap DESC, id))::INT AS pos FROM o""",
     "semantic_cuts": f"""WITH {_V}, l AS (SELECT id, e, lag(e) OVER (PARTITION BY book_id ORDER BY id) AS f FROM v)
         SELECT id, round(list_dot_product(e, f), 6) AS cosine, list_dot_product(e, f) < 0.55 AS cut FROM l WHERE f IS NOT NULL""",
     "detect_book": f"WITH {_HELD} SELECT quote_id, book_id, ((length(text) - length(replace(text, quote, ''))) // length(quote))::BIGINT AS hits FROM h",
