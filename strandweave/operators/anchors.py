@@ -6,12 +6,16 @@ import difflib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import touching
+from strandweave.shared import stored
 
 LEAST_RATIO, RUNNER_UP_GAP, SLACK_WORDS, CONTEXT = 0.86, 0.02, 2, 40
 
@@ -19,28 +23,44 @@ LEAST_RATIO, RUNNER_UP_GAP, SLACK_WORDS, CONTEXT = 0.86, 0.02, 2, 40
 _BREAK = re.compile(r"-[ \t]*\n\s*")
 
 
+@lru_cache(maxsize=1 << 16)
+def _shown(code: int) -> tuple[bool, tuple[int, ...]]:
+    """(white space, what stands for a character)."""
+    c = chr(code)
+    if c == "\u00ad":
+        return False, ()
+    if c.isspace():
+        return True, (32,)
+    return False, tuple(ord(d) for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+
+
+def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the text without accents, soft hyphens and line-end hyphens, white space as one space; source offset of each)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds, which = np.unique(codes, return_inverse=True)
+    shown = [_shown(int(c)) for c in kinds]
+    sizes = np.array([len(s[1]) for s in shown], np.int64)
+    many = sizes[which]
+    if "-" in text:
+        for m in _BREAK.finditer(text):
+            many[m.start() : m.end()] = 0
+    at = np.repeat(np.arange(len(codes)), many)
+    if (sizes > 1).any():
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat = np.array([d for s in shown for d in s[1]], np.uint32)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        out = flat[starts[which[at]] + inner]
+    else:
+        out = np.array([s[1][0] if s[1] else 0 for s in shown], np.uint32)[which[at]]
+    white = np.array([s[0] for s in shown], bool)[which[at]]
+    # White space goes where a space, or nothing, stands before it.
+    again = white & np.concatenate([[True], out[:-1] == 32]) if len(out) else white
+    return out[~again], at[~again]
+
+
 def normalise(text: str) -> tuple[str, list[int]]:
-    """(text without accents, soft hyphens and line-end hyphens, white space as one space; source offset of each character)."""
-    out, at = [], []
-    i = 0
-    while i < len(text):
-        c = text[i]
-        if c == "­":
-            i += 1
-        elif c == "-" and (m := _BREAK.match(text, i)):
-            i = m.end()
-        elif c.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                at.append(i)
-            i += 1
-        else:
-            for d in unicodedata.normalize("NFKD", c):
-                if not unicodedata.combining(d):
-                    out.append(d)
-                    at.append(i)
-            i += 1
-    return "".join(out), at
+    out, at = normalised(text)
+    return out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at.tolist()
 
 
 def _context(text: str, start: int, end: int, prefix: str | None, suffix: str | None) -> float:
@@ -107,34 +127,204 @@ def resolve(text: str, quote: str, prefix: str | None = None, suffix: str | None
     return (*source(best[0][1], best[0][2]), best[0][0], "fuzzy")
 
 
-def resolve_all(quotes: DataFrame, spines: DataFrame) -> DataFrame:
-    """quote_id, start, end, confidence, tier for quotes (quote_id, book_id, quote, prefix, suffix) in spines (book_id, text).
+#: Characters that a segment of a book owns at least; quotes that travel together; characters of a gram.
+SEGMENT, PACK, GRAM = 16_384, 256, 3
+_ASKED = "quote_id long, book_id long, quote string, prefix string, suffix string, wanted string"
+
+
+def _grams(flat: np.ndarray) -> np.ndarray:
+    """A 16-bit code for each run of GRAM characters: equal runs have equal codes."""
+    c = flat.astype(np.uint64)
+    if len(c) < GRAM:
+        return np.zeros(0, np.int64)
+    mixed = (c[:-2] * np.uint64(1_000_003) + c[1:-1]) * np.uint64(1_000_003) + c[2:]
+    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
-    A quote that occurs once is placed inside the JVM; only the others go to Python.
+
+def _segments(spines: DataFrame, margin: int, whole: int) -> DataFrame:
+    """A book's normalised text in segments that begin at words, each with what may follow a start in it, and its place in the book.
+
+    A segment owns its first `owned` characters, and the book's characters from `own` to `own_end`; `margin` normalised and
+    `whole` book characters follow.  A book's text is normalised once, in the task that reads it.
     """
-    both = quotes.join(spines, "book_id", "left")
-    count = F.when(F.length("quote") > 0, (F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote"))
-    first = F.expr("locate(quote, text)")
-    marked = both.withColumn("times", F.coalesce(count, F.lit(0.0)))
-    # Overlapping occurrences count once here; a second one, overlapping or not, goes to Python.
-    again = F.expr("locate(quote, text, locate(quote, text) + 1)")
-    single = (F.col("times") == 1) & (again == 0)
-    easy = marked.where(single).select(
-        "quote_id", (first - 1).cast("long").alias("start"), (first - 1 + F.length("quote")).cast("long").alias("end"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("tier")
-    )
+    schema = "book_id long, flat binary, at binary, owned int, raw string, raw_from long, own long, own_end long"
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for book, text in zip(part.column("book_id"), part.column("text")):
+                text = text.as_py()
+                if not text:
+                    continue
+                flat, at = normalised(text)
+                size = max(SEGMENT, 2 * margin)
+                heads = np.flatnonzero(flat[:-1] == 32) + 1 if len(flat) else np.zeros(0, np.int64)
+                firsts = [0]
+                while (k := np.searchsorted(heads, firsts[-1] + size)) < len(heads):
+                    firsts.append(int(heads[k]))
+                ends = [*firsts[1:], len(flat)]
+                for first, end in zip(firsts, ends):
+                    own = int(at[first]) if first else 0
+                    own_end = int(at[end]) if end < len(flat) else len(text)
+                    low, high = max(0, own - CONTEXT), own_end + whole + CONTEXT
+                    row = [
+                        [book.as_py()], [flat[first : end + margin].astype("<u4").tobytes()], [at[first : end + margin].astype("<i8").tobytes()],
+                        [end - first], [text[low:high]], [low], [own], [own_end],
+                    ]
+                    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return spines.select("book_id", "text").mapInArrow(cut, schema)
+
+
+def _verbatim(segment: dict, asked: list[dict]) -> Iterator[tuple]:
+    """(quote_id, tier, score, start, end) of each quote's exact and normalised places that begin in the segment."""
+    raw, shift = segment["raw"], segment["raw_from"]
+    flat = segment["flat"].decode("utf-32-le", "surrogatepass")
+    at = np.frombuffer(segment["at"], "<i8")
+    for q in asked:
+        exact = [(a, b) for a, b in _occurrences(raw, q["quote"]) if segment["own"] <= a + shift < segment["own_end"]]
+        for a, b in exact:
+            yield q["quote_id"], "exact", _context(raw, a, b, q["prefix"], q["suffix"]), a + shift, b + shift
+        if q["wanted"] and not exact:
+            for a, b in _occurrences(flat, q["wanted"]):
+                if a < segment["owned"]:
+                    start, end = int(at[a]), int(at[b - 1]) + 1
+                    yield q["quote_id"], "normalised", _context(raw, start - shift, end - shift, q["prefix"], q["suffix"]), start, end
+
+
+def _subsequences(wanted: str, at_bits: dict[str, int], text: str, ends: list[int]) -> list[int]:
+    """Length of the longest common subsequence of `wanted` and the text up to each of `ends`, which rise: one bit for a character of `wanted`."""
+    whole = (1 << len(wanted)) - 1
+    bits, out, done = whole, [], 0
+    for end in ends:
+        for c in text[done:end]:
+            if hit := bits & at_bits.get(c, 0):
+                bits = ((bits + hit) | (bits - hit)) & whole
+        done = end
+        out.append(len(wanted) - bits.bit_count())
+    return out
+
 
-    def hard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                got = resolve(r.text, r.quote, r.prefix, r.suffix)
-                rows.append((r.quote_id, *(got or (None, None, None, "orphan"))))
-            yield pd.DataFrame(rows, columns=["quote_id", "start", "end", "confidence", "tier"])
+def _alike(segment: dict, asked: list[dict]) -> Iterator[tuple]:
+    """(quote_id, "fuzzy", ratio, start, end) of the best window at each word that begins in the segment, where one is alike enough.
 
-    rest = marked.where(~F.coalesce(single, F.lit(False))).select("quote_id", "quote", "prefix", "suffix", "text")
+    A ratio r of two texts of together n characters means matching blocks of r n / 2 characters, and at most (1 - r) n + 1
+    blocks, as a character that matches nothing stands between two.  So at least r n / 2 - (GRAM - 1) ((1 - r) n + 1) of a
+    window's grams are grams of the quote.  A running count of those, one for a quote, names the windows that are looked at.
+    Blocks are a common subsequence, whose length is counted for all windows of a word in one pass; the ratio is taken
+    where that is long enough.
+    """
+    flat = np.frombuffer(segment["flat"], "<u4")
+    text = segment["flat"].decode("utf-32-le", "surrogatepass")
+    at, codes = np.frombuffer(segment["at"], "<i8"), _grams(flat)
+    space = flat == 32
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    firsts = np.flatnonzero(starts < segment["owned"])
+    known = np.zeros(1 << 16, bool)
+    for q in asked:
+        wanted = q["wanted"]
+        if not wanted:
+            continue
+        own = _grams(np.frombuffer(wanted.encode("utf-32-le", "surrogatepass"), "<u4"))
+        known[own] = True
+        held = np.concatenate([[0], np.cumsum(known[codes])]) if len(codes) else np.zeros(1, np.int64)
+        known[own] = False
+        n, compared = len(wanted.split()), []
+        for size in range(max(1, n - SLACK_WORDS), n + SLACK_WORDS + 1):
+            last = firsts + size - 1
+            first = firsts[last < len(ends)]
+            a, b = starts[first], ends[first + size - 1]
+            both = len(wanted) + b - a
+            least = LEAST_RATIO * both / 2 - (GRAM - 1) * ((1 - LEAST_RATIO) * both + 1)
+            shared = held[np.maximum(a, np.minimum(b - GRAM + 1, len(held) - 1))] - held[np.minimum(a, len(held) - 1)]
+            near = (shared >= least - 1e-6) & (2 * np.minimum(b - a, len(wanted)) >= LEAST_RATIO * both - 1e-6)
+            compared += zip(a[near].tolist(), b[near].tolist())
+        if not compared:
+            continue
+        at_bits: dict[str, int] = {}
+        for k, c in enumerate(wanted):
+            at_bits[c] = at_bits.get(c, 0) | 1 << k
+        windows: dict[int, list[int]] = {}
+        for a, b in compared:
+            windows.setdefault(a, []).append(b)
+        m = difflib.SequenceMatcher(None, "", wanted, autojunk=False)  # what it knows of the quote serves all windows
+        best: dict[int, tuple[float, int]] = {}
+        for a, stops in windows.items():
+            for b, common in zip(stops, _subsequences(wanted, at_bits, text[a : stops[-1]], [b - a for b in stops])):
+                if 2 * common >= LEAST_RATIO * (len(wanted) + b - a) - 1e-6:
+                    m.set_seq1(text[a:b])
+                    if (ratio := m.ratio()) >= LEAST_RATIO:
+                        best[a] = max(best.get(a, (0.0, 0)), (ratio, b))
+        for a, (ratio, b) in best.items():
+            yield q["quote_id"], "fuzzy", ratio, int(at[a]), int(at[b - 1]) + 1
+
+
+_PLACES = "quote_id long, tier string, score double, start long, end long"
+
+
+def _places(segments: DataFrame, asked: DataFrame, find) -> DataFrame:
+    """What `find` gives of each segment and the quotes of its book.
+
+    A book's quotes go together in packs, so that its text travels once for a pack and not for each quote.
+    """
+    sizes = asked.groupBy("book_id").agg(F.ceil(F.count("*") / PACK).alias("packs"))
+    packed = asked.join(sizes, "book_id").withColumn("pack", F.pmod(F.xxhash64("quote_id"), F.col("packs")))
+    packs = packed.groupBy("book_id", "pack").agg(F.collect_list(F.struct("quote_id", "quote", "prefix", "suffix", "wanted")).alias("asked"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in range(part.num_rows):
+                segment = {c: part.column(c)[row].as_py() for c in part.schema.names}
+                found = list(zip(*find(segment, segment["asked"]))) or [()] * 5
+                kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found, kinds)], names=["quote_id", "tier", "score", "start", "end"])
+
+    rows = segments.join(packs, "book_id").drop("book_id", "pack")
     # A fixed count: quotes are too few bytes for AQE to see the work behind them.
-    rest = rest.repartition(max(1, int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "quote_id")
-    return easy.unionByName(rest.mapInPandas(hard, "quote_id long, start long, end long, confidence double, tier string"))
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, _PLACES)
+
+
+def resolve_all(quotes: DataFrame, spines: DataFrame) -> DataFrame:
+    """quote_id, start, end, confidence, tier for quotes (quote_id, book_id, quote, prefix, suffix) in spines (book_id, text).
+
+    What `resolve` gives of each quote in its book's text, from segments of the books that all quotes share: first the
+    exact and normalised places, then, for quotes without one, the windows that a count of shared grams names.
+    Quotes without a place, or with several that fit alike, are orphans.
+    """
+
+    def wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            flat = [normalise(q)[0].strip() if q else "" for q in part.column("quote").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flat, pa.string())], names=[*part.schema.names, "wanted"])
+
+    named = quotes.select(F.col("quote_id").cast("long"), F.col("book_id").cast("long"), "quote", "prefix", "suffix")
+    asked = stored(named.where(F.length("quote") > 0).mapInArrow(wanted, _ASKED), "quotes")
+    longest = asked.agg(F.max(F.length("wanted")).alias("flat"), F.max(F.length("quote")).alias("whole")).first()
+    # A window alike enough is at most 57 / 43 as long as its quote.
+    margin, whole = int(1.4 * (longest["flat"] or 0)) + 8, 2 * (longest["whole"] or 0)
+    books = spines.select(F.col("book_id").cast("long"), "text").join(asked.select("book_id").distinct(), "book_id", "left_semi")
+    segments = stored(_segments(books, margin, whole), "segments")
+    verbatim = stored(_places(segments, asked, _verbatim), "verbatim")
+    context = asked.select("quote_id", (F.length(F.coalesce("prefix", F.lit(""))) + F.length(F.coalesce("suffix", F.lit(""))) > 0).alias("context"))
+    # The exact places of a quote count before its normalised ones; of several the one whose surroundings fit best, if it is the only one.
+    exact = verbatim.groupBy("quote_id").agg(F.max(F.col("tier") == "exact").alias("exact"))
+    chosen = verbatim.join(exact, "quote_id").where((F.col("tier") == "exact") == F.col("exact"))
+    best = chosen.groupBy("quote_id", "tier").agg(F.max(F.struct("score", (-F.col("start")).alias("before"), "start", "end")).alias("best"), F.count("*").alias("n"))
+    rivals = chosen.join(best.select("quote_id", F.col("best.score").alias("top")), "quote_id").where("score = top").groupBy("quote_id").agg(F.count("*").alias("rivals"))
+    sure = (F.col("n") == 1) | (F.col("context") & (F.col("rivals") == 1))
+    placed = best.join(rivals, "quote_id").join(context, "quote_id").where(sure).select(
+        "quote_id", "best.start", "best.end", F.when(F.col("tier") == "exact", 1.0).otherwise(0.99).alias("confidence"), "tier"
+    )
+    left = asked.join(exact, "quote_id", "left_anti")
+    fuzzy = stored(_places(segments, left, _alike), "alike")
+    top = fuzzy.groupBy("quote_id").agg(F.max(F.struct("score", "start", "end")).alias("best"))
+    apart = fuzzy.join(top, "quote_id").where((F.col("start") >= F.col("best.end")) | (F.col("end") <= F.col("best.start")))
+    rival = apart.groupBy("quote_id").agg(F.max("score").alias("rival"))
+    clear = top.join(rival, "quote_id", "left").where(F.col("rival").isNull() | (F.col("best.score") - F.col("rival") >= RUNNER_UP_GAP))
+    found = placed.unionByName(clear.select("quote_id", "best.start", "best.end", F.col("best.score").alias("confidence"), F.lit("fuzzy").alias("tier")))
+    rows = quotes.select(F.col("quote_id").cast("long")).join(found.distinct(), "quote_id", "left")
+    return rows.select("quote_id", "start", "end", "confidence", F.coalesce("tier", F.lit("orphan")).alias("tier"))
 
 
 def chunks_for(spans: DataFrame, chunks: DataFrame) -> DataFrame:

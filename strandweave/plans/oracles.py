@@ -379,6 +379,10 @@ ORACLE_SQL = {
     "semantic_cuts": f"""WITH {_V}, l AS (SELECT id, e, lag(e) OVER (PARTITION BY book_id ORDER BY id) AS f FROM v)
         SELECT id, round(list_dot_product(e, f), 6) AS cosine, list_dot_product(e, f) < 0.55 AS cut FROM l WHERE f IS NOT NULL""",
     "detect_book": f"WITH {_HELD} SELECT quote_id, book_id, ((length(text) - length(replace(text, quote, ''))) // length(quote))::BIGINT AS hits FROM h",
+    "anchor_typos": rf"""WITH {_HELD}, o AS (SELECT *, instr(text, quote) AS place, (length(text) - length(replace(text, quote, ''))) // length(quote) = 1 AS sure FROM h)
+      SELECT quote_id * 1000000000 + book_id AS quote_id, CASE WHEN sure THEN (place - 1 - length(regexp_extract(substr(text, 1, place - 1), '\S*$')))::BIGINT END AS start,
+        CASE WHEN sure THEN (place - 1 + length(quote) + length(regexp_extract(substr(text, place + length(quote)), '^\S*')))::BIGINT END AS "end",
+        CASE WHEN sure THEN 'fuzzy' ELSE 'orphan' END AS tier FROM o""",
     "anchor_exact": f"WITH {_HELD} SELECT quote_id, book_id, (instr(text, quote) - 1)::BIGINT AS start, length(quote)::BIGINT AS n_chars FROM h",
     "orphan_candidates": r"""WITH q AS (SELECT item_id AS quote_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark),
       c AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents),

@@ -462,6 +462,18 @@ def anchor_exact(spark, d):
     return held.select("quote_id", "book_id", (F.expr("locate(quote, text)") - 1).cast("long").alias("start"), F.length("quote").cast("long").alias("n_chars"))
 
 
+@query
+def anchor_typos(spark, d):
+    """Benchmark passages with a planted wrong letter, found again in every document that holds them."""
+    quotes = S.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    books = _books(spark, d)
+    held = anchors.contained(quotes, books).select("quote_id", "book_id").join(quotes, "quote_id")
+    n, none = F.length("quote"), F.lit(None).cast("string")
+    wrong = F.concat(F.substr("quote", F.lit(1), F.floor(n / 2)), F.lit("~"), F.substr("quote", F.floor(n / 2) + 2))
+    asked = held.select((F.col("quote_id") * 10**9 + F.col("book_id")).alias("quote_id"), "book_id", wrong.alias("quote"), none.alias("prefix"), none.alias("suffix"))
+    return anchors.resolve_all(asked, books).select("quote_id", "start", "end", "tier")
+
+
 @query
 def anchor_chunks_for(spark, d):
     """Passages that each resolved quote touches."""
