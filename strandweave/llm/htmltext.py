@@ -46,7 +46,7 @@ NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 #: What ends a tag, or opens a quoted value in it: a quote counts only after an equals sign.
 STOP = re.compile(r">|=\s*[\"']")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
-HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HINT = re.compile(r"""(?<![\w:.-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: What an ancestor's tag or hint says: one bit each.
 TAGS = {t: i for i, t in enumerate("article main nav header footer aside form figure ul ol table blockquote section div body dialog address menu".split())}
@@ -68,8 +68,16 @@ N_FORM = 17
 N_FEATURES = 1 + N_TAGS + N_HINTS + len(OWN) + N_FORM + 2
 
 
-@lru_cache(maxsize=20_000)
+#: Longer attributes are looked through each time and never kept, so that the cache is bounded in bytes.
+KEPT_CHARACTERS = 512
+
+
 def _mask(tag: str, attributes: str) -> int:
+    return _seen_mask(tag, attributes) if len(attributes) <= KEPT_CHARACTERS else _hints(tag, attributes)
+
+
+def _hints(tag: str, attributes: str) -> int:
+    """Bits of a tag, and of what its class, id, role and itemprop hint at."""
     mask = 1 << TAGS[tag] if tag in TAGS else 0
     if attributes and "=" in attributes:
         for found in HINT.finditer(attributes):
@@ -80,6 +88,9 @@ def _mask(tag: str, attributes: str) -> int:
     return mask
 
 
+_seen_mask = lru_cache(maxsize=20_000)(_hints)
+
+
 def _form(text: str, linked: int) -> int:
     """Bits of what the text looks like."""
     n = len(text)

@@ -16,7 +16,6 @@ payloads each row is judged by its own payload.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import json
 import re
@@ -37,6 +36,8 @@ URN = "urn:strandweave:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
+#: What is read or unpacked at once where a length isn't known.
+PIECE_BYTES = 64 << 10
 
 #: ZIP's record marks and fixed lengths.
 END_MARK, END_LENGTH = b"PK\x05\x06", 22
@@ -121,10 +122,42 @@ class ZipDirectory:
         n_name, n_extra = struct.unpack("<HH", local[26:30])
         return header + LOCAL_LENGTH + n_name + n_extra, packed
 
+    def pieces(self, name: str) -> Iterator[bytes]:
+        """A member's bytes, which may be deflated, piece by piece."""
+        at, size = self.place(name, stored=False)
+        raw = read_pieces(self.file, at, size)
+        return inflated(raw, -15) if self.members[name][0] == 8 else raw
+
     def read(self, name: str) -> bytes:
-        """A whole member, which may be deflated."""
-        raw = self._read(*self.place(name, stored=False))
-        return zlib.decompress(raw, -15) if self.members[name][0] == 8 else raw
+        return b"".join(self.pieces(name))
+
+
+def read_pieces(file, at: int, size: int) -> Iterator[bytes]:
+    file.seek(at)
+    while size > 0:
+        got = file.read(min(PIECE_BYTES, size))
+        if not got:
+            raise ValueError("the file is cut short")
+        size -= len(got)
+        yield got
+
+
+def inflated(pieces: Iterator[bytes], kind: int) -> Iterator[bytes]:
+    """What deflated (-15) or gzip (31) data holds, in bounded pieces; gzip members may follow each other."""
+    coder = zlib.decompressobj(kind)
+    fed = False
+    for piece in pieces:
+        while piece:
+            if coder.eof:
+                coder = zlib.decompressobj(kind)
+            fed = True
+            yield coder.decompress(piece, PIECE_BYTES)
+            piece = coder.unused_data if coder.eof else coder.unconsumed_tail
+    while fed and not coder.eof:
+        more = coder.decompress(b"", PIECE_BYTES)
+        if not more and not coder.eof:
+            raise ValueError("compressed data ends in its midst")
+        yield more
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -159,6 +192,39 @@ def url_key(url: str | None) -> str:
     return re.sub(r"\s", lambda m: f"%{ord(m[0]):02x}", key.lower())
 
 
+_LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*(\d+)", re.I)
+
+
+def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The WARC records that follow each other in `pieces`; what isn't a whole record is an error."""
+    held, more = b"", iter(pieces)
+    while True:
+        held = held.lstrip(b"\r\n")
+        while (head := held.find(b"\r\n\r\n")) < 0:
+            if (piece := next(more, None)) is None:
+                if held.strip(b"\r\n"):
+                    raise ValueError("data ends inside a WARC record's header")
+                return
+            held = (held + piece).lstrip(b"\r\n")
+        if not held.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        told = _LENGTH.search(held, 0, head)
+        if not told:
+            raise ValueError("a WARC record without a length")
+        size = head + 4 + int(told[1])
+        if len(held) < size:
+            parts = [held]
+            n = len(held)
+            while n < size:
+                if (piece := next(more, None)) is None:
+                    raise ValueError("data ends inside a WARC record")
+                parts.append(piece)
+                n += len(piece)
+            held = b"".join(parts)
+        yield held[:size]
+        held = held[size:]
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], int, bytes]:
     """(headers with lower-case names, payload's length, payload) of a WARC record.
 
@@ -266,16 +332,26 @@ def write_archives(
     return records.sparkSession.read.schema(made.schema).parquet(manifest)
 
 
+def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    rest = b""
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(b"\n")
+        for line in whole:
+            yield line.decode("utf-8", "replace")
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
 def indexed(zipped: ZipDirectory) -> dict[str, list[tuple[int, int]]]:
     """(offset, length) of the records in each WARC member, by the archive's indexes; each record once."""
-    members = [m for m in zipped.members if m.startswith("archive/") and m.endswith(".warc.gz")]
+    members = [m for m in zipped.members if m.startswith("archive/") and m.endswith((".warc.gz", ".warc"))]
     known = {m.rpartition("/")[2]: m for m in members} | {m: m for m in members}
     found: dict[str, set[tuple[int, int]]] = {m: set() for m in members}
     for index in zipped.members:
         if not index.startswith("indexes/") or not index.endswith((".cdxj", ".cdx", ".cdx.gz", ".cdxj.gz")):
             continue
-        raw = zipped.read(index)
-        for line in (gzip.decompress(raw) if index.endswith(".gz") else raw).decode("utf-8", "replace").splitlines():
+        raw = zipped.pieces(index)
+        for line in _lines(inflated(raw, 31) if index.endswith(".gz") else raw):
             if (at := line.find("{")) >= 0 and not line.startswith("!"):
                 about = json.loads(line[at:])
                 if (member := known.get(about.get("filename", ""))) and "length" in about:
@@ -284,52 +360,107 @@ def indexed(zipped: ZipDirectory) -> dict[str, list[tuple[int, int]]]:
 
 
 def walked(zipped: ZipDirectory, member: str) -> list[tuple[int, int]]:
-    """(offset, length) of the gzip members of a WARC member without an index, found by reading it in pieces."""
+    """(offset, length) of the gzip members, or plain records, of a WARC member, found by reading it in pieces."""
     base, size = zipped.place(member)
-    places, at, pos = [], 0, 0
-    coder = zlib.decompressobj(31)
-    while pos < size:
-        piece = zipped._read(base + pos, min(RANGE_BYTES, size - pos))
+    places, at = [], 0
+    if not member.endswith(".gz"):
+        while at < size:
+            head = b""
+            while (end := head.find(b"\r\n\r\n")) < 0:
+                more = zipped._read(base + at + len(head), min(4096, size - at - len(head)))
+                if not more:
+                    break
+                head += more
+            told = _LENGTH.search(head, 0, end) if end >= 0 else None
+            if not told:
+                if head.strip(b"\r\n"):
+                    raise ValueError(f"{member} has no whole record at {at}")
+                break
+            length = end + 4 + int(told[1])
+            if at + length > size:
+                raise ValueError(f"{member} ends inside a record")
+            after = zipped._read(base + at + length, min(4, size - at - length))
+            length += len(after) - len(after.lstrip(b"\r\n"))
+            places.append((at, length))
+            at += length
+        return places
+    coder, pos = zlib.decompressobj(31), 0
+    for piece in read_pieces(zipped.file, base, size):
         pos += len(piece)
         while piece:
-            coder.decompress(piece)
-            piece = coder.unused_data
+            # The data themselves aren't kept, only where they end.
+            coder.decompress(piece, PIECE_BYTES)
+            piece = coder.unused_data if coder.eof else coder.unconsumed_tail
             if coder.eof:
                 end = pos - len(piece)
                 places.append((at, end - at))
                 at, coder = end, zlib.decompressobj(31)
+    if at < size:
+        raise ValueError(f"{member} ends inside a record")
     return places
 
 
-RANGES = "path string, at long, lengths array<long>"
+def places_of(zipped: ZipDirectory, member: str, told: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The index's places if they are all of the member, one after another; else what a walk finds."""
+    at = 0
+    for offset, length in told:
+        if offset != at or length <= 0:
+            break
+        at += length
+    return told if told and at == zipped.place(member)[1] else walked(zipped, member)
+
+
+RANGES = "path string, at long, lengths array<long>, packed boolean"
 
 
 def _ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for uri in part.column("path").to_pylist():
             fs, path = open_folder(uri)
-            rows: list[tuple[str, int, list[int]]] = []
-            with fs.open_input_file(path) as file:
-                zipped = ZipDirectory(file, file.size())
-                for member, places in indexed(zipped).items():
-                    base, _ = zipped.place(member)
-                    end, full = None, 0
-                    for offset, length in places or walked(zipped, member):
-                        if offset != end or full >= RANGE_BYTES:
-                            rows.append((uri, base + offset, []))
-                            full = 0
-                        rows[-1][2].append(length)
-                        full += length
-                        end = offset + length
+            rows: list[tuple[str, int, list[int], bool]] = []
+            try:
+                with fs.open_input_file(path) as file:
+                    zipped = ZipDirectory(file, file.size())
+                    for member, told in indexed(zipped).items():
+                        base, _ = zipped.place(member)
+                        end, full = None, 0
+                        for offset, length in places_of(zipped, member, told):
+                            if offset != end or full >= RANGE_BYTES:
+                                rows.append((uri, base + offset, [], member.endswith(".gz")))
+                                full = 0
+                            rows[-1][2].append(length)
+                            full += length
+                            end = offset + length
+            except ValueError as wrong:
+                raise ValueError(f"{uri}: {wrong}") from wrong
             yield from batches(
                 {
                     "path": ([r[0] for r in rows], pa.string()),
                     "at": ([r[1] for r in rows], pa.int64()),
                     "lengths": ([r[2] for r in rows], pa.list_(pa.int64())),
+                    "packed": ([r[3] for r in rows], pa.bool_()),
                 }
             )
 
 
+def _raw_records(file, at: int, lengths: list[int], packed: bool) -> Iterator[bytes]:
+    """The records of a run of gzip members, of one or several records each, or of plain records."""
+    small = sum(lengths) <= 2 * RANGE_BYTES
+    if small:
+        file.seek(at)
+        run = memoryview(file.read(sum(lengths)))
+    pos = 0
+    for n in lengths:
+        if small and packed:
+            yield from split_records(iter((zlib.decompress(run[pos : pos + n], 31),)))
+        elif small:
+            yield from split_records(iter((bytes(run[pos : pos + n]),)))
+        else:  # a member of very many records, or a very long record
+            raw = read_pieces(file, at + pos, n)
+            yield from split_records(inflated(raw, 31) if packed else raw)
+        pos += n
+
+
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -341,38 +472,43 @@ def _records(keep_payload: bool):
     def bare(told: str) -> str:
         return told[1:-1] if told.startswith("<") and told.endswith(">") else told
 
+    def values(raw: bytes) -> tuple:
+        headers, size, payload = parse_record(raw)
+        told = headers.get("warc-payload-digest", "")
+        # Digests of other kinds are passed on as they stand, and so is a revisit's, which has no payload to try.
+        digest = told.removeprefix("sha256:")
+        if headers.get("warc-type") != "revisit" and (not told or told != digest):
+            own = hashlib.sha256(payload).hexdigest()
+            if told and len(digest) == 64 and (len(payload) != size or own != digest.lower()):
+                raise ValueError(f"{headers.get('warc-record-id')}: the payload isn't what its header says")
+            digest = digest if told and len(digest) != 64 else own
+        return (
+            number(headers.get("warc-record-id")), bare(headers.get("warc-target-uri", "")), size, digest,
+            headers.get("warc-type"), number(headers.get("warc-refers-to")), payload if keep_payload else None,
+        )
+
+    def given(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+        yield from batches({n: (list(v), t) for n, v, t in zip(names, zip(*rows), kinds)}, rows=1024)
+
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for uri, at, lengths in zip(*(part.column(c).to_pylist() for c in ("path", "at", "lengths"))):
+            for uri, at, lengths, packed in zip(*(part.column(c).to_pylist() for c in ("path", "at", "lengths", "packed"))):
                 fs, path = open_folder(uri)
-                with fs.open_input_file(path) as file:
-                    file.seek(at)
-                    run = memoryview(file.read(sum(lengths)))
-                out: list[list] = [[] for _ in range(7)]
-                pos = 0
-                for n in lengths:
-                    raw = run[pos : pos + n]
-                    pos += n
-                    headers, size, payload = parse_record(zlib.decompress(raw, 31))
-                    told = headers.get("warc-payload-digest", "")
-                    revisit = headers.get("warc-type") == "revisit"
-                    # Digests of other kinds are passed on as they stand, and so is a revisit's, which has no payload to try.
-                    digest = told.removeprefix("sha256:")
-                    if not revisit and (not told or told != digest):
-                        own = hashlib.sha256(payload).hexdigest()
-                        if told and len(digest) == 64 and (len(payload) != size or own != digest.lower()):
-                            raise ValueError(f"{headers.get('warc-record-id')}: the payload isn't what its header says")
-                        digest = digest if told and len(digest) != 64 else own
-                    values = (
-                        number(headers.get("warc-record-id")), bare(headers.get("warc-target-uri", "")), size, digest,
-                        headers.get("warc-type"), number(headers.get("warc-refers-to")),
-                        payload if keep_payload else None,
-                    )
-                    for column, value in zip(out, values):
-                        column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-                yield from batches({k: (v, t) for k, v, t in zip(names, out, kinds)}, rows=1024)
+                rows, size = [], 0
+                try:
+                    with fs.open_input_file(path) as file:
+                        for raw in _raw_records(file, at, lengths, packed):
+                            rows.append(values(raw))
+                            size += len(raw)
+                            if size > 4 * RANGE_BYTES:
+                                yield from given(rows)
+                                rows, size = [], 0
+                except (ValueError, zlib.error) as wrong:
+                    raise ValueError(f"{uri}: {wrong}") from wrong
+                if rows:
+                    yield from given(rows)
 
     return read
 
@@ -381,7 +517,9 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Every record of the archives in column `path`: READ's columns; a revisit's payload is empty.
 
     record_type is the record's own type, whatever it is; records without a digest get their payload's.
-    Large archives are read by many tasks, each a run of records of a few MB.
+    Large archives are read by many tasks, each a run of records of a few MB.  WARC members may be plain or gzipped, by record or as
+    a whole; an index that doesn't name all of a member is set aside for a walk through it.  What isn't a whole record is
+    an error that names the archive.
     """
     # Fixed counts: names and offsets are too few bytes for AQE to see the work behind them.
     files = max(1, archives.count())
