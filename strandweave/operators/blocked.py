@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from strandweave.shared import open_folder, shared_folder, stored
+from strandweave.shared import free_name, open_folder, shared_folder, stored
 
 BLOCK_ROWS = 2048
 #: Pairs of blocks that may travel with their rows; blocks on a side of a tile, whose pairs one task multiplies; the most tasks.
@@ -26,7 +26,7 @@ Block = dict[str, np.ndarray]
 Work = Callable[[Block, Block], dict[str, np.ndarray]]
 
 
-def _whole(df: DataFrame) -> DataFrame:
+def whole(df: DataFrame) -> DataFrame:
     """`df` without rows that lack a vector: they take no part."""
     for field in df.schema.fields:
         if isinstance(field.dataType, ArrayType):
@@ -34,11 +34,14 @@ def _whole(df: DataFrame) -> DataFrame:
     return df
 
 
-def in_blocks(df: DataFrame, block: str, rows: str) -> tuple[DataFrame, int]:
-    """A row for each block, with its rows, and the number of blocks."""
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(block)).agg(F.collect_list(F.struct(*df.columns)).alias(rows))
-    return packed, n
+def blocks_of(df: DataFrame) -> int:
+    """The number of blocks that `df` makes: it is counted once."""
+    return max(1, -(-df.count() // BLOCK_ROWS))
+
+
+def in_blocks(df: DataFrame, block: str, rows: str, n: int) -> DataFrame:
+    """A row for each of `n` blocks, with its rows."""
+    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(block)).agg(F.collect_list(F.struct(*df.columns)).alias(rows))
 
 
 def unpack(rows: pa.StructArray) -> Block:
@@ -56,11 +59,11 @@ def unpack(rows: pa.StructArray) -> Block:
     return out
 
 
-def _in_files(df: DataFrame, side: str) -> tuple[DataFrame, int]:
-    """(block, path, at, size: where each block's rows stand as Arrow data, number of blocks)."""
+def in_files(df: DataFrame, side: str, n: int, block: Column | None = None) -> DataFrame:
+    """block, path, at, size: where the rows of each block, a hash of the id if none is told, stand as Arrow data."""
     spark = df.sparkSession
-    n = max(1, -(-df.count() // BLOCK_ROWS))
     folder, names = shared_folder(spark, "blocks"), df.columns
+    block = F.pmod(F.xxhash64("id"), F.lit(n)) if block is None else block
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, made, at = f"{folder}/{uuid.uuid4().hex}.blocks", [], 0
@@ -94,11 +97,12 @@ def _in_files(df: DataFrame, side: str) -> tuple[DataFrame, int]:
                 put()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[f"{side}b", f"{side}_path", f"{side}_at", f"{side}_size"])
 
-    dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("__block"), *names).repartition(n, "__block").sortWithinPartitions("__block", "id")
-    return stored(dealt.mapInArrow(write, f"{side}b long, {side}_path string, {side}_at long, {side}_size long"), "block-places"), n
+    key = free_name(names, "block")
+    dealt = df.select(block.cast("long").alias(key), *names).repartition(n, key).sortWithinPartitions(key, "id")
+    return stored(dealt.mapInArrow(write, f"{side}b long, {side}_path string, {side}_at long, {side}_size long"), "block-places")
 
 
-def _read(path: str, at: int, size: int) -> Block:
+def read_block(path: str, at: int, size: int) -> Block:
     fs, name = open_folder(path)
     with fs.open_input_file(name) as file:
         file.seek(at)
@@ -112,10 +116,12 @@ def block_pairs(seeds: DataFrame, chunks: DataFrame, work: Work, schema: str) ->
     A few blocks travel to their pairs; more are written to files once, and only their places travel:
     a task takes the pairs of a tile of blocks and reads each of them once.
     """
-    seeds, chunks = _whole(seeds), _whole(chunks)
-    if -(-seeds.count() // BLOCK_ROWS) * -(-chunks.count() // BLOCK_ROWS) <= FEW_PAIRS:
-        left, _ = in_blocks(seeds, "sb", "seeds")
-        right, n = in_blocks(chunks, "cb", "chunks")
+    one = seeds is chunks
+    seeds, chunks = whole(seeds), whole(chunks)
+    m = blocks_of(seeds)
+    n = m if one else blocks_of(chunks)
+    if m * n <= FEW_PAIRS:
+        left, right = in_blocks(seeds, "sb", "seeds", m), in_blocks(chunks, "cb", "chunks", n)
         pairs = left.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(right, "cb")
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +130,7 @@ def block_pairs(seeds: DataFrame, chunks: DataFrame, work: Work, schema: str) ->
                     yield pa.RecordBatch.from_pydict(work(unpack(s.values), unpack(c.values)))
 
         return pairs.select("seeds", "chunks").mapInArrow(run, schema)
-    left, m = _in_files(seeds, "s")
-    right, n = _in_files(chunks, "c")
+    left, right = in_files(seeds, "s", m), in_files(chunks, "c", n)
     pairs = left.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(right, "cb")
     tile = [F.floor(F.col("sb") / TILE), F.floor(F.col("cb") / TILE)]
     tasks = max(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, m * n // (TILE * TILE)))
@@ -137,7 +142,7 @@ def block_pairs(seeds: DataFrame, chunks: DataFrame, work: Work, schema: str) ->
             if place not in read:
                 while len(read) >= 2 * TILE:
                     read.popitem(last=False)
-                read[place] = _read(*place)
+                read[place] = read_block(*place)
             read.move_to_end(place)
             return read[place]
 

@@ -10,45 +10,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.text import lexical_tokens
+from strandweave.shared import stored
 
 K1, B, QUERY_TERMS = 1.5, 0.75, 12
+#: Parts of a score are counted in steps of 1 / STEPS, of which there are at most (K1 + 1) * STEPS; what rounding may add.
+STEPS, SLACK = 32, 1e-5
 
 
 class LexicalIndex:
-    """postings (id, term, tf, dl) and df (term, df, idf) of passages (id, text)."""
+    """postings (id, term, tf, dl, part), stored, and df (term, df, idf, most, held) of passages (id, text).
+
+    `part` is what a term adds to a passage's score, before its idf.  `most` is a term's largest part, and `held` counts
+    its parts by size: bounds that tell which of a query's terms can bring a passage among the best.  The corpus is tokenized once.
+    """
 
     def __init__(self, chunks: DataFrame):
         # Texts are dealt by id, as they are smaller than their terms; counting a passage's terms then needs no shuffle.
         tokens = chunks.select("id", "text").repartition("id").select("id", lexical_tokens(F.col("text")).alias("tokens"))
-        self.postings = (
+        counted = (
             # The outer form keeps the optimizer from tokenizing twice, once to drop passages without terms.
-            tokens.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
+            tokens.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
             .groupBy("id", "term")
             .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         )
-        stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        # One row of corpus statistics beside every term.
-        self.df = df.join(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        rows = stored(counted, "postings")
+        n, total = chunks.count(), rows.where("term is not null").agg(F.sum("tf").alias("total")).first()["total"]
+        avgdl = (total or 0) / max(1, n)
+        tf = F.col("tf")
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+        self.postings = rows.where("term is not null").withColumn("part", part)
+        size = F.floor(F.col("part") * STEPS).cast("int").alias("size")
+        sized = self.postings.groupBy("term", size).agg(F.count("*").alias("c"), F.max("part").alias("most"))
+        df = sized.groupBy("term").agg(F.sum("c").alias("df"), F.max("most").alias("most"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "c"))).alias("held"))
+        self.df = stored(df.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
 
     def distinctive_terms(self, k: int = QUERY_TERMS) -> DataFrame:
         """id, term, weight, pos: each passage's terms of highest tf times idf (six places; ties alphabetical)."""
         w = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-        weighed = self.postings.hint("merge").join(self.df, "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
+        weighed = self.postings.hint("merge").join(self.df.select("term", "idf"), "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
         return weighed.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """seed_id, id, score, n_terms for queries (seed_id, term), each term once."""
-        tf = F.col("tf")
-        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        asked = queries.select("seed_id", "term").distinct().join(self.df, "term")
+    def scores(self, queries: DataFrame, best: int | None = None) -> DataFrame:
+        """seed_id, id, score, n_terms, terms for queries (seed_id, term), each term once.
+
+        With `best` only passages that can be among a query's `best`, and all that are: one term's `best` largest
+        parts already are that many passages of at least so high a score.  Terms whose bounds together stay below it bring no passage
+        in by themselves; they are looked up for passages that the others brought in, and whose bound is high enough.
+        """
+        asked = queries.select("seed_id", "term").distinct().join(self.df, "term").select("seed_id", "term", "idf", "held", (F.col("idf") * F.col("most")).alias("bound"))
+        if best is None:
+            asked = asked.withColumn("needed", F.lit(True))
+        else:
+            # The largest size that `best` parts have at least.
+            upto = F.aggregate("held", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("size")), lambda s, x: F.when(s["n"] >= best, s).otherwise(F.struct((s["n"] + x["c"]).alias("n"), (-x["less"]).alias("size"))))
+            sure = F.when(upto["n"] >= best, F.col("idf") * upto["size"] / STEPS).otherwise(F.lit(0.0))
+            own, rising = Window.partitionBy("seed_id"), Window.partitionBy("seed_id").orderBy("bound", "term")
+            asked = asked.withColumn("sure", sure).withColumns({"least": F.max("sure").over(own) - SLACK, "low": F.sum("bound").over(rising)}).withColumn("needed", F.col("low") >= F.col("least"))
+            asked = asked.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).over(own))
+            asked = stored(asked.drop("held"), "asked")
+        value = (F.col("idf") * F.col("part")).alias("value")
+        total = lambda df: df.groupBy("seed_id", "id")
         # Postings outgrow what their files' size tells the planner: they are never broadcast.
-        return (
-            asked.join(self.postings.hint("merge"), "term")
-            .groupBy("seed_id", "id")
-            .agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms"), F.array_sort(F.collect_list("term")).alias("terms"))
-            .where("score > 0")
-        )
+        brought = asked.where("needed").join(self.postings.hint("merge"), "term")
+        whole = (F.sum("value").alias("value"), F.array_sort(F.collect_list("term")).alias("terms"))
+        if best is None:
+            found = total(brought.select("seed_id", "id", "term", value)).agg(*whole)
+        else:
+            found = total(brought.select("seed_id", "id", "term", "rest", "least", value)).agg(*whole, F.first("rest").alias("rest"), F.first("least").alias("least"))
+            found = found.where(F.col("value") + F.col("rest") >= F.col("least")).select("seed_id", "id", "value", "terms")
+            others = asked.where(~F.col("needed"))
+            if not others.isEmpty():
+                found = stored(found, "brought")
+                looked_up = found.select("seed_id", "id").join(others.select("seed_id", "term", "idf"), "seed_id").join(self.postings.hint("merge"), ["id", "term"])
+                both = found.unionByName(looked_up.select("seed_id", "id", value, F.array("term").alias("terms")))
+                found = total(both).agg(F.sum("value").alias("value"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+        return found.select("seed_id", "id", F.round("value", 6).alias("score"), F.size("terms").cast("long").alias("n_terms"), "terms").where("score > 0")
 
 
 def theme_terms(themes: DataFrame) -> DataFrame:
@@ -61,7 +97,8 @@ def lexical(index: LexicalIndex, queries: DataFrame, k: int = 8, books: DataFram
 
     With `passage_seeds` a seed is the passage of its id, and left out; with `books` (id, book_id) so is its whole book.
     """
-    found = index.scores(queries)
+    # A seed, and a book, that is left out may hold any number of the best.
+    found = index.scores(queries, None if books is not None else k + 1 if passage_seeds else k)
     if passage_seeds or books is not None:
         found = found.where("seed_id != id")
     if books is not None:

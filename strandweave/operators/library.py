@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave import shared
 from strandweave.operators.anchors import parse_note
 
 #: The highlight colours and their red, green and blue shares.
@@ -28,11 +29,8 @@ NO_COLOUR = "amber"
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """`name`, or with underscores before it, such that `df` has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    """A name like `name` that no column of `df` has."""
+    return shared.free_name(df.columns, name)
 
 
 def content_hash(text: Column) -> Column:

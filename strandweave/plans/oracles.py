@@ -267,6 +267,7 @@ ORACLE_SQL = {
     "note_seeds": r"SELECT conv_id * 1000 + turn AS note_id, 'seed' AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations",
     "md_highlights": r"""SELECT conv_id, turn, 'md' AS fmt, 0::INT AS pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS quote, '' AS note FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""",
     "plain_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",
+    "pruned_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",
     "corpus_rank": f"""WITH {_PLAIN}, r AS (SELECT seed_id, id, row_number() OVER (PARTITION BY seed_id ORDER BY x DESC, id) - 1 AS rank FROM sim)
         SELECT seed_id, id, pos::INT AS pos, rank, (SELECT count(*) FROM v) AS corpus_size FROM plain JOIN r USING (seed_id, id) WHERE pos <= 3""",
     "best_match_gate": f"WITH {_PLAIN} SELECT seed_id FROM plain WHERE pos = 1 AND x >= 0.35",

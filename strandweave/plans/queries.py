@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as T
-from strandweave.operators import anchors, annotations, concepts, embedding, engines, lexical, library, passages, reader, reports, rhythm
+from strandweave.operators import anchors, annotations, concepts, embedding, engines, lexical, library, passages, pruned, reader, reports, rhythm
 from strandweave.session import Corpus, Session
 from strandweave.shared import shared_folder, stored
 from strandweave.sources import tables as S
@@ -35,6 +35,13 @@ def plain_topk(spark: SparkSession, d: str) -> DataFrame:
     return _six(engines.plain(v, v), "similarity")
 
 
+@query
+def pruned_topk(spark, d):
+    """The picks of `plain_topk`, by blocks in the order of what they can reach."""
+    v = S.vec_chunks(spark, d)
+    return _six(pruned.nearest(v, v, engines.K), "similarity").drop("multiplied")
+
+
 @query
 def corpus_rank(spark, d):
     v = S.vec_chunks(spark, d)

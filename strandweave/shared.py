@@ -36,3 +36,11 @@ def open_folder(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column has it, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
