@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandweave.functions.text import bag, boilerplate, word_count
+from strandweave.shared import stored
 
 TARGET, OVERLAP, LEAST = 240, 40, 60
 PARENT_TARGET, PARENT_OVERLAP, SECTION_WORDS = 500, 60, 1000
@@ -137,29 +139,132 @@ def parents_of(units: DataFrame, children: DataFrame, parents: DataFrame) -> Dat
     return found.join(known, "id", "left").select("seed_id", F.row_number().over(w).alias("pos"), "id", F.coalesce("level", F.lit("unit")).alias("level"))
 
 
-def numbered_runs(units: DataFrame, closed: Callable[[int, int, float | None], bool]) -> DataFrame:
-    """Adds `section`, the number in its book of the run each unit (book_id, id, words, cosine) falls in.
+#: Units of a book that are folded together.
+CHUNK_UNITS = 4096
+#: (words, cosines) to the least number of words held that ends a run before each unit; it doesn't fall as more are held.
+Need = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-    `closed(held, words, cosine)` says whether the run of `held` words ends before the unit.  The state
-    restarts at each run, so a book's counts are read in order, one by one; no book is held in memory.
+
+def _folded(words: np.ndarray, need: np.ndarray) -> tuple[list[float], list[int], list[int]]:
+    """What a chunk of units does to the words held before it: (least held, cuts, words held after) for each way it can go.
+
+    The words held decide only where the first cut falls: at the first unit that needs no more.  Further on all that
+    counts is where that cut was, and such paths soon meet.
     """
-    rows = units.select("book_id", "id", "words", "cosine")
+    upto = np.concatenate([[0], np.cumsum(words)])
+    size, known = len(words), {}
+
+    def follow(at: int) -> tuple[int, int]:
+        path = []
+        while at not in known:
+            path.append(at)
+            k = at + 1
+            while k < size and upto[k] - upto[at] < need[k]:
+                k += 1
+            if k == size:
+                known[at] = (1, int(upto[size] - upto[at]))
+                path.pop()
+                break
+            at = k
+        cuts, held = known[at]
+        for own in reversed(path):
+            cuts += 1
+            known[own] = (cuts, held)
+        return cuts, held
+
+    least, steps = np.inf, []
+    for at, wanted in enumerate((need - upto[:-1]).tolist()):
+        if wanted < least:
+            least = wanted
+            steps.append((least, *follow(at)))
+            if least <= 0:
+                break
+    return [s[0] for s in steps], [s[1] for s in steps], [s[2] for s in steps]
+
+
+def _chunked(need: Need):
+    """Sorted units to chunks of one book: their ids and words, and what they do to the words held."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held: list[tuple] = []
+        book, made, task = None, 0, TaskContext.get().partitionId()
+
+        def close() -> None:
+            nonlocal made
+            if held:
+                words, cosines = np.array([h[1] or 0 for h in held], np.int64), np.array([np.nan if h[2] is None else h[2] for h in held], np.float64)
+                wanted = np.asarray(need(words, cosines), np.float64)
+                least, cuts, after = _folded(words, wanted)
+                rows.append({"chunk": (task << 33) + made, "ids": [h[0] for h in held], "words": words.tolist(), "need": wanted.tolist(), "least": least, "cuts": cuts, "after": after, "book_id": book})
+                made += 1
+                held.clear()
 
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, section, held = None, 0, 0
         for part in parts:
-            numbers = []
-            for b, w, cosine in zip(*(part.column(c).to_pylist() for c in ("book_id", "words", "cosine"))):
-                if b != book:
-                    book, section, held = b, 0, 0
-                elif closed(held, w or 0, cosine):
-                    section, held = section + 1, 0
-                held += w or 0
-                numbers.append(section)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int32())], names=[*part.schema.names, "section"])
+            for b, *row in zip(*(part.column(c).to_pylist() for c in ("book_id", "id", "words", "cosine"))):
+                if b != book or len(held) >= CHUNK_UNITS:
+                    close()
+                    book = b
+                held.append(tuple(row))
+            if len(rows) >= 64:
+                yield from _chunk_rows(rows, part.schema)
+        close()
+        if rows:
+            yield from _chunk_rows(rows, part.schema)
+
+    return cut
+
+
+def _chunk_rows(rows: list[dict], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    ids, book = shape.field("id").type, shape.field("book_id").type
+    kinds = [("chunk", pa.int64()), ("ids", pa.list_(ids)), ("words", pa.list_(pa.int64())), ("need", pa.list_(pa.float64())), ("least", pa.list_(pa.float64())), ("cuts", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("book_id", book)]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+    rows.clear()
+
+
+def _chained(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted chunks to the words held, and the number of runs closed, before each."""
+    book, held, section, fresh = None, 0, 0, True
+    for part in parts:
+        out = []
+        for b, least, cuts, after, total in zip(*(part.column(c).to_pylist() for c in ("book_id", "least", "cuts", "after", "total"))):
+            if fresh or b != book:
+                book, held, section, fresh = b, 0, 0, False
+            out.append((held, section))
+            way = next((k for k, x in enumerate(least) if x <= held), None)
+            held, section = (held + total, section) if way is None else (after[way], section + cuts[way])
+        yield pa.RecordBatch.from_arrays([part.column("chunk"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["chunk", "held", "section"])
+
+
+def numbered_runs(units: DataFrame, need: Need) -> DataFrame:
+    """book_id, id, words, section: the number in its book of the run that each unit (book_id, id, words, cosine) falls in.
+
+    A run ends before the unit at which it holds `need` words, which is over nought.  Units are dealt by ranges of (book, id), so that a book is as many
+    chunks as its size asks for; a pass over chunks, a few numbers each, tells what each begins with.
+    """
+    rows = units.select("book_id", "id", "words", "cosine")
+    book, key = (rows.schema[c].dataType.simpleString() for c in ("book_id", "id"))
+    shape = f"chunk long, ids array<{key}>, words array<long>, need array<double>, least array<double>, cuts array<long>, after array<long>, book_id {book}"
+    chunks = stored(rows.repartitionByRange("book_id", "id").sortWithinPartitions("book_id", "id").mapInArrow(_chunked(need), shape), "unit-chunks")
+    first = F.get("ids", F.lit(0)).alias("first")
+    small = chunks.select("chunk", "book_id", first, "least", "cuts", "after", F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    before = small.repartition("book_id").sortWithinPartitions("book_id", "first", "chunk").mapInArrow(_chained, "chunk long, held long, section long")
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for b, ids, words, wanted, held, section in zip(part.column("book_id"), *(part.column(c).to_pylist() for c in ("ids", "words", "need", "held", "section"))):
+                numbers = []
+                for w, n in zip(words, wanted):
+                    if held >= n:
+                        held, section = 0, section + 1
+                    held += w
+                    numbers.append(section)
+                shape_ = part.schema.field("ids").type.value_type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.as_py()] * len(ids), b.type), pa.array(ids, shape_), pa.array(words, pa.int32()), pa.array(numbers, pa.int32())], names=["book_id", "id", "words", "section"]
+                )
 
-    schema = StructType([*rows.schema.fields, StructField("section", IntegerType())])
-    return rows.repartition("book_id").sortWithinPartitions("book_id", "id").mapInArrow(fold, schema)
+    return chunks.join(before, "chunk").mapInArrow(number, f"book_id {book}, id {key}, words int, section int")
 
 
 def _runs(numbered: DataFrame) -> DataFrame:
@@ -171,7 +276,7 @@ def _runs(numbered: DataFrame) -> DataFrame:
 def section_numbers(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
     """book_id, id, words, section: the section, of at least `words_each` words, that each passage falls in."""
     counted = units.select("book_id", "id", word_count(F.col("text")).alias("words"), F.lit(None).cast("double").alias("cosine"))
-    return numbered_runs(counted, lambda held, words, cosine: held >= words_each).drop("cosine")
+    return numbered_runs(counted, lambda words, cosine: np.full(len(words), float(words_each)))
 
 
 def sections(units: DataFrame, words_each: int = SECTION_WORDS) -> DataFrame:
@@ -197,7 +302,7 @@ def semantic_passages(units: DataFrame, threshold: float = 0.55, target: int = T
     """Runs of units (book_id, id, vec, words) cut where neighbours are unlike and enough words are held, or where a run is full."""
     near = semantic_cuts(units, threshold).select("id", "cosine")
     rows = units.select("book_id", "id", "words").join(near, "id", "left")
-    return _runs(numbered_runs(rows, lambda held, words, cosine: held >= target or (held >= least and cosine is not None and cosine < threshold)))
+    return _runs(numbered_runs(rows, lambda words, cosine: np.where(cosine < threshold, min(least, target), target)))
 
 
 def neighbours(units: DataFrame, clip: int = 240) -> DataFrame:
