@@ -116,3 +116,39 @@ def slug(text: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-1 of the parts joined by a pipe."""
     return F.substring(F.sha1(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 16)
+
+
+def balanced(text: Column) -> Column:
+    """The parts of a text between a bracket or brace and its match, outermost only, in order; those inside quoted strings don't count."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
+
+    def step(s: Column, c: Column) -> Column:
+        at, inside = s["at"] + 1, s["depth"] > 0
+        opens, closes = ~s["quoted"] & c.isin("{", "["), ~s["quoted"] & inside & c.isin("}", "]")
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        whole = closes & (depth == 0)
+        return F.struct(
+            at.alias("at"), depth.alias("depth"), F.when(opens & ~inside, at).otherwise(s["first"]).alias("first"),
+            # Quotes count inside brackets only: prose may hold any number of them.
+            F.when(inside & (c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"] & (depth > 0)).alias("quoted"),
+            (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
+            F.when(whole, F.array_append(s["found"], F.struct(s["first"].alias("first"), at.alias("last")))).otherwise(s["found"]).alias("found"),
+        )
+
+    places = F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    return F.transform(places, lambda p: F.substr(text, p["first"], p["last"] - p["first"] + 1))
+
+
+def lenient_json(text: Column) -> Column:
+    """A reply's JSON value as VARIANT, null if it has none.
+
+    The whole text, less a fence around it, is tried first; then what stands from its first brace to its last one, or, where
+    it has no braces, from its first bracket to its last one; then each fenced block, and each part between matching brackets.
+    """
+    bare = F.trim(text, F.lit(" \t\r\n"))
+    unfenced = F.when(F.startswith(bare, F.lit("```")), F.regexp_replace(F.regexp_replace(bare, r"^`+|`+$", ""), r"(?i)^json", "")).otherwise(bare)
+    outer = lambda a, b: F.regexp_extract(text, rf"(?s)(\{a}.*\{b})", 1)
+    first = lambda parts: F.get(F.filter(F.transform(parts, F.try_parse_json), lambda v: v.isNotNull()), F.lit(0))
+    fences = F.regexp_extract_all(text, F.lit(r"(?s)```(?:[a-zA-Z]*)\s*(.*?)```"), F.lit(1))
+    real = lambda x: F.when(F.length(F.trim(x)) > 0, x)
+    return F.coalesce(F.try_parse_json(real(unfenced)), F.try_parse_json(real(outer("{", "}"))), F.when(~text.rlike(r"(?s)\{.*\}"), F.try_parse_json(real(outer("[", "]")))), first(F.filter(fences, lambda x: F.length(F.trim(x)) > 0)), first(balanced(text)))

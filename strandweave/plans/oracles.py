@@ -379,6 +379,8 @@ ORACLE_SQL = {
       SELECT span_id, id, overlap, (row_number() OVER (PARTITION BY span_id ORDER BY overlap DESC, id))::INT AS pos FROM o""",
     "semantic_cuts": f"""WITH {_V}, l AS (SELECT id, e, lag(e) OVER (PARTITION BY book_id ORDER BY id) AS f FROM v)
         SELECT id, round(list_dot_product(e, f), 6) AS cosine, list_dot_product(e, f) < 0.55 AS cut FROM l WHERE f IS NOT NULL""",
+    "lenient_replies": """SELECT conv_id, turn, (conv_id + turn) % 6 AS kind, CASE WHEN (conv_id + turn) % 6 < 5 THEN conv_id END AS id,
+      CASE WHEN (conv_id + turn) % 6 < 5 THEN md5(text) END AS said, CASE WHEN (conv_id + turn) % 6 < 5 THEN turn END AS inner FROM conversations WHERE text IS NOT NULL""".replace("AS inner", 'AS "inner"'),
     "detect_book": f"WITH {_HELD} SELECT quote_id, book_id, ((length(text) - length(replace(text, quote, ''))) // length(quote))::BIGINT AS hits FROM h",
     "anchor_typos": rf"""WITH {_HELD}, o AS (SELECT *, instr(text, quote) AS place, (length(text) - length(replace(text, quote, ''))) // length(quote) = 1 AS sure FROM h)
       SELECT quote_id * 1000000000 + book_id AS quote_id, CASE WHEN sure THEN (place - 1 - length(regexp_extract(substr(text, 1, place - 1), '\S*$')))::BIGINT END AS start,

@@ -451,6 +451,23 @@ def semantic_cuts(spark, d):
     return passages.semantic_cuts(S.vec_chunks(spark, d))
 
 
+@query
+def lenient_replies(spark, d):
+    """The values in replies made of conversations: bare, fenced, with prose and stray brackets, with a broken fence before, nested, and none."""
+    c = S.table(spark, d, "conversations").where("text is not null")
+    value = F.to_json(F.struct(F.col("conv_id").alias("id"), F.col("text").alias("said"), F.struct(F.col("turn"), F.array(F.lit("]}"), F.lit("{")).alias("odd")).alias("in")))
+    fence = lambda x: F.concat(F.lit("```json\n"), x, F.lit("\n```"))
+    forms = (
+        value, fence(value), F.concat(F.lit("So {not json} and [this: "), F.lit("neither}, but \n"), value, F.lit("\n stands. }")),
+        F.concat(F.lit("First:\n"), fence(F.lit('{"id": 1,,}')), F.lit("\nbetter:\n"), fence(value), F.lit("\ndone")), F.concat(F.lit("["), value, F.lit(", {}]")), F.lit("nothing } here {"),
+    )
+    kind = (F.col("conv_id") + F.col("turn")) % len(forms)
+    reply = F.coalesce(*(F.when(kind == k, form) for k, form in enumerate(forms)))
+    found = c.select("conv_id", "turn", kind.alias("kind"), T.lenient_json(reply).alias("v"))
+    at = lambda path, kind: F.coalesce(F.try_variant_get("v", f"$.{path}", kind), F.try_variant_get("v", f"$[0].{path}", kind))
+    return found.select("conv_id", "turn", "kind", at("id", "long").alias("id"), F.md5(at("said", "string")).alias("said"), at("in.turn", "long").alias("inner"))
+
+
 # Anchors and notes.
 
 
