@@ -381,6 +381,15 @@ ORACLE_SQL = {
         SELECT id, round(list_dot_product(e, f), 6) AS cosine, list_dot_product(e, f) < 0.55 AS cut FROM l WHERE f IS NOT NULL""",
     "lenient_replies": """SELECT conv_id, turn, (conv_id + turn) % 6 AS kind, CASE WHEN (conv_id + turn) % 6 < 5 THEN conv_id END AS id,
       CASE WHEN (conv_id + turn) % 6 < 5 THEN md5(text) END AS said, CASE WHEN (conv_id + turn) % 6 < 5 THEN turn END AS inner FROM conversations WHERE text IS NOT NULL""".replace("AS inner", 'AS "inner"'),
+    "marks_versioned": """WITH m AS (SELECT doc_id AS mark_id, source AS book_id, quality, lang AS note FROM labels JOIN documents USING (doc_id)),
+      u AS (SELECT mark_id, CASE WHEN mark_id % 5 <> 0 AND mark_id % 7 = 0 THEN 'moved' ELSE book_id END AS book_id, CASE WHEN mark_id % 5 = 0 THEN NULL ELSE quality END AS quality, CASE WHEN mark_id % 5 = 0 THEN 'x' ELSE note END AS note FROM m)
+      SELECT * FROM u WHERE mark_id % 11 <> 0 AND book_id <> 'src1' UNION ALL SELECT * FROM m WHERE book_id = 'src1' AND quality = 1""",
+    "uploads_named": r"""WITH a AS (SELECT page_id AS upload_id, CASE WHEN page_id % 9 = 0 THEN 'Big Book (2).PDF' WHEN page_id % 9 = 1 THEN '???.epub' ELSE 'in/Übung ' || page_id % 4 || '.v1.pdf' END AS filename,
+        CASE WHEN page_id % 9 = 0 THEN 'big-book-2' WHEN page_id % 9 = 1 THEN 'book' ELSE 'bung-' || page_id % 4 || '-v1' END AS slug FROM pages),
+      r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY upload_id) AS rank FROM a),
+      e AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 1 END AS number, 'big-book-2' AS slug FROM documents WHERE doc_id > 0 UNION SELECT 1, 'bung-3-v1' UNION SELECT 2, 'bung-3-v1' UNION SELECT 2, 'book'),
+      f AS (SELECT slug, number, row_number() OVER (PARTITION BY slug ORDER BY number) AS rank FROM (SELECT slug, number FROM (SELECT DISTINCT slug FROM a), range(1, 20000) g(number)) ANTI JOIN e USING (slug, number))
+      SELECT upload_id, filename, CASE WHEN number = 1 THEN slug ELSE slug || '-' || number END AS book_id FROM r JOIN f USING (slug, rank)""",
     "detect_book": f"WITH {_HELD} SELECT quote_id, book_id, ((length(text) - length(replace(text, quote, ''))) // length(quote))::BIGINT AS hits FROM h",
     "anchor_typos": rf"""WITH {_HELD}, o AS (SELECT *, instr(text, quote) AS place, (length(text) - length(replace(text, quote, ''))) // length(quote) = 1 AS sure FROM h)
       SELECT quote_id * 1000000000 + book_id AS quote_id, CASE WHEN sure THEN (place - 1 - length(regexp_extract(substr(text, 1, place - 1), '\S*$')))::BIGINT END AS start,

@@ -10,6 +10,7 @@ from strandweave.operators import anchors, annotations, concepts, embedding, eng
 from strandweave.session import Corpus, Session
 from strandweave.shared import shared_folder, stored
 from strandweave.sources import tables as S
+from strandweave.sources import versions
 from strandweave.sources.files import ImportAnnotations, without_book
 from strandweave.streaming import rhythm as stream
 
@@ -468,6 +469,29 @@ def lenient_replies(spark, d):
     return found.select("conv_id", "turn", "kind", at("id", "long").alias("id"), F.md5(at("said", "string")).alias("said"), at("in.turn", "long").alias("inner"))
 
 
+@query
+def marks_versioned(spark, d):
+    """Marks in a table of versions, after a change that takes values out and moves rows, a deletion, and a book put in another's place."""
+    marks = S.table(spark, d, "labels").join(S.table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("mark_id"), F.col("source").alias("book_id"), "quality", F.col("lang").alias("note"))
+    table = versions.BookTable(spark, shared_folder(spark, "marks"), marks.schema)
+    n = F.col("mark_id")
+    table.replace(marks)
+    moved = F.when(n % 5 == 0, F.array(F.lit("quality"), F.lit("note"))).when(n % 7 == 0, F.array(F.lit("book_id")))
+    table.update(marks.select("mark_id", F.lit("moved").alias("book_id"), F.lit(None).cast("int").alias("quality"), F.lit("x").alias("note"), moved.alias("fields")).where("fields is not null"), "mark_id")
+    table.delete(marks.where(n % 11 == 0).select("mark_id"), "mark_id")
+    table.replace(marks.where("book_id = 'src1' and quality = 1"))
+    return table.read()
+
+
+@query
+def uploads_named(spark, d):
+    """Ids of pages that come as uploads of few names, some of which are in use."""
+    n = F.col("page_id")
+    uploads = S.table(spark, d, "pages").select(n.alias("upload_id"), F.concat(F.when(n % 9 == 0, F.lit("Big Book (2).PDF")).when(n % 9 == 1, F.lit("???.epub")).otherwise(F.concat(F.lit("in/Übung "), (n % 4).cast("string"), F.lit(".v1.pdf")))).alias("filename"))
+    used = S.table(spark, d, "documents").select(F.concat(F.lit("big-book-2"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("-"), F.col("doc_id").cast("string"))).otherwise(F.lit(""))).alias("book_id")).where("book_id not like '%-0'")
+    return versions.unique_ids(uploads, used.unionByName(spark.createDataFrame([("bung-3-v1",), ("bung-3-v1-2",), ("book-2",)], "book_id string")))
+
+
 # Anchors and notes.
 
 
