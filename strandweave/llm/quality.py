@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 SCALE = 8.0
 #: What the training rows' counts may hold together, in bytes; further rows are left out of training.
 TRAIN_BYTES = 64 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Longer words are hashed each time and never kept, so that the cache is bounded in bytes.
 KEPT_CHARACTERS = 256
 SAME = np.uint64(zlib.crc32(b"\0same"))
@@ -72,6 +72,13 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    """Empties the cache: a worker that goes on with other work doesn't hold it."""
+    global _WORDS
+    _WORDS = _Words()
+    pa.default_memory_pool().release_unused()
+
+
 def features(text: str | None) -> np.ndarray:
     """Hashed n-grams of the whole text, repeats included."""
     global _WORDS
@@ -160,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
                 [part.column("doc_id"), part.column("quality"), pa.array(at, pa.binary()), pa.array(shares, pa.binary())],
                 names=["doc_id", "quality", "at", "shares"],
             )
+        forget()
 
     # At most train_rows rows of two numbers: a bounded broadcast.  A repeated id trains once, with its least text.
     rows = (
@@ -188,6 +196,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
                 [part.column("doc_id"), pa.array([model.score(t) for t in part.column("text").to_pylist()], pa.float64())],
                 names=["doc_id", "score"],
             )
+        forget()
 
     got = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
     return got.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -200,6 +209,7 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
         for part in parts:
             texts = column(part, "text").to_pylist()
             yield part.filter(pa.array([model.score(t) >= threshold for t in texts], pa.bool_()))
+        forget()
 
     return docs.mapInArrow(keep, docs.schema)
 
