@@ -430,3 +430,18 @@ def contained(quotes: DataFrame, spines: DataFrame, words: int = 6) -> DataFrame
     found = pairs.distinct().join(spines.select("book_id", "text"), "book_id").where(F.contains("text", "quote"))
     hits = (F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")
     return found.select("quote_id", "book_id", hits.cast("long").alias("hits"))
+
+
+def detected_books(quotes: DataFrame, spines: DataFrame) -> DataFrame:
+    """import_id, book_id, hits, weight: the book that holds most of an import's quotes (import_id, quote_id, quote).
+
+    Quotes and books are compared in small letters, white space as one space.  Ties go to the most characters found, then to the
+    smallest book.  An import none of whose quotes is found has no row.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    asked = quotes.select("import_id", plain("quote").alias("quote")).where("quote <> ''")
+    each = stored(asked.select("quote").distinct().withColumn("quote_id", F.xxhash64("quote")), "distinct-quotes")
+    held = contained(each, spines.select("book_id", plain("text").alias("text"))).join(each, "quote_id").select("quote", "book_id")
+    scored = asked.join(held, "quote").groupBy("import_id", "book_id").agg(F.count("*").alias("hits"), F.sum(F.length("quote")).alias("weight"))
+    best = F.max(F.struct("hits", "weight", (-F.col("book_id")).alias("before"))).alias("b")
+    return scored.groupBy("import_id").agg(best).select("import_id", (-F.col("b.before")).alias("book_id"), "b.hits", "b.weight")

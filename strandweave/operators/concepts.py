@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.text import CONCEPT_STOP_WORDS, concept_tokens
 from strandweave.operators.blocked import Block, block_pairs, kept
+from strandweave.operators.reader import short_label
 
 VOCABULARY, PER_CHUNK, MIN_DF, MAX_SHARE = 160, 6, 3, 0.40
 BRIDGE_WEIGHTS = {"note": 1.5, "authored": 1.5, "judged": 1.0}
@@ -222,6 +223,35 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", "provenance", "origin").distinct()
 
 
+#: Characters of a seed's text that name it.
+SOURCE = 80
+
+
+def note_edges(records: DataFrame) -> DataFrame:
+    """source, target, relation, text, provenance, origin: an edge for each edge note that says something (note_id, n, role, text).
+
+    Its source is the last seed text before it in its note, clipped, or the note itself; its target is the first sentence.
+    """
+    before = Window.partitionBy("note_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    seed = F.last(F.when((F.col("role") == "seed") & (F.col("text") != ""), F.col("text")), True).over(before)
+    found = records.where(F.col("role").isin("seed", "edge")).withColumn("seed", seed).where((F.col("role") == "edge") & (F.col("text") != ""))
+    clipped = F.when(F.length("seed") > SOURCE, F.concat(F.substring("seed", 1, SOURCE), F.lit("…"))).otherwise(F.coalesce("seed", F.col("note_id").cast("string")))
+    one_line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    name = F.concat(F.col("note_id").cast("string"), F.format_string("#a%03d", F.col("n")))
+    return found.select(clipped.alias("source"), short_label(F.col("text")).alias("target"), F.lit("correlate").alias("relation"), one_line.alias("text"), name.alias("provenance"), F.lit("note").alias("origin"))
+
+
+def judged_edges(label: str, confirmed: DataFrame) -> DataFrame:
+    """Edges to append for picks that a judge confirmed (id, book_id, author, title, bridge, articulation, confidence)."""
+    told = lambda c: F.when(F.col(c) != "", F.col(c))
+    target = F.concat(F.coalesce(told("author"), F.lit("Unknown")), F.lit(" — "), F.coalesce(told("title"), F.col("book_id")))
+    said = F.trim(F.regexp_replace(F.coalesce("articulation", F.lit("")), r"\s+", " "))
+    return confirmed.select(
+        F.lit(label).alias("source"), target.alias("target"), F.lit("evokes").alias("relation"), said.alias("text"), F.col("id").cast("string").alias("provenance"),
+        F.lit("judged").alias("origin"), "bridge", "confidence",
+    )
+
+
 #: A passage's own graph: frequent grams looked at, nodes and edges kept.
 LOOKED_AT, NODES, EDGES = 40, 8, 12
 

@@ -169,7 +169,7 @@ def spread(seeds: DataFrame, chunks: DataFrame, k: int = K, select: str = "dpp",
 
 
 def echo(seeds: DataFrame, chunks: DataFrame, k: int = K, gap: int = 12, min_sim: float = 0.30, weight: float = 0.6, pool: int = POOL) -> DataFrame:
-    """Passages of the seed's own book, at least `gap` places away, thinned by maximal marginal relevance."""
+    """Passages of the seed's own book, at least `gap` places away, thinned by maximal marginal relevance; with their heading, if passages have one."""
     places = Window.partitionBy("book_id").orderBy("id")
     placed = chunks.withColumn("place", F.row_number().over(places).cast("long"))
     asked = seeds.join(placed.select("id", "place"), "id", "left")
@@ -184,6 +184,9 @@ def echo(seeds: DataFrame, chunks: DataFrame, k: int = K, gap: int = 12, min_sim
     picked = _select(found, chunks, lambda p: _picked(p, mmr(p["similarity"].to_numpy(), np.stack(p["vec"]), k, weight)))
     place = lambda key, name: placed.select(F.col("id").alias(key), F.col("place").alias(name))
     away = F.abs(F.col("there") - F.col("here")).alias("distance")
+    if "heading" in chunks.columns:
+        picked = picked.join(chunks.select("id", "heading"), "id")
+        return picked.join(place("seed_id", "here"), "seed_id").join(place("id", "there"), "id").select("seed_id", "id", "pos", "similarity", "score", away, "heading")
     return picked.join(place("seed_id", "here"), "seed_id").join(place("id", "there"), "id").select("seed_id", "id", "pos", "similarity", "score", away)
 
 
@@ -202,11 +205,17 @@ def walk(seeds: DataFrame, chunks: DataFrame, hops: int = 4, skip_top: int = SKI
             sims = s["vec"] @ c["vec"].T
             near = (sims >= min_sim) & (sims < DEDUP_SIM)
             keep, back = near.copy(), near.copy()
+            # A block's books as numbers: a seed's few are looked up, not compared with each passage's.
+            names, book = np.unique(c["book_id"].astype(str), return_inverse=True)
+            number = {name: k for k, name in enumerate(names)}
             for r in range(len(sims)):
-                books = c["book_id"].astype(str)
-                seen = np.isin(books, s["books"][r])
+                gone = np.zeros(len(names), bool)
+                gone[[number[b] for b in s["books"][r] if b in number]] = True
+                seen = gone[book]
                 keep[r] &= ~seen
-                back[r] &= seen & (books != s["books"][r][-1] if s["books"][r] else True) & ~np.isin(c["id"], s["picked"][r])
+                if revisit_books:
+                    last = number.get(s["books"][r][-1], -1) if s["books"][r] else -1
+                    back[r] &= seen & (book != last) & ~np.isin(c["id"], s["picked"][r])
             fresh = kept(s, c, np.where(keep, sims, -np.inf), skip_top + 1)
             fresh["again"] = np.zeros(len(fresh["id"]), bool)
             if not revisit_books:
@@ -297,19 +306,27 @@ def corpus_rank(picks: DataFrame, seeds: DataFrame, chunks: DataFrame) -> DataFr
 
     Each block counts, for every pick, its passages before it; counts are summed.
     """
-    listed = picks.groupBy("seed_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("similarity", "id")))).alias("picks"))
-    asked = seeds.select("id", "vec").join(listed, F.col("id") == F.col("seed_id")).select("id", "vec", "picks")
+    listed = picks.groupBy("seed_id").agg(F.sort_array(F.collect_list(F.struct("similarity", "id"))).alias("picks"))
+    # Lists of one length travel as a matrix: shorter ones are filled up.
+    listed = stored(listed, "ranked-picks")
+    most = listed.agg(F.max(F.size("picks")).alias("n")).first()["n"] or 0
+    if not most:
+        return picks.withColumns({"rank": F.lit(None).cast("long"), "corpus_size": F.lit(chunks.count())})
+    filled = lambda field, none: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.coalesce(F.get("picks", i)[field], F.lit(none)))
+    lists = listed.select("seed_id", filled("similarity", float("nan")).alias("reached"), filled("id", -1).alias("picked"), F.size("picks").alias("held"))
+    asked = seeds.select("id", "vec").join(lists, F.col("id") == F.col("seed_id")).select("id", "vec", "reached", "picked", "held")
 
     def work(s: Block, c: Block):
-        import json
-
-        sims, out = s["vec"] @ c["vec"].T, ([], [], [])
-        for r, listing in enumerate(s["picks"]):
-            for p in json.loads(listing):
-                before = (sims[r] > p["similarity"] + 1e-12) | ((np.abs(sims[r] - p["similarity"]) <= 1e-12) & (c["id"] < p["id"]))
-                for column, value in zip(out, (s["id"][r], p["id"], int(before.sum()))):
-                    column.append(value)
-        return {"seed_id": np.array(out[0], np.int64), "id": np.array(out[1], np.int64), "n": np.array(out[2], np.int64)}
+        sims = s["vec"] @ c["vec"].T
+        row, place, before = [], [], []
+        for k in range(s["reached"].shape[1]):
+            own = np.flatnonzero(s["held"] > k)
+            gap = sims[own] - s["reached"][own, k, None]
+            n = ((gap > 1e-12) | ((np.abs(gap) <= 1e-12) & (c["id"][None, :] < s["picked"][own, k, None]))).sum(axis=1)
+            row.append(s["id"][own])
+            place.append(s["picked"][own, k])
+            before.append(n)
+        return {"seed_id": np.concatenate(row), "id": np.concatenate(place).astype(np.int64), "n": np.concatenate(before).astype(np.int64)}
 
     counted = block_pairs(asked, chunks.select("id", "vec"), work, "seed_id long, id long, n long")
     ranks = counted.groupBy("seed_id", "id").agg(F.sum("n").alias("rank"))

@@ -59,7 +59,7 @@ def summary(text: Column) -> Column:
 
 def short_label(text: Column) -> Column:
     """The first sentence, clipped."""
-    return clip(F.rtrim(F.regexp_extract(F.trim(text), r"(?s)^(.*?[.!?])(?:\s|$)|^(.*)$", 0)), LABEL)
+    return clip(F.regexp_replace(F.regexp_extract(F.trim(text), r"(?s)^(.*?[.!?])(?:\s|$)|^(.*)$", 0), r"\s+$", ""), LABEL)
 
 
 def merged(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -264,6 +264,14 @@ ORACLE_SQL = {
     "note_records": r"""WITH c AS (SELECT conv_id * 1000 + turn AS note_id, text, role FROM conversations)
         SELECT note_id, 0::INT AS n, 'sutra' AS type, 'seed' AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, false AS inline, NULL::INT AS parent FROM c
         UNION ALL SELECT note_id, 1, 'correlate', 'edge', role, true, NULL FROM c""",
+    "note_edges": r"""WITH c AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 'edge' WHEN turn % 3 = 0 THEN 'seed' ELSE 'voice' END AS role FROM conversations WHERE text IS NOT NULL),
+      s AS (SELECT *, last_value(CASE WHEN role = 'seed' AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seed FROM c),
+      e AS (SELECT *, rtrim(coalesce(nullif(regexp_extract(trim(text), '(?s)^(.*?[.!?])(?:\s|$)', 1), ''), trim(text))) AS label FROM s WHERE role = 'edge' AND text <> '')
+      SELECT CASE WHEN length(seed) > 80 THEN substr(seed, 1, 80) || '…' ELSE coalesce(seed, conv_id::VARCHAR) END AS source, CASE WHEN length(label) > 80 THEN rtrim(substr(label, 1, 79)) || '…' ELSE label END AS target,
+        'correlate' AS relation, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, printf('%d#a%03d', conv_id, turn) AS provenance, 'note' AS origin FROM e""",
+    "book_of_import": r"""WITH q AS (SELECT item_id // 5 AS import_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS quote FROM benchmark), b AS (SELECT doc_id AS book_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS text FROM documents),
+      s AS (SELECT import_id, book_id, count(*) AS hits, sum(length(quote))::BIGINT AS weight FROM q JOIN b ON contains(text, quote) WHERE quote <> '' GROUP BY ALL)
+      SELECT import_id, book_id, hits, weight FROM s QUALIFY row_number() OVER (PARTITION BY import_id ORDER BY hits DESC, weight DESC, book_id) = 1""",
     "note_seeds": r"SELECT conv_id * 1000 + turn AS note_id, 'seed' AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations",
     "md_highlights": r"""SELECT conv_id, turn, 'md' AS fmt, 0::INT AS pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS quote, '' AS note FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""",
     "plain_topk": f"WITH {_PLAIN} SELECT seed_id, id, round(x, 6) AS similarity, pos::INT AS pos FROM plain WHERE pos <= 8",

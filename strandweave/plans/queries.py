@@ -593,6 +593,21 @@ def note_records(spark, d):
     return library.note_records(_notes(spark, d))
 
 
+@query
+def note_edges(spark, d):
+    """Edges of notes whose edges follow several seeds, of conversations: each turn a seed, or for assistants an edge."""
+    c = S.table(spark, d, "conversations").where("text is not null")
+    records = c.select(F.col("conv_id").alias("note_id"), F.col("turn").cast("int").alias("n"), F.when(F.col("role") == "assistant", "edge").when(F.col("turn") % 3 == 0, "seed").otherwise("voice").alias("role"), "text")
+    return concepts.note_edges(records)
+
+
+@query
+def book_of_import(spark, d):
+    """The document that holds most of the benchmark passages of an import, every five of which come together."""
+    quotes = S.table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 5).alias("import_id"), F.col("item_id").alias("quote_id"), F.upper("text").alias("quote"))
+    return anchors.detected_books(quotes, _books(spark, d))
+
+
 @query
 def note_seeds(spark, d):
     return library.note_seed(library.note_records(_notes(spark, d)))

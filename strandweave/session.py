@@ -13,12 +13,13 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.operators import concepts, engines, lexical, reports
+from strandweave.operators import annotations, concepts, engines, lexical, reports
 from strandweave.operators.reader import clip
 from strandweave.shared import stored
 
 DEFAULT, K = "band", engines.K
 WHY_TERMS, WHY_CLIP, WHY_CONCEPTS = 6, 80, 3
+BY_SURFACE = "the seed has no vector of its own in this space: asked by its surface"
 
 
 @dataclass
@@ -96,14 +97,29 @@ def _concept(corpus: Corpus, seeds: DataFrame, k: int) -> DataFrame:
     return concepts.shared_labels(found, graph)
 
 
+def _placed_marks(corpus: Corpus) -> DataFrame:
+    """The marks with the passage each lies on as target: the first of its chunk_ids there is, else its target, else its passage_id."""
+    marks = corpus.marks
+    if "chunk_ids" not in marks.columns:
+        return marks
+    if "passage_id" not in marks.columns:
+        marks = marks.withColumn("passage_id", F.lit(None).cast(corpus.vectors.schema["id"].dataType))
+    return marks.drop("target").join(annotations.mark_targets(marks, corpus.vectors).withColumnRenamed("id", "target"), "mark_id")
+
+
 def _marks(corpus: Corpus, seeds: DataFrame, k: int, min_sim: float = 0.25) -> DataFrame:
-    found = engines.marks_recall(seeds, corpus.marks, k, min_sim).withColumnRenamed("similarity", "mark_similarity")
+    found = engines.marks_recall(seeds, _placed_marks(corpus), k, min_sim).withColumnRenamed("similarity", "mark_similarity")
     return found.join(corpus.marks.select("mark_id", "quote", "note"), "mark_id")
 
 
 def _structural(corpus: Corpus, seeds: DataFrame, k: int, min_sim: float = 0.20) -> DataFrame:
-    asked = seeds.join(corpus.second, "id")
-    return engines.structural(asked, corpus.both_spaces(), k, min_sim).drop("similarity")
+    """A seed without a vector in the second space, or with nought there, asks with its own vector, if that is as long; `fallback` says so."""
+    real = F.coalesce(F.exists("svec", lambda x: x != 0), F.lit(False))
+    long = F.broadcast(corpus.second.where(F.col("svec").isNotNull()).limit(1).select(F.size("svec").alias("n")))
+    asked = seeds.join(corpus.second, "id", "left").join(long).withColumn("fallback", ~real)
+    asked = asked.where(real | (F.size("vec") == F.col("n"))).withColumn("svec", F.when(real, F.col("svec")).otherwise(F.col("vec"))).drop("n")
+    found = engines.structural(asked.drop("fallback"), corpus.both_spaces(), k, min_sim).drop("similarity")
+    return found.join(asked.select(F.col("id").alias("seed_id"), "fallback"), "seed_id")
 
 
 def _fused(corpus: Corpus, seeds: DataFrame, k: int, rank_k: int = 10) -> DataFrame:
@@ -111,7 +127,7 @@ def _fused(corpus: Corpus, seeds: DataFrame, k: int, rank_k: int = 10) -> DataFr
     if corpus.links is not None and corpus.edges is not None:
         paths["concept"] = _concept(corpus, seeds, 12)
     if corpus.marks is not None:
-        paths["marks"] = engines.marks_recall(seeds, corpus.marks, 12)
+        paths["marks"] = engines.marks_recall(seeds, _placed_marks(corpus), 12)
     if corpus.second is not None:
         paths["structural"] = _structural(corpus, seeds, 12)
     return engines.fuse({n: stored(p.select("seed_id", "id", "pos"), f"path-{n}") for n, p in paths.items()}, seeds, corpus.vectors, k, rank_k)
@@ -161,7 +177,8 @@ ENGINES: dict[str, Engine] = {
     ),
     "structural": Engine(
         "Same move", ("vectors", "second"), _structural, {"min_sim": 0.20},
-        lambda: F.concat(F.lit("same move ("), _two("structural"), F.lit(" structural vs "), _two("similarity"), F.lit(" surface)")), lambda: F.col("structural"),
+        lambda: F.concat(F.lit("same move ("), _two("structural"), F.lit(" structural vs "), _two("similarity"), F.lit(" surface)"), F.when(F.col("fallback"), F.lit(f" — {BY_SURFACE}")).otherwise(F.lit(""))),
+        lambda: F.col("structural"),
     ),
     "fused": Engine("All paths", ("vectors",), _fused, {"rank_k": 10}, lambda: F.regexp_replace("paths", r"\+", " + "), lambda: F.col("fused")),
 }
