@@ -67,7 +67,7 @@ class Walk(NamedTuple):
     rows: DataFrame
 
 
-def _dense(entries: Column, n: int) -> Column:
+def dense(entries: Column, n: int) -> Column:
     """An array of `n` places from (place, value) entries; noughts elsewhere."""
     held = F.map_from_entries(entries)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(held, i), F.lit(0.0)))
@@ -89,7 +89,7 @@ def _walk(graph: DataFrame) -> Walk | None:
     # Pairs of one passage's few nodes, summed to one row a node pair.
     for r in left.join(both.select("id", F.col("j").alias("b"), "out"), "id").groupBy("a", "b").agg(F.sum(F.col("back") * F.col("out")).alias("m")).collect():
         move[r["a"], r["b"]] = r["m"]
-    share = lambda c: _dense(F.collect_list(F.struct("j", c)), len(nodes)).alias(c)
+    share = lambda c: dense(F.collect_list(F.struct("j", c)), len(nodes)).alias(c)
     return Walk(nodes, move, both.groupBy("id").agg(share("out"), share("back")))
 
 
@@ -159,7 +159,7 @@ def theme_rank(graph: DataFrame, themes: DataFrame, k: int = 8) -> DataFrame:
         step = (1 - ALPHA) ** 2 * step @ walk.move
     place = F.create_map(*(F.lit(x) for pair in zip(walk.nodes, range(len(walk.nodes))) for x in pair))
     starts = matched_nodes(graph, themes).withColumn("j", place[F.col("node")])
-    starts = starts.groupBy(F.col("seed_id").alias("id")).agg(_dense(F.collect_list(F.struct("j", F.lit(1.0))), len(walk.nodes)).alias("vec"))
+    starts = starts.groupBy(F.col("seed_id").alias("id")).agg(dense(F.collect_list(F.struct("j", F.lit(1.0))), len(walk.nodes)).alias("vec"))
 
     def work(s: Block, c: Block):
         act = (1 - ALPHA) * (s["vec"] / s["vec"].sum(axis=1, keepdims=True)) @ total @ c["back"].T

@@ -192,6 +192,33 @@ _LINES = r"""li AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY p
   WHERE NOT regexp_full_match(x, '<!--\s*page\s+\d+\s*-->')))"""
 _SMALL = f"{_LINES}, {_accumulated('', 240, 40)}"
 
+def _placed(points: str) -> str:
+    """`placed` (id, x, y): points (id, e) on their two main axes.
+
+    A matrix squared often enough is all its main axis; what that axis explains is taken out for the next.  An axis points to
+    its largest part.
+    """
+    cells = f"""cell AS MATERIALIZED (SELECT id, unnest(e)::DOUBLE AS v, generate_subscripts(e, 1) AS i FROM {points}
+), mu AS MATERIALIZED (SELECT i, avg(v) AS m FROM cell GROUP BY i
+), cov0 AS MATERIALIZED (SELECT a.i, b.i AS j, avg((a.v - p.m) * (b.v - q.m)) AS v FROM cell a JOIN cell b USING (id) JOIN mu p ON p.i = a.i JOIN mu q ON q.i = b.i GROUP BY ALL)"""
+    for axis in range(2):
+        cells += f", s{axis}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM cov{axis} WHERE i = j) AS v FROM cov{axis})"
+        for k in range(14):
+            cells += f""", r{axis}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{axis}_{k} a JOIN s{axis}_{k} b ON a.j = b.i GROUP BY ALL)
+, s{axis}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM r{axis}_{k} WHERE i = j) AS v FROM r{axis}_{k})"""
+        cells += f""", u{axis} AS MATERIALIZED (SELECT j AS i, v / sqrt((SELECT max(v) FROM s{axis}_14 WHERE i = j)) AS v FROM s{axis}_14 WHERE i = (SELECT arg_max(i, v) FROM s{axis}_14 WHERE i = j)
+), ax{axis} AS MATERIALIZED (SELECT i, v * sign((SELECT arg_max(v, abs(v)) FROM u{axis})) / sqrt((SELECT sum(v * v) FROM u{axis})) AS v FROM u{axis}
+), la{axis} AS MATERIALIZED (SELECT sum(a.v * c.v * b.v) AS l FROM ax{axis} a JOIN cov{axis} c ON c.i = a.i JOIN ax{axis} b ON b.i = c.j
+), cov{axis + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT l FROM la{axis}) * a.v * b.v AS v FROM cov{axis} c JOIN ax{axis} a ON a.i = c.i JOIN ax{axis} b ON b.i = c.j)"""
+    return cells + """, placed AS MATERIALIZED (SELECT id, sum((c.v - m) * ax0.v) AS x, sum((c.v - m) * ax1.v) AS y FROM cell c JOIN mu USING (i) JOIN ax0 USING (i) JOIN ax1 USING (i) GROUP BY id
+), square AS MATERIALIZED (SELECT id, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) * 1000, 1) AS x, round((y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) * 1000, 1) AS y FROM placed)"""
+
+
+_LEVELS = """bk AS (SELECT book_id, list(m ORDER BY i) AS e FROM (SELECT book_id, i, avg(x) AS m FROM (SELECT book_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY ALL) GROUP BY book_id
+), un AS MATERIALIZED (
+  SELECT 'chunk' AS level, id, CASE WHEN id % 10 < 9 THEN 1000000000 + substr(book_id, 2)::BIGINT ELSE -1 END AS parent_id, book_id, e FROM v
+  UNION ALL SELECT 'parent', 1000000000 + substr(book_id, 2)::BIGINT, NULL, book_id, e FROM bk)"""
+
 _KNOWN = """hashed AS (SELECT doc_id, text, sha256(text) AS h FROM documents), known AS (SELECT DISTINCT h FROM hashed JOIN labels USING (doc_id))"""
 _COLOURS = ", ".join(f"{{'d': (r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}), 'i': {i}, 'name': '{n}'}}" for i, (n, (r, g, b)) in enumerate(PALETTE.items()))
 
@@ -371,6 +398,15 @@ ORACLE_SQL = {
       ), c AS (SELECT *, sum(turn::INT) OVER (PARTITION BY book_id) AS turns, sum(turn::INT) OVER (PARTITION BY book_id ORDER BY id) AS k FROM t)
       SELECT book_id, id, title FROM c WHERE titled >= 3 AND turn AND (k - 1) % (CASE WHEN turns > 300 THEN greatest(1, turns // 120) ELSE 1 END) = 0
       UNION ALL SELECT book_id, id, 'Passage ' || (place + 1) FROM c WHERE titled < 3 AND place % 25 = 0""",
+    "map_2d": f"WITH {_V}, {_placed('v')} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM placed",
+    "chunk_map_nodes": f"WITH {_V}, {_LEVELS}, {_placed('un')} SELECT level, id, book_id, square.x, square.y FROM un JOIN square USING (id)",
+    "chunk_map_edges": f"""WITH {_V}, {_LEVELS} SELECT id AS source, parent_id AS target, 'parent' AS kind FROM un WHERE parent_id IN (SELECT id FROM un)
+      UNION ALL SELECT source, target, 'near' FROM (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e, b.e) DESC, b.id) AS r FROM un a JOIN un b ON a.level = b.level AND a.id <> b.id) WHERE r = 1""",
+    "concept_map": f"""WITH {_CONCEPT}, lb AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM cc)),
+      co AS (SELECT a.k AS i, b.k AS j, count(*) AS n FROM (SELECT cc.id, k FROM cc JOIN lb USING (label)) a JOIN (SELECT cc.id, k FROM cc JOIN lb USING (label)) b ON a.id = b.id AND a.k <> b.k GROUP BY ALL),
+      pt AS (SELECT a.k AS id, list(coalesce(n, 0)::DOUBLE ORDER BY b.k) AS e FROM lb a CROSS JOIN lb b LEFT JOIN co ON co.i = a.k AND co.j = b.k GROUP BY a.k), {_placed('pt')},
+      bo AS (SELECT label, source AS book, count(*) AS own FROM cc JOIN documents ON doc_id = cc.id GROUP BY ALL)
+      SELECT label, n, book, square.x, square.y FROM lb JOIN square ON square.id = lb.k JOIN (SELECT label, sum(own)::BIGINT AS n, arg_min(book, (-own, book)) AS book FROM bo GROUP BY label) USING (label)""",
     "chunk_accumulate": f"""WITH RECURSIVE {_SMALL} SELECT book_id, n::INT AS n, words::INT AS words, start, stop AS "end" FROM pa""",
     "parents_link": f"""WITH RECURSIVE {_SMALL}, {_accumulated('_p', 500, 60)},
       c AS (SELECT book_id, printf('%d#%04d', book_id, n) AS id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{3,}}')) AS w FROM pa),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as T
-from strandweave.operators import anchors, annotations, concepts, embedding, engines, lexical, library, passages, pruned, reader, reports, rhythm
+from strandweave.operators import anchors, annotations, concepts, embedding, engines, lexical, library, maps, passages, pruned, reader, reports, rhythm
 from strandweave.session import Corpus, Session
 from strandweave.shared import shared_folder, stored
 from strandweave.sources import tables as S
@@ -640,6 +640,33 @@ def edges_digest(spark, d):
     return library.digest(S.edges(spark, d))
 
 
+def _levels(spark, d):
+    """Passages, and as their parents the books, whose vector is the mean of their passages'."""
+    v = S.vec_chunks(spark, d)
+    n = len(v.limit(1).collect()[0]["vec"]) if not v.isEmpty() else 0
+    number = F.substring("book_id", 2, 9).cast("long")
+    books = v.groupBy("book_id").agg(F.array(*(F.avg(F.col("vec")[i]) for i in range(n))).alias("vec"))
+    parent = 10**9 + number
+    low = v.select(F.lit("chunk").alias("level"), "id", F.when(F.col("id") % 10 < 9, parent).otherwise(F.lit(-1)).cast("long").alias("parent_id"), "book_id", "vec")
+    return low.unionByName(books.select(F.lit("parent").alias("level"), parent.alias("id"), F.lit(None).cast("long").alias("parent_id"), "book_id", "vec"))
+
+
+@query
+def chunk_map_nodes(spark, d):
+    return maps.chunk_map(stored(_levels(spark, d), "levels"))[0]
+
+
+@query
+def chunk_map_edges(spark, d):
+    return maps.chunk_map(stored(_levels(spark, d), "levels"))[1]
+
+
+@query
+def concept_map(spark, d):
+    chunks = S.text_chunks(spark, d)
+    return maps.concept_map(stored(concepts.chunk_concepts(chunks), "concepts"), chunks)[0]
+
+
 @query
 def map_2d(spark, d):
     return _six(library.flat_map(S.vec_chunks(spark, d)), "x", "y")
