@@ -123,7 +123,8 @@ def note_seed(records: DataFrame) -> DataFrame:
     """note_id, role, text: what a note starts a search with: its longest seed, else first edge, else first span."""
     kind = F.when(F.col("role") == "seed", 0).when(F.col("role") == "edge", 1).otherwise(2)
     order = Window.partitionBy("note_id").orderBy(kind, F.when(F.col("role") == "seed", -F.length("text")), "n")
-    return records.withColumn("__row", F.row_number().over(order)).where("__row = 1").select("note_id", "role", "text")
+    place = free_name(records, "place")
+    return records.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select("note_id", "role", "text")
 
 
 def nearest_colour(red: Column, green: Column, blue: Column, palette: dict[str, tuple[float, float, float]] = PALETTE) -> Column:

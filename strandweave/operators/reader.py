@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import touching
+from strandweave.shared import free_name
 
 SITES, PREVIEW, LABEL, SUMMARY, SUMMARY_LEAST = 40, 240, 80, 280, 30
 
@@ -68,7 +69,8 @@ def merged(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     Columns that `changes` lacks stay.  Rows with a null key stay as they are, and such changes are left out.
     """
     known = [c for c in changes.columns if c != key and c in current.columns]
-    new = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in known))
-    both = current.join(new, F.col(key) == F.col("__key"), "full")
-    value = lambda c: F.coalesce(F.col("__key"), F.col(c)) if c == key else F.coalesce(F.col(f"__{c}"), F.col(c)) if c in known else F.col(c)
+    own, values = (free_name([*current.columns, *changes.columns], n) for n in ("changed_key", "values"))
+    new = changes.where(F.col(key).isNotNull()).select(F.col(key).alias(own), F.struct(F.lit(True).alias("there"), *known).alias(values))
+    both = current.join(new, F.col(key) == F.col(own), "full")
+    value = lambda c: F.coalesce(F.col(own), F.col(c)) if c == key else F.coalesce(F.col(f"{values}.{c}"), F.col(c)) if c in known else F.col(c)
     return both.select(*(value(c).alias(c) for c in current.columns))

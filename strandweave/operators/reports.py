@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators import engines
+from strandweave.shared import free_name
 
 RANGE_ROWS, MOST_RANGES = 1_000_000, 1024
 
@@ -22,12 +23,13 @@ def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     # Cuts ascend, so the number of those reached tells the range.
     reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(reached))
+    part, mine, before = (free_name([*df.columns, name], n) for n in ("range", "own", "before"))
+    ranged = df.withColumn(part, F.when(F.col(key).isNull(), -1).otherwise(reached))
     # One row a range.
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
-    before = counts.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first())) - 1
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+    counts = ranged.groupBy(part).agg(F.count("*").alias("n"))
+    starts = counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(F.col(key).asc_nulls_first())) - 1
+    return ranged.withColumn(mine, own).join(F.broadcast(starts), part).withColumn(name, F.col(before) + F.col(mine)).drop(part, mine, before)
 
 
 def systematic_sample(df: DataFrame, key: str, n: int) -> DataFrame:

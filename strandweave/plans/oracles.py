@@ -62,7 +62,7 @@ _STRUCT = """structural AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY y DESC, id) AS pos FROM sim
   WHERE id <> seed_id AND book_id <> seed_book AND y >= 0.20 AND y < 0.97) WHERE pos <= 8)"""
 _MARKS = """m AS (
-  SELECT doc_id AS target, toxic = 1 AS orphaned, substr(text, 1, 80) AS quote,
+  SELECT doc_id AS target, toxic = 1 AS orphaned, text AS quote,
     list_concat(e[2:], e[1:1]) AS e FROM labels JOIN documents USING (doc_id) JOIN v ON v.id = doc_id
 ), marked AS (SELECT * FROM (
   SELECT v.id AS seed_id, target AS id, list_dot_product(v.e, m.e) AS x,

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 
+from strandweave.shared import free_name
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
     """One JSON object a line; blank lines are skipped, and with `tolerant` malformed lines too."""
@@ -48,10 +50,11 @@ def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def upsert(current: DataFrame, new: DataFrame, key: str, refreshed: str = "note") -> DataFrame:
     """Inserts the rows of `new` whose key is unknown; of a known one only `refreshed` is taken.  Of repeats in `new` the least row counts."""
-    one = new.groupBy(key).agg(F.min(F.struct(*(c for c in new.columns if c != key))).alias("__r")).select(key, "__r.*")
-    notes = one.select(F.col(key).alias("__key"), F.col(refreshed).alias("__new"))
-    kept = current.join(notes, F.col(key) == F.col("__key"), "left")
-    kept = kept.withColumn(refreshed, F.when(F.col("__key").isNotNull(), F.col("__new")).otherwise(F.col(refreshed))).select(*current.columns)
+    row, own, taken = (free_name([*current.columns, *new.columns], n) for n in ("row", "known_key", "taken"))
+    one = new.groupBy(key).agg(F.min(F.struct(*(c for c in new.columns if c != key))).alias(row)).select(key, f"{row}.*")
+    notes = one.select(F.col(key).alias(own), F.col(refreshed).alias(taken))
+    kept = current.join(notes, F.col(key) == F.col(own), "left")
+    kept = kept.withColumn(refreshed, F.when(F.col(own).isNotNull(), F.col(taken)).otherwise(F.col(refreshed))).select(*current.columns)
     return kept.unionByName(one.join(current.select(key), key, "left_anti").select(*current.columns))
 
 

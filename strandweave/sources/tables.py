@@ -30,7 +30,7 @@ def vec_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages in the second vector space (here the reversed vector)."""
+    """Passages in the second vector space; as a stand-in for it, the reversed vector."""
     return vec_chunks(spark, sf_dir).withColumn("vec", F.reverse("vec"))
 
 
@@ -40,7 +40,10 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mark_id, target, book_id, quote, note, orphaned, vec: reader annotations of passages that have a vector."""
+    """mark_id, target, book_id, quote, note, orphaned, vec: marks of whole passages that have a vector.
+
+    Stand-ins: a mark's vector is its passage's, its components moved on by one.
+    """
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     v = vec_chunks(spark, sf_dir)
     turned = F.concat(F.slice("vec", 2, 1 << 20), F.slice("vec", 1, 1))
@@ -48,7 +51,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels.join(docs, "doc_id")
         .join(v, F.col("id") == F.col("doc_id"))
         .select(
-            F.col("doc_id").alias("mark_id"), F.col("doc_id").alias("target"), "book_id", F.substring("text", 1, 80).alias("quote"),
+            F.col("doc_id").alias("mark_id"), F.col("doc_id").alias("target"), "book_id", F.col("text").alias("quote"),
             F.lit("").alias("note"), (F.col("toxic") == 1).alias("orphaned"), turned.alias("vec"),
         )
     )
