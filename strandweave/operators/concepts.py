@@ -75,15 +75,16 @@ def dense(entries: Column, n: int) -> Column:
 
 def _walk(graph: DataFrame) -> Walk | None:
     """The walk over `graph`, none for a graph without links.  Over MAX_NODES nodes are refused, so that the matrix has a fixed bound."""
-    by_chunk, by_node = Window.partitionBy("id"), Window.partitionBy("node")
-    both = graph.withColumn("out", F.col("w") / F.sum("w").over(by_chunk)).withColumn("back", F.col("w") / F.sum("w").over(by_node))
     nodes = [r["node"] for r in graph.select("node").distinct().orderBy("node").limit(MAX_NODES + 1).collect()]
     if len(nodes) > MAX_NODES:
         raise ValueError(f"over {MAX_NODES} concepts and bridge targets: pass a smaller vocabulary or fewer targets")
     if not nodes:
         return None
-    place = F.create_map(*(F.lit(x) for pair in zip(nodes, range(len(nodes))) for x in pair))
-    both = both.withColumn("j", place[F.col("node")])
+    # At most MAX_NODES rows: a node's sum, of which any share of the passages may be a part, combines before it is shuffled.
+    place = graph.sparkSession.createDataFrame(list(zip(nodes, range(len(nodes)))), "node string, j int")
+    of_node = graph.groupBy("node").agg(F.sum("w").alias("of_node")).join(F.broadcast(place), "node")
+    of_chunk = Window.partitionBy("id")
+    both = graph.join(F.broadcast(of_node), "node").withColumns({"out": F.col("w") / F.sum("w").over(of_chunk), "back": F.col("w") / F.col("of_node")})
     left = both.select("id", F.col("j").alias("a"), "back")
     move = np.zeros((len(nodes), len(nodes)))
     # Pairs of one passage's few nodes, summed to one row a node pair.
