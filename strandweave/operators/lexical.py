@@ -15,13 +15,15 @@ from strandweave.shared import stored
 K1, B, QUERY_TERMS = 1.5, 0.75, 12
 #: Parts of a score are counted in steps of 1 / STEPS, of which there are at most (K1 + 1) * STEPS; what rounding may add.
 STEPS, SLACK = 32, 1e-5
+#: Queries that touch no more postings are scored outright; terms asked for are broadcast up to so many rows.
+FEW_POSTINGS, BROADCAST_ROWS = 1 << 24, 1 << 16
 
 
 class LexicalIndex:
-    """postings (id, term, tf, dl, part), stored, and df (term, df, idf, most, held) of passages (id, text).
+    """postings (id, term, tf, dl, part), stored, and df (term, df, idf, most) of passages (id, text).
 
-    `part` is what a term adds to a passage's score, before its idf.  `most` is a term's largest part, and `held` counts
-    its parts by size: bounds that tell which of a query's terms can bring a passage among the best.  The corpus is tokenized once.
+    `part` is what a term adds to a passage's score, before its idf, and `most` a term's largest part: a bound that tells which of a
+    query's terms can bring a passage among the best.  The corpus is tokenized once.
     """
 
     def __init__(self, chunks: DataFrame):
@@ -39,9 +41,7 @@ class LexicalIndex:
         tf = F.col("tf")
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
         self.postings = rows.where("term is not null").withColumn("part", part)
-        size = F.floor(F.col("part") * STEPS).cast("int").alias("size")
-        sized = self.postings.groupBy("term", size).agg(F.count("*").alias("c"), F.max("part").alias("most"))
-        df = sized.groupBy("term").agg(F.sum("c").alias("df"), F.max("most").alias("most"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "c"))).alias("held"))
+        df = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
         self.df = stored(df.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
 
     def distinctive_terms(self, k: int = QUERY_TERMS) -> DataFrame:
@@ -57,33 +57,39 @@ class LexicalIndex:
         parts already are that many passages of at least so high a score.  Terms whose bounds together stay below it bring no passage
         in by themselves; they are looked up for passages that the others brought in, and whose bound is high enough.
         """
-        asked = queries.select("seed_id", "term").distinct().join(self.df, "term").select("seed_id", "term", "idf", "held", (F.col("idf") * F.col("most")).alias("bound"))
-        if best is None:
-            asked = asked.withColumn("needed", F.lit(True))
-        else:
-            # The largest size that `best` parts have at least.
-            upto = F.aggregate("held", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("size")), lambda s, x: F.when(s["n"] >= best, s).otherwise(F.struct((s["n"] + x["c"]).alias("n"), (-x["less"]).alias("size"))))
-            sure = F.when(upto["n"] >= best, F.col("idf") * upto["size"] / STEPS).otherwise(F.lit(0.0))
-            own, rising = Window.partitionBy("seed_id"), Window.partitionBy("seed_id").orderBy("bound", "term")
-            asked = asked.withColumn("sure", sure).withColumns({"least": F.max("sure").over(own) - SLACK, "low": F.sum("bound").over(rising)}).withColumn("needed", F.col("low") >= F.col("least"))
-            asked = asked.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).over(own))
-            asked = stored(asked.drop("held"), "asked")
+        asked = queries.select("seed_id", "term").distinct().join(self.df, "term").select("seed_id", "term", "idf", "df", (F.col("idf") * F.col("most")).alias("bound"))
+        asked = stored(asked, "asked")
+        size = asked.agg(F.count("*").alias("rows"), F.sum("df").alias("postings")).first()
         value = (F.col("idf") * F.col("part")).alias("value")
-        total = lambda df: df.groupBy("seed_id", "id")
-        # Postings outgrow what their files' size tells the planner: they are never broadcast.
-        brought = asked.where("needed").join(self.postings.hint("merge"), "term")
-        whole = (F.sum("value").alias("value"), F.array_sort(F.collect_list("term")).alias("terms"))
-        if best is None:
-            found = total(brought.select("seed_id", "id", "term", value)).agg(*whole)
-        else:
-            found = total(brought.select("seed_id", "id", "term", "rest", "least", value)).agg(*whole, F.first("rest").alias("rest"), F.first("least").alias("least"))
-            found = found.where(F.col("value") + F.col("rest") >= F.col("least")).select("seed_id", "id", "value", "terms")
-            others = asked.where(~F.col("needed"))
-            if not others.isEmpty():
-                found = stored(found, "brought")
-                looked_up = found.select("seed_id", "id").join(others.select("seed_id", "term", "idf"), "seed_id").join(self.postings.hint("merge"), ["id", "term"])
-                both = found.unionByName(looked_up.select("seed_id", "id", value, F.array("term").alias("terms")))
-                found = total(both).agg(F.sum("value").alias("value"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+
+        def with_postings(terms: DataFrame, keys: list[str]) -> DataFrame:
+            # Postings outgrow what their files' size tells the planner: they are never broadcast.
+            return F.broadcast(terms).join(self.postings, keys) if size["rows"] <= BROADCAST_ROWS and keys == ["term"] else terms.join(self.postings.hint("merge"), keys)
+
+        whole = (F.sum("value").alias("value"), F.count("*").alias("n_terms"), F.array_sort(F.collect_list("term")).alias("terms"))
+        if best is None or (size["postings"] or 0) <= FEW_POSTINGS:
+            found = with_postings(asked.select("seed_id", "term", "idf"), ["term"]).select("seed_id", "id", "term", value).groupBy("seed_id", "id").agg(*whole)
+            return found.select("seed_id", "id", F.round("value", 6).alias("score"), "n_terms", "terms").where("score > 0")
+        # Parts of the terms asked for, counted by size: the largest size that `best` of them have at least.
+        part_size = F.floor(F.col("part") * STEPS).cast("int").alias("size")
+        sized = with_postings(asked.select("term").distinct(), ["term"]).groupBy("term", part_size).agg(F.count("*").alias("c"))
+        held = sized.groupBy("term").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "c"))).alias("held"))
+        asked = asked.join(held, "term")
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("size"))
+        upto = F.aggregate("held", start, lambda s, x: F.when(s["n"] >= best, s).otherwise(F.struct((s["n"] + x["c"]).alias("n"), (-x["less"]).alias("size"))))
+        sure = F.when(upto["n"] >= best, F.col("idf") * upto["size"] / STEPS).otherwise(F.lit(0.0))
+        own, rising = Window.partitionBy("seed_id"), Window.partitionBy("seed_id").orderBy("bound", "term")
+        asked = asked.withColumn("sure", sure).withColumns({"least": F.max("sure").over(own) - SLACK, "low": F.sum("bound").over(rising)}).withColumn("needed", F.col("low") >= F.col("least"))
+        asked = stored(asked.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).over(own)).drop("held"), "asked-bounds")
+        brought = with_postings(asked.where("needed"), ["term"]).select("seed_id", "id", "term", "rest", "least", value)
+        found = brought.groupBy("seed_id", "id").agg(*whole, F.first("rest").alias("rest"), F.first("least").alias("least"))
+        found = found.where(F.col("value") + F.col("rest") >= F.col("least")).select("seed_id", "id", "value", "terms")
+        others = asked.where(~F.col("needed"))
+        if not others.isEmpty():
+            found = stored(found, "brought")
+            looked_up = with_postings(found.select("seed_id", "id").join(others.select("seed_id", "term", "idf"), "seed_id"), ["id", "term"])
+            both = found.unionByName(looked_up.select("seed_id", "id", value, F.array("term").alias("terms")))
+            found = both.groupBy("seed_id", "id").agg(F.sum("value").alias("value"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
         return found.select("seed_id", "id", F.round("value", 6).alias("score"), F.size("terms").cast("long").alias("n_terms"), "terms").where("score > 0")
 
 

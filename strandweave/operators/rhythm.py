@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.shared import stored
+
 MIN_ATTENTION, PRIOR, Z, MIN_BASELINE, SURE_BASELINE = 1500.0, 9000.0, 1.0, 3, 8
 #: Microseconds of a span of the log.
 SPAN = 86_400_000_000
@@ -63,7 +65,7 @@ def features(events: DataFrame, words: DataFrame, by: tuple[str, ...] = WHOLE) -
 
     `words` has passage, words.  Overlaps of visits with dead spans are subtracted, of both kinds.
     """
-    v = visits(events, by)
+    v = stored(visits(events, by), "visits")
     dead = dead_spans(events, by=by).unionByName(dead_spans(events, "hidden", "visible", by))
     # Dead time up to a moment is moment * (spans open) - (their starts) + (lengths of those closed): one pass over
     # all bounds of a book gives it at each visit's ends, and what a visit loses is the difference.
@@ -146,6 +148,7 @@ def against(feats: DataFrame, base: DataFrame) -> DataFrame:
 
 def scores(feats: DataFrame) -> DataFrame:
     """A book's features against its own baseline."""
+    feats = stored(feats, "rhythm-features")
     return against(feats, baseline(feats)).select("book", "passage", "attentive_ms", "revisits", "selections", "z", "hotspot")
 
 
@@ -155,7 +158,7 @@ def candidates(events: DataFrame, words: DataFrame, labels: DataFrame, session:
     The session, `session` or each book's last by its name, is scored against the book's whole history; passages of
     `labels` are left out.  Books without a baseline have none.
     """
-    base = baseline(features(events, words)).select("book", "med", "spread", "have_baseline")
+    base = baseline(stored(features(events, words), "rhythm-features")).select("book", "med", "spread", "have_baseline")
     chosen = events.where("book is not null and session is not null").groupBy("book").agg((F.max("session") if session is None else F.first(session)).alias("session"))
     feats = features(events.join(chosen, ["book", "session"], "left_semi"), words, SESSION)
     left = against(feats, base).where("hotspot").join(labels.select("passage").distinct(), "passage", "left_anti")

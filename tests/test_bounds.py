@@ -7,7 +7,8 @@ import numpy as np
 from strandweave.operators import engines, lexical, pruned
 
 
-def test_best_passages_by_term_bounds_equal_all_scores(spark):
+def test_best_passages_by_term_bounds_equal_all_scores(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "FEW_POSTINGS", 0)
     rng = random.Random(3)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
     texts = [(i, f"b{i % 3}", " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 30, 80])))) for i in range(220)]
