@@ -58,3 +58,29 @@ def test_few_or_no_vectors(spark):
     one = vectors(spark, np.ones((1, 3)))
     assert pruned.nearest(one, one, 3).collect() == [] and pruned.nearest(one.limit(0), one.limit(0), 3).collect() == []
     assert [(r.seed_id, r.id) for r in pruned.nearest(one, vectors(spark, np.ones((2, 3)), 7), 3).orderBy("pos").collect()] == [(0, 7), (0, 8)]
+
+
+def test_passages_as_seeds_get_the_best_of_all_scores_and_leave_their_books_out(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(lexical, "SEED_ROWS", 50)
+    monkeypatch.setattr(lexical, "SCORED_ROWS", 7)
+    scored = []
+    monkeypatch.setattr(lexical.LexicalIndex, "scores", lambda self, *a, real=lexical.LexicalIndex.scores: scored.append(a) or real(self, *a))
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    texts = [(i, None if i == 9 else f"b{i % 3}", " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 30, 80])))) for i in range(200)]
+    chunks = spark.createDataFrame([*texts, (900, "b0", None), (901, "b1", texts[5][2])], "id long, book_id string, text string")
+    index = lexical.LexicalIndex(chunks)
+    asked = index.distinctive_terms().selectExpr("id AS seed_id", "term").cache()
+    book = {r.id: r.book_id for r in chunks.collect()}
+    show = lambda df: sorted((r.seed_id, r.id, r.pos, r.score, r.n_terms, tuple(r.terms)) for r in df.collect())
+    picks = show(lexical.lexical(index, asked, 3, books=chunks)), show(lexical.lexical(index, asked, 3, passage_seeds=True))
+    # No pair of passages that share a term was a row.
+    assert not scored
+    every = [r for r in index.scores(asked).collect() if r.seed_id != r.id]
+    for got, pairs in zip(picks, ([r for r in every if None not in (book[r.seed_id], book[r.id]) and book[r.seed_id] != book[r.id]], every)):
+        want = []
+        for seed in {r.seed_id for r in pairs}:
+            best = sorted((r for r in pairs if r.seed_id == seed), key=lambda r: (-r.score, r.id))[:3]
+            want += [(seed, r.id, pos, r.score, r.n_terms, tuple(r.terms)) for pos, r in enumerate(best, 1)]
+        assert got == sorted(want) and got
