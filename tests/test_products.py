@@ -63,6 +63,44 @@ def test_places_by_whole_numbers_are_those_by_double():
         assert (np.delete(got.reshape(-1), 22) == np.delete(want.reshape(-1), 22)).all()
 
 
+@pytest.mark.parametrize("tile", [(512, 512), (7, 16), (64, 5)])
+def test_after_a_first_block_only_what_reaches_is_looked_at(monkeypatch, tile):
+    monkeypatch.setattr(blocked, "TILE", tile)
+    rng = np.random.default_rng(8)
+    s, every = block(vectors(rng, 70)), [block(vectors(rng, 300), first) for first in (1000, 2000, 3000)]
+    got, asked = blocked.Best(s, 4, "similarity"), []
+    ok = lambda i, j: asked.append(len(i)) or np.ones(len(i), bool)
+    for c in every:
+        got.add(blocked.kept(s, c, blocked.Products(s, c), 4, ok, 0.1, 0.9))
+        got.rows()
+    sims, ids = s["vec"] @ np.concatenate([c["vec"] for c in every]).T, np.concatenate([c["id"] for c in every])
+    sims[(sims < 0.1) | (sims >= 0.9)] = -np.inf
+    rows = got.rows()
+    for r in range(70):
+        assert np.allclose(np.sort(rows["similarity"][rows["seed_id"] == r]), np.sort(np.sort(sims[r])[-4:]), atol=1e-13)
+    # Places are asked for once a block, not once a slice of rows.
+    assert sum(asked[-2:]) < 70 * 300 / 4
+    starts = np.array([0, 4, 5, 20, 49, 140])
+    c = every[0]
+    groups, wide = blocked.Products(s, c, starts=starts), np.maximum.reduceat(s["vec"] @ c["vec"].T, starts, axis=1)
+    i, j = blocked.reaching(groups, np.full(70, 0.3), 10**6)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(wide >= 0.3)))
+    assert blocked.reaching(groups, np.full(70, -1.0), 10) is None
+
+
+def test_wide_blocks_of_seeds_read_passages_less_often(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", 4)
+    rows = [(k, f"b{k % 3}", "a", v.tolist()) for k, v in enumerate(vectors(np.random.default_rng(9), 200, 4))]
+    v = spark.createDataFrame(rows, "id long, book_id string, author string, vec array<double>").cache()
+    calls = spark.sparkContext.accumulator(0)
+    show = lambda df: sorted(map(tuple, df.collect()))
+    want = show(engines.plain(v, v))
+    read = blocked.block_pairs(v, v, lambda s, c: calls.add(1) or blocked.kept(s, c, blocked.Products(s, c), 3), engines.FOUND, blocked.best(3))
+    assert read.count() and calls.value < 50 * 50 / 2
+    monkeypatch.setattr(blocked, "WIDEST", 1)
+    assert show(engines.plain(v, v)) == want
+
+
 def test_a_report_makes_each_product_once(spark, monkeypatch):
     rows = [(k, f"b{k % 3}", "a", v.tolist()) for k, v in enumerate(vectors(np.random.default_rng(7), 40, 4))]
     v = spark.createDataFrame(rows, "id long, book_id string, author string, vec array<double>").cache()
