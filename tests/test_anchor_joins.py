@@ -1,7 +1,9 @@
 """Resolution by shared segments against the plain one, and interval joins against all pairs."""
 
 import random
+import re
 
+import pyarrow as pa
 from strandweave.operators import anchors, intervals, reader
 
 
@@ -67,3 +69,46 @@ def test_runs_are_cut_where_spans_begin_and_end(spark):
     spans = spark.createDataFrame([(1, 7, 8, 12), (1, 3, 11, 20), (1, 9, 50, 60), (3, 1, 0, 4)], "book_id long, span_id long, start long, end long")
     got = sorted(tuple(r) for r in reader.highlighted_runs(runs, spans).select("book_id", "start", "end", "span_id").collect())
     assert got == [(1, 0, 8, None), (1, 8, 10, 7), (1, 10, 11, 7), (1, 11, 12, 3), (1, 12, 20, 3), (1, 20, 30, None), (2, 0, 4, None)]
+
+
+def test_keys_of_runs_are_those_of_split_words(monkeypatch):
+    rng = random.Random(11)
+    gaps = [" ", "  ", "\n", "\t", "\x0b", "\u00a0", "\u2003", "\r\n"]
+    texts = ["".join(rng.choice(["a", "b", "é", "ab", "x" * 40]) + rng.choice(gaps) for _ in range(rng.choice([0, 1, 2, 3, 9, 60]))) for _ in range(80)]
+    texts += [None, "", "   ", " a b", "c", "a b c", "\x00 \x00 \x00\x00"]
+    for hashed in (1 << 20, 50):
+        monkeypatch.setattr(anchors, "HASHED", hashed)
+        row, key = anchors._run_keys(pa.array(["skipped", *texts])[1:], 3)
+        want = []
+        for r, text in enumerate(texts):
+            w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text or "") if x]
+            want += [(r, tuple(w[i : i + 3])) for i in range(len(w) - 2)]
+        assert row.tolist() == [r for r, _ in want]
+        # Equal runs have equal keys, others have others.
+        assert len(set(key.tolist())) == len({k for _, k in want}) == len({(k, run) for k, (_, run) in zip(key.tolist(), want)})
+    assert all(len(x) == 0 for x in anchors._run_keys(pa.array([], pa.string()), 3))
+    assert all(len(x) == 0 for x in anchors._run_keys(pa.array(["", None]), 3))
+
+
+def test_contained_meets_only_runs_that_quotes_have(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    books = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(40)] + [(98, ""), (99, None)]
+    quotes = [(i, books[i % 40][1][3 : 3 + 20 + 9 * (i % 5)]) for i in range(60)] + [(100, None), (101, ""), (102, "w1 " * 9), (7, books[7][1][:70])]
+    q, s = spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(books, "book_id long, text string")
+    made, real = [], anchors._keyed
+    monkeypatch.setattr(anchors, "_keyed", lambda *a: made.append(real(*a)) or made[-1])
+    got = sorted(set((r.quote_id, r.book_id, r.hits) for r in anchors.contained(q, s).collect()))
+    assert got == sorted({(a, b, t.count(x)) for a, x in quotes if x for b, t in books if t and x in t})
+    # Before, each of a book's runs was a row.
+    assert made[1].count() < 40 * 115 / 4
+
+
+def test_an_import_finds_its_quotes_once(spark, monkeypatch):
+    calls, real = [], anchors.contained
+    monkeypatch.setattr(anchors, "contained", lambda *a, **k: calls.append(1) or real(*a, **k))
+    from strandweave.plans import queries
+
+    df = queries.import_counts(spark, "/root/testdata/sf0.001")
+    scans = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "documents" not in scans and df.count()
