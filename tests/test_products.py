@@ -114,3 +114,11 @@ def test_a_report_makes_each_product_once(spark, monkeypatch):
     assert reports.engine_report({"plain": engines.plain(v, v), "few": engines.plain(v, v, 2)}, v, v).count() == 2
     # Two engines' picks, and one pass that ranks both.
     assert calls.value == 3
+
+
+@pytest.mark.parametrize("pool", [8, 120])
+def test_a_shorter_band_is_the_longer_one_s_first_rows(spark, pool):
+    rows = [(k, f"b{k % 3}", "a", v.tolist()) for k, v in enumerate(vectors(np.random.default_rng(10), 90, 4))]
+    v = spark.createDataFrame(rows, "id long, book_id string, author string, vec array<double>").cache()
+    show = lambda df: sorted((r.seed_id, r.pos, r.id, round(r.similarity, 12)) for r in df.collect())
+    assert show(engines.band_pool(v, v, pool=pool).where("pos <= 16")) == show(engines.band_pool(v, v, pool=8))
