@@ -63,6 +63,34 @@ def test_places_by_whole_numbers_are_those_by_double():
         assert (np.delete(got.reshape(-1), 22) == np.delete(want.reshape(-1), 22)).all()
 
 
+def test_whole_numbers_leave_open_only_what_they_cannot_tell():
+    """Where fractions are lost, what reaches the upper cut is over, and what misses the lower one is under; no more than two numbers lie between."""
+    rng = np.random.default_rng(11)
+    x, at = rng.uniform(-40, 40, 200_000), rng.uniform(-40, 40, 200_000)
+    high, low = engines._cuts(at + 0.1, at - 0.1)
+    number = x.astype(np.int16)
+    assert (x[number >= high] > at[number >= high] + 0.1).all() and (x[number < low] < at[number < low] - 0.1).all()
+    assert (high - low).max() <= 2 and engines._cuts(np.array([np.nan]), np.array([np.nan]))[0][0] == np.iinfo(np.int16).max
+
+
+def test_few_passages_are_multiplied_in_double_for_places(monkeypatch):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((1200, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s, c = block(v[:200]), block(v[200:], 200)
+    sims, asked = s["vec"] @ c["vec"].T, []
+    at = rng.integers(0, 1000, (200, 6))
+    exact = blocked.Products.exact
+    monkeypatch.setattr(blocked.Products, "exact", lambda self, i, j: asked.append(len(i)) or exact(self, i, j))
+    products = blocked.Products(s, c)
+    for _ in range(2):
+        # The same products serve again.
+        got = engines.before(products, c["id"], np.take_along_axis(sims, at, 1), c["id"][at])
+        assert (got == (sims[:, None, :] > np.take_along_axis(sims, at, 1)[:, :, None] + 1e-13).sum(axis=2)).all()
+    # Once for all tiles; besides the picks themselves few of the 1,200,000.
+    assert len(asked) == 2 and asked[0] - at.size < 100
+
+
 @pytest.mark.parametrize("tile", [(512, 512), (7, 16), (64, 5)])
 def test_after_a_first_block_only_what_reaches_is_looked_at(monkeypatch, tile):
     monkeypatch.setattr(blocked, "TILE", tile)
