@@ -112,3 +112,17 @@ def test_an_import_finds_its_quotes_once(spark, monkeypatch):
     df = queries.import_counts(spark, "/root/testdata/sf0.001")
     scans = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(calls) == 1 and "documents" not in scans and df.count()
+
+
+def test_imports_into_books_of_long_ids_are_told_apart(spark, tmp_path):
+    from strandweave.plans import queries
+
+    quote = "the slow river of words that nobody had counted before noon"
+    far = [7, 500007, 1000006, 1000007]
+    spark.createDataFrame([(i, f"A start {i}. {quote} and an end.") for i in far], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(6, quote), (7, quote + " and an")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # Of each book one pair for each quote, and its repetition; no book of id 6, so that its pair is an orphan's.
+    got = {r.book_id: (r.imported, r.orphaned, r.duplicate, r.total) for r in queries.import_counts(spark, str(tmp_path)).collect()}
+    assert got == {6: (0, 0, 2, 2)} | {i: (0, 0, 4, 4) if i % 3 == 0 else (2, 0, 2, 4) for i in far}
+    made = [(r.quote_id, r.target, r.orphaned) for r in queries.annotations_created(spark, str(tmp_path)).collect()]
+    assert sorted(made) == sorted([(6000006, "book:6", True)] + [(item * 1000000 + i, str(i), False) for item in (6, 7) for i in far])
